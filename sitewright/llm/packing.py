@@ -76,65 +76,56 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
     document into another bin, exchange one for one, exchange two for one. The sum is a whole number with a bound, so
     the search ends. Bins that have become empty go.
     """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    count = sum(1 for f in fill if f)
     size = np.asarray(lengths, np.int64)
-    stuck: set[int] = set()
+    owner = np.zeros(len(size), np.int64)
+    for n, b in enumerate(bins):
+        owner[b] = n
+    bins = [list(b) for b in bins]
+    fill = np.bincount(owner, size, minlength=len(bins)).astype(np.int64)
+    least = -(-int(size.sum()) // capacity)
+    count = len(bins)
+    stuck = np.zeros(len(bins), bool)
     while count > least:
-        open_bins = [b for b in range(len(bins)) if 0 < fill[b] < capacity]
-        source = min((b for b in open_bins if b not in stuck), key=lambda b: (fill[b], b), default=None)
-        if source is None:
+        is_open = (fill > 0) & (fill < capacity)
+        sources = np.flatnonzero(is_open & ~stuck)
+        if not len(sources) or is_open.sum() < 2:
             break
-        others = [b for b in open_bins if b != source]
-        if not others:
-            break
-        taken = _best_step(source, others, bins, fill, size, capacity)
+        source = int(sources[fill[sources].argmin()])
+        is_open[source] = False
+        taken = _best_step(bins[source], int(fill[source]), np.flatnonzero(is_open), np.flatnonzero(is_open[owner]), owner, fill, size, capacity)
         if taken is None:
-            stuck.add(source)
+            stuck[source] = True
             continue
         target, give, back = taken
-        moved = sum(lengths[i] for i in give) - sum(lengths[i] for i in back)
-        bins[source] = [i for i in bins[source] if i not in give] + list(back)
-        bins[target] = [i for i in bins[target] if i not in back] + list(give)
+        moved = int(size[give].sum() - size[back].sum())
+        bins[source] = [i for i in bins[source] if i not in give] + back
+        bins[target] = [i for i in bins[target] if i not in back] + give
+        owner[give], owner[back] = target, source
         fill[source] -= moved
         fill[target] += moved
         count -= fill[source] == 0
-        stuck -= {source, target}
+        stuck[[source, target]] = False
     return [b for b in bins if b]
 
 
-def _best_step(source, others, bins, fill, size, capacity):
-    """(target, items given, items taken back) that raises the squared fill most, or None."""
-    mine = np.asarray(bins[source])
+def _best_step(mine, own_fill, others, items, owner, fill, size, capacity):
+    """(target, items given, items taken back) that raises the squared fill most, or None.
+
+    Giving d more than comes back, to a bin filled f from one filled a, raises the sum by 2 d (f - a + d).
+    """
     x = size[mine]
     i, j = np.triu_indices(len(mine), 1)
     gifts = np.concatenate([x, x[i] + x[j]])  # one document, or two
-    where = np.asarray([b for b in others for _ in bins[b]])
-    what = np.asarray([k for b in others for k in bins[b]])
-    fills = np.asarray(fill)
     best, step = 0, None
-    # no document comes back: a move
-    to = np.asarray(others)
-    for name, give, targets, returns in (("move", x, to, np.zeros(len(to), np.int64)), ("swap", gifts, where, size[what])):
-        d = give[:, None] - returns[None, :]
-        f = fills[targets][None, :]
-        gain = np.where((d > 0) & (d <= capacity - f), 2 * d * (f - fill[source] + d), 0)
-        k = int(gain.argmax())
-        g, t = divmod(k, gain.shape[1])
-        if gain[g, t] > best:
-            best = gain[g, t]
-            given = [int(mine[g])] if g < len(mine) else [int(mine[i[g - len(mine)]]), int(mine[j[g - len(mine)]])]
-            step = (int(targets[t]), given, [] if name == "move" else [int(what[t])])
-    # two come back for one: the pairs within each target bin
-    pairs = [(b, p, q) for b in others for n, p in enumerate(bins[b]) for q in bins[b][n + 1 :] if len(bins[b]) < 12]
-    if pairs:
-        b, p, q = (np.asarray(v) for v in zip(*pairs, strict=True))
-        d = x[:, None] - (size[p] + size[q])[None, :]
-        gain = np.where((d > 0) & (d <= capacity - fills[b][None, :]), 2 * d * (fills[b][None, :] - fill[source] + d), 0)
+    for give, targets, returned in ((x, others, None), (gifts, owner[items], items)):
+        f = fill[targets]
+        d = give[:, None] if returned is None else give[:, None] - size[returned][None, :]
+        gain = np.where((d > 0) & (d <= capacity - f), 2 * d * (f - own_fill + d), 0)
         g, t = divmod(int(gain.argmax()), gain.shape[1])
         if gain[g, t] > best:
-            step = (int(b[t]), [int(mine[g])], [int(p[t]), int(q[t])])
+            best = gain[g, t]
+            given = [mine[g]] if g < len(mine) else [mine[i[g - len(mine)]], mine[j[g - len(mine)]]]
+            step = (int(targets[t]), given, [] if returned is None else [int(returned[t])])
     return step
 
 

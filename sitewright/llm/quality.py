@@ -92,7 +92,7 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, hidden: int = 24, epochs: int = 25, batch: int = 512, rate: float = 0.004, decay: float = 1e-4, seed: int = 7) -> Network:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, hidden: int = 24, epochs: int = 25, batch: int = 256, rate: float = 0.004, decay: float = 1e-4, seed: int = 7) -> Network:
     """Minimise the non-negative PU risk with logistic loss; with ``prior`` None, plain positives against unlabelled."""
     rng = np.random.default_rng(seed)
     both = np.vstack([positive, unlabelled])
@@ -101,12 +101,12 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, hidde
     width = p.shape[1]
     par = [rng.normal(0, np.sqrt(2 / width), (width, hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), hidden), np.zeros(1)]
     m, v, t = [np.zeros_like(x) for x in par], [np.zeros_like(x) for x in par], 0
-    steps = max(1, len(u) // batch)
+    steps = max(1, len(u) // batch, 1500 // epochs)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for _ in range(epochs):
         order = rng.permutation(len(u))
         for k in range(steps):
-            xu = u[order[k * batch : (k + 1) * batch]]
+            xu = u[order.take(range(k * batch, (k + 1) * batch), mode="wrap")]
             xp = p[rng.integers(0, len(p), batch)]
             x = np.vstack([xp, xu])
             h = np.maximum(x @ par[0] + par[1], 0)
@@ -143,15 +143,18 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: flo
     return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[Network, float]:
-    """(network, prior). Needs a handful of rows of either kind; with fewer, every document scores 1 or the base rate."""
+def train(positive: np.ndarray, unlabelled: np.ndarray, trusted_below: float = 0.002) -> tuple[Network, float]:
+    """(network, prior). Scores are shifted so that ``trusted_below`` of the trusted positives score under 0.5: an error in
+    the prior moves all scores and would otherwise move the cut. Needs a handful of rows of either kind; with fewer, every document scores 1 or the base rate."""
     if len(positive) < 10 or len(unlabelled) < 10:
         zero = np.zeros((WIDTH, 1))
         return Network(np.zeros(WIDTH), np.ones(WIDTH), zero, np.zeros(1), np.zeros(1), 3.0), 0.95
     half_p, half_u = np.arange(len(positive)) % 2 == 0, np.arange(len(unlabelled)) % 2 == 0
-    first = fit(positive[half_p], unlabelled[half_u], None, epochs=8)
+    first = fit(positive[half_p], unlabelled[half_u], None, epochs=10)
     prior = estimate_prior(first.score(positive[~half_p]), first.score(unlabelled[~half_u]))
-    return fit(positive, unlabelled, prior), prior
+    network = fit(positive, unlabelled, prior)
+    network.b2 -= float(np.quantile(network.margin(positive), trusted_below))
+    return network, prior
 
 
 def _sample(docs: DataFrame, rows: int, salt: str) -> np.ndarray:
