@@ -157,11 +157,14 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, trusted_below: float = 0
     return network, prior
 
 
-def _sample(docs: DataFrame, rows: int, salt: str) -> np.ndarray:
-    """Feature rows of the ``rows`` documents that a salted hash puts first: bounded, and the same in every run."""
+def _sample(docs: DataFrame, ids: DataFrame, rows: int, salt: str) -> np.ndarray:
+    """Feature rows of the ``rows`` documents of ``ids`` that a salted hash puts first: bounded, the same in every run.
+
+    Only ids are sorted and joined; the chosen ones go to the tasks that read the texts.
+    """
     small_batches(docs.sparkSession)
     draw = F.xxhash64(F.lit(salt), F.col("doc_id"))
-    few = docs.select("doc_id", draw.alias("draw")).orderBy("draw", "doc_id").limit(rows).select("doc_id").distinct()
+    few = ids.select("doc_id", draw.alias("draw")).orderBy("draw", "doc_id").limit(rows).select("doc_id").distinct()
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -178,7 +181,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_positive: int = 8000, max_unla
     Of ``labels``, pass only the rows that may be learnt from. Rows labelled 0 teach nothing here: they are unlabelled.
     """
     good = labels.filter(F.col("quality") == 1).select("doc_id").distinct()
-    return train(_sample(docs.join(good, "doc_id", "left_semi"), max_positive, "trusted"), _sample(docs, max_unlabelled, "unlabelled"))
+    ids = docs.select("doc_id")
+    trusted = _sample(docs, ids.join(good, "doc_id", "left_semi"), max_positive, "trusted")
+    return train(trusted, _sample(docs, ids, max_unlabelled, "unlabelled"))
 
 
 def score(docs: DataFrame, network: Network, threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
