@@ -55,11 +55,15 @@ def feistel(l: Column, r: Column, a: Column, b: Column, key: str, kind: Column |
 
 def digits_permuted(digits: Column, key: str, kind: Column | str, back: bool = False) -> Column:
     """A string of 2 to 30 digits as another of the same length."""
-    n = F.length(digits)
-    half = (n / 2).cast("int")
     size = lambda k: F.rpad(F.lit("1"), k + 1, "0").cast("long")
-    s = feistel(F.substr(digits, F.lit(1), half), F.substr(digits, half + 1), size(half), size(n - half), key, kind, back)
-    return F.concat(F.lpad(s.l.cast("string"), half, "0"), F.lpad(s.r.cast("string"), n - half, "0"))
+
+    def made(d: Column) -> Column:
+        n = F.length(d)
+        half = (n / 2).cast("int")
+        s = feistel(F.substr(d, F.lit(1), half), F.substr(d, half + 1), size(half), size(n - half), key, kind, back)
+        return let(s, lambda s: F.concat(F.lpad(s.l.cast("string"), half, "0"), F.lpad(s.r.cast("string"), n - half, "0")))
+
+    return let(digits, made)
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -100,62 +104,84 @@ def _only_digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
-def _part(x: Column, n: int) -> Column:
-    """The n-th run of digits, as a number."""
-    return F.regexp_extract(x, r"^[^0-9]*" + r"[0-9]+[^0-9]+" * (n - 1) + "([0-9]+)", 1).cast("long")
+def _parts(x: Column, names: str) -> Column:
+    """The first runs of digits, as numbers: a struct of one field for each letter of ``names``."""
+    runs = F.regexp_extract_all(x, F.lit("[0-9]+"), F.lit(0))
+    return let(runs, lambda r: F.struct(*[F.element_at(r, i + 1).cast("long").alias(n) for i, n in enumerate(names)]))
+
+
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), lambda v: f(v)), 1)
 
 
 def _card(x: Column, key: str) -> Column:
-    d = _only_digits(x)
-    body = digits_permuted(F.substr(d, F.lit(1), F.length(d) - 1), key, "card")
-    check = (10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
-    return F.when(_luhn_sum(d) % 10 == 0, _refill(x, F.concat(body, check.cast("string"))))
+    def made(d: Column) -> Column:
+        body = digits_permuted(F.substr(d, F.lit(1), F.length(d) - 1), key, "card")
+        check = lambda b: ((10 - _luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")
+        return F.when(_luhn_sum(d) % 10 == 0, let(body, lambda b: _refill(x, F.concat(b, check(b)))))
+
+    return let(_only_digits(x), made)
 
 
 def _ssn(x: Column, key: str) -> Column:
-    area, group, serial = _part(x, 1), _part(x, 2), _part(x, 3)
-    valid = (area >= 1) & (area <= 899) & (area != 666) & (group >= 1) & (serial >= 1)
-    left = (area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1
-    s = feistel(left, serial - 1, F.lit(898 * 99), F.lit(9999), key, "ssn")
-    slot = (s.l / 99).cast("long")
-    new_area = slot + F.when(slot >= 665, 2).otherwise(1)
-    return F.when(valid, F.format_string("%03d-%02d-%04d", new_area, s.l % 99 + 1, s.r + 1))
+    def made(p: Column) -> Column:
+        valid = (p.a >= 1) & (p.a <= 899) & (p.a != 666) & (p.b >= 1) & (p.c >= 1)
+        left = (p.a - F.when(p.a > 666, 2).otherwise(1)) * 99 + p.b - 1
+        return F.when(valid, let(feistel(left, p.c - 1, F.lit(898 * 99), F.lit(9999), key, "ssn"), shown))
+
+    def shown(s: Column) -> Column:
+        area = (s.l / 99).cast("long")
+        return F.format_string("%03d-%02d-%04d", area + F.when(area >= 665, 2).otherwise(1), s.l % 99 + 1, s.r + 1)
+
+    return let(_parts(x, "abc"), made)
 
 
 def _ip(x: Column, key: str) -> Column:
-    o = [_part(x, n) for n in (1, 2, 3, 4)]
-    valid = (o[0] <= 255) & (o[1] <= 255) & (o[2] <= 255) & (o[3] <= 255)
-    s = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), key, "ip")
-    byte = lambda v: F.shiftright(v, 8)
-    return F.when(valid, F.format_string("%d.%d.%d.%d", byte(s.l), s.l % 256, byte(s.r), s.r % 256))
+    def made(p: Column) -> Column:
+        valid = (p.a <= 255) & (p.b <= 255) & (p.c <= 255) & (p.d <= 255)
+        return F.when(valid, let(feistel(p.a * 256 + p.b, p.c * 256 + p.d, F.lit(65536), F.lit(65536), key, "ip"), shown))
+
+    def shown(s: Column) -> Column:
+        return F.format_string("%d.%d.%d.%d", F.shiftright(s.l, 8), s.l % 256, F.shiftright(s.r, 8), s.r % 256)
+
+    return let(_parts(x, "abcd"), made)
 
 
 def _nanp(x: Column, key: str) -> Column:
-    area, exchange, line = _part(x, 1), _part(x, 2), _part(x, 3)
-    s = feistel((area - 200) * 800 + exchange - 200, line, F.lit(640_000), F.lit(10_000), key, "nanp")
-    return _refill(x, F.format_string("%03d%03d%04d", (s.l / 800).cast("long") + 200, s.l % 800 + 200, s.r))
+    def made(p: Column) -> Column:
+        return let(feistel((p.a - 200) * 800 + p.b - 200, p.c, F.lit(640_000), F.lit(10_000), key, "nanp"), shown)
+
+    def shown(s: Column) -> Column:
+        return _refill(x, F.format_string("%03d%03d%04d", (s.l / 800).cast("long") + 200, s.l % 800 + 200, s.r))
+
+    return let(_parts(x, "abc"), made)
 
 
 def _phone(x: Column, key: str) -> Column:
     """A plus sign and 7 to 15 digits: the country code, one digit for 1 and 7 and two for others, stays."""
-    d = _only_digits(x)
-    code = F.when(d.rlike("^[17]"), 1).otherwise(2)
-    rest = F.substr(d, code + 1)
-    new = F.concat(F.substr(d, F.lit(1), code), digits_permuted(rest, key, F.concat(F.lit("phone"), F.substr(d, F.lit(1), code))))
-    return F.when((F.length(d) >= 7) & (F.length(d) <= 15), _refill(x, new))
+
+    def made(d: Column) -> Column:
+        code = F.when(d.rlike("^[17]"), 1).otherwise(2)
+        kept = F.substr(d, F.lit(1), code)
+        new = F.concat(kept, digits_permuted(F.substr(d, code + 1), key, F.concat(F.lit("phone"), kept)))
+        return F.when((F.length(d) >= 7) & (F.length(d) <= 15), _refill(x, new))
+
+    return let(_only_digits(x), made)
 
 
 def _iban(x: Column, key: str) -> Column:
     """Letters stay; the account's digits are permuted and the check digits made anew."""
-    s = F.regexp_replace(x, " ", "")
-    body = F.substr(s, F.lit(5))
-    digits = _only_digits(body)
-    valid = (_mod97(F.concat(body, F.substr(s, F.lit(1), F.lit(4)))) == 1) & (F.length(s) >= 15) & (F.length(s) <= 34) & (F.length(digits) >= 2)
-    shape = F.concat(F.substr(s, F.lit(1), F.lit(2)), F.regexp_replace(body, "[0-9]", "0"))
-    new_digits = digits_permuted(digits, key, F.concat(F.lit("iban"), shape))
-    new_body = _refill(body, new_digits)
-    check = F.lpad((98 - _mod97(F.concat(new_body, F.substr(s, F.lit(1), F.lit(2)), F.lit("00")))).cast("string"), 2, "0")
-    return F.when(valid, _refill(x, F.concat(check, new_digits)))
+
+    def made(s: Column) -> Column:
+        body, land = F.substr(s, F.lit(5)), F.substr(s, F.lit(1), F.lit(2))
+        digits = _only_digits(body)
+        valid = (_mod97(F.concat(body, F.substr(s, F.lit(1), F.lit(4)))) == 1) & (F.length(s) >= 15) & (F.length(s) <= 34) & (F.length(digits) >= 2)
+        shape = F.concat(F.lit("iban"), land, F.regexp_replace(body, "[0-9]", "0"))
+        check = lambda new: F.lpad((98 - _mod97(F.concat(_refill(body, new), land, F.lit("00")))).cast("string"), 2, "0")
+        return F.when(valid, let(digits_permuted(digits, key, shape), lambda new: _refill(x, F.concat(check(new), new))))
+
+    return let(F.regexp_replace(x, " ", ""), made)
 
 
 def _date(x: Column, key: str) -> Column:
@@ -164,40 +190,40 @@ def _date(x: Column, key: str) -> Column:
     Day first or month first, where strokes leave it open, is read as month first if that is a date. A date that can
     only be read day first stays so (the permutation is repeated until it is), so that no two dates share a pseudonym.
     """
-    a, b, c = _part(x, 1), _part(x, 2), _part(x, 3)
-    ymd = x.rlike("^[0-9]{4}")
-    stroke = x.rlike("/") & ~ymd
-    month_first = stroke & (a <= 12)
-    year = F.when(ymd, a).otherwise(c)
-    month = F.when(ymd | ~month_first, b).otherwise(a)
-    day = F.when(ymd, c).otherwise(F.when(month_first, b).otherwise(a))
-    real = F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
-    valid = real.isNotNull() & (year >= 1900) & (year <= 2099)
-    # 36,524 = 92 x 397 days from 1900, 36,525 = 75 x 487 from 2000
-    late = year >= 2000
-    wide, start = F.when(late, 487).otherwise(397), F.when(late, F.lit("2000-01-01")).otherwise(F.lit("1900-01-01")).cast("date")
-    height = F.when(late, 75).otherwise(92)
-
-    def once(n: Column) -> Column:
-        s = feistel((n / wide).cast("long"), n % wide, height, wide, key, "date")
-        return s.l * wide + s.r
-
-    on = lambda n: F.date_add(start, n.cast("int"))
-    moved = once(F.datediff(real, start).cast("long"))
-    moved = F.when(
-        stroke & ~month_first, F.aggregate(F.sequence(F.lit(1), F.lit(64)), moved, lambda n, _: F.when(F.dayofmonth(on(n)) > 12, n).otherwise(once(n)))
-    ).otherwise(moved)
-    y, m, d = (f(on(moved)).cast("long") for f in (F.year, F.month, F.dayofmonth))
-    padded = lambda new, old: F.when(F.length(old) > 1, F.lpad(new.cast("string"), 2, "0")).otherwise(new.cast("string"))
-    mark = F.regexp_extract(x, "([-/.])", 1)
-    written = F.split(x, "[-/.]")
-    one, two, three = (F.element_at(written, i) for i in (1, 2, 3))
-    return F.when(
-        valid,
-        F.when(ymd, F.concat(y.cast("string"), mark, padded(m, two), mark, padded(d, three)))
-        .when(month_first, F.concat(padded(m, one), mark, padded(d, two), mark, y.cast("string")))
-        .otherwise(F.concat(padded(d, one), mark, padded(m, two), mark, y.cast("string"))),
-    )
+    stroke, ymd = x.contains("/"), x.rlike("^[0-9]{4}")
+
+    def read(p: Column) -> Column:
+        month_first = stroke & ~ymd & (p.a <= 12)
+        year = F.when(ymd, p.a).otherwise(p.c)
+        month = F.when(ymd | ~month_first, p.b).otherwise(p.a)
+        day = F.when(ymd, p.c).otherwise(F.when(month_first, p.b).otherwise(p.a))
+        order = F.when(ymd, "ymd").when(month_first, "mdy").when(stroke, "day first").otherwise("dmy")
+        real = F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
+        return let(F.struct(real.alias("day"), order.alias("order")), moved)
+
+    def moved(p: Column) -> Column:
+        late = F.year(p.day) >= 2000  # 36,524 = 92 x 397 days from 1900, 36,525 = 75 x 487 from 2000
+        wide, height = F.when(late, 487).otherwise(397), F.when(late, 75).otherwise(92)
+        start = F.when(late, F.lit("2000-01-01")).otherwise(F.lit("1900-01-01")).cast("date")
+        on = lambda n: F.date_add(start, n.cast("int"))
+        once = lambda n: let(feistel((n / wide).cast("long"), n % wide, height, wide, key, "date"), lambda s: s.l * wide + s.r)
+        again = lambda n, _: F.when(F.dayofmonth(on(n)) > 12, n).otherwise(once(n))
+        first = once(F.datediff(p.day, start).cast("long"))
+        new = F.when(p.order == "day first", F.aggregate(F.sequence(F.lit(1), F.lit(64)), first, again)).otherwise(first)
+        valid = p.day.isNotNull() & (F.year(p.day) >= 1900) & (F.year(p.day) <= 2099)
+        return F.when(valid, let(on(new), lambda d: shown(d, p.order)))
+
+    def shown(d: Column, order: Column) -> Column:
+        mark, was = F.regexp_extract(x, "([-/.])", 1), F.split(x, "[-/.]")
+        text = lambda f, i: F.lpad(f(d).cast("string"), F.when((F.length(F.element_at(was, i)) > 1) | (f(d) > 9), 2).otherwise(1), "0")
+        year, month, day = F.year(d).cast("string"), F.month, F.dayofmonth
+        return (
+            F.when(order == "ymd", F.concat(year, mark, text(month, 2), mark, text(day, 3)))
+            .when(order == "mdy", F.concat(text(month, 1), mark, text(day, 2), mark, year))
+            .otherwise(F.concat(text(day, 1), mark, text(month, 2), mark, year))
+        )
+
+    return let(_parts(x, "abc"), read)
 
 
 def _email(x: Column, key: str) -> Column:
