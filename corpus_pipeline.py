@@ -1,3 +1,67 @@
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""From raw documents to packed training sequences, in five stages."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sitewright.llm import mixing, packing, pii, probminhash, quality
+from sitewright.llm.queries import PII_KEY, trainable
+from sitewright.llm.shared import shared_folder, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from the labels that may be used, does not reject."""
+    network, _ = quality.learn(docs, trainable(table(spark, sf_dir, "labels")))
+    return quality.score(docs, network, keep=COLUMNS).filter("predicted = 1").select(*COLUMNS)
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates."""
+    return probminhash.first_of_class(docs).select(*COLUMNS)
+
+
+def pseudonymous_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data as pseudonyms."""
+    made = pii.pseudonymise(docs, PII_KEY)
+    return made.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them, in training order."""
+    return mixing.curriculum(docs, keep=COLUMNS).select(*COLUMNS)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their place in sequences of at most 1024 tokens."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), max_tokens=1024)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", good_documents),
+    ("near_duplicates", distinct_documents),
+    ("pii", pseudonymous_documents),
+    ("mixing", mixed_documents),
+    ("packing", packed_sequences),
+]
+
+#: A trained classifier, sketches and a tokenizer are beyond SQL; tests hold the stages against brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each is written as Parquet to the shared folder and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for n, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{n}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, pii, probminhash, quality, warc
+from . import imatch, licenses, media, mixing, packing, pii, probminhash, quality, secrets, warc
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,26 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(docs, network, threshold=0.3)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    listed = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    base = F.filter(listed, lambda s: ~s.startswith("grammar:"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(listed, ",").alias("spans")
+    )
+
+
+@query
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op10_licenses"] = licenses.duckdb_sql()
