@@ -150,6 +150,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInPandas(compared, "a long, b long, similarity double")
 
 
+def _unshared(members: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """``rep, alone``: the share of a text's weight in shingles that no other of the ``members`` has.
+
+    Two texts with shares u and v are at most (1-u)(1-v) / (1-u + u(1-v)) alike, which rules out most pairs unseen.
+    """
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                h, c = shingles(text, words)
+                yield pd.DataFrame({"rep": np.full(len(h), doc), "shingle": h.view(np.int64), "weight": c / max(1, c.sum())})
+
+    chosen = texts.join(members.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    held = chosen.mapInPandas(made, "rep long, shingle long, weight double").groupBy("shingle")
+    single = held.agg(F.count("*").alias("n"), F.min("rep").alias("rep"), F.min("weight").alias("weight")).filter("n = 1")
+    alone = single.groupBy("rep").agg(F.sum("weight").alias("alone"))
+    return members.join(alone, "rep", "left").select("rep", F.coalesce("alone", F.lit(0.0)).alias("alone"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 4) -> DataFrame:
     """``doc_id, class_id, content_class, links`` of every row of ``docs``.
 
@@ -183,9 +202,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ba
     )
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 <> r1 and n > 2")
     placed = written(placed.filter("rep <> lead").join(mixed.select("bucket"), "bucket").select("bucket", "rep", "root", "distance"), "placed")
-    one, two = placed.select("bucket", F.col("rep").alias("a"), F.col("root").alias("root_a"), F.col("distance").alias("da")), placed
+    alone = _unshared(placed.select("rep").distinct(), texts, words)
+    two = placed.join(alone, "rep").filter(F.col("alone") <= 1 - similarity + 1e-9)
+    two = written(two, "open")
+    one = two.select("bucket", F.col("rep").alias("a"), F.col("root").alias("root_a"), F.col("distance").alias("da"), F.col("alone").alias("alone_a"))
     allowed = F.abs(F.col("da") - F.col("distance")) <= 1 - similarity + 1e-9
-    crossing = one.join(two, "bucket").filter((F.col("root_a") < F.col("root")) & allowed)
+    own, other = F.col("alone"), F.col("alone_a")
+    most = (1 - own) * (1 - other) / (1 - own + own * (1 - other))
+    crossing = one.join(two, "bucket").filter((F.col("root_a") < F.col("root")) & allowed & (most >= similarity - 1e-9))
     crossing = crossing.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
     crossed = written(_verified(crossing, texts, words), "crossed").filter(F.col("similarity") >= similarity)
     links = written(links.unionByName(crossed).select("a", "b").distinct(), "verified")
