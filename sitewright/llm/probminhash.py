@@ -6,8 +6,8 @@ of the first arrival. Two sketches agree in a register with the probability Jacc
 stops when its next arrival would come after the latest first arrival of all registers, so most send one or two.
 
 Candidates share a band of registers. Within a band's bucket every text is compared, exactly, with the bucket's leader
-only; texts that then are in different components are compared with each other where the distances to the leader leave
-it possible (one minus the similarity is a metric). No link between different texts in a bucket is lost, and a bucket of
+only; texts that then are in different components are compared with each other where the distances to the leader (one
+minus the similarity is a metric) and the weight of what only one text has leave it possible. No link between different texts in a bucket is lost, and a bucket of
 thousands of copies costs a comparison each, not one per pair.
 """
 
@@ -26,6 +26,8 @@ from .components import components
 from .shared import small_batches, written
 
 M64 = (1 << 64) - 1
+#: Odd factors of the words of a shingle, by place.
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _GOLD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -58,15 +60,16 @@ def shingles(text: str | None, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
     if not tokens:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h = np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
-    n = max(1, len(h) - words + 1)
-    out = np.full(n, min(words, len(h)), np.uint64)
-    for i in range(min(words, len(h))):
-        out = mix(out * _GOLD + h[i : i + n])
-    return np.unique(out, return_counts=True)
+    k = min(words, len(h))
+    n = len(h) - k + 1
+    out = np.full(n, k, np.uint64)
+    for i in range(k):
+        out += h[i : i + n] * _FACTORS[i % len(_FACTORS)]
+    return np.unique(mix(out), return_counts=True)
 
 
 def sketch(hashes: np.ndarray, weights: np.ndarray, registers: int = 128) -> np.ndarray:
-    """The shingle (a 64-bit number) that comes first in each register; zeros for no shingles."""
+    """The shingle (a 64-bit number) that comes first in each register; zeros for no shingles. ``registers``: a power of 2."""
     out = np.zeros(registers, np.uint64)
     if not len(hashes):
         return out
@@ -77,16 +80,14 @@ def sketch(hashes: np.ndarray, weights: np.ndarray, registers: int = 128) -> np.
         k += 1
         draw = mix(ids + np.uint64(k * 0x9E3779B97F4A7C15 & M64))
         at = at - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate
-        register = (mix(draw) >> np.uint64(40)).astype(np.int64) % registers
-        order = np.lexsort((ids, at))[::-1]  # of several arrivals in a register, the first is assigned last
-        best = np.full(registers, np.inf)
-        best[register[order]] = at[order]
-        who = np.zeros(registers, np.uint64)
-        who[register[order]] = ids[order]
-        sooner = best < first
-        first[sooner], out[sooner] = best[sooner], who[sooner]
+        register = (draw & np.uint64(registers - 1)).astype(np.intp)
+        sooner = np.flatnonzero(at < first[register])
+        order = sooner[at[sooner].argsort()[::-1]]  # of several arrivals in a register, the first is assigned last
+        where = register[order]
+        first[where], out[where] = at[order], ids[order]
         on = at < first.max()
-        ids, rate, at = ids[on], rate[on], at[on]
+        if not on.all():
+            ids, rate, at = ids[on], rate[on], at[on]
     return out
 
 
