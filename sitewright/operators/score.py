@@ -1,0 +1,141 @@
+"""Site scores: footprints sampled on a heightfield, statistics, grades, suitability and the best separated sites."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .. import config
+from ..functions.maths import clamp01, half_up, lookup_curve, ramp
+from .grid import corner_cell, sample_nearest
+
+
+def footprint(kind: Column, body: str = "mars") -> Column:
+    """``struct<length, width, circle, slope_limit, area>`` of a module type; null for unknown types."""
+    out = F.when(F.lit(False), F.lit(None))
+    for k, limit in config.SLOPE_LIMIT_DEG.items():
+        if k in config.RECTANGLES_M:
+            length, width = config.RECTANGLES_M[k]
+            area, circle = length * width, False
+        else:
+            length = width = config.CIRCLES_M[k][0 if body == "mars" else 1]
+            area, circle = 3.141592653589793 * length * length / 4, True
+        parts = {"length": float(length), "width": float(width), "circle": circle, "slope_limit": limit, "area": float(area)}
+        out = out.when(kind == k, F.struct(*[F.lit(v).alias(n) for n, v in parts.items()]))
+    return out
+
+
+def footprint_samples(placements: DataFrame, key: list[str], step: float) -> DataFrame:
+    """``placements(key, x, y, rotation_deg, fp)`` to one row per sample point ``px, py`` under the footprint."""
+    n = lambda side: F.greatest(F.lit(2), F.ceil(F.col(f"fp.{side}") / step)).cast("int")
+    df = placements.withColumns({"nu": n("length"), "nv": n("width"), "rot": F.radians("rotation_deg")})
+    df = df.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nu") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)))
+    df = df.withColumns({"u": ((F.col("i") + 0.5) / F.col("nu") - 0.5) * F.col("fp.length"), "v": ((F.col("j") + 0.5) / F.col("nv") - 0.5) * F.col("fp.width")})
+    df = df.filter(~F.col("fp.circle") | (F.col("u") ** 2 + F.col("v") ** 2 <= F.col("fp.length") ** 2 / 4))
+    return df.withColumns({"px": F.col("x") + F.col("u") * F.cos("rot") - F.col("v") * F.sin("rot"), "py": F.col("y") + F.col("u") * F.sin("rot") + F.col("v") * F.cos("rot")}).drop("nu", "nv", "rot", "i", "j", "u", "v")
+
+
+def site_statistics(placements: DataFrame, key: list[str], grid: DataFrame, rows: int, cols: int, width: float, height: float) -> DataFrame:
+    """Per placement: ``off_terrain, pad, mean_slope, max_slope, flatness, level_m3, n``.
+
+    Any sample outside the terrain makes the whole placement off terrain, with null statistics.
+    """
+    samples = footprint_samples(placements, key, width / (cols - 1))
+    row, col = corner_cell(F.col("px"), F.col("py"), width, height, rows, cols)
+    inside = (F.abs(F.col("px")) <= width / 2) & (F.abs(F.col("py")) <= height / 2)
+    hit = sample_nearest(samples, grid.withColumn("cell", F.struct("z", "slope_deg")), F.when(inside, row), F.when(inside, col), value="cell")
+    sums = hit.groupBy(*key).agg(
+        F.bool_or(F.col("sample").isNull()).alias("off_terrain"), F.median("sample.z").alias("pad"), F.avg("sample.slope_deg").alias("mean_slope"), F.max("sample.slope_deg").alias("max_slope"),
+        F.stddev_pop("sample.z").alias("flatness"), F.count("*").alias("n"), F.collect_list("sample.z").alias("hs"), F.first("fp.area").alias("area"), F.first("fp.slope_limit").alias("slope_limit"),
+    )
+    level = F.aggregate("hs", F.lit(0.0), lambda s, h: s + F.abs(h - F.col("pad"))) * F.col("area") / F.col("n")
+    known = lambda c: F.when(~F.col("off_terrain"), c)
+    return sums.select(*key, "off_terrain", *[known(F.col(c)).alias(c) for c in ("pad", "mean_slope", "max_slope", "flatness")], known(level).alias("level_m3"), "n", "area", "slope_limit")
+
+
+def penalties(cover_m3: Column, nearest_pin: Column, reachable: Column, sun: Column, earth: Column, dose_fraction: Column) -> list[tuple[Column, str]]:
+    """(points, note) of each term of the grade; a null value costs nothing."""
+    w = config.WEIGHTS
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    cut = F.col("level_m3") + zero(cover_m3)
+    return [
+        (w["slope"] * ramp(F.col("max_slope"), F.col("slope_limit"), 2 * F.col("slope_limit")), "slope"),
+        (w["flatness"] * ramp(F.col("flatness"), 0, 1), "uneven"),
+        (w["cut_fill"] * ramp(cut, F.lit(0.0), 0.5 * F.col("area")), "cut and fill"),
+        (zero(w["moon_sun"] * (1 - sun / 100)), "sunlight"),
+        (zero(w["moon_earth"] * (1 - earth / 100)), "view of the Earth"),
+        (zero(w["moon_dose"] * dose_fraction), "dose"),
+        (zero(w["science"] * ramp(nearest_pin, *config.SCIENCE_RANGE_M)), "far from science"),
+        (F.when(~reachable, w["access"]).otherwise(0.0), "out of reach"),
+    ]
+
+
+def grade(stats: DataFrame, cover_m3=None, nearest_pin=None, reachable=None, sun=None, earth=None, dose_fraction=None) -> DataFrame:
+    """``stats`` with ``grade`` (0 to 100; 0 off terrain) and ``notes``, those of terms that cost a point or more."""
+    null = F.lit(None).cast("double")
+    terms = penalties(*[x if x is not None else null for x in (cover_m3, nearest_pin)], reachable if reachable is not None else F.lit(True), *[x if x is not None else null for x in (sun, earth, dose_fraction)])
+    total = F.lit(100.0)
+    for points, _ in terms:
+        total = total - points
+    value = F.when(F.col("off_terrain"), 0).otherwise(half_up(F.greatest(F.lit(0.0), total))).cast("int")
+    notes = F.array_compact(F.array(*[F.when(points >= 1, note) for points, note in terms]))
+    return stats.withColumns({"grade": value, "notes": F.when(F.col("off_terrain"), F.array(F.lit("off terrain"))).otherwise(notes)})
+
+
+def dose_fraction(dose: Column, points: Column, cover_m: Column, low: float, high: float) -> Column:
+    """Share of the dose penalty: the shielded dose between the best that any cover gives and the map's greatest."""
+    best = low * F.least(F.lit(1.0), F.array_min(F.transform(points, lambda p: p["f"])))
+    return clamp01((dose * lookup_curve(points, cover_m) - best) / (high - best))
+
+
+def nearest_pin(sites: DataFrame, key: list[str], pins: DataFrame, most_pins: int = 100_000) -> DataFrame:
+    """``key, pin, distance``: the nearest pin of each site (first by name in a tie), null where there are no pins."""
+    if pins.limit(most_pins + 1).count() > most_pins:
+        raise ValueError(f"more than {most_pins} pins: find them by tiles")
+    near = sites.join(F.broadcast(pins.select(F.col("name").alias("pin"), F.col("x").alias("pin_x"), F.col("y").alias("pin_y"))), F.lit(True), "left")
+    d = F.sqrt((F.col("x") - F.col("pin_x")) ** 2 + (F.col("y") - F.col("pin_y")) ** 2)
+    best = near.groupBy(*key).agg(F.min(F.struct(d.alias("d"), F.col("pin"))).alias("b"))
+    return best.select(*key, F.col("b.pin").alias("pin"), F.col("b.d").alias("distance"))
+
+
+def within(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
+    """Pairs of ``left(id, x, y)`` and ``right(id, x, y)`` at most ``reach`` apart: an equi-join on tiles of that size.
+
+    Each right row goes to the 9 tiles around its own, so that no range predicate falls back to a nested loop.
+    """
+    tile = lambda c: F.floor(F.col(c) / reach)
+    a = left.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), tile("x").alias("tx"), tile("y").alias("ty"))
+    around = F.explode(F.array(*[F.struct((tile("x") + i).alias("tx"), (tile("y") + j).alias("ty")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    b = right.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), around.alias("t")).select("b", "bx", "by", "t.tx", "t.ty")
+    d = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
+    return a.join(b, ["tx", "ty"]).withColumn("distance", d).filter(F.col("distance") <= reach).select("a", "b", "distance")
+
+
+def separation_m(size: Column) -> Column:
+    return F.greatest(F.lit(60.0), 4 * size)
+
+
+def top_sites(sites: DataFrame, count: int, separation: float, save) -> DataFrame:
+    """Greedy: the best grade first (ties by ``idx``), each at least ``separation`` from all picked before.
+
+    Every round picks the best of what is left and drops what is too near: ``count`` rounds over distributed rows, of
+    which the driver sees one row each. ``save`` writes a round and reads it back.
+    """
+    spark, left, picked = sites.sparkSession, save(sites.filter("grade > 0").select("idx", "x", "y", "grade")), []
+    for rank in range(1, count + 1):
+        best = left.orderBy(F.col("grade").desc(), "idx").first()
+        if best is None:
+            break
+        picked.append((rank, best.idx, best.x, best.y, best.grade))
+        left = left.filter(F.sqrt((F.col("x") - F.lit(best.x)) ** 2 + (F.col("y") - F.lit(best.y)) ** 2) >= separation)
+    return spark.createDataFrame(picked, "rank int, idx long, x double, y double, grade int")
+
+
+def find_sites(top: DataFrame, max_slope: float | None, pin_distance: Column | None, within_m: float | None, keep: int = 3) -> DataFrame:
+    """Filter the first twenty, then keep three: distance counts only when both a pin and a reach are given."""
+    out = top.filter("rank <= 20")
+    if max_slope is not None:
+        out = out.filter(F.col("max_slope") <= max_slope)
+    if pin_distance is not None and within_m is not None:
+        out = out.filter(pin_distance <= within_m)
+    return out.withColumn("_n", F.row_number().over(Window.orderBy("rank"))).filter(F.col("_n") <= keep).drop("_n")  # twenty rows
