@@ -170,7 +170,7 @@ def module_counts(modules: DataFrame) -> DataFrame:
     """``scene_id, modules``: counts by type in the order in which types come first, as a plural list."""
     by_type = modules.groupBy("scene_id", "kind").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     said = F.concat(F.col("n").cast("string"), F.lit(" "), F.regexp_replace("kind", "_", " "), F.when(F.col("n") > 1, "s").otherwise(""))
-    listed = F.array_sort(F.collect_list(F.struct("first", said.alias("said"))))
+    listed = F.array_sort(F.collect_list(F.struct("first", "kind", said.alias("said"))))
     return by_type.groupBy("scene_id").agg(F.array_join(F.transform(listed, lambda s: s["said"]), ", ").alias("modules"))
 
 

@@ -43,7 +43,7 @@ def _(spark, t):
 @query("agg08_weighted_ground", f"""SELECT cx, cy, min(z) AS ground FROM (SELECT *, sum(w) OVER (PARTITION BY cx, cy ORDER BY z, w, ok, ln ROWS UNBOUNDED PRECEDING) AS run,
   sum(w) OVER (PARTITION BY cx, cy) AS total FROM (SELECT *, {AS_LONG} FROM (SELECT ok, ln, x, y, z, CAST(w * 5e1 AS BIGINT) AS w FROM ({POINTS})))) WHERE run >= 3e-1 * total GROUP BY 1, 2""")
 def _(spark, t):
-    return cloud.weighted_ground(points(t).withColumn("w", (F.col("w") * 50).cast("long")), 1.0, tie=("ok", "ln"))
+    return cloud.weighted_ground(points(t).withColumn("w", F.floor(F.col("w") * 50 + 0.5)), 1.0, tie=("ok", "ln"))
 
 
 @query("agg09_without_fliers", f"""WITH p AS (SELECT *, 1e0 + floor(x / 4e0) AS s, 3e-1 + 3e-2 * x AS tol FROM ({POINTS})),
@@ -140,7 +140,7 @@ def _(spark, t):
     from pyspark.sql import Window
 
     w = Window.partitionBy("cx", "cy").orderBy("z", "w", "ok", "ln", "x", "y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = cloud.in_cells(points(t), 1.0).withColumn("run", F.sum((F.col("w") * 50).cast("long")).over(w))
+    run = cloud.in_cells(points(t), 1.0).withColumn("run", F.sum(F.floor(F.col("w") * 50 + 0.5)).over(w))
     return run.groupBy("ok", "ln").agg(F.max("run").alias("run"))
 
 
@@ -323,10 +323,10 @@ def raster(spark):
     return terrain(spark).selectExpr("row", "col", "CASE WHEN (row * 7 + col) % 11 = 0 THEN NULL ELSE z END AS value")
 
 
-@query("snk01_quantised", f"""SELECT row, col, q, {r4('-1e1 + q / 65535e0 * 6e1')} AS back FROM (SELECT row, col, CAST(round_even((value + 1e1) / 6e1 * 65535e0, 0) AS INT) AS q FROM ({RASTER}) WHERE value IS NOT NULL)""")
+@query("snk01_quantised", f"""SELECT row, col, q, {r4('-4e1 + q / 65535e0 * 14e1')} AS back FROM (SELECT row, col, CAST(round_even((value + 4e1) / 14e1 * 65535e0, 0) AS INT) AS q FROM ({RASTER}) WHERE value IS NOT NULL)""")
 def _(spark, t):
-    q = raster(spark).filter("value is not null").withColumn("q", grid.quantised(F.col("value"), -10.0, 50.0, 16))
-    return q.select("row", "col", "q", rounded(grid.dequantised(F.col("q"), -10.0, 50.0, 16)).alias("back"))
+    q = raster(spark).filter("value is not null").withColumn("q", grid.quantised(F.col("value"), -40.0, 100.0, 16))
+    return q.select("row", "col", "q", rounded(grid.dequantised(F.col("q"), -40.0, 100.0, 16)).alias("back"))
 
 
 @query("snk02_coverage", f"SELECT {r4('min(value)')} AS low, {r4('max(value)')} AS high, {r4('avg(CASE WHEN value IS NULL THEN 0e0 ELSE 1e2 END)')} AS coverage_pct FROM ({RASTER})")
@@ -364,24 +364,24 @@ def _(spark, t):
     return registration.best_shift(registration.shift_search(moved, raster(spark), 4), 4).select("dr", "dc")
 
 
-PASSABLE = f"SELECT row, col FROM ({SLOPE_DEG}) WHERE slope_deg <= 7"
+PASSABLE = f"SELECT row, col FROM ({SLOPE_DEG}) WHERE slope_deg <= 12"
 
 
 @query("gra02_reachable", f"""WITH RECURSIVE p AS ({PASSABLE}), r(row, col) AS (SELECT row, col FROM p WHERE row = 5 AND col = 5 UNION
   SELECT p.row, p.col FROM r JOIN p ON abs(p.row - r.row) <= 1 AND abs(p.col - r.col) <= 1) SELECT row, col FROM r""")
 def _(spark, t):
-    mask = grid.slope(terrain(spark), CELL, CELL).filter("slope_deg <= 7").select("row", "col")
+    mask = grid.slope(terrain(spark), CELL, CELL).filter("slope_deg <= 12").select("row", "col")
     return graph.reachable(mask, 5, 5, saved)
 
 
-STEEP = f"SELECT row, col FROM ({SLOPE_DEG}) WHERE slope_deg > 7"
+STEEP = f"SELECT row, col FROM ({SLOPE_DEG}) WHERE slope_deg > 12"
 
 
 @query("gra03_pieces", f"""WITH RECURSIVE p AS ({STEEP}), r(row, col, piece) AS (SELECT row, col, CAST(row AS BIGINT) * 2147483648 + col FROM p UNION
   SELECT p.row, p.col, r.piece FROM r JOIN p ON abs(p.row - r.row) + abs(p.col - r.col) = 1),
 n AS (SELECT row, col, min(piece) AS piece FROM r GROUP BY 1, 2) SELECT piece, count(*) AS area FROM n GROUP BY 1""")
 def _(spark, t):
-    mask = grid.slope(terrain(spark), CELL, CELL).filter("slope_deg > 7").select("row", "col")
+    mask = grid.slope(terrain(spark), CELL, CELL).filter("slope_deg > 12").select("row", "col")
     named = graph.pieces(mask, saved, graph.NEAR4)
     return named.groupBy("piece").agg(F.count("*").alias("area"))
 
