@@ -284,8 +284,8 @@ def _(spark, t):
 
 
 def _images(spark):
-    turn = "array(1e0, 0e0, 0e0, 0e0, 1e0, 0e0, 0e0, 0e0, 1e0) AS r, array(0e0, 0e0, id * 1e0 - 1) AS t"
-    return spark.range(3).selectExpr("id AS image_id", turn, "5e2 AS fx", "5e2 AS fy", "32e1 AS cx", "24e1 AS cy", "4096 AS width", "4096 AS height")
+    turn = ("array(1e0, 0e0, 0e0, 0e0, 1e0, 0e0, 0e0, 0e0, 1e0) AS r", "array(0e0, 0e0, id * 1e0 - 1) AS t")
+    return spark.range(3).selectExpr("id AS image_id", *turn, "5e2 AS fx", "5e2 AS fy", "32e1 AS cx", "24e1 AS cy", "4096 AS width", "4096 AS height")
 
 
 @query("join13_visible")
