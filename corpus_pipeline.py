@@ -34,7 +34,7 @@ def pseudonymous_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them, in training order."""
-    return mixing.curriculum(docs, keep=COLUMNS).select(*COLUMNS)
+    return mixing.curriculum(docs, keep=COLUMNS, schedules=mixing.SCHEDULES).select(*COLUMNS)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,13 @@ from .shared import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: For production, in turn by source as the weights are: one source falls away, one rises from nothing, one peaks midway.
+SCHEDULES = (
+    ((0.0, 2.0), (0.5, 1.0), (1.0, 0.25)),
+    ((0.0, 0.0), (0.25, 0.5), (1.0, 2.0)),
+    ((0.0, 0.5), (0.5, 2.0), (1.0, 0.5)),
+)
+
 
 def shares(sources: DataFrame, total: Column, cap: Column) -> DataFrame:
     """``sources(source, source_size, weight)`` with ``target``: ``total`` shared by weight, none above its ``cap``.
@@ -76,7 +83,7 @@ def assign(
     weights: tuple[float, ...] = (5, 2, 1),
     share_of_all: float = 1.5,
     most: int = 2,
-    schedules: dict[str, list[tuple[float, float]]] | None = None,
+    schedules: dict[str, list[tuple[float, float]]] | tuple[tuple[tuple[float, float], ...], ...] | None = None,
     parts: int = 1024,
     seed: str = "mix",
     keep: tuple[str, ...] = (),
@@ -88,8 +95,8 @@ def assign(
     text has none. Sources by code point, null last, have ``weights`` in turn and share ``share_of_all`` times all
     words; a target stops at ``most`` times its source. Documents of a source are taken whole, in an order fixed by
     ``seed``, again from the start after the last, while the middle of the next lies before the target. Documents of no
-    words are never taken. Rows that repeat count each. An empty table gives no rows. ``schedules`` gives a source's
-    weight over time; without one it is even. Other columns of ``docs`` play no part.
+    words are never taken. Rows that repeat count each. An empty table gives no rows. ``schedules`` gives
+    weights over time, by the source's name or, like ``weights``, in turn; without one a weight is even. Other columns of ``docs`` play no part.
     """
     names = {f"kept_{i}": c for i, c in enumerate(keep)}
     base = docs.select(
@@ -109,7 +116,7 @@ def assign(
     targets = shares(ranked.withColumn("total", everything * F.lit(share_of_all)), F.col("total"), F.col("source_size") * most)
     before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ahead = part_sums.drop("source").withColumn("before_part", F.coalesce(F.sum("part_size").over(before), F.lit(0).cast("long")))
-    ahead = ahead.join(targets.select("key", "source_size", "target"), "key").drop("part_size")
+    ahead = ahead.join(targets.select("key", "ord", "source_size", "target"), "key").drop("part_size")
     # whole texts, if kept, are read again rather than written twice
     within = Window.partitionBy("key", "part").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = (base if names else sized).withColumn("before_doc", F.coalesce(F.sum("size").over(within), F.lit(0).cast("long")))
@@ -119,13 +126,19 @@ def assign(
     even = [(0.0, 1.0), (1.0, 1.0)]
     points = lambda p: F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(float(w)).alias("w")) for t, w in p])
     plan = points(even)
-    for source, p in (schedules or {}).items():
-        plan = F.when(F.col("source").eqNullSafe(F.lit(source)), points(p)).otherwise(plan)
+    if isinstance(schedules, dict):
+        for source, p in schedules.items():
+            plan = F.when(F.col("source").eqNullSafe(F.lit(source)), points(p)).otherwise(plan)
+    elif schedules:
+        plan = F.element_at(F.array(*map(points, schedules)), ((F.col("ord") - 1) % len(schedules) + 1).cast("int"))
     share = lambda k: F.least((middle + k * F.col("source_size")) / F.col("target"), F.lit(1.0))
-    return placed.withColumn("rounds", rounds).withColumn("plan", plan).select(
+    placed = placed.withColumn("rounds", rounds).withColumn("plan", plan)
+    placed = placed.withColumn("positions", F.transform("rounds", lambda k: schedule_position(share(k), F.col("plan"))))
+    copies = F.size(F.filter("positions", lambda p: p.isNotNull()))
+    return placed.select(
         "doc_id", "size", "source_size", "target",
-        (F.col("size") * F.size("rounds")).cast("long").alias("taken"),
-        F.transform("rounds", lambda k: schedule_position(share(k), F.col("plan"))).alias("positions"),
+        (F.col("size") * copies).cast("long").alias("taken"),
+        "positions",
         *[F.col(k).alias(c) for k, c in names.items()],
     )
 
@@ -134,3 +147,8 @@ def curriculum(docs: DataFrame, keep: tuple[str, ...], **how) -> DataFrame:
     """A row per copy that the mix takes, with ``keep`` and ``position``, range-sorted by position."""
     taken = assign(docs, keep=tuple(c for c in keep if c != "doc_id"), **how)
     return taken.withColumn("position", F.explode("positions")).select(*keep, "position").orderBy("position", "doc_id")
+
+
+def by_position(assigned: DataFrame) -> DataFrame:
+    """The rows of ``assign``, range-sorted by the position of their first copy; documents that are not taken come last."""
+    return assigned.orderBy(F.try_element_at("positions", F.lit(1)).asc_nulls_last(), "doc_id")

@@ -56,7 +56,7 @@ def op4_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.assign(table(spark, sf_dir, "documents")).drop("positions")
+    return mixing.by_position(mixing.assign(table(spark, sf_dir, "documents"), schedules=mixing.SCHEDULES))
 
 
 ORACLE_SQL["op5_mixing"] = r"""
