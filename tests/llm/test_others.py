@@ -124,6 +124,66 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).count() == len(ROWS)
 
 
+GNU = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSDNAME = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+BSDASIS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT DAMAGES; LOSS OF USE, DATA, OR PROFITS.'
+PUBLISHED = [
+    ("MIT", MIT + '\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.'),
+    ("MIT-part", MIT),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL DAMAGES.'),
+    ("BSD-3-Clause", BSD2 + "\n" + BSDNAME + "\n" + BSDASIS),
+    ("BSD-2-Clause", BSD2 + "\n" + BSDASIS),
+    ("BSD-part", BSD2.split("\n\n2.")[0]),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND.'),
+    ("GPL-or-later", GNU.format("program", "", 2) + "\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY."),
+    ("GPL-or-later", GNU.format("program", "", 3).replace("software;", "software:").replace("Foundation;", "Foundation,")),
+    ("LGPL", GNU.format("library", "Lesser ", "2.1")),
+    ("LGPL", "Released under the GNU Library General Public License v2."),
+    ("AGPL", GNU.format("program", "Affero ", 3).replace("software;", "software:").replace("Foundation;", "Foundation,")),
+    ("AGPL", "Licensed under the GNU Affero General Public License."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0", "Released under the GNU General Public License v2 only."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MIT", "Released under the MIT License."),
+    ("BSD", "Distributed under the 3-Clause BSD License."),
+    ("CC-BY-NC-SA", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-SA", "shared under a Creative Commons Attribution-ShareAlike 4.0 deed"),
+    ("CC-BY-ND", "This content is shared under the Creative Commons Attribution-NoDerivs 3.0 deed."),
+    ("CC-BY", "This work is released under Creative Commons Attribution 4.0."),
+    ("public-domain", "Released under CC0 1.0."),
+    ("public-domain", "This work is dedicated to the public domain."),
+    ("public-domain", "This is free and unencumbered software released into the public domain."),
+    ("SPDX-tag", "SPDX-License-Identifier: Zlib"),
+    ("all-rights-reserved", "Copyright (c) 2020 Someone. All rights reserved."),
+]
+
+
+def test_every_rule_finds_its_published_notice_wrapped_or_not(spark):
+    assert {name for name, _ in PUBLISHED} == {name for name, _ in licenses.RULES}
+    narrow = lambda t: t if t.startswith("SPDX") else re.sub(r"(?<!\n)[ ]+(?!\n)", "\n", t)  # noqa: E731  (a tag is one line)
+    marked = lambda t: "\n".join("# " + line for line in narrow(t).split("\n"))
+    texts = [t for _, text in PUBLISHED for t in (text, narrow(text), marked(text) if "\n" not in text else text)]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert [(r.licenses, texts[r.doc_id]) for r in got if r.licenses != PUBLISHED[r.doc_id // 3][0]] == []
+
+
+def test_marks_outside_notices_still_end_sentences(spark):
+    texts = ["Licensed under the MIT License; you can redistribute it.", "See section v. All rights reserved.", "All rights reserved; Licensed under CC BY-NC 4.0."]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == ["MIT", "all-rights-reserved", "CC-BY-NC,all-rights-reserved"]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "pii", "mixing", "packing"]
