@@ -390,7 +390,9 @@ def _(spark, t):
 def _(spark, t):
     nodes = grid.rover_grid(grid.slope(terrain(spark), CELL, CELL), N, N, 2, 12.0)
     nodes = nodes.select(F.lit("s").alias("scene_id"), F.col("node_row").alias("row"), F.col("node_col").alias("col"), F.col("steepest").alias("slope"), "passable")
-    asked = t.supplier.filter("s_suppkey <= 10").selectExpr("s_suppkey AS request_id", "'s' AS scene_id", "2 AS r0", "2 AS c0", "CAST(28 - s_suppkey AS INT) AS r1", "CAST(s_suppkey * 2 AS INT) AS c1")
+    # every supplier asks; goals beyond the grid's side come in again at the other
+    goal = ("CAST(pmod(28 - s_suppkey, 31) AS INT) AS r1", "CAST(pmod(s_suppkey * 2, 31) AS INT) AS c1")
+    asked = t.supplier.selectExpr("s_suppkey AS request_id", "'s' AS scene_id", "2 AS r0", "2 AS c0", *goal)
     return graph.routes(nodes, asked, 2 * CELL, 2 * CELL)
 
 

@@ -54,7 +54,7 @@ def _(spark, t):
 
 @query("agg24_k_means")
 def _(spark, t):
-    return search.k_means(t.embeddings, "embedding", 8).select("vec_id", "label", "cluster")
+    return search.k_means(t.embeddings, "embedding", 256).select("vec_id", "label", "cluster")
 
 
 @query("agg25_cluster_sizes", "SELECT CAST(range AS INT) AS cluster, count(vec_id) AS n FROM range(256) LEFT JOIN embeddings ON label = range GROUP BY 1")
@@ -273,8 +273,9 @@ def _(spark, t):
 
     side = (np.arange(64) - 31.5) * 20.0
     dem = 300.0 - np.hypot(*np.meshgrid(side, side)) * 0.5  # a cone
-    seen = spark.createDataFrame([(0, 0, 0.0, 0.0, 300.0), (0, 1, 400.0, 0.0, 100.0)], "row int, col int, x double, y double, z double")
-    return moon.horizons(seen, dem, -640.0, 640.0, 20.0, azimuths=36, far_m=2000.0)
+    cells = [(r, c, float(side[c]), float(-side[r]), float(dem[r, c])) for r in range(64) for c in range(64)]
+    seen = spark.createDataFrame(cells, "row int, col int, x double, y double, z double").repartition(64)
+    return moon.horizons(seen, dem, -640.0, 640.0, 20.0)
 
 
 @query("prj11_projected", f"""SELECT ok, ln, image_id, count(*) AS n, {r4('sum(CASE WHEN depth > 5e-2 THEN 5e2 * x / depth + 32e1 END)')} AS u FROM (SELECT ok, ln, i.range AS image_id, x, z + i.range * 1e0 - 1 AS depth FROM ({POINTS}), range(3) i) GROUP BY 1, 2, 3""")
@@ -290,14 +291,14 @@ def _images(spark):
 
 @query("join13_visible")
 def _(spark, t):
-    p = points(t).filter("ok % 4 = 0").select("ok", "ln", "x", "y", "z", F.col("w").alias("opacity"), F.lit(0.02).alias("radius"))
+    p = points(t).select("ok", "ln", "x", "y", "z", F.col("w").alias("opacity"), F.lit(0.02).alias("radius"))
     return cloud.visible(p, _images(spark)).groupBy("image_id").agg(F.count("*").alias("n"), F.countDistinct("ok").alias("points"))
 
 
 @query("agg19_gains")
 def _(spark, t):
     seen = t.lineitem.selectExpr("l_linenumber AS frame", "l_partkey AS point", "l_extendedprice * (1 + l_linenumber) AS value")
-    return registration.alternating_medians(seen, saved, rounds=3)
+    return registration.alternating_medians(seen, saved)
 
 
 @query("win08_path_length", f"""SELECT ok, count(*) AS points, {r4('sum(d)')} AS length FROM (SELECT l_orderkey AS ok, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS d FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey % 97) * 125e-3 AS x, (l_suppkey % 89) * 125e-3 AS y FROM lineitem)
