@@ -33,15 +33,15 @@ def pseudonymous_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them, in training order."""
-    return mixing.curriculum(docs, keep=COLUMNS, schedules=mixing.SCHEDULES).select(*COLUMNS)
+    """Documents as often as the mix of sources takes them, with ``position``, in training order."""
+    return mixing.curriculum(docs, keep=COLUMNS, schedules=mixing.SCHEDULES)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their place in sequences of at most 1024 tokens."""
+    """Pieces of documents with their place in sequences of at most 1024 tokens, numbered in training order."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), max_tokens=1024)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), max_tokens=1024, order_col="position")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

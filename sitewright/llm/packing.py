@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import small_batches, written
@@ -148,17 +148,23 @@ def pack_documents(
     with_ids: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
+    order_col: str | None = None,
 ) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` and, if asked, ``ids``.
 
     A document of up to ``max_tokens`` ids (its own and the end mark) is one piece. Of a longer one every piece but the
     first has ``max_tokens`` ids. Null and empty texts are the end mark alone. Rows that repeat, ids included, are each
     packed. An empty table gives no rows. Other columns of ``docs`` play no part, whatever their names.
+
+    With ``order_col``, whose column then comes last, groups are ranges of that order instead of hashes, and sequence ids
+    rise with it: a sequence's id is the rank, among all pieces, of its first one.
     """
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     ids_type = ", ids array<long>" if with_ids else ""
+    order_kind = docs.schema[order_col].dataType.simpleString() if order_col else "int"
+    order = F.col(order_col) if order_col else F.lit(0)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -167,29 +173,31 @@ def pack_documents(
         for batch in batches:
             out: list[tuple] = []
             chunks = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, text, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 ids = token_ids(text.as_py(), ranks_path)
                 first = (len(ids) - 1) % max_tokens + 1
                 starts = [0, *range(first, len(ids), max_tokens)]
                 for piece, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
-                    out.append((doc, piece, a, b - a, zlib.crc32(ids[a:b]), (task << 33) + row))
+                    out.append((doc, piece, a, b - a, zlib.crc32(ids[a:b]), (task << 33) + row, at))
                     row += 1
                     if with_ids:
                         chunks.append(ids[a:b])
             if out:
                 columns = [pa.array(c) for c in zip(*out, strict=True)]
-                types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+                types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), batch.schema.field(2).type]
                 columns = [c.cast(t) for c, t in zip(columns, types, strict=True)]
-                names = ["doc", "piece", "start", "length", "crc", "item"]
+                names = ["doc", "piece", "start", "length", "crc", "item", "place"]
                 if with_ids:
                     columns.append(pa.array(chunks, pa.list_(pa.int64())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    made = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(
-        pieces, f"doc {kind}, piece int, start long, length long, crc long, item long{ids_type}"
+    made = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), order.alias("place")).mapInArrow(
+        pieces, f"doc {kind}, piece int, start long, length long, crc long, item long, place {order_kind}{ids_type}"
     )
     made = written(made, "pieces")
+    if order_col:
+        return _packed_in_order(made, max_tokens, group_size, id_col, order_col, with_ids)
     short = made.filter(F.col("length") < max_tokens).select("item", "length")
     groups = max(1, -(-short.count() // group_size))
 
@@ -211,3 +219,34 @@ def pack_documents(
     )
     rest = made.filter(F.col("length") < max_tokens).join(placed, "item").select(*whole, F.col("shared_bin").alias("sequence_id"), "offset", *tail)
     return full.unionByName(rest)
+
+
+def _packed_in_order(made: DataFrame, max_tokens: int, group_size: int, id_col: str, order_col: str, with_ids: bool) -> DataFrame:
+    """Pieces packed in groups that are ranges of their order. Ranks are made in two steps: within range partitions, whose
+    totals are then accumulated."""
+    by_place = made.select("item", "length", "place", "doc", "piece").orderBy("place", "doc", "piece", "item")
+    ranged = written(by_place.select("item", "length", F.monotonically_increasing_id().alias("nth")), "ranged")
+    ranged = ranged.withColumn("part", F.shiftright("nth", 33)).withColumn("short", (F.col("length") < max_tokens).cast("long"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    totals = ranged.groupBy("part").agg(F.count("*").alias("n"), F.sum("short").alias("n_short"))
+    ahead = totals.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_ahead") for c in ("n", "n_short")])
+    within = Window.partitionBy("part").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = ranged.withColumn("shorts", F.sum("short").over(within)).join(F.broadcast(ahead), "part").select(
+        "item", "length", "short",
+        (F.col("n_ahead") + F.col("nth").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"),
+        F.expr(f"(n_short_ahead + shorts - 1) div {group_size}").alias("grp"),
+    )
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank", ignore_index=True)
+        where, offset = pack_lengths(pdf["length"].tolist(), max_tokens)
+        first = pdf["rank"].groupby(where).transform("min")
+        return pd.DataFrame({"item": pdf["item"], "sequence_id": first, "offset": offset})
+
+    shorts = ranked.filter("short = 1").select("item", "length", "rank", "grp")
+    placed = shorts.groupBy("grp").applyInPandas(pack, "item long, sequence_id long, offset long")
+    full = ranked.filter("short = 0").select("item", F.col("rank").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    tail = ["ids"] if with_ids else []
+    return made.join(placed.unionByName(full), "item").select(
+        F.col("doc").alias(id_col), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset", *tail, F.col("place").alias(order_col)
+    )

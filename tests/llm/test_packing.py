@@ -55,3 +55,21 @@ def test_search_never_worsens_best_fit(seed):
 def test_exchange_empties_a_bin():
     lengths = [6, 4, 5, 5, 7, 3]
     assert len(packing.improve([[0, 5], [1, 2], [3], [4]], lengths, 10)) == 3
+
+
+def test_early_positions_come_in_early_sequences(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "word " * int(n), float(at)) for i, (n, at) in enumerate(zip(rng.integers(1, 1500, 400), rng.permutation(400), strict=True))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, position double").repartition(7)
+    got = packing.pack_documents(docs, RANKS, group_size=50, order_col="position").collect()
+    assert {r.doc_id for r in got} == set(range(400)) and all(r.position == rows[r.doc_id][2] for r in got)
+    ranked = sorted(got, key=lambda r: (r.position, r.doc_id, r.piece))
+    shorts = np.cumsum([r.length < 1024 for r in ranked])
+    bins = {}
+    for n, r in enumerate(ranked):
+        bins.setdefault(r.sequence_id, []).append((n, (shorts[n] - 1) // 50, r))
+    for number, members in bins.items():
+        assert number == members[0][0] and sum(r.length for *_, r in members) <= 1024  # a sequence's first piece numbers it
+        assert len({group for _, group, _ in members}) == 1  # and none reaches beyond its range
+        ends = sorted((r.offset, r.offset + r.length) for *_, r in members)
+        assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
