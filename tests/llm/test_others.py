@@ -96,6 +96,18 @@ def test_secrets_against_brute_force(spark):
         assert [(s.start, s.kind, s.end) for s in r.spans if s.kind != "grammar"] == sorted(base, key=lambda s: (s[0], ("assign", "access", "hex").index(s[1])))
 
 
+def test_secrets_in_one_run_with_others_are_scored():
+    scanner = secrets.trained()
+    key, forge = "wJalrXUtnFEMIK7MDENGbPxRfiCYq9EXzMPL3KeY", "ghp_" + "a8Kd02LmQzX7vbN4tRwY1uEoPs93GhJc5TfV"
+    access, hexes = "AKIA" + "Z7Q2" * 4, hashlib.sha256(b"x").hexdigest()
+    for text, want in ((f"//{access}.{forge}", forge), (f"//{access}/{key}", key), (f"{hexes}/{forge}", forge), (f"docs/of/words/{forge}/more", forge), (f"a.name={forge}", forge)):
+        spans = secrets.spans_of(text, scanner)
+        found = [text[a:b] for a, b, k in spans if k == "grammar"]
+        assert any(want in f for f in found), (text, found)  # a run that is likely as a whole is one span
+        base = [(a, b) for a, b, k in spans if k != "grammar"]
+        assert not any(a < y and x < b for a, b, k in spans if k == "grammar" for x, y in base)
+
+
 def test_grammars_know_formats():
     scanner = secrets.trained()
     fresh = secrets.example_credentials(rows=100, seed=99)
