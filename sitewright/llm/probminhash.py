@@ -6,9 +6,12 @@ of the first arrival. Two sketches agree in a register with the probability Jacc
 stops when its next arrival would come after the latest first arrival of all registers, so most send one or two.
 
 Candidates share a band of registers. Within a band's bucket every text is compared, exactly, with the bucket's leader
-only; texts that then are in different components are compared with each other where the distances to the leader (one
-minus the similarity is a metric) and the weight of what only one text has leave it possible. No link between different texts in a bucket is lost, and a bucket of
-thousands of copies costs a comparison each, not one per pair.
+only: the text that shares most buckets with most others, so that a group of copies has one leader for most of its
+buckets. Where texts of a bucket are still unconnected, they are dealt anew by what sets each apart from the leader: two
+texts that both differ from it are alike only if they share much of those differences, which chance does not bring about,
+so sketches of the differences part them sharply. Small buckets of that kind are compared pair by pair where sizes,
+distances and sketches allow a link; large ones get leaders of their own, and so on. Every round costs a bounded number of
+comparisons for each place in a bucket, however large a group is.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import small_batches, written
+from .shared import salted_join, small_batches, written
 
 M64 = (1 << 64) - 1
 #: Odd factors of the words of a shingle, by place.
@@ -132,97 +135,184 @@ def _sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(made, "doc_id long, content string, bands array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """``pairs(a, b)`` with their exact similarity; each text is sent to its pairs, no more."""
-    texts = docs.select("doc_id", "text")
+def _compared(pairs: DataFrame, texts: DataFrame, words: int, marks: int = 0) -> DataFrame:
+    """``pairs(a, b)`` with their exact ``similarity``; each text is sent to its pairs, no more.
+
+    With ``marks``, also ``apart``, the number of shingles that only one of the two has; ``weight``, the number of runs
+    of words of b; and ``marks``, a sketch of those shingles in as many registers (the lower 32 bits of each).
+    """
+    pairs = written(pairs, "pairs")
+    pairs = pairs.repartition(pairs.count() // 500 + 1, "a", "b")  # so that few bytes of ids still make many tasks
     both = pairs.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
     both = both.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, mine = None, None
         for pdf in batches:
-            out = []
+            out, apart, weight, kept = [], [], [], []
             for a, ta, tb in zip(pdf["a"], pdf["text_a"], pdf["text_b"], strict=True):
                 if last != a:
                     last, mine = a, shingles(ta, words)
-                out.append(probability_jaccard(mine, shingles(tb, words)))
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": out})
+                other = shingles(tb, words)
+                out.append(probability_jaccard(mine, other))
+                if marks:
+                    only = np.setxor1d(mine[0], other[0], assume_unique=True)
+                    apart.append(len(only))
+                    weight.append(int(other[1].sum()))
+                    kept.append(sketch(only, np.ones(len(only)), marks).astype(np.uint32).view(np.int32))
+            more = {"apart": apart, "weight": weight, "marks": kept} if marks else {}
+            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": out, **more})
+
+    kinds = ", apart long, weight long, marks array<int>" if marks else ""
+    return both.select("a", "b", "text_a", "text_b").mapInPandas(compared, f"a long, b long, similarity double{kinds}")
+
+
+def _led(dealt: DataFrame, scope: list[str]) -> DataFrame:
+    """``dealt(bucket, rep, n, *scope)`` with ``lead``: in each bucket of n texts the one whose buckets of that scope hold
+    most texts together, the smallest of such."""
+    central = dealt.groupBy(*scope, "rep").agg(F.sum("n").alias("central"))
+    ranked = dealt.join(central, [*scope, "rep"])
+    leads = ranked.groupBy("bucket").agg(F.max(F.struct("central", (-F.col("rep")).alias("small"))).alias("best"))
+    # written first: a join whose sides are plain shuffles can be split at a hot bucket
+    return dealt.join(written(leads.select("bucket", (-F.col("best.small")).alias("lead")), "leads"), "bucket")
+
+
+def _rooted(open_: DataFrame, roots: DataFrame) -> DataFrame:
+    """``open_(scope, rep, ..)`` with ``root``, of the scopes whose texts lie in several components."""
+    placed = open_.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    several = placed.groupBy("scope").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("scope")
+    return salted_join(placed, several, "scope", by="rep")
+
+
+def _crossing(open_: DataFrame, dealt: DataFrame, similarity: float, registers: int) -> DataFrame:
+    """``a, b``: pairs of a bucket in different components that may be ``similarity`` alike.
+
+    Two texts that are so have at most 2c / (2 + c) of the greater weight in shingles that only one has, c being
+    (1 - similarity) / similarity. Those are the differences from the leader that they do not share, so the sizes of
+    the differences give the least share of them in common; pairs whose sketches show far less (five standard errors)
+    are out. So are pairs whose distances to the leader differ by more than 1 - similarity.
+    """
+    c = (1 - similarity) / similarity
+    own = dealt.select("bucket", "scope", "rep").join(open_, ["scope", "rep"]).drop("scope", "lead")
+    one = own.select("bucket", *[F.col(x).alias(f"{x}_a") for x in ("rep", "root", "distance", "apart", "weight", "marks")])
+    differ = F.col("apart") + F.col("apart_a")
+    unshared = F.least(differ.cast("double"), F.greatest("weight", "weight_a") * (2 * c / (2 + c)))
+    least = F.coalesce(F.try_divide(differ - unshared, differ + unshared), F.lit(0.0))
+    same = F.aggregate(F.zip_with("marks", "marks_a", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) / registers
+    allowed = (F.abs(F.col("distance") - F.col("distance_a")) <= 1 - similarity + 1e-9) & (same >= least - 5 * F.sqrt(F.greatest(least * (1 - least), F.lit(0.01)) / registers))
+    met = one.join(own, "bucket").filter((F.col("root_a") < F.col("root")) & allowed)
+    return met.select(F.least("rep_a", "rep").alias("a"), F.greatest("rep_a", "rep").alias("b")).distinct()
 
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(compared, "a long, b long, similarity double")
 
+def _sized(dealt: DataFrame) -> DataFrame:
+    """``dealt(bucket, scope, rep)`` with ``n``, the texts of the bucket; only buckets of several components."""
+    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    sizes = written(sizes.filter("r0 <> r1").drop("r0", "r1"), "sizes")
+    return written(dealt.drop("root").join(sizes, "bucket"), "apart")
 
-def _unshared(members: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """``rep, alone``: the share of a text's weight in shingles that no other of the ``members`` has.
 
-    Two texts with shares u and v are at most (1-u)(1-v) / (1-u + u(1-v)) alike, which rules out most pairs unseen.
-    """
+def _by_differences(open_: DataFrame, registers: int, small: int, split: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Buckets by what sets the texts of a scope apart from its leader: (those of up to ``small`` texts, larger ones).
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                h, c = shingles(text, words)
-                yield pd.DataFrame({"rep": np.full(len(h), doc), "shingle": h.view(np.int64), "weight": c / max(1, c.sum())})
-
-    chosen = texts.join(members.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    held = chosen.mapInPandas(made, "rep long, shingle long, weight double").groupBy("shingle")
-    single = held.agg(F.count("*").alias("n"), F.min("rep").alias("rep"), F.min("weight").alias("weight")).filter("n = 1")
-    alone = single.groupBy("rep").agg(F.sum("weight").alias("alone"))
-    return members.join(alone, "rep", "left").select("rep", F.coalesce("alone", F.lit(0.0)).alias("alone"))
+    A bucket shares two registers of the sketches; a larger one is split by a third, in ``split`` ways.
+    """
+    register = lambda n: F.element_at("marks", n)
+    keys = F.transform(F.sequence(F.lit(1), F.lit(registers // 2)), lambda i: F.xxhash64("scope", i, register(2 * i - 1), register(2 * i)))
+    keys = F.when(F.col("apart") > 0, keys).otherwise(F.array(F.xxhash64("scope")))  # only weights differ
+    dealt = _sized(open_.select("scope", "rep", "root", F.explode(keys).alias("bucket")))
+    large = dealt.filter(F.col("n") > small).select("bucket", "scope", "rep").join(open_.select("scope", "rep", "root", "marks"), ["scope", "rep"])
+    third = F.transform(
+        F.sequence(F.lit(0), F.lit(split - 1)),
+        lambda i: F.xxhash64("bucket", i, register((F.pmod(F.col("bucket") + i * 37, F.lit(registers)) + 1).cast("int"))),
+    )
+    finer = _sized(large.select("scope", "rep", "root", F.explode(third).alias("bucket")))
+    return dealt.filter(F.col("n") <= small).unionByName(finer.filter(F.col("n") <= small)), finer.filter(F.col("n") > small)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 4) -> DataFrame:
+def _linked(members: DataFrame, docs: DataFrame, words: int, similarity: float, registers: int, small: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(``a, b``: verified links; ``node, root``: the components they make) of ``members(rep, bands)``."""
+    dealt = members.select("rep", F.explode("bands").alias("bucket"))
+    sizes = written(dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    dealt = written(dealt.join(sizes, "bucket"), "buckets")  # only buckets of several texts
+    texts = docs.join(dealt.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = written(texts, "texts")  # of texts with a candidate, once each
+    pairs = _led(dealt, []).filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    made = written(_compared(pairs, texts, words, registers), "led")
+    alike = lambda pairs: pairs.filter(F.col("similarity") >= similarity).select("a", "b")
+    links = alike(made)
+    roots = components(links)
+    open_ = made.withColumn("scope", F.col("a"))
+    for level in range(rounds + 1):
+        distance = (1 - F.col("similarity")).alias("distance")
+        open_ = written(_rooted(open_.select("scope", F.col("b").alias("rep"), distance, "apart", "weight", "marks"), roots), "open")
+        if open_.isEmpty():
+            break
+        few, many = _by_differences(open_, registers, small)
+        if level == rounds:
+            few = few.unionByName(many)
+        found = alike(written(_compared(_crossing(open_, few, similarity, registers), texts, words), "crossed"))
+        if level < rounds:  # large buckets: each text with the bucket's leader, from which the next round starts
+            many = _led(many, ["scope"]).filter("rep <> lead")
+            many = many.select(F.xxhash64("scope", "lead").alias("scope"), F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+            many = written(many, "many")
+            made = written(_compared(many.select("a", "b").distinct(), texts, words, registers), "led")
+            found = found.unionByName(alike(made))
+            open_ = made.join(many, ["a", "b"])
+        links = written(links.unionByName(found).distinct(), "links")
+        of = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
+        ends = found.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        ends = ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a <> b")
+        ends = written(ends.distinct(), "joined")
+        if not ends.isEmpty():
+            roots = components(ends.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        if level == rounds or many.isEmpty():
+            break
+    return links, roots
+
+
+#: Ids that stand for texts without one; greater than those of any row.
+_NO_ID = 1 << 62
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``doc_id`` as a long; a row without an id gets one from its text, so that equal texts share it."""
+    stand_in = F.lit(_NO_ID) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(_NO_ID - 1))
+    return docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), stand_in))
+
+
+def near_duplicates(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 4, registers: int = 128, small: int = 64, rounds: int = 2
+) -> DataFrame:
     """``doc_id, class_id, content_class, links`` of every row of ``docs``.
 
     ``class_id`` is the smallest id of the documents that chains of links connect; a link is a probability Jaccard of
     ``similarity`` or more between different texts. ``content_class`` is the smallest id with the same words, and
-    ``links`` counts the links of that text that were verified (the leader's, and those across components), not all. At
-    0.8 a pair misses all of 32 bands of 4 once in 10 million. Null and empty texts are one class. Texts of fewer than
-    five words are one shingle. Rows that repeat come out each; rows of one id must have one text. An empty table gives
-    no rows. Other columns play no part.
+    ``links`` counts the links of that text that were verified (those that connect its class), not all. At 0.8 a pair
+    misses all of 32 bands of 4 once in 10 million; a pair that only differences from a leader can bring together is
+    found by ``registers / 2`` bands of 2 of them. Buckets of differences of up to ``small`` texts are compared pair by
+    pair, larger ones by leaders, ``rounds`` times at most; what is then still open is compared pair by pair too.
+
+    Null and empty texts are one class. Texts of fewer than five words are one shingle. Rows that repeat come out each;
+    rows of one id must have one text. Rows without an id take part by their text; a class of none but such has a null
+    ``class_id``. Ids are below 2^62. An empty table gives no rows. Other columns play no part.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = _numbered(docs.select("doc_id", "text"))
     made = written(_sketches(docs, words, bands, rows), "sketches")
-    members = written(made.groupBy("content").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "contents")
-    near = F.explode("bands").alias("bucket")
-    dealt = members.select("rep", near)
-    buckets = dealt.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    dealt = written(dealt.join(buckets, "bucket"), "buckets")  # only buckets of several texts
-    texts = docs.join(dealt.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = written(texts, "texts")  # of texts with a candidate, once each
-    led = written(_verified(dealt.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), texts, words), "led")
-    links = led.filter(F.col("similarity") >= similarity)
-    roots = components(links.select("a", "b"))
-    # texts of a bucket in several components: compare those that the distances to the leader allow
-    far = led.select(F.col("a").alias("lead"), F.col("b").alias("rep"), (1 - F.col("similarity")).alias("distance"))
-    placed = (
-        dealt.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-        .select("bucket", "rep", "lead", F.coalesce("root", "rep").alias("root"))
-        .join(far, ["lead", "rep"], "left")
-        .withColumn("distance", F.coalesce("distance", F.lit(0.0)))
-    )
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 <> r1 and n > 2")
-    placed = written(placed.filter("rep <> lead").join(mixed.select("bucket"), "bucket").select("bucket", "rep", "root", "distance"), "placed")
-    alone = _unshared(placed.select("rep").distinct(), texts, words)
-    two = placed.join(alone, "rep").filter(F.col("alone") <= 1 - similarity + 1e-9)
-    two = written(two, "open")
-    one = two.select("bucket", F.col("rep").alias("a"), F.col("root").alias("root_a"), F.col("distance").alias("da"), F.col("alone").alias("alone_a"))
-    allowed = F.abs(F.col("da") - F.col("distance")) <= 1 - similarity + 1e-9
-    own, other = F.col("alone"), F.col("alone_a")
-    most = (1 - own) * (1 - other) / (1 - own + own * (1 - other))
-    crossing = one.join(two, "bucket").filter((F.col("root_a") < F.col("root")) & allowed & (most >= similarity - 1e-9))
-    crossing = crossing.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-    crossed = written(_verified(crossing, texts, words), "crossed").filter(F.col("similarity") >= similarity)
-    links = written(links.unionByName(crossed).select("a", "b").distinct(), "verified")
-    roots = components(links)
+    members = written(made.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "contents")
+    links, roots = _linked(members, docs, words, similarity, registers, small, rounds)
     ends = links.select(F.col("a").alias("rep")).unionAll(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
     classes = members.select("content", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(ends, "rep", "left")
     classes = classes.select("content", F.col("rep").alias("content_class"), F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    return made.select("doc_id", "content").join(classes, "content").select("doc_id", "class_id", "content_class", "links")
+    known = lambda c: F.when(F.col(c) < _NO_ID, F.col(c)).alias(c)
+    return made.select("doc_id", "content").join(classes, "content").select(*map(known, ("doc_id", "class_id", "content_class")), "links")
 
 
 def first_of_class(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class; of rows that repeat such an id, one."""
-    classes = near_duplicates(docs, **how)
-    kept = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The rows of ``docs`` whose id is the smallest of its class; of rows that repeat such an id, one. Of a class of rows
+    without an id one row stays, with its null id."""
+    numbered = _numbered(docs.withColumn("_id", F.col("doc_id")))
+    classes = near_duplicates(numbered, **how)
+    first = F.coalesce("class_id", "content_class")
+    kept = classes.filter(F.col("doc_id") == first).select("doc_id").distinct()
+    return numbered.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumn("doc_id", F.col("_id")).select(*docs.columns)

@@ -7,16 +7,20 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A URI of this application's part of the folder that ``spark.checkpoint.dir`` names.
 
-    Driver and executors see that folder alike. Where the setting is missing, as in tests on one machine, a temporary
-    folder takes its place. The part is removed when the driver's JVM ends.
+    Driver and executors see that folder alike. Where the setting is missing and all tasks run in the driver's machine
+    (a local master), a temporary folder takes its place; on a cluster that is an error. The part is removed when the
+    driver's JVM ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = os.path.join(tempfile.gettempdir(), "sitewright-shared")
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{root}/sitewright-{spark.sparkContext.applicationId}")
@@ -35,6 +39,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def salted_join(many: DataFrame, few: DataFrame, on: str, by: str, salts: int = 8) -> DataFrame:
+    """Inner join for keys that are hot in ``many``: its rows of a key are dealt ``salts`` ways by the column ``by``, and
+    those of ``few``, a small table with a row a key, are repeated as often."""
+    dealt = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    repeated = few.withColumn("_salt", F.explode(F.array(*[F.lit(n).cast("long") for n in range(salts)])))
+    return dealt.join(repeated, [on, "_salt"]).drop("_salt")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """The URI of an empty folder in the shared folder, for files that tasks write."""
     uri = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
