@@ -35,27 +35,29 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """A response record, or a revisit of the response of page ``refers_to``: HTTP head and no payload."""
+    digest = sha1_base32(payload)
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = head if refers_to is not None else head + payload
     clean = "".join(c for c in url or "" if c.isprintable() and c != " ") or f"page:{page_id}"
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {record_id(page_id, digest)}",
         f"WARC-Target-URI: {clean}",
         f"WARC-Date: {DATE}",
-        f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}",
+        f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{sha1_base32(block)}",
-        f"X-Page-ID: {page_id}",
     ]
+    if page_id is not None:
+        lines.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + END + block + END
 
@@ -160,30 +162,35 @@ def page_row(headers: dict[str, str], block: bytes) -> tuple:
     declared = [x.partition(b":")[2].strip() for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
     if not mark or len(declared) != 1 or not declared[0].isdigit():
         raise WarcError("the HTTP head has no end or no length")
-    digest = headers.get("warc-payload-digest", "")[5:]
+    digest, page = headers.get("warc-payload-digest", "")[5:], headers.get("x-page-id")
+    page_id = None if page is None else int(page)
     if kind == "revisit":
         if payload or "warc-refers-to" not in headers:
             raise WarcError("a revisit has a payload or refers to nothing")
-        return int(headers["x-page-id"]), int(declared[0]), digest, kind, int(headers["x-refers-to-page-id"]), None
+        return page_id, int(declared[0]), digest, kind, int(headers["x-refers-to-page-id"]), None
     if len(payload) != int(declared[0]) or digest != sha1_base32(payload):
         raise WarcError("the payload has another length or digest")
-    return int(headers["x-page-id"]), len(payload), digest, kind, None, payload.decode("utf-8")
+    return page_id, len(payload), digest, kind, None, payload.decode("utf-8")
 
 
 def write(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, sample_rows: int = 400, archive_bytes: int = 64 << 20) -> DataFrame:
     """Write a record for each row of ``pages(page_id, url, html)``; return the archives: ``archive, records, bytes``.
 
     Of equal payloads of at least ``min_revisit_bytes`` bytes, that with the smallest page_id is a response (each row of
-    that id) and the others revisit it; smaller ones are responses. The dictionary is trained on at most ``sample_rows``
-    payloads, by the order of a hash.
+    that id and payload) and the others revisit it; smaller ones are responses. A row without an id is a record without
+    one, which none revisits. The dictionary is trained on at most ``sample_rows`` payloads, by the order of a hash, and
+    on at most 32 KiB of each. Archives are named by the task's attempt: one that is run again writes others, and only
+    those in the result count.
     """
     spark = pages.sparkSession
     small_batches(spark, 500)
-    pages = pages.select(F.col("page_id").cast("long"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    keyed = written(pages.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("n")), "digests")
+    html = F.coalesce(F.col("html"), F.lit(""))
+    pages = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.sha2(html, 256).alias("digest"))
+    keyed = written(pages.select("page_id", "digest", F.octet_length("html").alias("n")), "digests")
     eligible = keyed.filter(F.col("n") >= min_revisit_bytes)
     shared = eligible.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
-    revisits = eligible.join(shared, "digest").filter("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    revisits = eligible.join(written(shared, "shared"), "digest").filter(F.coalesce(F.col("page_id") != F.col("refers_to"), F.col("refers_to").isNotNull()))
+    revisits = revisits.select(F.col("page_id").alias("page"), F.col("digest").alias("same"), "refers_to").distinct()
     few = keyed.orderBy(F.xxhash64("page_id"), "page_id").limit(sample_rows).select("page_id").distinct()
     sample = [r.html[: 1 << 15].encode() for r in pages.join(F.broadcast(few), "page_id").select("html").limit(sample_rows).collect()]
     dictionary = spark.sparkContext.broadcast(train_dictionary(sample))
@@ -201,24 +208,26 @@ def write(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, sample_rows
             nonlocal sink, number
             if sink is not None:
                 sink.close()
-                fs.move(f"{root}/{name}.{ctx.taskAttemptId()}.tmp", f"{root}/{name}")
                 out.append((name, records, size))
                 sink, number = None, number + 1
 
         for pdf in batches:
             for page, url, html, ref in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"], strict=True):
                 if sink is None:
-                    name, records = f"pages-{ctx.partitionId():06d}-{number:04d}.warc.zst", 0
-                    sink = fs.open_output_stream(f"{root}/{name}.{ctx.taskAttemptId()}.tmp", compression=None)
+                    name, records = f"pages-{ctx.partitionId():06d}-{ctx.taskAttemptId()}-{number:04d}.warc.zst", 0
+                    sink = fs.open_output_stream(f"{root}/{name}", compression=None)
                     size = sink.write(dictionary_frame(dictionary.value))
-                size += sink.write(pack.compress(record(int(page), url, html.encode("utf-8", "replace"), None if pd.isna(ref) else int(ref))))
+                whole = lambda x: None if pd.isna(x) else int(x)
+                size += sink.write(pack.compress(record(whole(page), url, html.encode("utf-8", "replace"), whole(ref))))
                 records += 1
                 if size >= archive_bytes:
                     close()
         close()
         yield pd.DataFrame(out, columns=["archive", "records", "bytes"])
 
-    rows = pages.join(revisits, "page_id", "left").sortWithinPartitions("page_id")
+    # a page is its id and its payload: pages of one id may differ
+    rows = pages.join(revisits, F.col("page_id").eqNullSafe(F.col("page")) & (F.col("digest") == F.col("same")), "left")
+    rows = rows.select("page_id", "url", "html", "refers_to").sortWithinPartitions("page_id")
     return written(rows.mapInPandas(save, "archive string, records long, bytes long"), "archives")
 
 
@@ -248,7 +257,7 @@ def read(archives: DataFrame, folder: str, with_html: bool = False) -> DataFrame
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     pdf = pd.DataFrame(rows, columns=names)
-    pdf["refers_to"] = pdf["refers_to"].astype("Int64")
+    pdf[["page_id", "refers_to"]] = pdf[["page_id", "refers_to"]].astype("Int64")
     return pdf
 
 
@@ -256,7 +265,8 @@ def round_trip(pages: DataFrame, folder: str | None = None, min_revisit_bytes: i
     """Write ``pages`` into archives and read them back: a row for each row of ``pages``.
 
     Null html is empty; a null or unprintable url becomes one made from the page's id. Rows that repeat are records each.
-    An empty table writes nothing and gives no rows. Page ids must not be null. Other columns of ``pages`` play no part.
+    Rows of one id and other html are pages of their own. A row without an id has none in the result. An empty table
+    writes nothing and gives no rows. Other columns of ``pages`` play no part.
     """
     folder = folder or new_folder(pages.sparkSession, "warc")
     return read(write(pages, folder, min_revisit_bytes), folder)

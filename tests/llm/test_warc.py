@@ -67,3 +67,29 @@ def test_unsound_archives_are_refused():
     for bad in (good[:-2], good.replace(b"WARC/1.1", b"WARC/9.9"), good.replace(b"payload\r\n", b"payloaf\r\n"), good.replace(b"WARC-Date: ", b"Date: "), good + b"x", good.replace(b"X-Page-ID:", b"X-Page-ID")):
         with pytest.raises(W.WarcError):
             W.page_row(*W.parse(bad))
+
+
+def test_a_page_is_its_id_and_its_payload(spark):
+    rows = [(3, "AAAA"), (5, "AAAA"), (5, "BBBB"), (2, "BBBB"), (5, "AAAA"), (None, "BBBB"), (None, "CC"), (None, "CC"), (7, None), (8, "")]
+    pages = spark.createDataFrame([(p, None, h, 1) for p, h in rows], "page_id long, url string, html string, digest int")
+    folder = new_folder(spark, "test-warc")
+    got = W.read(W.write(pages, folder), folder).collect()
+    first = {}
+    for page, html in rows:
+        if page is not None:
+            first[html or ""] = min(page, first.get(html or "", page))
+    want = []
+    for page, html in rows:
+        ref = first.get(html or "")
+        kind = "response" if ref is None or ref == page else "revisit"
+        want.append((page, len(html or ""), digest(html), kind, None if kind == "response" else ref))
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_tasks_that_run_again_leave_sound_archives(spark):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 20) for i in range(50)], "page_id long, url string, html string")
+    folder = new_folder(spark, "test-warc")
+    once, again = W.write(pages, folder), W.write(pages, folder)
+    assert not {r.archive for r in once.collect()} & {r.archive for r in again.collect()}
+    assert W.read(once, folder).count() == W.read(again, folder).count() == 50
