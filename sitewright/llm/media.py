@@ -76,7 +76,7 @@ def from_png(data: bytes) -> bytes:
 
 
 def feature_of(payload: bytes) -> str:
-    """The shape of a picture, 16 band means and a 64-bit difference hash of its 8 x 9 thumbnail."""
+    """The shape of a picture, a histogram of its samples in 16 steps and a 64-bit difference hash of its 8 x 9 thumbnail."""
     grid = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH).astype(np.int64)
     edges = np.linspace(0, len(grid), 9).astype(int)
     bands = np.stack([grid[a : max(b, a + 1)].sum(0) * 840 // max(1, b - a) for a, b in zip(np.minimum(edges[:-1], len(grid) - 1), edges[1:], strict=True)])
@@ -90,7 +90,8 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = 256 << 20) -> DataFra
     """Write the payloads of ``docs(doc_id, text)`` into shards under ``folder`` and return where each row's is.
 
     ``doc_id, n_bytes, payload_bytes, digest, shard, offset, length``; offset and length are those of the stored form in
-    its shard. A task that is run again writes its shards anew under the same names, by way of temporary ones.
+    its shard. Shards are named by the task's attempt: one that is run again writes others, and only those in the result
+    count.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -107,7 +108,6 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = 256 << 20) -> DataFra
             if tar is not None:
                 tar.close()
                 sink.close()
-                fs.move(f"{root}/{name}.{ctx.taskAttemptId()}.tmp", f"{root}/{name}")
                 tar, number = None, number + 1
 
         for pdf in batches:
@@ -117,8 +117,8 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = 256 << 20) -> DataFra
                 digest = hashlib.sha256(payload).hexdigest()
                 if digest not in places:
                     if tar is None:
-                        name = f"shard-{ctx.partitionId():06d}-{number:04d}.tar"
-                        sink = fs.open_output_stream(f"{root}/{name}.{ctx.taskAttemptId()}.tmp", compression=None)
+                        name = f"shard-{ctx.partitionId():06d}-{ctx.taskAttemptId()}-{number:04d}.tar"
+                        sink = fs.open_output_stream(f"{root}/{name}", compression=None)
                         tar = tarfile.open(fileobj=sink, mode="w|", format=tarfile.USTAR_FORMAT)
                     media = to_png(payload)
                     member = tarfile.TarInfo(f"{digest}.png")
@@ -158,11 +158,11 @@ def read_ranges(places: DataFrame, folder: str, columns: str, of, head: int | No
     return places.mapInPandas(read, f"{kinds}, {columns}")
 
 
-def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
+def media_columns(docs: DataFrame, folder: str | None = None, task_bytes: int = 4 << 20) -> DataFrame:
     """Store the payloads of ``docs(doc_id, text)`` and return them as media columns, a row for each row of ``docs``.
 
     ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature`` and ``width,
-    height, bits, shard, offset``. A null text is an empty one; its payload is 64 bytes of 0. Equal texts have equal
+    height, bits``, and the address of the stored form: ``digest, shard, offset, length``. A null text is an empty one; its payload is 64 bytes of 0. Equal texts have equal
     values and refer to one place. Rows that repeat come out each. An empty table writes nothing and gives no rows. Other
     columns of ``docs`` play no part.
     """
@@ -171,8 +171,10 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     stored = written(store(docs, folder), "stored")
     in_task = stored.groupBy("digest", "shard").agg(F.min("offset").alias("offset"), F.first("length").alias("length"))
     first = in_task.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place")).select("digest", "place.*")
-    # neighbours in a shard are read one after the other; a shard's ranges may go to several tasks
-    first = written(first.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset"), "places")
+    first = written(first, "first")
+    # neighbours in a shard are read one after the other, in tasks of about ``task_bytes`` of stored bytes each
+    tasks = int(first.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]) // task_bytes + 1
+    first = written(first.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset"), "places")
 
     def decoded(data: bytes) -> tuple:
         payload = from_png(data)
@@ -184,5 +186,5 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     by_shard = in_task.select("digest", F.col("shard").alias("own")).join(known, "digest")
     rows = stored.select("doc_id", "n_bytes", "payload_bytes", "digest", F.col("shard").alias("own"))
     return rows.join(by_shard, ["digest", "own"]).select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits", "shard", "offset"
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits", "digest", "shard", "offset", "length"
     )
