@@ -150,5 +150,8 @@ def curriculum(docs: DataFrame, keep: tuple[str, ...], **how) -> DataFrame:
 
 
 def by_position(assigned: DataFrame) -> DataFrame:
-    """The rows of ``assign``, range-sorted by the position of their first copy; documents that are not taken come last."""
-    return assigned.orderBy(F.try_element_at("positions", F.lit(1)).asc_nulls_last(), "doc_id")
+    """The rows of ``assign`` with ``position`` and ``position_again``, those of their first and second copy (to nine
+    digits, null where there is none), range-sorted by the first; documents that are not taken come last."""
+    nth = lambda n: F.round(F.try_element_at("positions", F.lit(n)), 9)
+    placed = assigned.withColumn("position", nth(1)).withColumn("position_again", nth(2)).drop("positions")
+    return placed.orderBy(F.col("position").asc_nulls_last(), "doc_id")

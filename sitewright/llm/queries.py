@@ -45,8 +45,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = media.media_columns(table(spark, sf_dir, "documents"))
-    return made.drop("shard", "offset")
+    return media.media_columns(table(spark, sf_dir, "documents"))
 
 
 @query
@@ -78,15 +77,36 @@ filled AS (
 watered AS (
   SELECT *, (SELECT min_by(level, (ratio, ord)) FROM filled WHERE level <= ratio) AS water FROM filled),
 targets AS (
-  SELECT source, source_size, CASE WHEN water IS NULL OR ratio < water THEN CAST(cap AS DOUBLE) ELSE water * weight END AS target FROM watered),
+  SELECT source, source_size, ord, CASE WHEN water IS NULL OR ratio < water THEN CAST(cap AS DOUBLE) ELSE water * weight END AS target FROM watered),
+schedules AS (
+  SELECT * FROM (VALUES
+    (0, [{'t0': 0.0, 'w0': 2.0, 't1': 0.5, 'w1': 1.0}, {'t0': 0.5, 'w0': 1.0, 't1': 1.0, 'w1': 0.25}]),
+    (1, [{'t0': 0.0, 'w0': 0.0, 't1': 0.25, 'w1': 0.5}, {'t0': 0.25, 'w0': 0.5, 't1': 1.0, 'w1': 2.0}]),
+    (2, [{'t0': 0.0, 'w0': 0.5, 't1': 0.5, 'w1': 2.0}, {'t0': 0.5, 'w0': 2.0, 't1': 1.0, 'w1': 0.5}])) v(nth, pieces)),
+areas AS (
+  SELECT nth, CAST(p.t0 AS DOUBLE) AS t0, CAST(p.w0 AS DOUBLE) AS w0, CAST(p.t1 - p.t0 AS DOUBLE) AS dt, CAST(p.w1 AS DOUBLE) AS w1,
+         CAST((p.w0 + p.w1) / 2 * (p.t1 - p.t0) AS DOUBLE) AS area
+  FROM (SELECT nth, unnest(pieces) AS p FROM schedules)),
+reached AS (
+  SELECT *, coalesce(sum(area) OVER (PARTITION BY nth ORDER BY t0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(area) OVER (PARTITION BY nth) AS whole FROM areas),
 placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target,
+  SELECT s.doc_id, s.size, t.source_size, t.target, (t.ord - 1) % 3 AS nth,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY CAST('0x' || left(s.draw, 4) AS INT) % 1024, s.draw, s.doc_id, s.size
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + s.size / 2.0::DOUBLE AS middle
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(CASE WHEN size = 0 THEN 0 ELSE size * (CAST(middle < target AS BIGINT) + CAST(middle + source_size < target AS BIGINT)) END AS BIGINT) AS taken
-FROM placed
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+copies AS (
+  SELECT *, row_number() OVER () AS row, size > 0 AND middle < target AS once, size > 0 AND middle + source_size < target AS twice FROM placed),
+shares AS (
+  SELECT row, nth, 1 AS copy, least(middle / target, 1.0::DOUBLE) AS share FROM copies WHERE once UNION ALL
+  SELECT row, nth, 2, least((middle + source_size) / target, 1.0::DOUBLE) FROM copies WHERE twice),
+positions AS (
+  SELECT row, copy, min_by(t0 + coalesce(2 * left_over / nullif(w0 + sqrt(greatest(w0 * w0 + 2 * (w1 - w0) / dt * left_over, 0)), 0), 0), t0) AS position
+  FROM (SELECT s.row, s.copy, r.*, least(s.share * r.whole - r.before, r.area) AS left_over FROM shares s JOIN reached r USING (nth)
+        WHERE s.share * r.whole <= r.before + r.area OR r.t0 + r.dt >= 1) GROUP BY row, copy)
+SELECT doc_id, size, source_size, target, CAST(size * (CAST(once AS BIGINT) + CAST(twice AS BIGINT)) AS BIGINT) AS taken,
+       round(a.position, 9) AS position, round(b.position, 9) AS position_again
+FROM copies c LEFT JOIN positions a ON a.row = c.row AND a.copy = 1 LEFT JOIN positions b ON b.row = c.row AND b.copy = 2
 """
 
 

@@ -51,9 +51,10 @@ def test_op5_places_copies_by_schedules_that_differ(spark):
     points = mixing.SCHEDULES
     got = QUERIES["op5_mixing"](spark, SMALL).collect()
     source = {r.doc_id: r.source for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
-    firsts = [r.positions[0] for r in got if r.positions]
-    assert firsts == sorted(firsts) and all(r.taken == r.size * len(r.positions) for r in got)
-    assert len(firsts) == len(got) or not any(r.positions for r in got[len(firsts) :])
+    of = lambda r: [p for p in (r.position, r.position_again) if p is not None]
+    firsts = [of(r)[0] for r in got if of(r)]
+    assert firsts == sorted(firsts) and all(r.taken == r.size * len(of(r)) for r in got)
+    assert len(firsts) == len(got) or not any(of(r) for r in got[len(firsts) :])
     for n, name in enumerate(sorted({s for s in source.values() if s is not None})):
         t, w = np.array(points[n % len(points)]).T
         area = np.concatenate([[0], np.cumsum((w[1:] + w[:-1]) / 2 * np.diff(t))])
@@ -63,7 +64,7 @@ def test_op5_places_copies_by_schedules_that_differ(spark):
             d = x - t[i]
             return (area[i] + w[i] * d + (w[i + 1] - w[i]) / (t[i + 1] - t[i]) * d * d / 2) / area[-1]
 
-        copies = sorted((p, r.size, r.target) for r in got if source[r.doc_id] == name for p in r.positions)
+        copies = sorted((p, r.size, r.target) for r in got if source[r.doc_id] == name for p in of(r))
         before = 0
         for p, size, target in copies:
             assert abs(met(p) - (before + size / 2) / target) < 1e-6
