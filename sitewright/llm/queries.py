@@ -129,9 +129,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     listed = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     base = F.filter(listed, lambda s: ~s.startswith("grammar:"))
+    by_grammar = F.filter("spans", lambda s: s["kind"] == "grammar")
+    formats = F.transform(by_grammar, lambda s: F.concat_ws(":", s["format"], F.format_number(s["gain"], 2)))
     return found.select(
-        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(listed, ",").alias("spans")
-    )
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(listed, ",").alias("spans"),
+        "n_grammar", F.array_join(formats, ",").alias("formats"),
+    )
 
 
 @query
