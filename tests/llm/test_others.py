@@ -3,9 +3,12 @@
 import hashlib
 import random
 import re
+import struct
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -183,6 +186,58 @@ def test_fingerprints(spark):
     assert imatch.compare_with_edits(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def test_fingerprints_against_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)] + ["Ünï", "the"]
+    texts = [" ".join(rng.choices(words, weights=[1] * 401 + [400], k=rng.choice((3, 60, 4000)))) + rng.choice((".", "!", "")) for _ in range(40)]
+    rows = [*enumerate(texts), (7, texts[7]), (50, None), (51, ""), (52, texts[3]), (None, "w1 w2 w3"), (60, "é" * 9)]
+    got = imatch.compare_with_edits(spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, next int, own string"), low=0.05, high=0.8).collect()
+    assert len(got) == len(rows)
+    terms = lambda t: sorted({signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in re.split(r"[^\w]+|_", t.lower()) if w})
+    df = Counter(w for _, t in rows for w in terms(t or ""))
+    lexicon = {w for w, n in df.items() if n >= 2 and 0.05 <= n / len(rows) <= 0.8}
+    assert 300 < len(lexicon) < len(df)
+
+    def hashed(inside):
+        h = 42
+        for w in inside:
+            h = xxhash.xxh64(struct.pack("<q", w), seed=h).intdigest()
+        return f"{h >> 32:08x}" if inside else None
+
+    def brute(t):
+        known, out, at = [w for w in terms(t) if w in lexicon], [], 0
+        for power, number in imatch.SUBSETS:
+            out += [hashed([w for w in known if (w >> at) % (1 << power) == k]) for k in range(number)]
+            at += power
+        return out
+
+    def near(a, b):
+        pairs = [(x, y) for x, y in zip(a, b) if x or y]
+        return sum(x == y for x, y in pairs) / len(pairs) if pairs else 1.0
+
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    want = []
+    for (doc, text), (_, after) in zip(order, order[1:] + order[:1]):
+        text, after = text or "", after or ""
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        a, b, c = brute(text), brute(edited), brute(after)
+        shown = lambda p: "-".join(x or "." for x in p)
+        want.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), shown(a), shown(b), near(a, b), near(a, c)))
+    key = lambda r: (r[0] is None, r[0] or 0, r[2])
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_next_crosses_ranges(spark):
+    rows = [(i * 3 % 101, f"t{i}") for i in range(101)] + [(None, "z"), (None, "y")]
+    got = imatch.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), buckets=17).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert {(r.doc_id, r.text): (r.next.doc_id, r.next.text) for r in got} == dict(zip(order, order[1:] + order[:1]))
+
+
 def test_licenses(spark, odd):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. The software is provided \"as is\", without warranty of any kind, express or implied."
     texts = [mit, "Licensed under the MIT License.", "no licence here", None, ""]
