@@ -47,6 +47,21 @@ SENTENCES = (
     ("cc0", "(this (work|content|text) is )?(licensed|released|dedicated|placed) (under|to|in) (a |the )?(cc0|public domain)( .*)?"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("spdx", "spdx-license-identifier .+"),
+    ("gnutitle", "gnu general public license"),
+    ("lgpltitle", "gnu (lesser|library) general public license"),
+    ("agpltitle", "gnu affero general public license"),
+    ("gpl3date", "version 3 29 june 2007"),
+    ("gpl2date", "version 2 june 1991"),
+    ("lgpl21date", "version 2\\.1 february 1999"),
+    ("agpl3date", "version 3 19 november 2007"),
+    ("gnuverbatim", "(.* )?everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("apachetitle", "apache license"),
+    ("apache2date", "version 2\\.0 january 2004"),
+    ("apache2terms", "terms and conditions for use reproduction and distribution"),
+    ("mpl2title", "mozilla public license version 2\\.0"),
+    ("ccbysatitle", "(creative commons )?attribution-sharealike [0-9.]+ (international|unported)( public license)?"),
+    ("ccbytitle", "(creative commons )?attribution [0-9.]+ (international|unported)( public license)?"),
+    ("cc0title", "(creative commons )?cc0 1\\.0 universal"),
     ("rights", "(copyright .*|c .*)?all rights reserved( .*)?"),
     ("copyright", "copyright (c )?[0-9][0-9][0-9][0-9].*"),
 )
@@ -57,6 +72,15 @@ RULES = (
     ("ISC", "(copyright |rights )*iscgrant (asis )?(noliable )?"),
     ("BSD-3-Clause", "(copyright |rights )*bsdgrant bsdsource bsdbinary bsdname (bsdasis )?(noliable )?"),
     ("BSD-2-Clause", "(copyright |rights )*bsdgrant bsdsource bsdbinary (bsdasis )?(noliable )?"),
+    ("GPL-3.0", "gnutitle gpl3date (copyright |rights )*gnuverbatim "),
+    ("GPL-2.0", "gnutitle gpl2date (copyright |rights )*gnuverbatim "),
+    ("LGPL", "lgpltitle (gpl3date |lgpl21date |gpl2date )(copyright |rights )*gnuverbatim "),
+    ("AGPL", "agpltitle agpl3date (copyright |rights )*gnuverbatim "),
+    ("Apache-2.0", "apachetitle apache2date (apache2terms )?"),
+    ("MPL-2.0", "mpl2title (mplref )*"),
+    ("CC-BY-SA", "(ccbysatitle )+"),
+    ("CC-BY", "(ccbytitle )+"),
+    ("public-domain", "(cc0title )+"),
     ("Apache-2.0", "apache2grant (apache2use )?(apache2copy )?(apache2asis )?"),
     ("GPL-or-later", "gplgrant (gplhope )?"),
     ("MIT-part", "mitgrant (mitnotice )?"),
@@ -79,24 +103,24 @@ RULES = (
     ("all-rights-reserved", "rights "),
 )
 
-#: Further forms of some sentences, as published, that the table above and its SQL do not have.
+#: Further forms of some sentences, as published.
 MORE = {
     "mplref": "this source code form is subject to the terms of the mozilla public license v 2\\.0",
     "lgplref": "this (library|program) is free software you can redistribute it and/?or modify it under the terms of the gnu (lesser|library) general public licen[sc]e as published by .*",
     "agplref": "this program is free software you can redistribute it and/?or modify it under the terms of the gnu affero general public licen[sc]e as published by .*",
 }
 
-#: Sentences end at a mark and white space or a line's end, and at blank lines. For the SQL; CUT does not cut notices.
+#: Sentences end at a mark and white space or a line's end, and at blank lines.
 BREAK = r"[.!?;]+[\x20\t\r]*\n|[.!?;]+[\x20\t]+|\n[\x20\t\r]*\n|:[\x20\t\r]*\n"
 LINE = r"\n"
 
-#: What goes on after a mark that ends no sentence: the parts of a GNU notice, and a version after "v.".
-GAP = r"[\s#*/;:]"
-GOES_ON = rf"(?<=free{GAP}{{1,9}}software{GAP}{{1,9}})you{GAP}+can{GAP}+redistribute|(?<=software{GAP}{{1,9}}foundation{GAP}{{1,9}})either{GAP}+version|(?<=\bv\.{GAP}{{1,9}})[0-9]"
-CUT = rf"(?i)[.!?;]+[\x20\t\r]*+\n(?!{GAP}*(?:{GOES_ON}))|[.!?;]+[\x20\t]++(?!{GAP}*(?:{GOES_ON}))|\n[\x20\t\r]*\n|:[\x20\t\r]*+\n(?!{GAP}*(?:{GOES_ON}))"
-
-#: The first test of the SQL. It lacks words of some rules and sees no wrapped ones; ``first_test`` replaces it here.
-HINT = r"(?i)licen[sc]e|copyright|rights reserved|permission|redistribution|warrant|public domain|as is|liable|cc by|may not use|may obtain|free software|neither the name"
+#: Marks that end no sentence, between the parts of a GNU notice and after "v.": (pattern, what stays between the parts).
+GAP = r"[\x20\t\n\r\f#*/;:]"
+JOINED = (
+    (rf"(?i)(free{GAP}+software){GAP}+(you{GAP}+can{GAP}+redistribute)", " "),
+    (rf"(?i)(software{GAP}+foundation){GAP}+(either{GAP}+version)", " "),
+    (rf"(?i)(\bv\.){GAP}+([0-9])", ""),
+)
 
 
 def let(value: Column, f) -> Column:
@@ -167,7 +191,9 @@ def known(sentence: Column) -> Column:
 def identifiers(text: Column) -> Column:
     """The identifiers of a text's known sentences, in order. Of an unknown sentence each line is looked up by itself."""
     lines = lambda s: F.transform(F.split(s, LINE, -1), lambda x: known(x))
-    each = F.transform(F.split(text, CUT, -1), lambda s: F.when(hinted(s), let(known(s), lambda k: F.when(k != "", F.array(k)).otherwise(lines(s)))).otherwise(F.array(F.lit(""))))
+    for pattern, between in JOINED:
+        text = F.regexp_replace(text, pattern, f"$1{between}$2")
+    each = F.transform(F.split(text, BREAK, -1), lambda s: F.when(hinted(s), let(known(s), lambda k: F.when(k != "", F.array(k)).otherwise(lines(s)))).otherwise(F.array(F.lit(""))))
     return F.filter(F.flatten(each), lambda k: k != "")
 
 
@@ -211,41 +237,46 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def duckdb_sql() -> str:
-    """Nearly the same in DuckDB's SQL, from the same tables of sentences and rules: without MORE, with HINT as the first
-    test and with BREAK, so that it misses some wrapped, CC0, Creative Commons, GNU and Mozilla notices."""
+    """The same in DuckDB's SQL, from the same tables of sentences and rules."""
     q = lambda x: "'" + x.replace("'", "''") + "'"
     plain_sql = lambda s: f"trim(regexp_replace(regexp_replace(regexp_replace(lower({s}), '[^a-z0-9.+/-]+', ' ', 'g'), '[./+-]+( |$)', ' ', 'g'), ' +', ' ', 'g'))"
-    cases = " ".join(f"WHEN regexp_matches(p, {q(f'^({pattern})$')}) THEN {q(name)}" for name, pattern in SENTENCES)
+    cases = " ".join(f"WHEN regexp_matches(p, {q(f'^({pattern})$')}) THEN {q(name)}" for name, pattern in forms())
+    hint = lambda s: f"regexp_matches(lower({s}), {q(FIRST)})"
+    joined = "text"
+    for pattern, between in JOINED:
+        joined = f"regexp_replace({joined}, {q(pattern)}, {q(rf'\1{between}\2')}, 'g')"
     rest, founds, at = [], [], "seq"
     for n, (name, rule) in enumerate(marked_rules()):
         rest.append((f"r{n}", f"regexp_replace({at}, {q(rule)}, '|', 'g')"))
         founds.append(f"CASE WHEN regexp_matches({at}, {q(rule)}) THEN {q(name)} END")
         at = f"r{n}"
-    chain = "s0 AS (SELECT doc_id, seq, sentences, n_known FROM joined)"
+    chain = "s0 AS (SELECT row, seq, sentences, n_known FROM joined)"
     for n, (name, expression) in enumerate(rest):
         chain += f",\ns{n + 1} AS (SELECT *, {expression} AS {name} FROM s{n})"
     names = list(dict.fromkeys(name for name, _ in RULES))
     first = {name: [f for (m, _), f in zip(RULES, founds, strict=True) if m == name] for name in names}
     listed = ", ".join(f"coalesce({', '.join(first[name])})" if len(first[name]) > 1 else first[name][0] for name in names)
     return f"""
-WITH cut AS (
-  SELECT doc_id, unnest(string_split_regex(text, {q(BREAK)})) AS s, generate_subscripts(string_split_regex(text, {q(BREAK)}), 1) AS i
-  FROM documents WHERE regexp_matches(text, {q(HINT)})),
+WITH numbered AS (
+  SELECT *, row_number() OVER () AS row FROM documents),
+cut AS (
+  SELECT doc_id, row, unnest(string_split_regex(t, {q(BREAK)})) AS s, generate_subscripts(string_split_regex(t, {q(BREAK)}), 1) AS i
+  FROM (SELECT doc_id, row, {joined} AS t FROM numbered WHERE {hint('text')})),
 whole AS (
-  SELECT *, CASE WHEN regexp_matches(s, {q(HINT)}) THEN CASE {cases} ELSE '' END ELSE '' END AS k
+  SELECT *, CASE WHEN {hint('s')} THEN CASE {cases} ELSE '' END ELSE '' END AS k
   FROM (SELECT *, {plain_sql('s')} AS p FROM cut)),
 lines AS (
-  SELECT doc_id, i, unnest(string_split_regex(s, '\\n')) AS s, generate_subscripts(string_split_regex(s, '\\n'), 1) AS j FROM whole WHERE k = ''),
+  SELECT row, i, unnest(string_split_regex(s, '\\n')) AS s, generate_subscripts(string_split_regex(s, '\\n'), 1) AS j FROM whole WHERE k = ''),
 single AS (
-  SELECT doc_id, i, j, CASE WHEN regexp_matches(s, {q(HINT)}) THEN CASE {cases} ELSE '' END ELSE '' END AS k
+  SELECT row, i, j, CASE WHEN {hint('s')} THEN CASE {cases} ELSE '' END ELSE '' END AS k
   FROM (SELECT *, {plain_sql('s')} AS p FROM lines)),
 ids AS (
-  SELECT doc_id, i, 0 AS j, k FROM whole WHERE k <> '' UNION ALL SELECT doc_id, i, j, k FROM single WHERE k <> ''),
+  SELECT row, i, 0 AS j, k FROM whole WHERE k <> '' UNION ALL SELECT row, i, j, k FROM single WHERE k <> ''),
 joined AS (
-  SELECT doc_id, '<' || string_agg(k, '><' ORDER BY i, j) || '>' AS seq, string_agg(k, ' ' ORDER BY i, j) AS sentences, count(*) AS n_known
-  FROM ids GROUP BY doc_id),
+  SELECT row, '<' || string_agg(k, '><' ORDER BY i, j) || '>' AS seq, string_agg(k, ' ' ORDER BY i, j) AS sentences, count(*) AS n_known
+  FROM ids GROUP BY row),
 {chain}
 SELECT d.doc_id, coalesce(array_to_string(list_filter([{listed}], lambda x: x IS NOT NULL), ','), '') AS licenses,
        coalesce(sentences, '') AS sentences, CAST(coalesce(n_known, 0) AS BIGINT) AS n_known
-FROM documents d LEFT JOIN s{len(rest)} USING (doc_id)
+FROM numbered d LEFT JOIN s{len(rest)} USING (row)
 """

@@ -300,6 +300,38 @@ def test_every_rule_finds_its_published_notice_wrapped_or_not(spark):
     assert [(r.licenses, texts[r.doc_id]) for r in got if r.licenses != PUBLISHED[r.doc_id // 3][0]] == []
 
 
+VERBATIM = " Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n                            Preamble\n\n  The licenses for most software are designed to take away your freedom."
+FSF = "\n\n Copyright (C) {} Free Software Foundation, Inc.{}\n"
+HEADS = [
+    ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007" + FSF.format(2007, " <https://fsf.org/>") + VERBATIM),
+    ("GPL-2.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991" + FSF.format("1989, 1991", ",") + VERBATIM),
+    ("LGPL", "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999" + FSF.format("1991, 1999", "") + VERBATIM),
+    ("AGPL", "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007" + FSF.format(2007, "") + VERBATIM),
+    ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n--------------\n"),
+    ("CC-BY-SA", "Attribution-ShareAlike 4.0 International\n\n=======================================================================\n\nCreative Commons Attribution-ShareAlike 4.0 International Public\nLicense\n"),
+    ("CC-BY", "Creative Commons Attribution 4.0 International Public License\n\nBy exercising the Licensed Rights"),
+    ("public-domain", "CC0 1.0 Universal\n\nStatement of Purpose\n"),
+]
+
+
+def test_full_texts_are_known_by_their_heads_and_the_sql_agrees(spark):
+    import duckdb
+
+    texts = [(n, t) for n, (_, t) in enumerate(HEADS + PUBLISHED)] + [(900, None), (901, ""), (902, "plain"), (902, "plain")]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    got = licenses.scan(docs).collect()
+    assert {HEADS[r.doc_id][0]: r.licenses for r in got if r.doc_id < len(HEADS)} == {name: name for name, _ in HEADS}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id INT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
+    sql = con.execute(licenses.duckdb_sql()).fetchall()
+    assert sorted(map(tuple, got)) == sorted(sql)
+    assert licenses.scan(docs.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "word " * 300_000 + "\nReleased under the MIT License.\n" + "x. " * 100_000)], "doc_id int, text string")
+    assert licenses.scan(long).first().licenses == "MIT"
+
+
 def test_marks_outside_notices_still_end_sentences(spark):
     texts = ["Licensed under the MIT License; you can redistribute it.", "See section v. All rights reserved.", "All rights reserved; Licensed under CC BY-NC 4.0."]
     got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
