@@ -17,7 +17,8 @@ def components(links: DataFrame) -> DataFrame:
     partial aggregates and joins in which they are salted.
     """
     edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
+    marked = lambda edges: edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
+    before = marked(edges)
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -27,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         kept = salted_join(large, low, "u", by="v")
         small = kept.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
         edges = written(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small")
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
+        mark = marked(edges)
         if mark == before:
             break
         before = mark

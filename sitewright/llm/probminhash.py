@@ -281,7 +281,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 4, registers: int = 128, small: int = 64, rounds: int = 2
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 4, registers: int = 128, small: int = 64, rounds: int = 1
 ) -> DataFrame:
     """``doc_id, class_id, content_class, links`` of every row of ``docs``.
 
