@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +33,21 @@ def finite(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), None).otherwise(x)
 
 
+def value_at_rank(rows: DataFrame, key: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """``key``, ``n`` and, for each name in ``ranks``, the value at that 0-based index (a function of n) of the ascending
+    values of a group.
+
+    Equal values are counted first, so that a group is a running sum over its distinct values, sorted and spilled by the
+    window, and never an array.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("_k"))
+    own = Window.partitionBy(*key)
+    run = own.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumns({"_to": F.sum("_k").over(run), "_n": F.sum("_k").over(own)})
+    at = [F.min(F.when(F.col("_to") > rank(F.col("_n")), F.col(value))).alias(name) for name, rank in ranks.items()]
+    return placed.groupBy(*key).agg(F.first("_n").alias("n"), *at)
+
+
 def nth_value(values: Column, index: Column) -> Column:
     """The value at a 0-based index of the ascending values of a group."""
     return F.element_at(F.array_sort(values), index.cast("int") + 1)

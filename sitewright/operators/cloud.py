@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.maths import lower_rank, upper_median
+from ..functions.maths import value_at_rank
+
+#: The value at index n // 2, as ``m``.
+UPPER_MEDIAN = {"m": lambda n: F.floor(n / 2)}
 
 
 def cell(x: str | Column, size: float) -> Column:
@@ -23,15 +26,15 @@ def cell_means(points: DataFrame, size: float) -> DataFrame:
 
 def surface_heights(points: DataFrame, size: float, least: int = 4) -> DataFrame:
     """The value at index floor(0.8 (n-1)) of each cell with at least ``least`` points."""
-    heights = in_cells(points, size).groupBy("cx", "cy").agg(F.collect_list("z").alias("zs")).filter(F.size("zs") >= least)
-    return heights.select("cx", "cy", lower_rank(F.col("zs"), 0.8).alias("height"), F.size("zs").cast("long").alias("n"))
+    heights = value_at_rank(in_cells(points, size), ["cx", "cy"], "z", {"height": lambda n: F.floor(F.lit(0.8) * (n - 1))})
+    return heights.filter(F.col("n") >= least).select("cx", "cy", "height", "n")
 
 
 def ground_misfit(points: DataFrame, size: float = 1.0, least: int = 20) -> DataFrame:
     """16th, 50th and 84th percentile (linear) of the upper medians of cells with enough points."""
-    medians = in_cells(points, size).groupBy("cx", "cy").agg(F.collect_list("z").alias("zs")).filter(F.size("zs") >= least)
+    medians = value_at_rank(in_cells(points, size), ["cx", "cy"], "z", UPPER_MEDIAN).filter(F.col("n") >= least)
     p = F.percentile("m", F.array(*[F.lit(q) for q in (0.16, 0.5, 0.84)]))
-    return medians.select(upper_median(F.col("zs")).alias("m")).agg(p.alias("p"), F.count("*").alias("cells")).select(
+    return medians.agg(p.alias("p"), F.count("*").alias("cells")).select(
         F.col("p")[0].alias("p16"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p84"), "cells"
     )
 
@@ -54,7 +57,7 @@ def without_fliers(points: DataFrame, size: Column, tolerance: Column, least: in
     """Points within ``tolerance`` of the upper median of their cell; cells with fewer than ``least`` points keep all."""
     keyed = points.withColumns({"_size": size, "_tol": tolerance}).withColumns({"cx": F.floor(F.col("x") / F.col("_size")), "cy": F.floor(F.col("y") / F.col("_size"))})
     key = ["_size", "cx", "cy"]
-    medians = keyed.groupBy(*key).agg(F.collect_list("z").alias("zs")).select(*key, F.when(F.size("zs") >= least, upper_median(F.col("zs"))).alias("_m"))
+    medians = value_at_rank(keyed, key, "z", UPPER_MEDIAN).select(*key, F.when(F.col("n") >= least, F.col("m")).alias("_m"))
     near = keyed.join(medians, key)
     return near.filter(F.col("_m").isNull() | (F.abs(F.col("z") - F.col("_m")) <= F.col("_tol"))).drop("_size", "_tol", "cx", "cy", "_m")
 
@@ -94,20 +97,40 @@ def projected(points: DataFrame, images: DataFrame) -> DataFrame:
     of images is checked against a bound before they are broadcast."""
     if images.limit(10_001).count() > 10_000:
         raise ValueError("more than 10,000 images: project them by groups")
-    both = points.crossJoin(F.broadcast(images))
+    return in_camera(points.join(F.broadcast(images)))
+
+
+def in_camera(both: DataFrame) -> DataFrame:
+    """``u, v, depth`` of rows that hold a point and an image."""
     pc = [sum((F.col("r")[3 * i + j] * F.col("xyz"[j]) for j in range(3)), F.col("t")[i]) for i in range(3)]
     out = both.withColumns({"_px": pc[0], "_py": pc[1], "depth": pc[2]})
     seen = F.col("depth") > 0.05
     return out.withColumns({"u": F.when(seen, F.col("fx") * F.col("_px") / F.col("depth") + F.col("cx")), "v": F.when(seen, F.col("fy") * F.col("_py") / F.col("depth") + F.col("cy"))}).drop("_px", "_py")
 
 
+def in_reach(points: DataFrame, images: DataFrame, far: float) -> DataFrame:
+    """Pairs of a point and an image that may see it no further than ``far``: an equi-join on ground tiles.
+
+    What an image sees at depths up to ``far`` lies in a circle around the camera, of ``far`` times the slant of its
+    corner; the image goes to the tiles of ``far`` metres that the circle's square meets.
+    """
+    centre = [-(F.col("r")[j] * F.col("t")[0] + F.col("r")[3 + j] * F.col("t")[1] + F.col("r")[6 + j] * F.col("t")[2]) for j in (0, 1)]
+    side = lambda c, size, f: F.greatest(F.abs(c), F.abs(size - c)) / f
+    wide, high = side(F.col("cx"), F.col("width"), F.col("fx")), side(F.col("cy"), F.col("height"), F.col("fy"))
+    reach = far * F.sqrt(1 + wide * wide + high * high)
+    tiles = lambda c: F.sequence(F.floor((c - reach) / far), F.floor((c + reach) / far))
+    dealt = images.withColumn("_tx", F.explode(tiles(centre[0]))).withColumn("_ty", F.explode(tiles(centre[1])))
+    placed = points.withColumns({"_tx": F.floor(F.col("x") / far), "_ty": F.floor(F.col("y") / far)})
+    return placed.join(dealt, ["_tx", "_ty"]).drop("_tx", "_ty")
+
+
 def visible(points: DataFrame, images: DataFrame, cell_px: int = 4, far: float = 30.0, border: float = 2.0, slack: float = 1.08, solid: float = 0.3) -> DataFrame:
     """Points in frame that no nearer solid point hides.
 
     A solid point stamps a square of its depth on the image's cells; a cell keeps the least. Stamps are reduced to a
     minimum per (image, cell) before the join back.
     """
-    seen = projected(points, images).filter("depth > 0.05").filter((F.col("depth") <= far) & (F.col("u") >= border) & (F.col("v") >= border) & (F.col("u") < F.col("width") - border) & (F.col("v") < F.col("height") - border))
+    seen = in_camera(in_reach(points, images, far)).filter("depth > 0.05").filter((F.col("depth") <= far) & (F.col("u") >= border) & (F.col("v") >= border) & (F.col("u") < F.col("width") - border) & (F.col("v") < F.col("height") - border))
     seen = seen.withColumns({"gx": F.floor(F.col("u") / cell_px).cast("int"), "gy": F.floor(F.col("v") / cell_px).cast("int")})
     reach = F.least(F.greatest(F.ceil(F.col("fx") * F.least(F.col("radius"), F.lit(0.1)) / F.col("depth") / cell_px), F.lit(1)), F.lit(4)).cast("int")
     stamps = seen.filter(F.col("opacity") >= solid).withColumn("_k", reach)

@@ -140,7 +140,8 @@ def close_and_smooth(grid: DataFrame, rows: int, cols: int, sigma: float = 0.6,
     and stay empty in the result."""
     import math
 
-    filled = grid.withColumn("_empty", F.col(value).isNull()).withColumn(value, F.coalesce(F.col(value), F.min(value).over(Window.partitionBy())))
+    low = grid.agg(F.min(value).alias("_low"))
+    filled = grid.join(F.broadcast(low)).withColumn("_empty", F.col(value).isNull()).withColumn(value, F.coalesce(F.col(value), F.col("_low"))).drop("_low")  # one row
     high = neighbours(filled, 1, value, rows, cols, reflect=True).groupBy("row", "col").agg(F.max("v").alias("h"))
     closed = neighbours(high, 1, "h", rows, cols, reflect=True).groupBy("row", "col").agg(F.min("v").alias("c"))
     kernel = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-2, 3)]
@@ -185,4 +186,4 @@ def fill_no_data(grid: DataFrame, value: str = "z", no_data: float = -1e6) -> Da
     """Missing and impossible values become the least valid one of the grid."""
     good = F.when(F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) > no_data), F.col(value))
     low = grid.agg(F.min(good).alias("_low"))
-    return grid.crossJoin(F.broadcast(low)).withColumn(value, F.coalesce(good, F.col("_low"))).drop("_low")  # one row
+    return grid.join(F.broadcast(low)).withColumn(value, F.coalesce(good, F.col("_low"))).drop("_low")  # one row

@@ -36,6 +36,68 @@ def azel(body_km: list[Column], lon: Column, lat: Column, radius_m: Column | flo
     return pmod(F.degrees(F.atan2(dot(east), dot(north))), 360.0), F.degrees(F.asin(dot(up) / distance)), F.degrees(F.asin(F.lit(r_km) / distance))
 
 
+def window_lonlat(row: Column, col: Column, origin_x: float, origin_y: float, pixels: int, out_pixels: int, radius: float) -> tuple[Column, Column]:
+    """Longitude and latitude (radians) of the centre of a cell of a window of ``pixels`` map metres around an origin, row 0
+    in the north; the window's edges are whole metres. Map x = radius * lon, y = radius * lat."""
+    west, north, step = np.floor(origin_x) - pixels // 2, np.ceil(origin_y) + pixels // 2, pixels / out_pixels
+    return (F.lit(float(west)) + (col + 0.5) * step) / radius, (F.lit(float(north)) - (row + 0.5) * step) / radius
+
+
+def source_pixel(lon: Column, lat: Column, radius: float, lat_ts_deg: float, west: float, north: float, pixel_m: float) -> tuple[Column, Column]:
+    """Row and column of the pixel of an equirectangular image, with a latitude of true scale, that holds a place (radians)."""
+    x = F.lit(radius) * F.cos(F.radians(F.lit(lat_ts_deg))) * lon
+    return F.floor((F.lit(north) - F.lit(radius) * lat) / pixel_m).cast("int"), F.floor((x - west) / pixel_m).cast("int")
+
+
+def site_shift(lon_deg: Column, lat_deg: Column, height: Column, origin_x: float, origin_y: float, origin_z: float, radius: float) -> Column:
+    """``struct<east, north, up>`` in metres from a site's map origin to a place."""
+    lat = origin_y / radius
+    east = F.lit(radius * float(np.cos(lat))) * (F.radians(lon_deg) - F.lit(origin_x / radius))
+    return F.struct(east.alias("east"), (F.lit(radius) * (F.radians(lat_deg) - F.lit(lat))).alias("north"), (height - origin_z).alias("up"))
+
+
+def depth_m(areal_g_cm2: Column, density_g_cm3: float) -> Column:
+    """Metres of cover with an areal density."""
+    return areal_g_cm2 / density_g_cm3 / 100.0
+
+
+def shielding_points(values: DataFrame, density_g_cm3: float) -> DataFrame:
+    """``series, depth_m, factor`` from ``values(series, areal, value)``: values relative to that of no cover (the one with
+    the least areal density of its series), to 4 and 3 decimals."""
+    base = values.groupBy("series").agg(F.min_by("value", "areal").alias("_base"))
+    return values.join(base, "series").select("series", F.round(depth_m(F.col("areal"), density_g_cm3), 4).alias("depth_m"), F.round(F.col("value") / F.col("_base"), 3).alias("factor"))
+
+
+def shielded_ranges(points: DataFrame, low: float, high: float) -> DataFrame:
+    """``series, depth_m, low, high, rises``: a raster's range under each stated cover, and whether the series' factor ever
+    rises with depth. A series is a handful of cited points."""
+    from pyspark.sql import Window
+
+    before = F.lag("factor").over(Window.partitionBy("series").orderBy("depth_m"))
+    rises = F.max(F.coalesce(F.col("factor") > F.col("_b"), F.lit(False))).over(Window.partitionBy("series"))
+    return points.withColumn("_b", before).select("series", "depth_m", (F.lit(low) * F.col("factor")).alias("low"), (F.lit(high) * F.col("factor")).alias("high"), rises.alias("rises"))
+
+
+def site_azimuth(true_deg: Column, lon_deg: Column) -> Column:
+    """An azimuth from the site's +y, from the true one."""
+    return pmod(true_deg + lon_deg, 360.0)
+
+
+def sample_clock(i: Column, start: str, step_hours: int) -> Column:
+    """The UTC time of the i-th sample, as ISO text."""
+    return F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(start), "yyyy-MM-dd") + i * (step_hours * 3600)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def sky_series(samples: DataFrame) -> DataFrame:
+    """``body, samples, radius, json``: each body's series in order as one JSON text, rounded as published: azimuths (of the
+    site) and elevations to 2, visible shares to 3 decimals. ``samples(body, i, az, el, radius, visible)``; a series is what
+    one file holds."""
+    listed = F.array_sort(F.collect_list(F.struct("i", F.round("az", 2).alias("az"), F.round("el", 2).alias("el"), F.round("visible", 3).alias("v"))))
+    folded = samples.groupBy("body").agg(F.count("*").alias("samples"), F.round(F.avg("radius"), 3).alias("radius"), listed.alias("l"))
+    json = F.to_json(F.struct(F.transform("l", lambda s: s["az"]).alias("az_site_deg"), F.transform("l", lambda s: s["el"]).alias("el_deg"), F.transform("l", lambda s: s["v"]).alias("visible_fraction")))
+    return folded.select("body", "samples", "radius", json.alias("json"))
+
+
 def tan_elevation(q0: Column, r0: Column, d: Column, x: Column, y: Column, z: Column, radius: float = R) -> Column:
     """Tangent of the elevation, on a sphere, of ground at map x, y and height z, seen over the chord d."""
     q = 1 + (x * x + y * y) / (4 * radius * radius)

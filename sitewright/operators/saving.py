@@ -10,9 +10,14 @@ from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` by way of Parquet in the folder of ``spark.checkpoint.dir`` (a temporary one where that is unset)."""
+    """``df`` by way of Parquet in the folder of ``spark.checkpoint.dir``. Where that is unset and the master is local, a
+    temporary folder takes its place; on a cluster that is an error."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "sitewright-rounds")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = os.path.join(tempfile.gettempdir(), "sitewright-rounds")
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(f"{root}/rounds-{spark.sparkContext.applicationId}")
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -9,10 +9,14 @@ from .. import config
 from ..functions.maths import dot, sigmoid, unit
 
 
-def centroids(members: DataFrame, label: str, vector: str, dim: int) -> DataFrame:
-    """``label, centroid, size``: means by component, one aggregate row per cluster and no exploding of vectors."""
-    means = F.array(*[F.avg(F.col(vector)[i].cast("double")) for i in range(dim)])
-    return members.groupBy(label).agg(means.alias("centroid"), F.count("*").alias("size"))
+def centroids(members: DataFrame, label: str, vector: str) -> DataFrame:
+    """``label, centroid, size``: means of vectors by one aggregate with partial sums, of any length."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    vectors = members.select(label, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("_v"))
+    means = vectors.groupBy(label).agg(Summarizer.mean(F.col("_v")).alias("_m"), F.count("*").alias("size"))
+    return means.select(label, vector_to_array("_m").alias("centroid"), "size")
 
 
 def relevancy(vector: Column, query: Column, negatives: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import numbered
+
 # Fixed patterns of the request language, matched on trimmed lower-case text, in this order.
 HELP = r"\b(help|what can you do|commands)\b"
 RENDER = r"\b(render|picture|image|concept|visuali[sz]e|imagine|look like|draw)\b"
@@ -100,6 +102,68 @@ def destination_kind(to: Column, pin: Column) -> Column:
     )
 
 
+def resolve_destinations(requests: DataFrame, user_pins: DataFrame, sites: DataFrame, selected: DataFrame, pins: DataFrame) -> DataFrame:
+    """``request_id, rule, x, y, label`` of each destination phrase in ``requests(request_id, scene_id, to)``.
+
+    The first rule that takes the phrase decides (``destination_kind``), and may find nothing: then x, y and label are
+    null. ``user_pins(scene_id, n, note, mine, x, y)``, ``sites(scene_id, rank, x, y)``, ``selected(scene_id, x, y, label)``,
+    ``pins(scene_id, pos, name, x, y)``: of science pins whose name is in the phrase, or the phrase in it, the first counts.
+    All are joined by scene, and reduced to a row a request.
+    """
+    asked = requests.join(find_user_pin(requests, user_pins), "request_id").withColumn("t", F.lower(F.trim("to")))
+    asked = asked.withColumns({"rule": destination_kind(F.col("to"), F.col("pin")), "number": _group(F.col("t"), r"\bsite\s*#?(\d+)").try_cast("int"), "at": coordinates(F.col("t"))})
+    own = user_pins.select("scene_id", F.col("n").alias("pin"), F.col("x").alias("ux"), F.col("y").alias("uy"), F.col("note").alias("unote"))
+    ranked = sites.select("scene_id", F.col("rank").alias("number"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    chosen = selected.select("scene_id", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("label").alias("clabel"))
+    named = asked.filter("rule = 'science_pin'").select("request_id", "scene_id", "t").join(pins, "scene_id").withColumn("low", F.lower("name"))
+    named = named.filter(F.contains("t", "low") | F.contains("low", "t")).groupBy("request_id").agg(F.min_by(F.struct("name", "x", "y"), "pos").alias("science"))
+    all_ = asked.join(own, ["scene_id", "pin"], "left").join(ranked, ["scene_id", "number"], "left").join(chosen, "scene_id", "left").join(named, "request_id", "left")
+    spot = lambda x, y, label: F.when(x.isNotNull(), F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), label.alias("label")))
+    c, whole = F.col, lambda v: F.regexp_replace(v.cast("string"), r"\.0$", "")
+    place = (
+        F.when(c("rule") == "user_pin", spot(c("ux"), c("uy"), c("unote"))).when(c("rule") == "site", spot(c("sx"), c("sy"), F.concat(F.lit("Site "), c("number").cast("string"))))
+        .when(c("rule") == "selected", spot(c("cx"), c("cy"), c("clabel"))).when(c("rule") == "home", spot(F.lit(0.0), F.lit(0.0), F.lit("the start point")))
+        .when(c("rule") == "coordinates", spot(c("at.x"), c("at.y"), F.concat(F.lit("("), whole(c("at.x")), F.lit(", "), whole(c("at.y")), F.lit(") m"))))
+        .otherwise(spot(c("science.x"), c("science.y"), c("science.name")))
+    )
+    return all_.withColumn("p", place).select("request_id", "rule", "p.x", "p.y", "p.label")
+
+
+def rounded_metres(x: Column) -> Column:
+    return F.format_string("%.0f", x)
+
+
+def scene_facts(scenes: DataFrame, pins: DataFrame, sites: DataFrame, modules: DataFrame, most: int = 15_000) -> DataFrame:
+    """``scene_id, facts``: what is known of each scene, as lines in a fixed order, cut at ``most`` characters.
+
+    ``scenes(scene_id, body, title, width, depth, resolution, z_min, z_max, sources array<string>)``, ``pins(scene_id, pos,
+    name, x, y, summary, measurements array<struct<label, value>>)``, ``sites(scene_id, rank, x, y, grade)``,
+    ``modules(scene_id, pos, kind, author, x, y, score)``. Each kind of row becomes lines by itself; one aggregate joins
+    them, so a scene without pins, sites or modules says so and no table is joined to another.
+    """
+    line = lambda a, b, *parts: F.struct(F.lit(a).alias("a"), b.cast("long").alias("b"), F.lit(0).alias("c"), F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]).alias("line"))
+    spot, n0 = lambda: F.concat(F.lit("("), rounded_metres(F.col("x")), F.lit(", "), rounded_metres(F.col("y")), F.lit(") m")), F.lit(0)
+    text = lambda c: F.col(c).cast("string")
+    head = scenes.select("scene_id", F.explode(F.array(
+        line(0, n0, "Body: ", text("body"), ". Site: ", text("title"), "."),
+        line(1, n0, "Terrain window: ", text("width"), " m by ", text("depth"), " m at ", text("resolution"), " m per pixel; elevation from ", text("z_min"), " m to ", text("z_max"), " m relative to the site origin."),
+        line(2, n0, "Sources: ", F.array_join("sources", "; "), "."),
+        line(9, n0, "Coordinates are meters east and north of the site origin."),
+    )).alias("l"))
+    of_pin = pins.select("scene_id", line(3, F.col("pos"), 'Science pin "', text("name"), '" at ', spot(), ": ", text("summary")).alias("l"))
+    cited = pins.select("scene_id", "pos", F.posexplode("measurements").alias("i", "m"))
+    cited = cited.select("scene_id", F.struct(F.lit(3).alias("a"), F.col("pos").cast("long").alias("b"), (F.col("i") + 1).alias("c"), F.concat(F.lit("  Cited measurement: "), F.col("m.label"), F.lit(": "), F.col("m.value").cast("string")).alias("line")).alias("l"))
+    of_site = sites.select("scene_id", line(4, F.col("rank"), "Best site ", text("rank"), ": ", spot(), ", grade ", text("grade"), " of 100 (computed by the app).").alias("l"))
+    score = F.coalesce(F.concat(F.lit(": "), F.col("score")), F.lit(": no score recorded"))
+    of_module = modules.select("scene_id", line(6, F.col("pos"), "  ", text("pos"), ". ", F.regexp_replace("kind", "_", " "), " by ", text("author"), " at ", spot(), score, ".").alias("l"))
+    none = lambda rows, a, said: scenes.select("scene_id").join(rows.select("scene_id").distinct(), "scene_id", "left_anti").select("scene_id", line(a, n0, said).alias("l"))
+    counted = modules.groupBy("scene_id").agg(F.count("*").alias("n")).select("scene_id", line(5, n0, "Modules built in the shared session (", text("n"), "):").alias("l"))
+    lines = head.unionByName(of_pin).unionByName(cited).unionByName(of_site).unionByName(of_module).unionByName(counted)
+    lines = lines.unionByName(none(pins, 3, "No science pins, so no cited measurements in this scene.")).unionByName(none(modules, 5, "Nobody has built a module in the shared session yet."))
+    known = lines.join(scenes.select("scene_id"), "scene_id", "left_semi").select("scene_id", F.struct("l.a", "l.b", "l.c").alias("seq"), "l.line")
+    return fact_lines(known, most)
+
+
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
@@ -128,7 +192,7 @@ def citation(text: Column) -> Column:
 
 def other_model_note(cite: Column, theirs: Column, ours: Column) -> Column:
     """A note where a second model's factor differs by 0.1 or more."""
-    two = lambda x: F.format_number(x, "0.00")
+    two = lambda x: F.format_string("%.2f", x.cast("double"))
     return F.when(F.abs(theirs - ours) >= 0.1, F.concat(F.lit("An older model ("), citation(cite), F.lit(") gives × "), two(theirs), F.lit(" at this depth, not × "), two(ours), F.lit(".")))
 
 
@@ -149,15 +213,15 @@ def sign_in(people: DataFrame, codes: DataFrame) -> DataFrame:
     return people.join(codes, (F.col("wanted") == F.col("org_id")) & (F.trim("entered") == F.col("code")), "left_semi")
 
 
-def cited_answer(pins: DataFrame) -> DataFrame:
+def cited_answer(pins: DataFrame, save) -> DataFrame:
     """Measurements with numbered sources: urls are numbered as they come first, by pin and place in its list.
 
     ``pins(pin_id, measurements array<struct<label, value, source_url>>)``; pins without measurements give no rows.
     """
     each = pins.select("pin_id", F.posexplode("measurements").alias("pos", "m"))
     first = each.groupBy(F.col("m.source_url").alias("url")).agg(F.min(F.struct("pin_id", "pos")).alias("at"))
-    numbered = first.withColumn("source_no", F.row_number().over(Window.orderBy("at")))  # one row per source
-    return each.join(numbered.drop("at"), F.col("m.source_url") == F.col("url")).select("pin_id", "pos", "m.label", "m.value", "source_no", "url")
+    sources = numbered(first, ["at"], "source_no", save)
+    return each.join(sources.drop("at"), F.col("m.source_url") == F.col("url")).select("pin_id", "pos", "m.label", "m.value", "source_no", "url")
 
 
 def fact_lines(lines: DataFrame, most: int = 15_000) -> DataFrame:

@@ -1,6 +1,6 @@
 """Queries over the fixture tables, by area; importing this registers them."""
 
-from . import grids, live, sites
+from . import grids, live, more, sites
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "grids", "live", "sites"]
+__all__ = ["ORACLE_SQL", "QUERIES", "grids", "live", "more", "sites"]

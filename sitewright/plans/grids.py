@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.maths import r4 as rounded
-from ..functions.maths import share_rank, upper_median
+from ..functions.maths import value_at_rank
 from ..operators import cloud, graph, grid, registration
 from ..operators.saving import saved
 from .registry import CELL, N, POINTS, TERRAIN, points, query, r4, terrain
@@ -75,8 +75,8 @@ SELECT ok, ln, count(*) AS n, {r4('sum(CASE WHEN hi > lo THEN least(1e0, greates
 FROM ({POINTS}) JOIN e ON series = ok % 50 GROUP BY 1, 2""")
 def _(spark, t):
     p = points(t).withColumn("series", F.col("ok") % 50)
-    zs = F.collect_list("z")
-    ends = p.groupBy("series").agg(zs.alias("zs")).select("series", share_rank(F.col("zs"), 0.02).alias("lo"), share_rank(F.col("zs"), 0.98).alias("hi"))
+    rank = lambda share: lambda n: F.least(F.floor(n * F.lit(share)), n - F.lit(1))
+    ends = value_at_rank(p, ["series"], "z", {"lo": rank(0.02), "hi": rank(0.98)}).drop("n")
     v = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("z") - F.col("lo")) / (F.col("hi") - F.col("lo"))))).otherwise(0.5)
     return p.join(ends, "series").groupBy("ok", "ln").agg(F.count("*").alias("n"), rounded(F.sum(v)).alias("v"))
 
@@ -245,16 +245,15 @@ def _(spark, t):
     return s.select("row", "col", *[rounded(F.col(c)).alias(c) for c in ("max", "min", "mean")])
 
 
-M = 25
-SMALL = f"SELECT row, col, z FROM ({TERRAIN}) WHERE row < {M} AND col < {M} AND (row * 5 + col) % 3 <> 0"
+SPARSE = f"SELECT row, col, z FROM ({TERRAIN}) WHERE (row * 5 + col) % 3 <> 0"
 
 
-@query("win02_window_median", f"""WITH g AS ({SMALL}), a AS (SELECT CAST(r.range AS INT) AS row, CAST(c.range AS INT) AS col FROM range({M}) r, range({M}) c),
+@query("win02_window_median", f"""WITH g AS ({SPARSE}), a AS (SELECT CAST(r.range AS INT) AS row, CAST(c.range AS INT) AS col FROM range({N}) r, range({N}) c),
 k AS (SELECT a.row, a.col, b.z - 2e1 AS v FROM a JOIN g b ON abs(a.row - b.row) <= 7 AND abs(a.col - b.col) <= 7)
 SELECT row, col, {r4('list_sort(list_concat(list(v), list_transform(range(225 - count(*)), lambda q: 0e0)))[113]')} AS median FROM k GROUP BY 1, 2""")
 def _(spark, t):
-    small = terrain(spark).filter(f"row < {M} and col < {M} and (row * 5 + col) % 3 <> 0").withColumn("z", F.col("z") - 20.0)
-    m = grid.window_median(small, M, M)
+    sparse = terrain(spark).filter("(row * 5 + col) % 3 <> 0").withColumn("z", F.col("z") - 20.0)
+    m = grid.window_median(sparse, N, N)
     return m.select("row", "col", rounded(F.col("median")).alias("median"))
 
 
@@ -263,30 +262,30 @@ MIRROR = lambda i, n: f"CASE WHEN {i} < 0 THEN -1 - ({i}) WHEN {i} >= {n} THEN {
 
 def _fill_sql(src: str, reach: int, least: int) -> str:
     return f"""SELECT g.row, g.col, coalesce(g.z, CASE WHEN m.n >= {least} THEN m.m END) AS z FROM {src} g JOIN (
-  SELECT a.row, a.col, count(b.z) AS n, avg(b.z) AS m FROM (SELECT row, col, {MIRROR('row + dr', M)} AS r, {MIRROR('col + dc', M)} AS c FROM {src},
+  SELECT a.row, a.col, count(b.z) AS n, avg(b.z) AS m FROM (SELECT row, col, {MIRROR('row + dr', N)} AS r, {MIRROR('col + dc', N)} AS c FROM {src},
     (SELECT CAST(range AS INT) - {reach} AS dr FROM range({2 * reach + 1})) u, (SELECT CAST(range AS INT) - {reach} AS dc FROM range({2 * reach + 1})) v) a
   JOIN {src} b ON b.row = a.r AND b.col = a.c GROUP BY 1, 2) m USING (row, col)"""
 
 
-HOLED = f"SELECT row, col, CASE WHEN (row * 5 + col * 3) % 4 = 0 OR (row > 8 AND row < 13 AND col > 8 AND col < 14) THEN NULL ELSE z END AS z FROM ({TERRAIN}) WHERE row < {M} AND col < {M}"
+HOLED = f"SELECT row, col, CASE WHEN (row * 5 + col * 3) % 4 = 0 OR (row > 8 AND row < 13 AND col > 8 AND col < 14) THEN NULL ELSE z END AS z FROM ({TERRAIN})"
 
 
 def holed(spark):
-    return terrain(spark).filter(f"row < {M} and col < {M}").selectExpr("row", "col", "CASE WHEN (row * 5 + col * 3) % 4 = 0 OR (row > 8 AND row < 13 AND col > 8 AND col < 14) THEN NULL ELSE z END AS z")
+    return terrain(spark).selectExpr("row", "col", "CASE WHEN (row * 5 + col * 3) % 4 = 0 OR (row > 8 AND row < 13 AND col > 8 AND col < 14) THEN NULL ELSE z END AS z")
 
 
 @query("win03_bridge_holes", f"WITH g AS ({HOLED}), a AS ({_fill_sql('g', 1, 5)}), b AS ({_fill_sql('a', 1, 5)}) SELECT row, col, {r4('z')} AS z FROM b")
 def _(spark, t):
-    return grid.bridge_holes(holed(spark), M, M).select("row", "col", rounded(F.col("z")).alias("z"))
+    return grid.bridge_holes(holed(spark), N, N).select("row", "col", rounded(F.col("z")).alias("z"))
 
 
 @query("win06_box_fill", f"WITH g AS ({HOLED}), a AS ({_fill_sql('g', 3, 12)}), b AS ({_fill_sql('a', 3, 12)}) SELECT row, col, {r4('z')} AS z FROM b")
 def _(spark, t):
-    return grid.box_fill(holed(spark), M, M).select("row", "col", rounded(F.col("z")).alias("z"))
+    return grid.box_fill(holed(spark), N, N).select("row", "col", rounded(F.col("z")).alias("z"))
 
 
 def _mirrored(src: str, value: str, reach: int) -> str:
-    return f"""SELECT a.row, a.col, a.dr, a.dc, b.{value} AS v FROM (SELECT row, col, dr, dc, {MIRROR('row + dr', M)} AS r, {MIRROR('col + dc', M)} AS c FROM {src},
+    return f"""SELECT a.row, a.col, a.dr, a.dc, b.{value} AS v FROM (SELECT row, col, dr, dc, {MIRROR('row + dr', N)} AS r, {MIRROR('col + dc', N)} AS c FROM {src},
   (SELECT CAST(range AS INT) - {reach} AS dr FROM range({2 * reach + 1})) u, (SELECT CAST(range AS INT) - {reach} AS dc FROM range({2 * reach + 1})) w) a JOIN {src} b ON b.row = a.r AND b.col = a.c"""
 
 
@@ -297,7 +296,7 @@ k AS (SELECT sum(exp(-(d * d) / 72e-2)) AS t FROM (SELECT CAST(range AS DOUBLE)
 s AS (SELECT row, col, sum(v * (exp(-CAST(dr * dr AS DOUBLE) / 72e-2) / t) * (exp(-CAST(dc * dc AS DOUBLE) / 72e-2) / t)) AS s FROM ({_mirrored('c', 'c', 2)}), k GROUP BY 1, 2)
 SELECT row, col, {r4('CASE WHEN NOT empty THEN s END')} AS z FROM g JOIN s USING (row, col)""")
 def _(spark, t):
-    return grid.close_and_smooth(holed(spark), M, M).select("row", "col", rounded(F.col("z")).alias("z"))
+    return grid.close_and_smooth(holed(spark), N, N).select("row", "col", rounded(F.col("z")).alias("z"))
 
 
 FACTOR = 4
@@ -358,7 +357,9 @@ def _(spark, t):
     return s.select("dr", "dc", rounded(F.col("r")).alias("r"), "n")
 
 
-@query("join20_best_shift", "SELECT 3 AS dr, -2 AS dc")
+@query("join20_best_shift", f"""WITH s AS (SELECT dr, dc, corr(a.value, b.value) AS r, count(*) AS n FROM ({MOVED}) a, (SELECT CAST(range AS INT) - 4 AS dr FROM range(9)) u, (SELECT CAST(range AS INT) - 4 AS dc FROM range(9)) v,
+  ({RASTER}) b WHERE b.row = a.row + dr AND b.col = a.col + dc AND a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT dr, dc, r FROM s WHERE n >= 5e-2 * (SELECT max(n) FROM s) ORDER BY r DESC, dr, dc LIMIT 1) SELECT dr, dc FROM m WHERE abs(dr) < 4 AND abs(dc) < 4 AND r >= 3e-1""")
 def _(spark, t):
     moved = terrain(spark).filter("(row + col) % 5 <> 0").selectExpr("row - 3 AS row", "col + 2 AS col", "z * 2e0 + 1e0 AS value")
     return registration.best_shift(registration.shift_search(moved, raster(spark), 4), 4).select("dr", "dc")
@@ -398,4 +399,4 @@ def _(spark, t):
 
 @query("medians_upper", f"SELECT ok % 100 AS series, list_sort(list(z))[count(*) // 2 + 1] AS m FROM ({POINTS}) GROUP BY 1")
 def _(spark, t):
-    return points(t).groupBy((F.col("ok") % 100).alias("series")).agg(upper_median(F.collect_list("z")).alias("m"))
+    return value_at_rank(points(t).withColumn("series", F.col("ok") % 100), ["series"], "z", cloud.UPPER_MEDIAN).drop("n")

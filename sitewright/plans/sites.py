@@ -26,10 +26,9 @@ s AS (SELECT label, count(*) AS size FROM embeddings GROUP BY 1)"""
 
 def _scored(t):
     members = t.embeddings
-    dim = members.select(F.size("embedding").alias("n")).first().n
     asked = members.filter("vec_id < 5").select("vec_id", search.unit(F.col("embedding")).alias("v"))
     asked = asked.agg(F.first(F.when(F.col("vec_id") == 0, F.col("v")), ignorenulls=True).alias("q"), F.collect_list(F.when(F.col("vec_id") > 0, F.col("v"))).alias("negatives"))
-    clusters = search.centroids(members, "label", "embedding", dim).join(F.broadcast(asked))  # one row
+    clusters = search.centroids(members, "label", "embedding").join(F.broadcast(asked))  # one row
     scored = clusters.select("label", "size", search.relevancy(F.col("centroid"), F.col("q"), F.col("negatives")).alias("relevancy"))
     return search.z_scores(scored, "relevancy")
 
@@ -141,14 +140,14 @@ def _(spark, t):
     return text.fact_lines(rows, 40)
 
 
-@query("txt14_cited_answer", """WITH m AS (SELECT l_orderkey AS pin_id, list({'label': l_returnflag, 'value': CAST(l_quantity AS INT), 'source_url': 'u' || l_suppkey} ORDER BY l_linenumber, l_partkey, l_suppkey) AS ms FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1),
+@query("txt14_cited_answer", """WITH m AS (SELECT l_orderkey AS pin_id, list({'label': l_returnflag, 'value': CAST(l_quantity AS INT), 'source_url': 'u' || l_suppkey} ORDER BY l_linenumber, l_partkey, l_suppkey) AS ms FROM lineitem GROUP BY 1),
 e AS (SELECT pin_id, unnest(ms) AS m, generate_subscripts(ms, 1) - 1 AS pos FROM m), f AS (SELECT m.source_url AS url, min((pin_id, pos)) AS spot FROM e GROUP BY 1), n AS (SELECT url, row_number() OVER (ORDER BY spot) AS source_no FROM f)
 SELECT pin_id, CAST(pos AS INT) AS pos, m.label AS label, m.value AS value, CAST(source_no AS INT) AS source_no, url FROM e JOIN n ON m.source_url = url""")
 def _(spark, t):
     one = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_returnflag").alias("label"), F.col("l_quantity").cast("int").alias("value"))
-    pins = t.lineitem.filter("l_orderkey % 50 = 0").groupBy(F.col("l_orderkey").alias("pin_id")).agg(F.array_sort(F.collect_list(one)).alias("ms"))
+    pins = t.lineitem.groupBy(F.col("l_orderkey").alias("pin_id")).agg(F.array_sort(F.collect_list(one)).alias("ms"))
     pins = pins.withColumn("measurements", F.transform("ms", lambda m: F.struct(m["label"].alias("label"), m["value"].alias("value"), F.concat(F.lit("u"), m["l_suppkey"].cast("string")).alias("source_url"))))
-    return text.cited_answer(pins)
+    return text.cited_answer(pins, saved).withColumn("source_no", F.col("source_no").cast("int"))
 
 
 # --- sites ------------------------------------------------------------------------------------------------------------
@@ -188,7 +187,7 @@ def _pins(t):
 
 @query("join06_nearest_pin", f"SELECT id, arg_min(name, (d, name)) AS pin, {r4('min(d)')} AS distance FROM (SELECT s.id, p.name, sqrt((s.x - p.x) * (s.x - p.x) + (s.y - p.y) * (s.y - p.y)) AS d FROM ({PLACED}) s, ({PINS}) p) GROUP BY 1")
 def _(spark, t):
-    return score.nearest_pin(sites(t), ["id"], _pins(t)).withColumn("distance", rounded(F.col("distance")))
+    return score.nearest_pin(sites(t), ["id"], _pins(t), saved).withColumn("distance", rounded(F.col("distance")))
 
 
 @query("join07_within", f"SELECT s.id AS a, p.name AS b FROM ({PLACED}) s JOIN ({PINS}) p ON sqrt((s.x - p.x) * (s.x - p.x) + (s.y - p.y) * (s.y - p.y)) <= 75")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.tables import latest
+from ..operators.tables import latest, numbered
 
 
 def throttled(events: DataFrame, key: list[str], ts: str, every: str, columns: list[str]) -> DataFrame:
@@ -76,19 +76,88 @@ def training_steps(lines: DataFrame) -> DataFrame:
     return got.select(F.regexp_extract("value", pattern, 1).cast("long").alias("step"), F.regexp_extract("value", pattern, 2).try_cast("double").alias("loss"))
 
 
-def upserted(stream: DataFrame, path: str, key: list[str], order: list[str], checkpoint: str, also: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Fold a stream into the table of the latest row by key, a version per batch under ``path/v=<batch>``.
+def with_auto_ids(rows: DataFrame, scope: list[str], order: list[str], save) -> DataFrame:
+    """``rows`` with ``id``, from 1 in each scope by ``order``: numbers over all, less those before the scope, so that a scope
+    with most of the rows is not one task."""
+    all_ = save(numbered(rows, [*scope, *order], "_n", save))
+    first = all_.groupBy(*scope).agg(F.min("_n").alias("_first"))
+    return all_.join(save(first), scope).withColumn("id", F.col("_n") - F.col("_first") + 1).drop("_n", "_first")
 
-    A batch reads the newest version before its own and writes its own, so a batch that is run again gives the same.
-    ``also`` gets each new version, as a subscription's snapshot does.
+
+def replayed(log: DataFrame, pending: DataFrame, key: list[str], seq: str) -> DataFrame:
+    """The log with what was pending while offline: rows that were sent twice count once, the first of each key."""
+    return first_of_id(log.unionByName(pending), key, seq)
+
+
+def peer_cursors(cursors: DataFrame, users: DataFrame, me) -> DataFrame:
+    """Cursors of people who are online, without one's own, with their names."""
+    online = users.filter("online").drop("online")
+    return cursors.filter(F.col("identity") != F.lit(me)).join(online, "identity")
+
+
+BUCKETS = 64
+
+
+def _versions(spark, path: str) -> list[tuple[int, int]] | None:
+    """(bucket, version) of what a table has; None before the first."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return None
+    names = [(s.getPath().getParent().getName(), s.getPath().getName()) for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/bucket=*/v=*"))]
+    return [(int(b.removeprefix("bucket=")), int(v.removeprefix("v="))) for b, v in names] or None
+
+
+def _parts(spark, path: str, schema, chosen: list[tuple[int, int]]) -> DataFrame:
+    if not chosen:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/bucket={b}/v={v}" for b, v in chosen])
+
+
+def _newest(versions, before: int | None = None) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for b, v in versions or []:
+        if before is None or v < before:
+            out[b] = max(v, out.get(b, -1))
+    return out
+
+
+def current(spark, path: str, schema) -> DataFrame:
+    """The table that ``upserted`` keeps: the newest version of each bucket."""
+    return _parts(spark, path, schema, sorted(_newest(_versions(spark, path)).items()))
+
+
+def upserted(
+    stream: DataFrame, path: str, key: list[str], order: list[str], checkpoint: str, also: Callable[[DataFrame], None] | None = None, keep: DataFrame | None = None
+) -> StreamingQuery:
+    """Fold a stream into the table of the latest row by key, in ``BUCKETS`` buckets of keys under ``path``.
+
+    A batch rewrites only the buckets its keys are in, as version ``bucket=<b>/v=<batch>``, from the newest version before
+    its own, so a batch that is run again gives the same. Versions that no batch can need again are removed. ``also`` gets
+    the table after each batch, as a subscription's snapshot does; ``keep``, a table of scenes, filters it by ``scene_id``.
     """
+    schema = stream.schema
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if number > 0:
-            batch = spark.read.schema(batch.schema).parquet(f"{path}/v={number - 1}").unionByName(batch)
-        latest(batch, key, order).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v={number}")
+        bucket = F.pmod(F.xxhash64(*key), F.lit(BUCKETS))
+        rows = batch.withColumn("bucket", bucket).persist()
+        try:
+            touched = sorted(r.bucket for r in rows.select("bucket").distinct().collect())  # at most BUCKETS
+            versions = _versions(spark, path)
+            before = _newest(versions, number)
+            old = _parts(spark, path, schema, [(b, before[b]) for b in touched if b in before])
+            folded = latest(old.unionByName(rows.drop("bucket")), key, order).select(*schema.names).withColumn("bucket", bucket).withColumn("v", F.lit(number))
+            folded.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(path)
+        finally:
+            rows.unpersist()
+        fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        for b, v in versions or []:
+            if b in before and v < before[b]:
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}/v={v}"), True)
         if also:
-            also(spark.read.parquet(f"{path}/v={number}"))
+            now = current(spark, path, schema)
+            also(now if keep is None else now.join(keep.select("scene_id"), "scene_id", "left_semi"))
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

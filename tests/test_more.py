@@ -1,0 +1,220 @@
+"""Operators of frames, layers, requests and numbering: golden cases, closed forms and brute force."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sitewright import plans
+from sitewright.operators import cloud, frames, layers, score, search, tables, text
+from sitewright.operators.saving import saved
+from sitewright.sources import records
+from sitewright.streaming import state
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_pin_wording(spark):
+    pins = spark.createDataFrame([("s", 1, "north", True), ("s", 2, "North outcrop", False), ("s", 3, "sample spot", True), ("s", 4, "Ada's rock", False)], "scene_id string, n long, note string, mine boolean")
+    want = {"pin 2": 2, "pin #4": 4, "pin 9": None, "my last pin": 3, "the north outcrop": 2, "site 2": None, "home": None, "sample spot": 3}
+    asked = spark.createDataFrame([(k, "s", k) for k in want], "request_id string, scene_id string, to string")
+    assert {r.request_id: r.pin for r in text.find_user_pin(asked, pins).collect()} == want
+    assert text.find_user_pin(asked.filter("to = 'my last pin'"), pins.limit(0)).first().pin is None
+    latest = spark.createDataFrame([("r", "s", "the latest pin")], "request_id string, scene_id string, to string")
+    assert text.find_user_pin(latest, pins.filter("n <= 2")).first().pin == 1
+    notes = {"add a pin here": "", "Add a pin here as sample spot.": "sample spot", 'pin this spot as "layered rock"': "layered rock", "drop a pin called Camp 1": "Camp 1", "drive to pin 2": None, "pin 2": None, "place a habitat at site 1": None}
+    got = spark.createDataFrame([(k,) for k in notes], "t string").select("t", text.pin_request(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in got} == notes
+
+
+def test_short_sources(spark):
+    want = {"orbital, 18 m/px; moved 198 m west": "orbital, 18 m/px", "Paper X, https://doi.org/10.1/abc": "Paper X", None: "not stated", "": "not stated", "word " * 30: "word " * 12 + "word…"}
+    got = spark.createDataFrame([(k,) for k in want], "t string").select("t", text.short_source(F.col("t")).alias("s")).collect()
+    short = {r.t: r.s for r in got}
+    assert all(short[k] == v for k, v in want.items() if k is None or len(k) < 60)
+    long = short["word " * 30]
+    assert long.endswith("…") and len(long) <= 65 and not long[:-1].endswith(" ")
+
+
+def test_patched_columns(spark):
+    layer = spark.createDataFrame([(i, i * 2, i * 3) for i in range(20)], "idx long, a int, b int")
+    values = spark.createDataFrame([(i, -i) for i in range(15)], "idx long, a int")
+    once = records.patched(layer, "a", values)
+    assert once.columns == layer.columns and {(r.idx, r.a, r.b) for r in once.collect()} == {(i, -i if i < 15 else None, i * 3) for i in range(20)}
+    assert sorted(map(tuple, records.patched(once, "a", values).collect())) == sorted(map(tuple, once.collect()))
+
+
+def test_manifest_upsert(spark, tmp_path):
+    spark.createDataFrame([("a", 1), ("b", 2)], "name string, v int").write.parquet(str(tmp_path / "old"))
+    records.upsert_manifest(spark, str(tmp_path / "old"), spark.createDataFrame([("b", 3), ("c", 4)], "name string, v int"), "name", str(tmp_path / "new"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "new")).collect())) == [("a", 1), ("b", 3), ("c", 4)]
+
+
+def test_prepared_answer(spark):
+    rows = spark.createDataFrame([("Layered Rocks ", 1), ("dunes", 2)], "text string, n int")
+    assert [r.n for r in records.prepared_answer(rows, F.lit(" layered rocks")).collect()] == [1]
+
+
+def test_destinations_of_each_rule(spark):
+    asked = spark.createDataFrame([(k, "s", k) for k in ("pin 1", "site 2", "site 9", "the module", "back", "12.5, -4", "near old crater", "zzz")], "request_id string, scene_id string, to string")
+    own = spark.createDataFrame([("s", 1, "camp", True, 7.0, 8.0)], "scene_id string, n long, note string, mine boolean, x double, y double")
+    sites = spark.createDataFrame([("s", 2, 3.0, 4.0)], "scene_id string, rank int, x double, y double")
+    chosen = spark.createDataFrame([], "scene_id string, x double, y double, label string")
+    pins = spark.createDataFrame([("s", 1, "Crater", 1.0, 2.0), ("s", 0, "Old", 5.0, 6.0)], "scene_id string, pos int, name string, x double, y double")
+    got = {r.request_id: (r.rule, r.x, r.y, r.label) for r in text.resolve_destinations(asked, own, sites, chosen, pins).collect()}
+    assert got == {
+        "pin 1": ("user_pin", 7.0, 8.0, "camp"), "site 2": ("site", 3.0, 4.0, "Site 2"), "site 9": ("site", None, None, None), "the module": ("selected", None, None, None),
+        "back": ("home", 0.0, 0.0, "the start point"), "12.5, -4": ("coordinates", 12.5, -4.0, "(12.5, -4) m"), "near old crater": ("science_pin", 5.0, 6.0, "Old"), "zzz": ("science_pin", None, None, None),
+    }
+
+
+def test_prune_against_brute_force(spark):
+    rng = random.Random(3)
+    cells = {(x, y): float(rng.randint(0, 9)) for x in range(14) for y in range(14) if rng.random() < 0.7}
+    df = spark.createDataFrame([(x, y, k) for (x, y), k in cells.items()], "cx long, cy long, kept double")
+    got = {(r.cx, r.cy) for r in cloud.prune_to_fixed_point(df, F.lit(2.5), saved).collect()}
+    now = {c: k for c, k in cells.items() if k > 0}
+    while True:
+        mean = {(x, y): sum(now.get((x + a, y + b), 0.0) for a in (-1, 0, 1) for b in (-1, 0, 1)) / 9 for x, y in now}
+        left = {c: k for c, k in now.items() if mean[c] >= 2.5}
+        if len(left) == len(now):
+            break
+        now = left
+    assert got == set(now) and 0 < len(now) < len(cells)
+
+
+def test_k_means_parts_blobs_as_the_nearest_centre_does(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 10, (4, 6))
+    rows = [(i, (centres[i % 4] + rng.normal(0, 0.1, 6)).tolist()) for i in range(200)]
+    got = search.k_means(spark.createDataFrame(rows, "vec_id long, v array<double>"), "v", 4).collect()
+    of = {r.vec_id: r.cluster for r in got}
+    assert len(of) == 200 and all(len({of[i] for i in range(k, 200, 4)}) == 1 for k in range(4)) and len(set(of.values())) == 4
+
+
+def _camera(x=0.0, y=0.0):
+    """At (x, y, 2), looking along +y: the image's right is +x and its down is -z."""
+    r = [1.0, 0.0, 0.0, 0.0, 0.0, -1.0, 0.0, 1.0, 0.0]
+    c = [x, y, 2.0]
+    return r, [-sum(r[3 * i + j] * c[j] for j in range(3)) for i in range(3)]
+
+
+IMAGES = "image_id long, r array<double>, t array<double>, fx double, fy double, cx double, cy double, width int, height int"
+
+
+def test_a_wall_hides_what_is_behind_it(spark):
+    """The camera's own frame, y downwards: ground 2 m below, and a wall 2 m wide and 3 m tall 15 m away."""
+    line = lambda a, b, n, i: F.lit(float(a)) + i * ((b - a) / (n - 1))
+    i = F.col("id")
+    ground = spark.range(160 * 100).select(i, line(-8, 8, 160, i % 160).alias("x"), F.lit(2.0).alias("y"), line(10, 28, 100, F.floor(i / 160)).alias("z"))
+    wall = spark.range(200 * 300).select((i + 100_000).alias("id"), line(-1, 1, 200, i % 200).alias("x"), line(-1, 2, 300, F.floor(i / 200)).alias("y"), F.lit(15.0).alias("z"))
+    points = ground.unionByName(wall).withColumns({"opacity": F.lit(0.9), "radius": F.lit(0.03)})
+    images = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], [0.0, 0.0, 0.0], 1500.0, 1500.0, 400.0, 300.0, 800, 600)], IMAGES)
+    seen = cloud.visible(points, images).select("id").withColumn("seen", F.lit(1))
+    slope = F.abs(F.col("x") / F.col("z"))
+    share = lambda test: F.avg(F.when(test, F.coalesce("seen", F.lit(0))))
+    low, view = F.col("id") < 100_000, slope < 0.26
+    r = points.join(seen, "id", "left").agg(
+        share(low & (slope < 0.05) & (F.col("z") > 17)).alias("behind"), share(low & view & (F.col("z") > 10.2) & (F.col("z") < 14.5)).alias("front"),
+        share(low & view & (slope > 0.1) & (F.col("z") > 17)).alias("beside"), share(~low).alias("wall"),
+    ).first()
+    assert r.behind == 0 and r.front > 0.98 and r.beside > 0.98 and r.wall > 0.98
+
+
+def test_reach_loses_no_pair(spark):
+    rng = random.Random(5)
+    points = [(i, rng.uniform(-90, 90), rng.uniform(-90, 90), rng.uniform(-1, 4)) for i in range(600)]
+    images = [(k, *_camera(rng.uniform(-80, 80), rng.uniform(-80, 80)), 300.0, 310.0, 200.0, 150.0, 400, 300) for k in range(7)]
+    p, im = spark.createDataFrame(points, "id long, x double, y double, z double"), spark.createDataFrame(images, IMAGES)
+    inside = (F.col("depth") > 0.05) & (F.col("depth") <= 30) & (F.col("u") >= 0) & (F.col("u") < F.col("width")) & (F.col("v") >= 0) & (F.col("v") < F.col("height"))
+    every = {(r.id, r.image_id) for r in cloud.projected(p, im).filter(inside).collect()}
+    near = cloud.in_camera(cloud.in_reach(p, im, 30.0))
+    got = [(r.id, r.image_id) for r in near.filter(inside).collect()]
+    assert len(got) == len(set(got)) and set(got) == every and len(every) > 30 and near.count() < 600 * 7
+
+
+def test_nearest_pin_against_brute_force(spark):
+    rng = random.Random(6)
+    sites = [(i, rng.uniform(-5000, 5000), rng.uniform(-5000, 5000)) for i in range(60)] + [(99, 0.0, 0.0)]
+    pins = [(f"p{i}", rng.uniform(-300, 300), rng.uniform(-300, 300)) for i in range(40)] + [("a", 30.0, 40.0), ("b", -30.0, 40.0)]
+    s, p = spark.createDataFrame(sites, "id long, x double, y double"), spark.createDataFrame(pins, "name string, x double, y double")
+    got = {r.id: (r.pin, r.distance) for r in score.nearest_pin(s, ["id"], p, saved).collect()}
+    for i, x, y in sites:
+        d, name = min((math.hypot(x - a, y - b), n) for n, a, b in pins)
+        assert got[i][0] == name and got[i][1] == pytest.approx(d)
+    assert len(got) == len(sites)
+    none = score.nearest_pin(s, ["id"], p.limit(0), saved).collect()
+    assert len(none) == len(sites) and all(r.pin is None for r in none)
+
+
+def test_numbers_over_all_and_by_scope(spark):
+    rng = random.Random(7)
+    rows = [("hot" if i % 3 else f"s{i % 5}", rng.random(), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "scene string, at double, id0 long").repartition(7)
+    got = tables.numbered(df, ["at", "id0"], "n", saved).collect()
+    assert [r.id0 for r in sorted(got, key=lambda r: r.n)] == [i for _, _, i in sorted(rows, key=lambda r: (r[1], r[2]))] and {r.n for r in got} == set(range(1, 501))
+    ids = state.with_auto_ids(df, ["scene"], ["at", "id0"], saved).collect()
+    for scene in {r[0] for r in rows}:
+        mine = sorted((r for r in ids if r.scene == scene), key=lambda r: r.id)
+        assert [r.id0 for r in mine] == [i for s, _, i in sorted(rows, key=lambda r: (r[1], r[2])) if s == scene] and [r.id for r in mine] == list(range(1, len(mine) + 1))
+
+
+CAMERA = "c array<double>, a array<double>, h array<double>, v array<double>, o array<double>, k array<double>, e array<double>, linearity double"
+
+
+def test_camera_models_agree_where_there_is_no_distortion(spark):
+    c, a, h, v = [1.0, 2.0, -2.0], [0.6, 0.0, 0.8], [-512.0 + 192.0, 640.0, 384.0 + 256.0], [0.0, 240.0 + 0.0, 0.0]
+    a_, fx, fy, cx, cy = np.array([0.6, 0.0, 0.8]), 800.0, 700.0, 320.0, 240.0
+    right, down = np.array([0.8, 0.0, -0.6]), np.cross(a_, [0.8, 0.0, -0.6])
+    h, v = (fx * right + cx * a_).tolist(), (fy * down + cy * a_).tolist()
+    p = pytest.importorskip("numpy").array([3.0, 2.5, 4.0])
+    rel = p - np.array(c)
+    want = (fx * (rel @ right) / (rel @ a_) + cx, fy * (rel @ down) / (rel @ a_) + cy)
+    plain = (3.0, 2.5, 4.0, c, a, h, v)
+    kinds = [(None, None, None, None), (a, [0.0] * 3, None, None), (a, [0.0] * 3, [0.0] * 3, 1.0), (a, [0.0] * 3, [1e-12, 0.0, 0.0], 1.0)]
+    rows = spark.createDataFrame([(*plain, *k) for k in kinds], "x double, y double, z double, " + CAMERA)
+    for r in frames.project_distorted(rows).collect():
+        assert (r.u, r.v_px) == (pytest.approx(want[0], abs=1e-6), pytest.approx(want[1], abs=1e-6))
+    model = frames.pinhole(spark.createDataFrame([(c, a, h, v)], "c array<double>, a array<double>, h array<double>, v array<double>")).first()
+    assert (model.fx, model.fy, model.cx, model.cy) == tuple(pytest.approx(x) for x in (fx, fy, cx, cy))
+    pc = np.array(model.r).reshape(3, 3) @ p + np.array(model.t)
+    assert (fx * pc[0] / pc[2] + cx, fy * pc[1] / pc[2] + cy) == (pytest.approx(want[0]), pytest.approx(want[1]))
+
+
+def test_a_fisheye_keeps_angles(spark):
+    """With linearity 0 the radius in the image is in proportion to the angle from the axis."""
+    rows = []
+    for degrees in (5, 20, 40):
+        x = math.tan(math.radians(degrees))
+        rows.append((x, 0.0, 1.0, [0.0] * 3, [0.0, 0.0, 1.0], [100.0, 0.0, 0.0], [0.0, 100.0, 0.0], [0.0, 0.0, 1.0], [0.0] * 3, [0.0] * 3, 0.0))
+    got = [r.u for r in frames.project_distorted(spark.createDataFrame(rows, "x double, y double, z double, " + CAMERA)).orderBy("x").collect()]
+    # p = (r / chi) o + r x: its image is 100 x chi
+    assert [g / 100 for g in got] == [pytest.approx(math.radians(d)) for d in (5, 20, 40)]
+
+
+def test_stitching_needs_every_tile(spark):
+    def tile(exposure, n, x):
+        return [(exposure, n, x, 0, 6, 4, r, c, 100 * n + c) for r in range(4) for c in range(6)]
+
+    kind = "exposure int, tile int, x int, y int, width int, height int, row int, col int, value int"
+    got = frames.stitched(spark.createDataFrame(tile(1, 0, 0) + tile(1, 1, 4) + tile(2, 0, 0) + tile(2, 1, 8), kind), 1).collect()
+    assert {r.exposure for r in got} == {1} and len(got) == 4 * 10
+    assert {r.col: r.value for r in got} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 101, 6: 102, 7: 103, 8: 104, 9: 105}
+
+
+def test_edge_values_of_layers(spark):
+    r = spark.range(1).select(
+        layers.ramp_rgb(F.lit(-1.0)).alias("a"), layers.ramp_rgb(F.lit(9.0)).alias("b"), layers.grade_rgb(F.lit(50.0)).alias("c"), layers.byte_of(F.lit(-3.0)).alias("d"),
+        layers.why_unavailable(F.lit(True), F.lit(True), F.lit(True), F.lit(3), F.lit(3)).alias("e"), frames.has_tag(F.lit("x_nav_1"), ["nav"]).alias("f"),
+        frames.is_full_frame(F.lit("Full"), F.lit(None).cast("string"), 1).alias("g"), frames.ground_hit(F.array(*map(F.lit, (0.0, 0.0, 1.0))), F.array(*map(F.lit, (0.0, 0.0, 1.0)))).alias("h"),
+    ).first()
+    assert r.a == [13, 54, 107] and r.b == [205, 226, 251] and r.c == [254, 224, 139] and r.d == 0 and r.e is None and r.f and r.g is False and r.h is None
+
+
+def test_the_wide_terrain_has_the_known_numbers(spark):
+    got = plans.QUERIES["prj18_slope_wide"](spark, SMALL).first()
+    assert (got.n, round(got.low, 3), round(got.high, 3), round(got.steepest, 2)) == (501 * 501, -17.858, 44.949, 62.91)
+    nodes = plans.QUERIES["agg26_rover_grid_wide"](spark, SMALL).first()
+    assert (nodes.nodes, nodes.passable) == (251 * 251, 62_143)
