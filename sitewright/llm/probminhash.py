@@ -22,7 +22,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -135,11 +135,24 @@ def _sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(made, "doc_id long, content string, bands array<long>")
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, words: int, marks: int = 0) -> DataFrame:
+#: A text's differences from a leader: a sketch of ``REGISTERS``, of which ``BANDS`` pairs make buckets; all of them, by
+#: four bits each, 16 to a long, tell how much of their differences two texts share.
+REGISTERS, BANDS = 128, 48
+
+
+def difference_marks(only: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the bands, registers by four bits) of a set of shingles; one key for an empty set."""
+    s = sketch(only, np.ones(len(only)), REGISTERS)
+    nibbles = (mix(s) & np.uint64(15)).reshape(-1, 16) << (np.uint64(4) * np.arange(16, dtype=np.uint64))
+    keys = mix(s[0 : 2 * BANDS : 2] * _GOLD + s[1 : 2 * BANDS : 2]) if len(only) else np.zeros(1, np.uint64)
+    return keys.view(np.int64), np.bitwise_or.reduce(nibbles, axis=1).view(np.int64)
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, words: int, marks: bool = False) -> DataFrame:
     """``pairs(a, b)`` with their exact ``similarity``; each text is sent to its pairs, no more.
 
     With ``marks``, also ``apart``, the number of shingles that only one of the two has; ``weight``, the number of runs
-    of words of b; and ``marks``, a sketch of those shingles in as many registers (the lower 32 bits of each).
+    of words of b; and ``keys, nibbles``, the marks of those shingles.
     """
     pairs = written(pairs, "pairs")
     pairs = pairs.repartition(pairs.count() // 500 + 1, "a", "b")  # so that few bytes of ids still make many tasks
@@ -149,7 +162,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int, marks: int = 0) ->
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, mine = None, None
         for pdf in batches:
-            out, apart, weight, kept = [], [], [], []
+            out, apart, weight, keys, nibbles = [], [], [], [], []
             for a, ta, tb in zip(pdf["a"], pdf["text_a"], pdf["text_b"], strict=True):
                 if last != a:
                     last, mine = a, shingles(ta, words)
@@ -159,11 +172,13 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int, marks: int = 0) ->
                     only = np.setxor1d(mine[0], other[0], assume_unique=True)
                     apart.append(len(only))
                     weight.append(int(other[1].sum()))
-                    kept.append(sketch(only, np.ones(len(only)), marks).astype(np.uint32).view(np.int32))
-            more = {"apart": apart, "weight": weight, "marks": kept} if marks else {}
+                    of = difference_marks(only)
+                    keys.append(of[0])
+                    nibbles.append(of[1])
+            more = {"apart": apart, "weight": weight, "keys": keys, "nibbles": nibbles} if marks else {}
             yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": out, **more})
 
-    kinds = ", apart long, weight long, marks array<int>" if marks else ""
+    kinds = ", apart long, weight long, keys array<long>, nibbles array<long>" if marks else ""
     return both.select("a", "b", "text_a", "text_b").mapInPandas(compared, f"a long, b long, similarity double{kinds}")
 
 
@@ -184,52 +199,55 @@ def _rooted(open_: DataFrame, roots: DataFrame) -> DataFrame:
     return salted_join(placed, several, "scope", by="rep")
 
 
-def _crossing(open_: DataFrame, dealt: DataFrame, similarity: float, registers: int) -> DataFrame:
+def _unlike(x: Column, y: Column) -> Column:
+    """How many of 16 groups of four bits differ."""
+    z = x.bitwiseXOR(y)
+    any_bit = z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseOR(F.shiftrightunsigned(z, 3))
+    return F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+
+
+def _crossing(dealt: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: pairs of a bucket in different components that may be ``similarity`` alike.
 
     Two texts that are so have at most 2c / (2 + c) of the greater weight in shingles that only one has, c being
     (1 - similarity) / similarity. Those are the differences from the leader that they do not share, so the sizes of
-    the differences give the least share of them in common; pairs whose sketches show far less (five standard errors)
+    the differences give the least share of them in common; pairs whose marks show far less (five standard errors)
     are out. So are pairs whose distances to the leader differ by more than 1 - similarity.
     """
     c = (1 - similarity) / similarity
-    own = dealt.select("bucket", "scope", "rep").join(open_, ["scope", "rep"]).drop("scope", "lead")
-    one = own.select("bucket", *[F.col(x).alias(f"{x}_a") for x in ("rep", "root", "distance", "apart", "weight", "marks")])
+    one = dealt.select("bucket", *[F.col(x).alias(f"{x}_a") for x in ("rep", "root", "distance", "apart", "weight", "nibbles")])
     differ = F.col("apart") + F.col("apart_a")
     unshared = F.least(differ.cast("double"), F.greatest("weight", "weight_a") * (2 * c / (2 + c)))
     least = F.coalesce(F.try_divide(differ - unshared, differ + unshared), F.lit(0.0))
-    same = F.aggregate(F.zip_with("marks", "marks_a", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) / registers
-    allowed = (F.abs(F.col("distance") - F.col("distance_a")) <= 1 - similarity + 1e-9) & (same >= least - 5 * F.sqrt(F.greatest(least * (1 - least), F.lit(0.01)) / registers))
-    met = one.join(own, "bucket").filter((F.col("root_a") < F.col("root")) & allowed)
+    expected = least + (1 - least) / 16  # four bits agree by chance once in 16
+    same = 1 - F.aggregate(F.zip_with("nibbles", "nibbles_a", _unlike), F.lit(0), lambda n, x: n + x) / REGISTERS
+    allowed = (F.abs(F.col("distance") - F.col("distance_a")) <= 1 - similarity + 1e-9) & (same >= expected - 5 * F.sqrt(F.greatest(expected * (1 - expected), F.lit(0.01)) / REGISTERS))
+    met = one.join(dealt, "bucket").filter((F.col("root_a") < F.col("root")) & allowed)
     return met.select(F.least("rep_a", "rep").alias("a"), F.greatest("rep_a", "rep").alias("b")).distinct()
 
 
 def _sized(dealt: DataFrame) -> DataFrame:
-    """``dealt(bucket, scope, rep)`` with ``n``, the texts of the bucket; only buckets of several components."""
+    """``dealt(bucket, root, ..)`` with ``n``, the texts of the bucket; only buckets of several components."""
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"))
     sizes = written(sizes.filter("r0 <> r1").drop("r0", "r1"), "sizes")
-    return written(dealt.drop("root").join(sizes, "bucket"), "apart")
+    return written(dealt.join(sizes, "bucket"), "apart")
 
 
-def _by_differences(open_: DataFrame, registers: int, small: int, split: int = 8) -> tuple[DataFrame, DataFrame]:
+def _by_differences(open_: DataFrame, small: int, split: int = 8) -> tuple[DataFrame, DataFrame]:
     """Buckets by what sets the texts of a scope apart from its leader: (those of up to ``small`` texts, larger ones).
 
-    A bucket shares two registers of the sketches; a larger one is split by a third, in ``split`` ways.
+    A bucket shares two registers of the sketches; a larger one is split by four bits of a third, in ``split`` ways.
     """
-    register = lambda n: F.element_at("marks", n)
-    keys = F.transform(F.sequence(F.lit(1), F.lit(registers // 2)), lambda i: F.xxhash64("scope", i, register(2 * i - 1), register(2 * i)))
-    keys = F.when(F.col("apart") > 0, keys).otherwise(F.array(F.xxhash64("scope")))  # only weights differ
-    dealt = _sized(open_.select("scope", "rep", "root", F.explode(keys).alias("bucket")))
-    large = dealt.filter(F.col("n") > small).select("bucket", "scope", "rep").join(open_.select("scope", "rep", "root", "marks"), ["scope", "rep"])
-    third = F.transform(
-        F.sequence(F.lit(0), F.lit(split - 1)),
-        lambda i: F.xxhash64("bucket", i, register((F.pmod(F.col("bucket") + i * 37, F.lit(registers)) + 1).cast("int"))),
-    )
-    finer = _sized(large.select("scope", "rep", "root", F.explode(third).alias("bucket")))
+    about = ["scope", "rep", "root", "distance", "apart", "weight", "nibbles"]
+    dealt = _sized(open_.select(*about, F.posexplode("keys").alias("i", "k")).select(*about, F.xxhash64("scope", "i", "k").alias("bucket")))
+    large = dealt.filter(F.col("n") > small).select(*about, "bucket", F.explode(F.array(*map(F.lit, range(split)))).alias("i"))
+    at = F.pmod(F.col("bucket") + F.col("i") * 37, F.lit(REGISTERS))
+    bits = F.call_function("shiftrightunsigned", F.get("nibbles", F.floor(at / 16).cast("int")), (at % 16 * 4).cast("int")).bitwiseAND(F.lit(15))
+    finer = _sized(large.select(*about, F.xxhash64("bucket", "i", bits).alias("bucket")))
     return dealt.filter(F.col("n") <= small).unionByName(finer.filter(F.col("n") <= small)), finer.filter(F.col("n") > small)
 
 
-def _linked(members: DataFrame, docs: DataFrame, words: int, similarity: float, registers: int, small: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+def _linked(members: DataFrame, docs: DataFrame, words: int, similarity: float, small: int, rounds: int) -> tuple[DataFrame, DataFrame]:
     """(``a, b``: verified links; ``node, root``: the components they make) of ``members(rep, bands)``."""
     dealt = members.select("rep", F.explode("bands").alias("bucket"))
     sizes = written(dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
@@ -237,25 +255,25 @@ def _linked(members: DataFrame, docs: DataFrame, words: int, similarity: float,
     texts = docs.join(dealt.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = written(texts, "texts")  # of texts with a candidate, once each
     pairs = _led(dealt, []).filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    made = written(_compared(pairs, texts, words, registers), "led")
+    made = written(_compared(pairs, texts, words, marks=True), "led")
     alike = lambda pairs: pairs.filter(F.col("similarity") >= similarity).select("a", "b")
     links = alike(made)
     roots = components(links)
     open_ = made.withColumn("scope", F.col("a"))
     for level in range(rounds + 1):
         distance = (1 - F.col("similarity")).alias("distance")
-        open_ = written(_rooted(open_.select("scope", F.col("b").alias("rep"), distance, "apart", "weight", "marks"), roots), "open")
+        open_ = written(_rooted(open_.select("scope", F.col("b").alias("rep"), distance, "apart", "weight", "keys", "nibbles"), roots), "open")
         if open_.isEmpty():
             break
-        few, many = _by_differences(open_, registers, small)
+        few, many = _by_differences(open_, small)
         if level == rounds:
             few = few.unionByName(many)
-        found = alike(written(_compared(_crossing(open_, few, similarity, registers), texts, words), "crossed"))
+        found = alike(written(_compared(_crossing(few, similarity), texts, words), "crossed"))
         if level < rounds:  # large buckets: each text with the bucket's leader, from which the next round starts
             many = _led(many, ["scope"]).filter("rep <> lead")
             many = many.select(F.xxhash64("scope", "lead").alias("scope"), F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
             many = written(many, "many")
-            made = written(_compared(many.select("a", "b").distinct(), texts, words, registers), "led")
+            made = written(_compared(many.select("a", "b").distinct(), texts, words, marks=True), "led")
             found = found.unionByName(alike(made))
             open_ = made.join(many, ["a", "b"])
         links = written(links.unionByName(found).distinct(), "links")
@@ -281,7 +299,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 4, registers: int = 128, small: int = 64, rounds: int = 1
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 4, small: int = 64, rounds: int = 1
 ) -> DataFrame:
     """``doc_id, class_id, content_class, links`` of every row of ``docs``.
 
@@ -289,7 +307,7 @@ def near_duplicates(
     ``similarity`` or more between different texts. ``content_class`` is the smallest id with the same words, and
     ``links`` counts the links of that text that were verified (those that connect its class), not all. At 0.8 a pair
     misses all of 32 bands of 4 once in 10 million; a pair that only differences from a leader can bring together is
-    found by ``registers / 2`` bands of 2 of them. Buckets of differences of up to ``small`` texts are compared pair by
+    found by ``BANDS`` bands of 2 registers of them. Buckets of differences of up to ``small`` texts are compared pair by
     pair, larger ones by leaders, ``rounds`` times at most; what is then still open is compared pair by pair too.
 
     Null and empty texts are one class. Texts of fewer than five words are one shingle. Rows that repeat come out each;
@@ -300,7 +318,7 @@ def near_duplicates(
     docs = _numbered(docs.select("doc_id", "text"))
     made = written(_sketches(docs, words, bands, rows), "sketches")
     members = written(made.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "contents")
-    links, roots = _linked(members, docs, words, similarity, registers, small, rounds)
+    links, roots = _linked(members, docs, words, similarity, small, rounds)
     ends = links.select(F.col("a").alias("rep")).unionAll(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
     classes = members.select("content", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(ends, "rep", "left")
     classes = classes.select("content", F.col("rep").alias("content_class"), F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
