@@ -72,9 +72,10 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Local search over underfull bins.
 
-    From the emptiest bin on, the best of three steps is taken while one raises the sum of squared fills: move a
-    document into another bin, exchange one for one, exchange two for one. The sum is a whole number with a bound, so
-    the search ends. Bins that have become empty go.
+    From the emptiest bin on, the best of three steps is taken while one raises the sum of squared fills: move a document
+    into another bin, exchange one for one, exchange two for one. A bin without a step is tried again after others have
+    changed; the search ends after a pass over all of them without a step. The sum is a
+    whole number with a bound, so it does end. Bins that have become empty go.
     """
     size = np.asarray(lengths, np.int64)
     owner = np.zeros(len(size), np.int64)
@@ -84,10 +85,13 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
     fill = np.bincount(owner, size, minlength=len(bins)).astype(np.int64)
     least = -(-int(size.sum()) // capacity)
     count = len(bins)
-    stuck = np.zeros(len(bins), bool)
+    stuck, changed = np.zeros(len(bins), bool), False
     while count > least:
         is_open = (fill > 0) & (fill < capacity)
         sources = np.flatnonzero(is_open & ~stuck)
+        if not len(sources) and changed:
+            stuck[:], changed = False, False
+            continue
         if not len(sources) or is_open.sum() < 2:
             break
         source = int(sources[fill[sources].argmin()])
@@ -104,7 +108,7 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
         fill[source] -= moved
         fill[target] += moved
         count -= fill[source] == 0
-        stuck[[source, target]] = False
+        stuck[[source, target]], changed = False, True
     return [b for b in bins if b]
 
 

@@ -229,7 +229,7 @@ def _date(x: Column, key: str) -> Column:
 def _email(x: Column, key: str) -> Column:
     name = F.lower(F.substring_index(x, "@", 1))
     domain = F.lower(F.substring_index(x, "@", -1))
-    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), name, domain, F.lit(key)), 256), 1, 16), F.lit("@"), F.substring_index(x, "@", -1))
+    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), name, domain, F.lit(key)), 256), 1, 16), F.lit("@"), domain)
 
 
 def _replaced(x: Column, key: str) -> Column:
@@ -257,7 +257,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     area and exchange), IBANs (modulo 97), US social security numbers (valid ranges), dates of 1900 to 2099 and card
     numbers (13 to 19 digits, Luhn). What fails its validation stays. Whole texts are searched, of any length. A null
     text stays null, an empty one empty, both with an empty map. Rows that repeat come out alike, each. An empty table
-    gives no rows. All other columns stay; one named ``pii`` is replaced.
+    gives no rows. All other columns stay; one named ``pii`` is replaced. Addresses that differ in case alone are one, so
+    their domains come out in lower case; dates stay within their century. The key is a literal of the plan: whoever may
+    see plans and event logs of the job sees it, so run it where they are as secret as the key.
     """
     text = F.col(text_col)
     pattern = _candidates()

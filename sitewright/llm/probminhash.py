@@ -314,23 +314,29 @@ def near_duplicates(
     rows of one id must have one text. Rows without an id take part by their text; a class of none but such has a null
     ``class_id``. Ids are below 2^62. An empty table gives no rows. Other columns play no part.
     """
+    known = lambda c: F.when(F.col(c) < _NO_ID, F.col(c)).alias(c)
+    classes = _classes(_numbered(docs.select("doc_id", "text")), words, similarity, bands, rows, small, rounds)
+    return classes.select(*map(known, ("doc_id", "class_id", "content_class")), "links")
+
+
+def _classes(docs: DataFrame, words: int, similarity: float, bands: int, rows: int, small: int, rounds: int) -> DataFrame:
+    """As ``near_duplicates``, of ``docs`` that all have ids, made up or not."""
     small_batches(docs.sparkSession)
-    docs = _numbered(docs.select("doc_id", "text"))
     made = written(_sketches(docs, words, bands, rows), "sketches")
     members = written(made.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "contents")
     links, roots = _linked(members, docs, words, similarity, small, rounds)
     ends = links.select(F.col("a").alias("rep")).unionAll(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
     classes = members.select("content", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(ends, "rep", "left")
     classes = classes.select("content", F.col("rep").alias("content_class"), F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    known = lambda c: F.when(F.col(c) < _NO_ID, F.col(c)).alias(c)
-    return made.select("doc_id", "content").join(classes, "content").select(*map(known, ("doc_id", "class_id", "content_class")), "links")
+    return made.select("doc_id", "content").join(classes, "content").select("doc_id", "class_id", "content_class", "links")
 
 
-def first_of_class(docs: DataFrame, **how) -> DataFrame:
+def first_of_class(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 4, small: int = 64, rounds: int = 1
+) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its class; of rows that repeat such an id, one. Of a class of rows
     without an id one row stays, with its null id."""
-    numbered = _numbered(docs.withColumn("_id", F.col("doc_id")))
-    classes = near_duplicates(numbered, **how)
-    first = F.coalesce("class_id", "content_class")
-    kept = classes.filter(F.col("doc_id") == first).select("doc_id").distinct()
-    return numbered.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumn("doc_id", F.col("_id")).select(*docs.columns)
+    numbered = _numbered(docs.withColumn("__own_id", F.col("doc_id")))
+    classes = _classes(numbered.select("doc_id", "text"), words, similarity, bands, rows, small, rounds)
+    kept = classes.filter("doc_id = class_id").select("doc_id").distinct()
+    return numbered.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumn("doc_id", F.col("__own_id")).select(*docs.columns)

@@ -145,13 +145,16 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: flo
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, trusted_below: float = 0.002) -> tuple[Network, float]:
     """(network, prior). Scores are shifted so that ``trusted_below`` of the trusted positives score under 0.5: an error in
-    the prior moves all scores and would otherwise move the cut. Needs a handful of rows of either kind; with fewer, every document scores 1 or the base rate."""
-    if len(positive) < 10 or len(unlabelled) < 10:
+    the prior moves all scores and would otherwise move the cut. The prior comes from a fit on one half, scored on the
+    other (a single row is both halves). Without any row of a kind nothing can be learnt: every document scores 1 / (1 +
+    exp(-3)), that is 0.95, and the prior is 0.95."""
+    if not len(positive) or not len(unlabelled):
         zero = np.zeros((WIDTH, 1))
         return Network(np.zeros(WIDTH), np.ones(WIDTH), zero, np.zeros(1), np.zeros(1), 3.0), 0.95
-    half_p, half_u = np.arange(len(positive)) % 2 == 0, np.arange(len(unlabelled)) % 2 == 0
-    first = fit(positive[half_p], unlabelled[half_u], None, epochs=10)
-    prior = estimate_prior(first.score(positive[~half_p]), first.score(unlabelled[~half_u]))
+    halves = lambda x: (x[::2], x[1::2] if len(x) > 1 else x)
+    (seen_p, other_p), (seen_u, other_u) = halves(positive), halves(unlabelled)
+    first = fit(seen_p, seen_u, None, epochs=10)
+    prior = estimate_prior(first.score(other_p), first.score(other_u))
     network = fit(positive, unlabelled, prior)
     network.b2 -= float(np.quantile(network.margin(positive), trusted_below))
     return network, prior

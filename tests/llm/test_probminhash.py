@@ -97,3 +97,45 @@ def test_chain_beyond_the_leader_is_linked(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert P.near_duplicates(docs).count() == 0
+
+
+def copies_of(base: list[str], rng, count: int, most: int) -> list[str]:
+    """Copies of a text with up to ``most`` words replaced, each by a word of its own."""
+    out = []
+    for n in range(count):
+        t = list(base)
+        for i in rng.choice(len(t), rng.integers(1, most + 1), replace=False):
+            t[i] = f"z{n}x{i}"
+        out.append(" ".join(t))
+    return out
+
+
+def test_a_large_group_of_near_copies_loses_no_link_and_stays_linear(spark, monkeypatch):
+    """Half of the copies are not alike enough to the first text; some are alike to one another only."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 150)]
+    texts = [" ".join(base)] + copies_of(base, rng, 500, 6)
+    far = base[:100] + [f"q{i}" for i in range(50)]
+    texts += [" ".join(far)] + copies_of(far, rng, 200, 4)
+    texts += [" ".join(base[: 150 - k]) for k in range(1, 60, 3)]  # cut ever shorter: a chain
+    rows = list(enumerate(dict.fromkeys(texts)))
+    compared = []
+    plain = P.written
+    monkeypatch.setattr(P, "written", lambda df, name: compared.append(df.count()) or plain(df, name) if name == "pairs" else plain(df, name))
+    got = {r.doc_id: r.class_id for r in P.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {d: P.shingles(t) for d, t in rows}
+    want = classes_by_brute_force(rows)
+    assert got == want
+    assert len(set(want.values())) > 100 and len(sets) > 700
+    # every pair: over 250,000
+    assert sum(compared) < 60 * len(rows)
+
+
+def test_rows_without_an_id(spark):
+    text = " ".join(f"a{i}" for i in range(60))
+    rows = [(None, text), (7, text + " b"), (None, "other words here"), (None, "other words here"), (None, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.class_id) for r in P.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(None, 7), (7, 7), (None, None), (None, None), (None, 3), (3, 3)], key=str)
+    kept = P.first_of_class(docs).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept) == [(False, 3, ""), (False, 7, text + " b"), (True, 0, "other words here")]
