@@ -79,6 +79,51 @@ def named_predicates(rows: DataFrame, tests: dict[str, Column]) -> tuple[DataFra
     return marked.filter(every).drop(*[f"_{k}" for k in tests]), report
 
 
+def without_blurred(points: DataFrame, close: Column, share: float) -> DataFrame:
+    """Points that are not close, and close ones with at least a share of the close ones' median z."""
+    middle = points.filter(close).agg(F.median("z").alias("_m"))
+    return points.join(F.broadcast(middle)).filter(~close | (F.col("z") >= share * F.col("_m"))).drop("_m")  # one row
+
+
+def running_weight(points: DataFrame, key: list[str], order: list[str], weight: Column) -> DataFrame:
+    """Points with ``run``: the weight so far in their cell, by ``order``."""
+    return points.withColumn("run", F.sum(weight).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
+def path_lengths(points: DataFrame, key: list[str], order: list[str], axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """``key, points, length``: steps between neighbours by ``order``, summed."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    d = F.sqrt(sum(((F.col(a) - F.lag(a).over(w)) ** 2 for a in axes), F.lit(0.0)))
+    return points.withColumn("_d", d).groupBy(*key).agg(F.count("*").alias("points"), F.sum("_d").alias("length"))
+
+
+def correlation(rows: DataFrame, key: list[Column], a: str, b: str) -> DataFrame:
+    return rows.groupBy(*key).agg(F.corr(a, b).alias("r"), F.count("*").alias("n"))
+
+
+def median_colour(rows: DataFrame, key: list[Column], channels: dict[str, str]) -> DataFrame:
+    """The median of each channel, separately."""
+    return rows.groupBy(*key).agg(*[F.median(c).alias(name) for name, c in channels.items()])
+
+
+def scaled_to_range(rows: DataFrame, key: list[str], value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """Rows with ``share``, the value between those at two ranks of its series as 0 to 1; 0.5 where they are equal."""
+    from ..functions.maths import clamp01
+
+    rank = lambda p: lambda n: F.least(F.floor(n * F.lit(p)), n - F.lit(1))
+    ends = value_at_rank(rows, key, value, {"_lo": rank(low), "_hi": rank(high)}).drop("n")
+    share = F.when(F.col("_hi") > F.col("_lo"), clamp01((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))).otherwise(0.5)
+    return rows.join(ends, key).withColumn("share", share).drop("_lo", "_hi")
+
+
+def rotated(points: DataFrame, r: list[list[float]]) -> DataFrame:
+    """``points(.., x, y, z, quat)`` turned by a rotation: places, and orientations (w, x, y, z, scaled to unit length)."""
+    from .frames import turned
+
+    xyz = {a: sum((F.lit(float(r[i][j])) * F.col("xyz"[j]) for j in range(3)), F.lit(0.0)) for i, a in enumerate("xyz")}
+    return points.withColumns({**xyz, "quat": turned(r, F.col("quat"))})
+
+
 def multi_view_mean(views: DataFrame, values: list[str], weight: Column, by_own_sum: bool) -> DataFrame:
     """``idx`` with weighted means over views, the weight and the number of views.
 

@@ -77,19 +77,29 @@ def route(node: pd.DataFrame, start: tuple[int, int], goal: tuple[int, int], cel
     return None
 
 
-def routes(nodes: DataFrame, requests: DataFrame, cell_x: float, cell_y: float) -> DataFrame:
-    """``request_id, cost, steps, seq, row, col`` of each request's route, no rows where blocked.
+def routes(nodes: DataFrame, requests: DataFrame, cell_x: float, cell_y: float, chunk: int = 64) -> DataFrame:
+    """``request_id, cost, length_m, max_slope, steps, seq, row, col`` of each request's route, no rows where blocked.
 
     ``nodes(scene_id, row, col, slope, passable)``, ``requests(request_id, scene_id, r0, c0, r1, c1)``. A route needs its
-    scene's rover grid (bounded by the decimation: some 10^5 nodes), which is one group with the scene's requests.
+    scene's rover grid (bounded by the decimation: some 10^5 nodes); the requests of a scene are dealt into chunks of
+    about ``chunk``, each of which gets the grid, so that many requests for one scene are many tasks.
     """
+    chunks = requests.count() // chunk + 1
+    nodes = nodes.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    requests = requests.withColumn("_chunk", F.pmod(F.xxhash64("request_id"), F.lit(chunks)).cast("int"))
 
     def find(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, slope = [], dict(zip(zip(left["row"], left["col"], strict=True), left["slope"], strict=True))
         for q in right.itertuples():
             got = route(left, (q.r0, q.c0), (q.r1, q.c1), cell_x, cell_y)
             if got:
-                out += [(q.request_id, got[0], len(got[1]), i, r, c) for i, (r, c) in enumerate(got[1])]
-        return pd.DataFrame(out, columns=["request_id", "cost", "steps", "seq", "row", "col"])
-
-    return nodes.groupBy("scene_id").cogroup(requests.groupBy("scene_id")).applyInPandas(find, "request_id long, cost double, steps int, seq int, row int, col int")
+                path = np.array(got[1])
+                steps = np.diff(path, axis=0)
+                length = float(np.hypot(steps[:, 0] * cell_y, steps[:, 1] * cell_x).sum())
+                steepest = float(max(slope[n] for n in got[1]))
+                out += [(q.request_id, got[0], length, steepest, len(got[1]), i, r, c) for i, (r, c) in enumerate(got[1])]
+        return pd.DataFrame(out, columns=["request_id", "cost", "length_m", "max_slope", "steps", "seq", "row", "col"])
+
+    key = ["scene_id", "_chunk"]
+    found = nodes.groupBy(*key).cogroup(requests.groupBy(*key))
+    return found.applyInPandas(find, "request_id long, cost double, length_m double, max_slope double, steps int, seq int, row int, col int")

@@ -182,6 +182,74 @@ def dequantised(stored: Column, low: float, high: float, bits: int) -> Column:
     return F.lit(low) + stored / float(2**bits - 1) * (high - low)
 
 
+def coverage(cells: DataFrame, value: str = "value") -> DataFrame:
+    """One row, ``low, high, coverage_pct``: the range of the valid cells, and how many of all cells are valid."""
+    valid = F.col(value).isNotNull() & ~F.isnan(value)
+    good = F.when(valid, F.col(value))
+    return cells.agg(F.min(good).alias("low"), F.max(good).alias("high"), F.avg(F.when(valid, 100.0).otherwise(0.0)).alias("coverage_pct"))
+
+
+def surface_pixel(value: Column, low: float, high: float) -> Column:
+    """A surface's stored sample: 0 is no data, 1 to 65535 run from ``low`` to ``high``."""
+    return F.coalesce(1 + F.bround((value - low) / (high - low) * 65534.0).cast("int"), F.lit(0))
+
+
+def heightmap(cells: DataFrame, origin_z: float, value: str = "z") -> DataFrame:
+    """``row, col, px, low, high``: heights above an origin in 16 bits over their own range; missing ones are the lowest."""
+    above = fill_no_data(cells, value).withColumn("_h", F.col(value) - origin_z)
+    ends = above.agg(F.min("_h").alias("low"), F.max("_h").alias("high"))
+    share = F.when(F.col("high") > F.col("low"), (F.col("_h") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
+    return above.join(F.broadcast(ends)).select("row", "col", F.bround(share * 65535.0).cast("int").alias("px"), "low", "high")  # one row
+
+
+def shading(dzdx: Column, dzdy: Column, sun_x: float, sun_y: float, sun_z: float) -> Column:
+    """Cosine of the angle between the ground's normal and the sun."""
+    return (F.lit(sun_z) - dzdx * sun_x - dzdy * sun_y) / F.sqrt(dzdx * dzdx + dzdy * dzdy + 1.0)
+
+
+def sharpness(pixels: DataFrame, step: int = 4) -> DataFrame:
+    """``image_id, sharpness``: the variance of the Laplacian of every ``step``-th pixel of every ``step``-th line."""
+    few = pixels.filter((F.col("row") % step == 0) & (F.col("col") % step == 0))
+    along, down = Window.partitionBy("image_id", "row").orderBy("col"), Window.partitionBy("image_id", "col").orderBy("row")
+    sides = few.withColumn("_a", F.lag("value").over(along) + F.lead("value").over(along))
+    both = sides.withColumn("_l", F.col("_a") + F.lag("value").over(down) + F.lead("value").over(down) - 4 * F.col("value"))
+    return both.groupBy("image_id").agg(F.var_pop("_l").alias("sharpness"))
+
+
+def largest_rectangles(cells: DataFrame) -> DataFrame:
+    """``frame_id, row0, row1, col0, col1``: the largest rectangle of good cells of each frame (ends beyond; of equals the
+    first by its lower right corner). A frame's mask is one group."""
+    import numpy as np
+    import pandas as pd
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        good = np.zeros((int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1), bool)
+        good[pdf["row"], pdf["col"]] = pdf["good"].fillna(False).astype(bool)
+        height, best = np.zeros(good.shape[1] + 2, int), (0, 0, 0, 0, 0)
+        for r in range(len(good)):
+            height[1:-1] = np.where(good[r], height[1:-1] + 1, 0)
+            # for each column, how far its height reaches to either side
+            left, right = np.zeros(len(height), int), np.full(len(height), len(height) - 1)
+            for c in range(1, len(height) - 1):
+                k = c - 1
+                while k > 0 and height[k] >= height[c]:
+                    k = left[k]
+                left[c] = k
+            for c in range(len(height) - 2, 0, -1):
+                k = c + 1
+                while k < len(height) - 1 and height[k] >= height[c]:
+                    k = right[k]
+                right[c] = k
+            area = height * (right - left - 1)
+            c = int(area.argmax())
+            if area[c] > best[0]:
+                best = (int(area[c]), r + 1 - int(height[c]), r + 1, int(left[c]), int(right[c]) - 1)
+        return pd.DataFrame([(pdf["frame_id"].iloc[0], *best[1:])], columns=["frame_id", "row0", "row1", "col0", "col1"])
+
+    kind = cells.schema["frame_id"].dataType.simpleString()
+    return cells.groupBy("frame_id").applyInPandas(find, f"frame_id {kind}, row0 int, row1 int, col0 int, col1 int")
+
+
 def fill_no_data(grid: DataFrame, value: str = "z", no_data: float = -1e6) -> DataFrame:
     """Missing and impossible values become the least valid one of the grid."""
     good = F.when(F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) > no_data), F.col(value))

@@ -147,19 +147,20 @@ def march_distances(far_m: float) -> np.ndarray:
     return np.concatenate([near, 1000.0 * 1.005 ** np.arange(steps)])
 
 
-def horizons(observers: DataFrame, dem: np.ndarray, west: float, north: float, cell: float, azimuths: int = 360, far_m: float = 300_000.0, observer_m: float = 2.0, radius: float = R, most_bytes: int = 256 << 20) -> DataFrame:
+def horizons(observers: DataFrame, dem: np.ndarray, west: float, north: float, cell: float, far_dem: tuple[np.ndarray, float, float, float] | None = None, azimuths: int = 360, far_m: float = 300_000.0, observer_m: float = 2.0, radius: float = R, most_bytes: int = 256 << 20) -> DataFrame:
     """``row, col, h``: elevation in degrees of the horizon of each observer ``(row, col, x, y, z)`` in every direction.
 
-    Rays are marched in tasks, observer by observer; the elevation model, whose size is checked, is a broadcast array.
-    Exploding cells x azimuths x distances as rows would be thousands of rows per cell and direction.
+    Rays are marched in tasks, observer by observer; the elevation model, whose size is checked, is a broadcast array, and
+    so is a coarser one, ``far_dem`` (heights, west, north, cell), which counts where the first has no data. Exploding cells x azimuths x distances as rows would be thousands of rows per cell and direction.
     """
-    if dem.nbytes > most_bytes:
+    if dem.nbytes + (far_dem[0].nbytes if far_dem else 0) > most_bytes:
         raise ValueError("the elevation model is too large to send to every task: cut it into overlapping tiles")
-    shared = observers.sparkSession.sparkContext.broadcast(dem.astype(np.float32))
+    models = [(dem.astype(np.float32), west, north, cell), *([(far_dem[0].astype(np.float32), *far_dem[1:])] if far_dem else [])]
+    shared = observers.sparkSession.sparkContext.broadcast(models)
     distance = march_distances(far_m)
     directions = np.radians(np.arange(azimuths) * 360.0 / azimuths)
 
-    def sample(grid: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def sample(grid: np.ndarray, west: float, north: float, cell: float, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         c, r = (x - west) / cell - 0.5, (north - y) / cell - 0.5
         good = (c >= 0) & (r >= 0) & (c <= grid.shape[1] - 1) & (r <= grid.shape[0] - 1)
         c, r = np.where(good, c, 0), np.where(good, r, 0)
@@ -169,14 +170,16 @@ def horizons(observers: DataFrame, dem: np.ndarray, west: float, north: float, c
         return np.where(good, z, np.nan)
 
     def march(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grid = shared.value
+        near, *far = shared.value
         for pdf in batches:
             out = []
             for x, y, z in zip(pdf["x"], pdf["y"], pdf["z"], strict=True):
                 q0, r0 = 1 + (x * x + y * y) / (4 * radius * radius), radius + z + observer_m
                 px = x + np.sin(directions)[:, None] * distance
                 py = y + np.cos(directions)[:, None] * distance
-                ground = radius + sample(grid, px, py)
+                ground = radius + sample(*near, px, py)
+                for other in far:
+                    ground = np.where(np.isnan(ground), radius + sample(*other, px, py), ground)
                 q = 1 + (px * px + py * py) / (4 * radius * radius)
                 cos_t = 1 - distance * distance / (q0 * q) / (2 * radius * radius)
                 tan = (ground * cos_t - r0) / (ground * np.sqrt(1 - cos_t * cos_t))

@@ -100,6 +100,23 @@ def accepted_and_refused(rows: DataFrame, why: Column) -> tuple[DataFrame, DataF
     return marked.filter("refused is null").drop("refused"), marked.filter("refused is not null")
 
 
+def histogram(rows: DataFrame, value: str, classes: int) -> DataFrame:
+    """``class, n, share`` of every class from 0, those without rows too."""
+    counts = rows.groupBy(F.col(value).alias("class")).agg(F.count("*").alias("n"))
+    total = rows.agg(F.count("*").alias("_all"))
+    every = rows.sparkSession.range(classes).select(F.col("id").cast("int").alias("class")).join(counts, "class", "left").join(F.broadcast(total))  # one row
+    return every.select("class", F.coalesce("n", F.lit(0).cast("long")).alias("n"), (F.coalesce("n", F.lit(0)) / F.col("_all")).alias("share"))
+
+
+def survey(rows: DataFrame, key: list[Column]) -> DataFrame:
+    return rows.groupBy(*key).agg(F.count("*").alias("n"))
+
+
+def with_authors(rows: DataFrame, users: DataFrame, key: str, unknown: str = "someone") -> DataFrame:
+    """Rows with the name of their author; one for those who are unknown."""
+    return rows.join(users, key, "left").withColumn("author", F.coalesce("author", F.lit(unknown)))
+
+
 def fractions(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     """``key, fractions``: a map from each value to its share of the key's rows."""
     counts = rows.groupBy(*key, value).agg(F.count("*").alias("_n"))

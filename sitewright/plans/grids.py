@@ -74,11 +74,8 @@ e AS (SELECT series, zs[CAST(least(floor(len(zs) * 2e-2), len(zs) - 1) AS INT) +
 SELECT ok, ln, count(*) AS n, {r4('sum(CASE WHEN hi > lo THEN least(1e0, greatest(0e0, (z - lo) / (hi - lo))) ELSE 5e-1 END)')} AS v
 FROM ({POINTS}) JOIN e ON series = ok % 50 GROUP BY 1, 2""")
 def _(spark, t):
-    p = points(t).withColumn("series", F.col("ok") % 50)
-    rank = lambda share: lambda n: F.least(F.floor(n * F.lit(share)), n - F.lit(1))
-    ends = value_at_rank(p, ["series"], "z", {"lo": rank(0.02), "hi": rank(0.98)}).drop("n")
-    v = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("z") - F.col("lo")) / (F.col("hi") - F.col("lo"))))).otherwise(0.5)
-    return p.join(ends, "series").groupBy("ok", "ln").agg(F.count("*").alias("n"), rounded(F.sum(v)).alias("v"))
+    scaled = cloud.scaled_to_range(points(t).withColumn("series", F.col("ok") % 50), ["series"], "z")
+    return scaled.groupBy("ok", "ln").agg(F.count("*").alias("n"), rounded(F.sum("share")).alias("v"))
 
 
 TESTS = {"solid": "w >= 5e-2", "small": "z <= 8e0", "near": "(x - 6e0) * (x - 6e0) + (y - 6e0) * (y - 6e0) <= 3e1"}
@@ -113,20 +110,18 @@ def _(spark, t):
 
 @query("flt14_blurred", f"""WITH k AS (SELECT ok, ln, x, y, z, median(z) FILTER (x < 3e0) OVER () AS m FROM ({POINTS})) SELECT ok, ln, x, y, z FROM k WHERE NOT (x < 3e0) OR z >= 35e-2 * m""")
 def _(spark, t):
-    p = points(t).select("ok", "ln", "x", "y", "z")
-    middle = p.filter("x < 3").agg(F.median("z").alias("m"))
-    return p.join(F.broadcast(middle)).filter("not (x < 3) or z >= 0.35D * m").drop("m")  # one row
+    return cloud.without_blurred(points(t).select("ok", "ln", "x", "y", "z"), F.col("x") < 3, 0.35)
 
 
 @query("agg18_correlation", f"SELECT ok % 20 AS series, {r4('corr(z, w)')} AS r, count(*) AS n FROM ({POINTS}) GROUP BY 1")
 def _(spark, t):
-    return points(t).groupBy((F.col("ok") % 20).alias("series")).agg(rounded(F.corr("z", "w")).alias("r"), F.count("*").alias("n"))
+    return cloud.correlation(points(t), [(F.col("ok") % 20).alias("series")], "z", "w").withColumn("r", rounded(F.col("r")))
 
 
 @query("agg20_median_colour", f"SELECT ok % 20 AS series, {r4('median(x)')} AS red, {r4('median(y)')} AS green, {r4('median(z)')} AS blue FROM ({POINTS}) WHERE w >= 5e-1 GROUP BY 1")
 def _(spark, t):
-    near = points(t).filter("w >= 0.5D").groupBy((F.col("ok") % 20).alias("series"))
-    return near.agg(*[rounded(F.median(c)).alias(k) for c, k in (("x", "red"), ("y", "green"), ("z", "blue"))])
+    got = cloud.median_colour(points(t).filter("w >= 0.5D"), [(F.col("ok") % 20).alias("series")], {"red": "x", "green": "y", "blue": "z"})
+    return got.select("series", *[rounded(F.col(c)).alias(c) for c in ("red", "green", "blue")])
 
 
 @query("agg28_clipped_misfit", f"SELECT {r4('avg(least(abs(z - m), 2e-1))')} AS misfit, count(*) AS n FROM (SELECT z, median(z) OVER () AS m FROM ({POINTS}))")
@@ -137,10 +132,7 @@ def _(spark, t):
 
 @query("win07_running_weight", f"""SELECT ok, ln, CAST(max(run) AS BIGINT) AS run FROM (SELECT ok, ln, sum(CAST(w * 5e1 AS BIGINT)) OVER (PARTITION BY floor(x / 1e0), floor(y / 1e0) ORDER BY z, w, ok, ln, x, y ROWS UNBOUNDED PRECEDING) AS run FROM ({POINTS})) GROUP BY 1, 2""")
 def _(spark, t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("cx", "cy").orderBy("z", "w", "ok", "ln", "x", "y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = cloud.in_cells(points(t), 1.0).withColumn("run", F.sum(F.floor(F.col("w") * 50 + 0.5)).over(w))
+    run = cloud.running_weight(cloud.in_cells(points(t), 1.0), ["cx", "cy"], ["z", "w", "ok", "ln", "x", "y"], F.floor(F.col("w") * 50 + 0.5))
     return run.groupBy("ok", "ln").agg(F.max("run").alias("run"))
 
 
@@ -177,8 +169,7 @@ def _(spark, t):
 @query("prj17_shading", f"SELECT row, col, {r4('(5e-1 - gx * 6e-1 - gy * 62449979e-8) / sqrt(gx * gx + gy * gy + 1e0)')} AS lit FROM ({SLOPE})")
 def _(spark, t):
     s = grid.slope(terrain(spark), CELL, CELL)
-    lit = (0.5 - F.col("dzdx") * 0.6 - F.col("dzdy") * 0.62449979) / F.sqrt(F.col("dzdx") * F.col("dzdx") + F.col("dzdy") * F.col("dzdy") + 1.0)
-    return s.select("row", "col", rounded(lit).alias("lit"))
+    return s.select("row", "col", rounded(grid.shading(F.col("dzdx"), F.col("dzdy"), 0.6, 0.62449979, 0.5)).alias("lit"))
 
 
 SITES = "SELECT s_suppkey AS id, ((s_suppkey * 37) % 500 - 25e1) AS x, ((s_suppkey * 91) % 500 - 25e1) AS y FROM supplier"
@@ -330,14 +321,13 @@ def _(spark, t):
 
 @query("snk02_coverage", f"SELECT {r4('min(value)')} AS low, {r4('max(value)')} AS high, {r4('avg(CASE WHEN value IS NULL THEN 0e0 ELSE 1e2 END)')} AS coverage_pct FROM ({RASTER})")
 def _(spark, t):
-    covered = F.avg(F.when(F.col("value").isNull(), 0.0).otherwise(100.0))
-    return raster(spark).agg(rounded(F.min("value")).alias("low"), rounded(F.max("value")).alias("high"), rounded(covered).alias("coverage_pct"))
+    c = grid.coverage(raster(spark))
+    return c.select(*[rounded(F.col(x)).alias(x) for x in ("low", "high", "coverage_pct")])
 
 
 @query("snk07_surface_pixels", f"SELECT row, col, coalesce(1 + CAST(round_even((value + 1e1) / 6e1 * 65534e0, 0) AS INT), 0) AS px FROM ({RASTER})")
 def _(spark, t):
-    px = 1 + F.bround((F.col("value") + 10.0) / 60.0 * 65534.0).cast("int")
-    return raster(spark).select("row", "col", F.coalesce(px, F.lit(0)).alias("px"))
+    return raster(spark).select("row", "col", grid.surface_pixel(F.col("value"), -10.0, 50.0).alias("px"))
 
 
 @query("flt16_fill_no_data", f"WITH g AS (SELECT row, col, CASE (row * 7 + col) % 11 WHEN 0 THEN NULL WHEN 1 THEN -2e6 WHEN 2 THEN CAST('NaN' AS DOUBLE) ELSE z END AS z FROM ({TERRAIN})), v AS (SELECT min(z) FILTER (z > -1e6 AND NOT isnan(z)) AS m FROM g) SELECT row, col, {r4('CASE WHEN z > -1e6 AND NOT isnan(z) THEN z ELSE m END')} AS z FROM g, v")

@@ -69,15 +69,13 @@ def _(spark, t):
 
 @query("agg13_class_histogram", "SELECT CAST(range AS INT) AS class, count(l_linenumber) AS n, floor(count(l_linenumber) * 1e4 / (SELECT count(*) FROM lineitem) + 5e-1) / 1e4 AS share FROM range(10) LEFT JOIN lineitem ON l_linenumber = range GROUP BY 1")
 def _(spark, t):
-    counts = t.lineitem.groupBy(F.col("l_linenumber").alias("class")).agg(F.count("*").alias("n"))
-    total = t.lineitem.agg(F.count("*").alias("total"))
-    every = spark.range(10).select(F.col("id").cast("int").alias("class")).join(counts, "class", "left").join(F.broadcast(total))  # one row
-    return every.select("class", F.coalesce("n", F.lit(0).cast("long")).alias("n"), (F.floor(F.coalesce("n", F.lit(0)) * 1e4 / F.col("total") + 0.5) / 1e4).alias("share"))
+    h = tables.histogram(t.lineitem, "l_linenumber", 10)
+    return h.withColumn("share", F.floor(F.col("share") * 1e4 + 0.5) / 1e4)
 
 
 @query("agg14_survey", "SELECT year(o_orderdate) AS sol, o_orderstatus AS camera, count(*) AS n FROM orders GROUP BY 1, 2")
 def _(spark, t):
-    return t.orders.groupBy(F.year("o_orderdate").cast("long").alias("sol"), F.col("o_orderstatus").alias("camera")).agg(F.count("*").alias("n"))
+    return tables.survey(t.orders, [F.year("o_orderdate").cast("long").alias("sol"), F.col("o_orderstatus").alias("camera")])
 
 
 @query("set02_replace_by_key", "SELECT s_suppkey AS key, s_name AS name FROM supplier WHERE s_suppkey NOT IN (SELECT n_nationkey FROM nation) UNION ALL SELECT CAST(n_nationkey AS BIGINT), n_name FROM nation")
@@ -112,8 +110,8 @@ def _(spark, t):
 
 @query("join10_snapshot", "SELECT o_orderkey, coalesce(c_name, 'someone') AS author FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey")
 def _(spark, t):
-    users = t.customer.filter("c_custkey % 3 <> 0").selectExpr("c_custkey AS o_custkey", "c_name")
-    return t.orders.join(users, "o_custkey", "left").select("o_orderkey", F.coalesce("c_name", F.lit("someone")).alias("author"))
+    users = t.customer.filter("c_custkey % 3 <> 0").selectExpr("c_custkey AS o_custkey", "c_name AS author")
+    return tables.with_authors(t.orders.select("o_orderkey", "o_custkey"), users, "o_custkey").select("o_orderkey", "author")
 
 
 @query("agg29_presence", f"SELECT user_id % 10 AS scene, count(*) AS people FROM (SELECT user_id, max(CASE WHEN {LIFE} = 'connect' THEN event_id ELSE -1 END) > max(CASE WHEN {LIFE} = 'disconnect' THEN event_id ELSE -1 END) AS online FROM events GROUP BY 1) WHERE online GROUP BY 1")

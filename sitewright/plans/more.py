@@ -500,6 +500,40 @@ def _(spark, t):
     return t.part.select("p_partkey", lookup_curve(curve, (F.col("p_partkey") % 9) / 4.0 - 1).alias("factor"))
 
 
+# --- rasters out, and images ------------------------------------------------------------------------------------------
+
+
+@query("snk03_heightmap", f"""WITH h AS (SELECT row, col, z - 5e0 AS h FROM ({TERRAIN})), e AS (SELECT min(h) AS lo, max(h) AS hi FROM h)
+SELECT row, col, CAST(round_even((h - lo) / (hi - lo) * 65535e0, 0) AS INT) AS px, {r4('lo')} AS low, {r4('hi')} AS high FROM h, e""")
+def _(spark, t):
+    made = grid.heightmap(terrain(spark).select("row", "col", "z"), 5.0)
+    return made.select("row", "col", "px", rounded(F.col("low")).alias("low"), rounded(F.col("high")).alias("high"))
+
+
+@query("prj32_sharpness", f"""WITH p AS (SELECT k AS image_id, row, col, z * (k + 1) AS v FROM ({TERRAIN}), (SELECT range AS k FROM range(3)) WHERE row % 4 = 0 AND col % 4 = 0),
+l AS (SELECT image_id, lag(v) OVER a + lead(v) OVER a + lag(v) OVER b + lead(v) OVER b - 4 * v AS l FROM p WINDOW a AS (PARTITION BY image_id, row ORDER BY col), b AS (PARTITION BY image_id, col ORDER BY row))
+SELECT image_id, {r4('var_pop(l)')} AS sharpness FROM l GROUP BY 1""")
+def _(spark, t):
+    p = terrain(spark).withColumn("image_id", F.explode(F.sequence(F.lit(0), F.lit(2)))).select("image_id", "row", "col", (F.col("z") * (F.col("image_id") + 1)).alias("value"))
+    return grid.sharpness(p).select(F.col("image_id").cast("long").alias("image_id"), rounded(F.col("sharpness")).alias("sharpness"))
+
+
+@query("prj08_rotated", f"SELECT ok, ln, {r4('min(-y)')} AS x, {r4('max(x)')} AS y, {r4('-sqrt(5e-1)')} AS qx FROM ({POINTS}) GROUP BY 1, 2")
+def _(spark, t):
+    p = points(t).withColumn("quat", F.array(F.lit(0.0), F.lit(0.0), F.lit(2.0), F.lit(0.0)))  # half a turn about y
+    turned = cloud.rotated(p, [[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]])  # a quarter about z
+    return turned.groupBy("ok", "ln").agg(rounded(F.min("x")).alias("x"), rounded(F.max("y")).alias("y"), rounded(F.min(F.col("quat")[1])).alias("qx"))
+
+
+@query("gra01_reach", f"SELECT 0 AS request_id, {2 * CELL * 28}e0 AS length_m")
+def _(spark, t):
+    from ..operators import graph
+
+    flat = spark.range(31 * 31).selectExpr("'s' AS scene_id", "CAST(id DIV 31 AS INT) AS row", "CAST(id % 31 AS INT) AS col", "0e0 AS slope", "true AS passable")
+    asked = spark.range(1).selectExpr("id AS request_id", "'s' AS scene_id", "2 AS r0", "1 AS c0", "2 AS r1", "29 AS c1")
+    return graph.routes(flat, asked, 2 * CELL, 2 * CELL).groupBy("request_id").agg(F.max("length_m").alias("length_m"))
+
+
 # --- a terrain of size ------------------------------------------------------------------------------------------------
 
 #: 501 x 501 nodes, 2 m apart: rolling ground, a hill, a crater, and a mesa with cliffs no rover climbs. Fixed values.

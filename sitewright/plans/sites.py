@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import angle_between, lookup_curve
@@ -304,6 +303,4 @@ def _(spark, t):
   WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)) GROUP BY 1""")
 def _(spark, t):
     p = t.lineitem.selectExpr("l_orderkey AS ok", "l_linenumber", "l_partkey", "l_suppkey", "(l_partkey % 97) * 125e-3 AS x", "(l_suppkey % 89) * 125e-3 AS y")
-    w = Window.partitionBy("ok").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    d = F.sqrt((F.col("x") - F.lag("x").over(w)) ** 2 + (F.col("y") - F.lag("y").over(w)) ** 2)
-    return p.withColumn("d", d).groupBy("ok").agg(F.count("*").alias("points"), rounded(F.sum("d")).alias("length"))
+    return cloud.path_lengths(p, ["ok"], ["l_linenumber", "l_partkey", "l_suppkey"]).withColumn("length", rounded(F.col("length")))

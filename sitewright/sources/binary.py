@@ -180,3 +180,68 @@ def spz_points(spark: SparkSession, path: str) -> DataFrame:
         return pd.DataFrame({"row_id": np.arange(count, dtype=np.int64), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]})
 
     return _rows(_files(spark, path), "row_id long, x double, y double, z double", decode)
+
+
+def layer_chunks(layers: DataFrame, fields: list[dict], record_bytes: int, rows: int = BATCH) -> DataFrame:
+    """``first, records, data``: fixed-size records of ``layers(idx, ..)`` in the order of idx, in chunks of whole records.
+
+    Concatenated by ``first`` they are what ``layer_records`` reads. ``fields`` as there; a null in a u16 field is 65535,
+    elsewhere 0. Chunks are made in the tasks of a range sort.
+    """
+    codes = {}
+    for f in fields:
+        base, _, n = f["type"].partition("x")
+        codes[f["name"]] = ((FIELD_TYPES[base][0], (int(n),)) if n else FIELD_TYPES[base][0], f["offset"])
+    names = list(codes)
+    dtype = np.dtype({"names": names, "formats": [codes[n][0] for n in names], "offsets": [codes[n][1] for n in names], "itemsize": record_bytes})
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), rows):
+                part = pdf.iloc[at : at + rows]
+                rec = np.zeros(len(part), dtype)
+                for n in names:
+                    wide = isinstance(codes[n][0], tuple)
+                    none = 65535 if codes[n][0] == "<u2" else 0
+                    rec[n] = np.array(part[n].tolist()) if wide else part[n].fillna(none).to_numpy()
+                yield pd.DataFrame({"first": [int(part["idx"].iloc[0])], "records": [len(part)], "data": [rec.tobytes()]})
+
+    return layers.select("idx", *names).orderBy("idx").mapInPandas(encode, "first long, records long, data binary")
+
+
+def quantised_clouds(clouds: DataFrame, bits: int = 12) -> DataFrame:
+    """``scene_id, data``: each scene's cloud as a gzip-compressed quantised file, in the order of ``row_id``.
+
+    ``clouds(scene_id, row_id, x, y, z, opacity, dc, scale, quat)``: opacity as a logit, ``dc`` and ``scale`` (logarithms)
+    of three numbers, ``quat`` w, x, y, z. Places have 24 bits with ``bits`` after the point, so a place beyond their
+    range is an error; colours, sizes and opacities 8 bits; a rotation the three smallest of its four numbers in 10 bits
+    each. The format keeps columns apart, so a scene (some 10^6 rows) is one group.
+    """
+
+    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row_id")
+        place = np.rint(pdf[["x", "y", "z"]].to_numpy(np.float64) * (1 << bits)).astype(np.int64)
+        if np.abs(place).max(initial=0) >= 1 << 23:
+            raise ValueError("a place beyond 24 bits")
+        q = np.array(pdf["quat"].tolist(), np.float64)[:, [1, 2, 3, 0]]
+        q /= np.linalg.norm(q, axis=1, keepdims=True)
+        top = np.abs(q).argmax(1)
+        q *= np.where(q[np.arange(len(q)), top] < 0, -1.0, 1.0)[:, None]
+        packed = top.astype(np.uint32)
+        rest = np.argsort(np.where(np.arange(4) == top[:, None], 4, np.arange(4)), axis=1)[:, :3]
+        for k in range(3):
+            v = q[np.arange(len(q)), rest[:, k]]
+            size = np.minimum(np.floor(np.abs(v) * np.sqrt(2.0) * 511 + 0.5), 511).astype(np.uint32)
+            packed = packed << np.uint32(10) | (v < 0).astype(np.uint32) << np.uint32(9) | size
+        byte = lambda a: np.clip(np.rint(a), 0, 255).astype(np.uint8).tobytes()
+        column = lambda n: np.array(pdf[n].tolist(), np.float64)
+        body = [
+            struct.pack("<IIIBBBB", 0x5053474E, 3, len(pdf), 0, bits, 0, 0),
+            np.ascontiguousarray(place, "<i4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes(),
+            byte(255 / (1 + np.exp(-pdf["opacity"].to_numpy(np.float64)))),
+            byte((column("dc") * 0.15 + 0.5) * 255), byte((column("scale") + 10) * 16), packed.astype("<u4").tobytes(),
+        ]
+        return pd.DataFrame({"scene_id": [pdf["scene_id"].iloc[0]], "data": [gzip.compress(b"".join(body), 6)]})
+
+    kind = clouds.schema["scene_id"].dataType.simpleString()
+    return clouds.groupBy("scene_id").applyInPandas(encode, f"scene_id {kind}, data binary")

@@ -49,6 +49,55 @@ def posed_images(spark: SparkSession, path: str) -> DataFrame:
     return poses.select(F.col("p")[0].cast("long").alias("image_id"), number(2, 4).alias("q"), number(6, 3).alias("t"), F.col("p")[8].cast("long").alias("camera_id"), F.col("p")[9].alias("name"))
 
 
+def pose_cameras(spark: SparkSession, path: str) -> DataFrame:
+    """``camera_id, width, height, fx, fy, cx, cy`` of a text file of pinhole cameras, one a line."""
+    p = F.split(F.trim("value"), r"\s+")
+    lines = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.trim("value") != "")).select(p.alias("p")).filter(F.size("p") >= 8)
+    number = [F.col("p")[i + 4].cast("double").alias(n) for i, n in enumerate(("fx", "fy", "cx", "cy"))]
+    return lines.select(F.col("p")[0].cast("long").alias("camera_id"), F.col("p")[2].cast("int").alias("width"), F.col("p")[3].cast("int").alias("height"), *number)
+
+
+def sparse_points(spark: SparkSession, path: str) -> DataFrame:
+    """``pid, x, y, z, rgb`` of a text file of points, one a line."""
+    p = F.split(F.trim("value"), r"\s+")
+    lines = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.trim("value") != "")).select(p.alias("p")).filter(F.size("p") >= 7)
+    rgb = F.transform(F.slice("p", 5, 3), lambda x: x.cast("int"))
+    return lines.select(F.col("p")[0].cast("long").alias("pid"), *[F.col("p")[i + 1].cast("double").alias(a) for i, a in enumerate("xyz")], rgb.alias("rgb"))
+
+
+def last_row_groups(spark: SparkSession, path: str) -> DataFrame:
+    """``file, first``: for each Parquet file the index of the first row of its last row group. Only footers are read, in
+    tasks."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for pdf in batches:
+            out = []
+            for name in pdf["file"]:
+                store, at = fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file:///") else name)
+                with store.open_input_file(at) as f:
+                    meta = pq.ParquetFile(f).metadata
+                    out.append((name, sum(meta.row_group(i).num_rows for i in range(meta.num_row_groups - 1))))
+            yield pd.DataFrame(out, columns=["file", "first"])
+
+    files = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file")).distinct()
+    return files.mapInPandas(read, "file string, first long")
+
+
+def split_by_row_group(spark: SparkSession, path: str, columns: list[str], label: str, held_out: bool) -> DataFrame:
+    """Projected rows with a label that is not empty: those of the last row group of each file are held out."""
+    rows = spark.read.parquet(path).select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    rows = rows.filter(F.col(label).isNotNull() & (F.length(label) > 0))
+    ends = last_row_groups(spark, path).withColumnsRenamed({"file": "_file", "first": "_first"})
+    late = F.col("_row") >= F.col("_first")
+    return rows.join(ends, "_file").filter(late if held_out else ~late).select(*columns)
+
+
 def training_rows(spark: SparkSession, path: str, columns: list[str], label: str, holdout: float, seed: int, held_out: bool) -> DataFrame:
     """Projected parquet rows with a label that is not empty; a share, by hash, is held out."""
     rows = spark.read.parquet(path).select(*columns).filter(F.col(label).isNotNull() & (F.length(label) > 0))

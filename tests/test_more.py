@@ -218,3 +218,88 @@ def test_the_wide_terrain_has_the_known_numbers(spark):
     assert (got.n, round(got.low, 3), round(got.high, 3), round(got.steepest, 2)) == (501 * 501, -17.858, 44.949, 62.91)
     nodes = plans.QUERIES["agg26_rover_grid_wide"](spark, SMALL).first()
     assert (nodes.nodes, nodes.passable) == (251 * 251, 62_143)
+
+
+def test_layers_written_in_chunks_are_read_again(spark, tmp_path):
+    from sitewright.sources import binary
+
+    fields = [{"name": "slope_deg", "type": "f16", "offset": 2}, {"name": "terrain_class", "type": "u8x4", "offset": 8}, {"name": "target_id", "type": "u16", "offset": 14}]
+    rows = [(i, i / 4, [i % 7, 1, 2, 255], None if i % 3 else i) for i in range(500)]
+    layers_ = spark.createDataFrame(rows, "idx long, slope_deg float, terrain_class array<int>, target_id int").repartition(5)
+    chunks = sorted(binary.layer_chunks(layers_, fields, 24, rows=64).collect(), key=lambda r: r.first)
+    assert all(len(c.data) == 24 * c.records for c in chunks)
+    (tmp_path / "layers.bin").write_bytes(b"".join(bytes(c.data) for c in chunks))
+    got = binary.layer_records(spark, str(tmp_path / "layers.bin"), 24, 500, fields).orderBy("idx").collect()
+    assert [(r.idx, r.slope_deg, list(r.terrain_class), r.target_id) for r in got] == rows
+
+
+def test_quantised_clouds_keep_order_and_rotations(spark, tmp_path):
+    import gzip
+
+    from sitewright.sources import binary
+
+    rng = np.random.default_rng(4)
+    rows = [("a", i, *(float(v) for v in rng.uniform(-50, 50, 3)), 0.5, [0.1, 0.2, 0.3], [-3.0, -2.0, -1.0], rng.normal(size=4).tolist()) for i in range(300)]
+    kind = "scene_id string, row_id long, x double, y double, z double, opacity double, dc array<double>, scale array<double>, quat array<double>"
+    made = binary.quantised_clouds(spark.createDataFrame(rows, kind).repartition(4)).first()
+    (tmp_path / "a.spz").write_bytes(bytes(made.data))
+    got = binary.spz_points(spark, str(tmp_path / "a.spz")).orderBy("row_id").collect()
+    assert max(abs(g - w) for r, row in zip(got, rows) for g, w in zip((r.x, r.y, r.z), row[2:5])) <= 0.5 / 4096 + 1e-9
+    raw = gzip.decompress(bytes(made.data))
+    packed = np.frombuffer(raw, "<u4", 300, 16 + 300 * (9 + 1 + 3 + 3))
+    for code, row in zip(packed.tolist(), rows):
+        q = np.array(row[-1])[[1, 2, 3, 0]] / np.linalg.norm(row[-1])
+        top, small = code >> 30, []
+        for shift in (20, 10, 0):
+            part = code >> shift & 1023
+            small.append((-1 if part & 512 else 1) * (part & 511) / 511 / math.sqrt(2))
+        back = np.insert(small, top, math.sqrt(max(0.0, 1 - sum(v * v for v in small))))
+        assert abs(abs(back @ q) - 1) < 1e-4
+    with pytest.raises(Exception, match="beyond 24 bits"):
+        binary.quantised_clouds(spark.createDataFrame([("b", 0, 5000.0, 0.0, 0.0, 0.0, [0.0] * 3, [0.0] * 3, [1.0, 0.0, 0.0, 0.0])], kind)).collect()
+
+
+def test_the_last_row_group_of_each_file_is_held_out(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for f in range(3):
+        ids = list(range(100 * f, 100 * f + 25))
+        pq.write_table(pa.table({"id": ids, "label": ["" if i % 5 == 0 else "x" for i in ids], "other": ids}), tmp_path / f"{f}.parquet", row_group_size=10)
+    late = records.split_by_row_group(spark, str(tmp_path), ["id", "label"], "label", True)
+    early = records.split_by_row_group(spark, str(tmp_path), ["id", "label"], "label", False)
+    assert {r.id for r in late.collect()} == {100 * f + i for f in range(3) for i in range(20, 25) if i % 5}
+    assert {r.id for r in early.collect()} == {100 * f + i for f in range(3) for i in range(20) if i % 5} and late.columns == ["id", "label"]
+
+
+def test_text_cameras_and_points(spark, tmp_path):
+    (tmp_path / "cameras.txt").write_text("# cameras\n1 PINHOLE 640 480 500.5 501 320 240\n2 PINHOLE 64 48 50 51 32 24\n")
+    (tmp_path / "points3D.txt").write_text("# points\n7 1.5 -2 3 10 20 30 0.5 1 2\n")
+    cams = records.pose_cameras(spark, str(tmp_path / "cameras.txt")).orderBy("camera_id").collect()
+    assert tuple(cams[0]) == (1, 640, 480, 500.5, 501.0, 320.0, 240.0) and len(cams) == 2
+    assert tuple(records.sparse_points(spark, str(tmp_path / "points3D.txt")).first()) == (7, 1.5, -2.0, 3.0, [10, 20, 30])
+
+
+def test_largest_rectangles_against_brute_force(spark):
+    from sitewright.operators import grid
+
+    rng = random.Random(11)
+    masks = {f: [[rng.random() < 0.75 for _ in range(9)] for _ in range(7)] for f in range(6)}
+    cells = [(f, r, c, good) for f, m in masks.items() for r, line in enumerate(m) for c, good in enumerate(line)]
+    got = {x.frame_id: x for x in grid.largest_rectangles(spark.createDataFrame(cells, "frame_id int, row int, col int, good boolean")).collect()}
+    for f, m in masks.items():
+        areas = [(b - a) * (d - c) for a in range(7) for b in range(a + 1, 8) for c in range(9) for d in range(c + 1, 10) if all(m[r][k] for r in range(a, b) for k in range(c, d))]
+        x = got[f]
+        assert all(m[r][k] for r in range(x.row0, x.row1) for k in range(x.col0, x.col1)) and (x.row1 - x.row0) * (x.col1 - x.col0) == max(areas)
+
+
+def test_a_far_model_counts_where_the_near_one_ends(spark):
+    from sitewright.operators import moon
+
+    near, side = np.zeros((20, 20)), 5.0
+    far = np.zeros((40, 40))
+    far[:, 30:] = 400.0  # a ridge to the east, 500 m and more away
+    seen = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0)], "row int, col int, x double, y double, z double")
+    with_far = moon.horizons(seen, near, -50.0, 50.0, side, (far, -1000.0, 1000.0, 50.0), azimuths=4, far_m=2000.0).first().h
+    alone = moon.horizons(seen, near, -50.0, 50.0, side, azimuths=4, far_m=2000.0).first().h
+    assert with_far[1] > 30 and -0.5 < with_far[3] < 0 and alone[3] < -2 and alone[1] < 0
