@@ -216,6 +216,31 @@ def sharpness(pixels: DataFrame, step: int = 4) -> DataFrame:
     return both.groupBy("image_id").agg(F.var_pop("_l").alias("sharpness"))
 
 
+def box_means(cells: DataFrame, key: list[str], reach: int, values: dict[str, Column]) -> DataFrame:
+    """Cells with the mean of each value over the square window of ``reach``, cut at the edges: sums along rows, then along
+    columns, so that a cell is read twice and not once for each cell of its window."""
+    along = Window.partitionBy(*key, "row").orderBy("col").rangeBetween(-reach, reach)
+    down = Window.partitionBy(*key, "col").orderBy("row").rangeBetween(-reach, reach)
+    out = cells.withColumns({f"_{n}": v for n, v in values.items()})
+    out = out.withColumns({f"_s{n}": F.sum(f"_{n}").over(along) for n in values} | {f"_k{n}": F.count(f"_{n}").over(along) for n in values})
+    out = out.withColumns({n: F.sum(f"_s{n}").over(down) / F.sum(f"_k{n}").over(down) for n in values})
+    return out.drop(*[f"_{a}{n}" for a in ("", "s", "k") for n in values])
+
+
+def local_contrast(pixels: DataFrame, reach: int = 32) -> DataFrame:
+    """``pixels(image_id, row, col, value)`` with ``contrast``, the deviation of the values in the window around each."""
+    v = F.col("value").cast("double")
+    both = box_means(pixels, ["image_id"], reach, {"_mean": v, "_square": v * v})
+    return both.withColumn("contrast", F.sqrt(F.greatest(F.col("_square") - F.col("_mean") * F.col("_mean"), F.lit(0.0)))).drop("_mean", "_square")
+
+
+def texture(pixels: DataFrame, fine: int = 1, coarse: int = 8) -> DataFrame:
+    """``pixels`` with ``texture``: a fine mean less a coarse one, which leaves pebbles and takes the light away."""
+    v = F.col("value").cast("double")
+    near = box_means(pixels, ["image_id"], fine, {"_near": v})
+    return box_means(near, ["image_id"], coarse, {"_far": v}).withColumn("texture", F.col("_near") - F.col("_far")).drop("_near", "_far")
+
+
 def largest_rectangles(cells: DataFrame) -> DataFrame:
     """``frame_id, row0, row1, col0, col1``: the largest rectangle of good cells of each frame (ends beyond; of equals the
     first by its lower right corner). A frame's mask is one group."""

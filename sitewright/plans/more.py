@@ -518,6 +518,31 @@ def _(spark, t):
     return grid.sharpness(p).select(F.col("image_id").cast("long").alias("image_id"), rounded(F.col("sharpness")).alias("sharpness"))
 
 
+def _box(value: str, reach: int, src: str) -> str:
+    """The mean of a value over a square window, by a join of every cell with its neighbours."""
+    return f"SELECT a.row, a.col, avg({value}) AS m FROM {src} a JOIN {src} b ON abs(a.row - b.row) <= {reach} AND abs(a.col - b.col) <= {reach} GROUP BY 1, 2"
+
+
+@query("win12_local_contrast", f"WITH g AS (SELECT row, col, z FROM ({TERRAIN})), m AS ({_box('b.z', 6, 'g')}), q AS ({_box('b.z * b.z', 6, 'g')}) SELECT row, col, {r4('sqrt(greatest(q.m - m.m * m.m, 0e0))')} AS contrast FROM m JOIN q USING (row, col)")
+def _(spark, t):
+    p = terrain(spark).select(F.lit(0).alias("image_id"), "row", "col", F.col("z").alias("value"))
+    return grid.local_contrast(p, 6).select("row", "col", rounded(F.col("contrast")).alias("contrast"))
+
+
+TEXTURE = f"g AS (SELECT row, col, z + sin(row * 2e0) * cos(col * 3e0) AS z FROM ({TERRAIN})), n AS ({_box('b.z', 1, 'g')}), f AS ({_box('b.z', 8, 'g')}), x AS (SELECT row, col, n.m - f.m AS v FROM n JOIN f USING (row, col))"
+
+
+@query("join22_texture_shifts", f"""WITH {TEXTURE}, a AS (SELECT row + 2 AS row, col - 1 AS col, v FROM x WHERE row > 20)
+SELECT dr, dc, {r4('corr(a.v, x.v)')} AS r, count(*) AS n FROM a, (SELECT CAST(range AS INT) - 3 AS dr FROM range(7)) u, (SELECT CAST(range AS INT) - 3 AS dc FROM range(7)) w, x WHERE x.row = a.row + dr AND x.col = a.col + dc GROUP BY 1, 2""")
+def _(spark, t):
+    from ..operators import registration
+
+    p = terrain(spark).selectExpr("0 AS image_id", "row", "col", "z + sin(row * 2e0) * cos(col * 3e0) AS value")
+    x = saved(grid.texture(p).select("row", "col", F.col("texture").alias("value")))
+    moved = x.filter("row > 20").selectExpr("row + 2 AS row", "col - 1 AS col", "value")
+    return registration.shift_search(moved, x, 3).select("dr", "dc", rounded(F.col("r")).alias("r"), "n")
+
+
 @query("prj08_rotated", f"SELECT ok, ln, {r4('min(-y)')} AS x, {r4('max(x)')} AS y, {r4('-sqrt(5e-1)')} AS qx FROM ({POINTS}) GROUP BY 1, 2")
 def _(spark, t):
     p = points(t).withColumn("quat", F.array(F.lit(0.0), F.lit(0.0), F.lit(2.0), F.lit(0.0)))  # half a turn about y
