@@ -46,3 +46,74 @@ def alternating_medians(seen: DataFrame, save, rounds: int = 12) -> DataFrame:
         raw = logs.join(level, "point").groupBy("frame").agg(F.median(F.col("v") - F.col("p")).alias("g"))
         gains = save(raw.join(F.broadcast(raw.agg(F.avg("g").alias("m")))).select("frame", (F.col("g") - F.col("m")).alias("g")))  # one row
     return gains.select("frame", F.exp("g").alias("gain"))
+
+
+def _apart(points: DataFrame, heights: DataFrame, cell_m: float) -> DataFrame:
+    """``points(.., x, y, z)`` with ``d``, their height over the cell below; only those over a known cell."""
+    at = {"cx": F.floor(F.col("x") / cell_m).cast("long"), "cy": F.floor(F.col("y") / cell_m).cast("long")}
+    return points.withColumns(at).join(heights, ["cx", "cy"]).withColumn("d", F.col("z") - F.col("h")).drop("cx", "cy", "h")
+
+
+def best_candidate(points: DataFrame, heights: DataFrame, yaws: list[float], shifts: list[float], pivot: tuple[float, float, float], need: float, cell_m: float, clip: float, save):
+    """The row ``yaw, dx, dy, dz, misfit`` of the least clipped misfit over all turns about the pivot and shifts; none with
+    ``need`` points over known cells gives None. ``points(px, py, pz)`` are relative to the pivot.
+
+    Every point is sent once a candidate; medians and means are aggregated by candidate, so the driver sees one row.
+    """
+    listed = lambda v: F.explode(F.array(*[F.lit(float(x)) for x in v]))
+    turned = points.withColumn("yaw", listed(yaws)).withColumns({"_c": F.cos(F.radians("yaw")), "_s": F.sin(F.radians("yaw"))})
+    placed = turned.select("yaw", (F.col("_c") * F.col("px") - F.col("_s") * F.col("py") + pivot[0]).alias("x"), (F.col("_s") * F.col("px") + F.col("_c") * F.col("py") + pivot[1]).alias("y"), (F.col("pz") + pivot[2]).alias("z"))
+    moved = placed.withColumn("dx", listed(shifts)).withColumn("dy", listed(shifts)).withColumns({"x": F.col("x") + F.col("dx"), "y": F.col("y") + F.col("dy")})
+    key = ["yaw", "dx", "dy"]
+    off = save(_apart(moved, heights, cell_m).select(*key, "d"))
+    middle = off.groupBy(*key).agg(F.median("d").alias("dz"), F.count("*").alias("n")).filter(F.col("n") >= need)
+    scored = off.join(F.broadcast(middle), key).groupBy(*key).agg(F.avg(F.least(F.abs(F.col("d") - F.col("dz")), F.lit(clip))).alias("misfit"), F.first("dz").alias("dz"))  # a row a candidate
+    return scored.orderBy("misfit", F.abs("yaw"), F.abs("dx"), F.abs("dy"), "yaw", "dx", "dy").first()
+
+
+def align(ref: DataFrame, mov: DataFrame, pivot: tuple[float, float, float], save, cell_m: float = 0.05, clip: float = 0.2, search: float = 1.5, yaw: float = 4.0, most: int = 40_000, seed: int = 0):
+    """(rotation as nine numbers by row, shift, report): the rigid motion X -> R X + t that lays the ground of ``mov`` on that
+    of ``ref``, both ``x, y, z`` with z upwards.
+
+    Heading and shift are searched about ``pivot`` in three rounds, coarse to fine; after each what is left of a tilt is
+    fitted by a plane and turned out. Heights of ``ref`` are means by cell. At most ``most`` of the moving points over known
+    ground, by the order of a hash, are compared: a bounded sample, whose size is a parameter.
+    """
+    import numpy as np
+
+    heights = save(ref.groupBy(F.floor(F.col("x") / cell_m).cast("long").alias("cx"), F.floor(F.col("y") / cell_m).cast("long").alias("cy")).agg(F.avg("z").alias("h")))
+    over = _apart(mov.select("x", "y", "z"), heights, cell_m).drop("d")
+    sample = save(over.orderBy(F.xxhash64(F.lit(seed), "x", "y", "z")).limit(most))
+    before = clipped_misfit(_apart(sample, heights, cell_m), cell_m, clip).first()
+    need = 0.25 * before.n
+    turn, shift = np.eye(3), np.zeros(3)  # about the pivot
+
+    def placed(relative: bool) -> DataFrame:
+        p = [F.col(a) - float(pivot[i]) for i, a in enumerate("xyz")]
+        q = [sum((F.lit(float(turn[i, j])) * p[j] for j in range(3)), F.lit(float(shift[i]))) for i in range(3)]
+        names = ("px", "py", "pz") if relative else ("x", "y", "z")
+        return sample.select(*[(q[i] if relative else q[i] + float(pivot[i])).alias(n) for i, n in enumerate(names)])
+
+    grid = lambda half, step: [round(k * step, 9) for k in range(-round(half / step), round(half / step) + 1)]
+    for yaws, shifts in ((grid(yaw, 1.0), grid(search, 0.15)), (grid(1.0, 0.25), grid(0.15, 0.03)), (grid(0.25, 0.125), grid(0.04, 0.01))):
+        best = best_candidate(placed(True), heights, yaws, shifts, pivot, need, cell_m, clip, save)
+        if best is None:
+            break
+        c, s = np.cos(np.radians(best.yaw)), np.sin(np.radians(best.yaw))
+        about = np.array([[c, -s, 0.0], [s, c, 0.0], [0.0, 0.0, 1.0]])
+        turn, shift = about @ turn, about @ shift + [best.dx, best.dy, -best.dz]
+        # a plane through what is left, by its normal equations
+        left = _apart(placed(False), heights, cell_m).filter(F.abs("d") < 0.08).select((F.col("x") - pivot[0]).alias("a"), (F.col("y") - pivot[1]).alias("b"), "d")
+        sums = left.agg(*[F.sum(F.col(p) * F.col(q)).alias(p + q) for p, q in ("aa", "ab", "bb", "ad", "bd")], *[F.sum(p).alias(p) for p in "abd"], F.count("*").alias("n")).first()
+        if sums.n > 500:
+            m = np.array([[sums.aa, sums.ab, sums.a], [sums.ab, sums.bb, sums.b], [sums.a, sums.b, sums.n]])
+            u, v, w = np.linalg.solve(m, [sums.ad, sums.bd, sums.d])
+            angle = float(np.hypot(u, v))
+            axis = np.array([-v, u, 0.0]) / angle if angle else np.zeros(3)
+            k = np.array([[0, -axis[2], axis[1]], [axis[2], 0, -axis[0]], [-axis[1], axis[0], 0]])
+            tilt = np.eye(3) + np.sin(angle) * k + (1 - np.cos(angle)) * k @ k
+            turn, shift = tilt @ turn, tilt @ shift - [0.0, 0.0, w]
+    after = clipped_misfit(_apart(placed(False), heights, cell_m), cell_m, clip).first()
+    centre = np.array(pivot, float)
+    report = {"overlap_points": after.n, "misfit_before_m": before.misfit, "misfit_after_m": after.misfit}
+    return turn.ravel().tolist(), (centre + shift - turn @ centre).tolist(), report
