@@ -105,13 +105,14 @@ def with_next(docs: DataFrame, buckets: int | None = None, range_bytes: int = 64
     """The rows of ``docs(doc_id, text, ..)`` with ``next``, a struct of the next row by id (ties by text, rows without an
     id last); after the last comes the first.
 
-    Ids are cut at approximate quantiles into ranges of about ``range_bytes`` of text, a window each; a range takes the
-    first rows of the next one along, so that each text is shuffled once.
+    Ids are cut at approximate quantiles into ranges of about ``range_bytes`` of text, a window each (at least four a
+    shuffle partition, at most 65,536, since their bounds are part of the plan; a window spills what it can't hold); a
+    range takes the first rows of the next one along, so that each text is shuffled once.
     """
     spark = docs.sparkSession
     if buckets is None:
         size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), size // range_bytes)
+        buckets = min(65_536, max(32, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // range_bytes))
     cuts = [k / buckets for k in range(1, buckets)]
     row = docs.agg(F.min("doc_id").alias("low"), F.percentile_approx("doc_id", cuts, 20 * buckets).alias("cuts")).first()
     if row.low is None:

@@ -144,8 +144,13 @@ def assign(
 
 
 def curriculum(docs: DataFrame, keep: tuple[str, ...], **how) -> DataFrame:
-    """A row per copy that the mix takes, with ``keep`` and ``position``, range-sorted by position."""
-    taken = assign(docs, keep=tuple(c for c in keep if c != "doc_id"), **how)
+    """A row per copy that the mix takes, with ``keep`` and ``position``, range-sorted by position.
+
+    Kept columns travel with the parts, so there are as many of those (a power of 2, up to 65,536) as give each about
+    50,000 rows.
+    """
+    parts = 1 << min(16, max(10, (docs.count() // 50_000).bit_length()))
+    taken = assign(docs, keep=tuple(c for c in keep if c != "doc_id"), **{"parts": parts} | how)
     return taken.withColumn("position", F.explode("positions")).select(*keep, "position").orderBy("position", "doc_id")
 
 

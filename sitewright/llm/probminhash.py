@@ -140,15 +140,28 @@ def _sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 REGISTERS, BANDS = 128, 48
 
 
-def difference_marks(only: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys of the bands, registers by four bits) of a set of shingles; one key for an empty set."""
+def bands_of(apart: int, weight: int, similarity: float = 0.8) -> int:
+    """How many bands a text needs whose differences are ``apart`` of its ``weight``.
+
+    A text alike to it shares at least 1 - d weight / apart of both their differences (as similarity of sets, where its own
+    are the more; d is 2/7 at 0.8): the further both are from the leader, the surer a band meets. With these a link is
+    missed once in 10,000; the nearest texts, for which no number would do, have all ``BANDS``.
+    """
+    c = (1 - similarity) / similarity
+    share = 2 * c / (2 + c)
+    least = 1 - share / (1 - share) * weight / apart if apart else 1.0
+    return BANDS if least <= 0.1 else int(min(BANDS, max(4, np.ceil(np.log(1e-4) / np.log1p(-min(least, 0.999) ** 2)))))
+
+
+def difference_marks(only: np.ndarray, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the first ``bands``, registers by four bits) of a set of shingles; one key for an empty set."""
     s = sketch(only, np.ones(len(only)), REGISTERS)
     nibbles = (mix(s) & np.uint64(15)).reshape(-1, 16) << (np.uint64(4) * np.arange(16, dtype=np.uint64))
-    keys = mix(s[0 : 2 * BANDS : 2] * _GOLD + s[1 : 2 * BANDS : 2]) if len(only) else np.zeros(1, np.uint64)
+    keys = mix(s[0 : 2 * bands : 2] * _GOLD + s[1 : 2 * bands : 2]) if len(only) else np.zeros(1, np.uint64)
     return keys.view(np.int64), np.bitwise_or.reduce(nibbles, axis=1).view(np.int64)
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, words: int, marks: bool = False) -> DataFrame:
+def _compared(pairs: DataFrame, texts: DataFrame, words: int, marks: bool = False, similarity: float = 0.8) -> DataFrame:
     """``pairs(a, b)`` with their exact ``similarity``; each text is sent to its pairs, no more.
 
     With ``marks``, also ``apart``, the number of shingles that only one of the two has; ``weight``, the number of runs
@@ -172,7 +185,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int, marks: bool = Fals
                     only = np.setxor1d(mine[0], other[0], assume_unique=True)
                     apart.append(len(only))
                     weight.append(int(other[1].sum()))
-                    of = difference_marks(only)
+                    of = difference_marks(only, bands_of(len(only), weight[-1], similarity))
                     keys.append(of[0])
                     nibbles.append(of[1])
             more = {"apart": apart, "weight": weight, "keys": keys, "nibbles": nibbles} if marks else {}
@@ -255,7 +268,7 @@ def _linked(members: DataFrame, docs: DataFrame, words: int, similarity: float,
     texts = docs.join(dealt.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = written(texts, "texts")  # of texts with a candidate, once each
     pairs = _led(dealt, []).filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    made = written(_compared(pairs, texts, words, marks=True), "led")
+    made = written(_compared(pairs, texts, words, True, similarity), "led")
     alike = lambda pairs: pairs.filter(F.col("similarity") >= similarity).select("a", "b")
     links = alike(made)
     roots = components(links)
@@ -273,7 +286,7 @@ def _linked(members: DataFrame, docs: DataFrame, words: int, similarity: float,
             many = _led(many, ["scope"]).filter("rep <> lead")
             many = many.select(F.xxhash64("scope", "lead").alias("scope"), F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
             many = written(many, "many")
-            made = written(_compared(many.select("a", "b").distinct(), texts, words, marks=True), "led")
+            made = written(_compared(many.select("a", "b").distinct(), texts, words, True, similarity), "led")
             found = found.unionByName(alike(made))
             open_ = made.join(many, ["a", "b"])
         links = written(links.unionByName(found).distinct(), "links")
@@ -299,7 +312,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 4, small: int = 64, rounds: int = 1
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 4, small: int = 128, rounds: int = 1
 ) -> DataFrame:
     """``doc_id, class_id, content_class, links`` of every row of ``docs``.
 
@@ -307,7 +320,7 @@ def near_duplicates(
     ``similarity`` or more between different texts. ``content_class`` is the smallest id with the same words, and
     ``links`` counts the links of that text that were verified (those that connect its class), not all. At 0.8 a pair
     misses all of 32 bands of 4 once in 10 million; a pair that only differences from a leader can bring together is
-    found by ``BANDS`` bands of 2 registers of them. Buckets of differences of up to ``small`` texts are compared pair by
+    found by up to ``BANDS`` bands of 2 registers of them. Buckets of differences of up to ``small`` texts are compared pair by
     pair, larger ones by leaders, ``rounds`` times at most; what is then still open is compared pair by pair too.
 
     Null and empty texts are one class. Texts of fewer than five words are one shingle. Rows that repeat come out each;
@@ -332,7 +345,7 @@ def _classes(docs: DataFrame, words: int, similarity: float, bands: int, rows: i
 
 
 def first_of_class(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 4, small: int = 64, rounds: int = 1
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 4, small: int = 128, rounds: int = 1
 ) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its class; of rows that repeat such an id, one. Of a class of rows
     without an id one row stays, with its null id."""
