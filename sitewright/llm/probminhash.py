@@ -209,7 +209,8 @@ def _rooted(open_: DataFrame, roots: DataFrame) -> DataFrame:
     """``open_(scope, rep, ..)`` with ``root``, of the scopes whose texts lie in several components."""
     placed = open_.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     several = placed.groupBy("scope").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("scope")
-    return salted_join(placed, several, "scope", by="rep")
+    # dealt evenly by text, as each becomes a row a band: a large scope's texts would else be together
+    return salted_join(placed, several, "scope", by="rep").repartition("rep", "scope")
 
 
 def _unlike(x: Column, y: Column) -> Column:

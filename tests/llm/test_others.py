@@ -7,12 +7,13 @@ import struct
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sitewright.llm import imatch, licenses, mixing, quality, secrets
+from sitewright.llm import imatch, licenses, mixing, packing, probminhash, quality, secrets
 from sitewright.llm.queries import QUERIES, trainable
 
 SMALL = "/root/testdata/sf0.001"
@@ -346,3 +347,75 @@ def test_pipeline(spark):
     assert alone.columns == docs.columns and alone.join(kept, "doc_id", "left_anti").count() == 0
     last = corpus_pipeline.run(spark, SMALL)
     assert last.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0 and last.count() > 0
+
+
+STAGE_DOC = "doc_id long, text string, lang string, source string, n_chars long, position double, bucket long, rep long, root string, key string, part int, score double, pii string, piece int, item long, place string, at int"
+EXTRA = (0.5, 1, 2, "r", "k", 3, 0.1, "p", 4, 5, "q", 6)
+STAGE_ROWS = [
+    (1, "Call +1 202 555 0143 or write to a.b@example.org today. " * 3, "en", "web", 100), (2, None, None, None, None), (3, "", "en", "web", 0), (4, "word " * 30_000, "en", "web", 150_000),
+    (5, "the same text in several rows of one table and more words", "de", "books", 55), (5, "the same text in several rows of one table and more words", "de", "books", 55),
+    (6, "the same text in several rows of one table and more words", "de", None, 55), (7, "\x00퟿\t\n", "en", "web", 4), (None, "a text without an id at all, with words", "en", "books", 39),
+]
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_each_stage_takes_odd_rows(spark, number):
+    name, stage = corpus_pipeline.STAGES[number]
+    docs = spark.createDataFrame([(*r, *EXTRA) for r in STAGE_ROWS], STAGE_DOC)
+    if name != "packing":  # there ``position`` is the order
+        docs = docs.withColumn("position", F.lit("no number"))
+    got = stage(spark, docs, SMALL)
+    rows, empty = got.collect(), stage(spark, docs.limit(0), SMALL)
+    assert empty.count() == 0 and empty.columns == got.columns
+    if name in ("quality", "near_duplicates", "pii"):
+        assert got.columns == list(corpus_pipeline.COLUMNS)
+    texts = [r[1] for r in STAGE_ROWS]
+    if name == "quality":
+        assert all(r.text in texts for r in rows)
+    if name == "near_duplicates":
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == [(False, 1), (False, 2), (False, 4), (False, 5), (False, 7), (True, 0)]
+    if name == "pii":
+        assert len(rows) == len(STAGE_ROWS) and not any("a.b@example.org" in (r.text or "") for r in rows) and {r.text for r in rows if r.doc_id == 2} == {None}
+    if name == "mixing":
+        assert [r.position for r in rows] == sorted(r.position for r in rows) and not any(r.doc_id in (2, 3) for r in rows)
+    if name == "packing":
+        pieces = sum(-(-len(packing.token_ids(t, public_tokenizers.path("byte_bpe_50k.tiktoken"))) // 1024) for t in texts)
+        fill = Counter()
+        for r in rows:
+            fill[r.sequence_id] += r.length
+        assert len(rows) == pieces and max(fill.values()) <= 1024
+
+
+def test_pipeline_rows_follow_from_its_stages(spark):
+    """Each stage against what it is defined by, on what the one before it kept."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    kept = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        kept.append(stage(spark, kept[-1], SMALL).cache())
+    good, distinct, hidden, mixed, packed = kept[1:]
+    network, _ = quality.learn(docs, trainable(spark.read.parquet(f"{SMALL}/labels.parquet")))
+    scores = {r.doc_id: float(network.score(quality.features(r.text)[None].astype(float))[0]) for r in docs.collect()}
+    assert {r.doc_id for r in good.collect()} == {d for d, s in scores.items() if s >= 0.3}
+    texts = {r.doc_id: r.text for r in good.collect()}
+    sets = {d: probminhash.shingles(t) for d, t in texts.items()}
+    left = {r.doc_id for r in distinct.collect()}
+    alike = lambda a, b: probminhash.probability_jaccard(sets[a], sets[b]) >= 0.8
+    assert all(any(alike(d, e) for e in sets if e != d) for d in sets if d not in left)
+    assert not any(alike(a, b) for a in left for b in left if a < b)
+    assert {r.doc_id for r in hidden.collect()} == left
+    sizes = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in hidden.collect()}
+    copies = Counter(r.doc_id for r in mixed.collect())
+    assert max(copies.values()) <= 2 and set(copies) <= {d for d, n in sizes.items() if n}
+    taken = {r.doc_id: r.taken for r in mixing.assign(hidden, schedules=mixing.SCHEDULES).collect()}
+    assert {d: n * sizes[d] for d, n in copies.items()} == {d: t for d, t in taken.items() if t}
+    places, first = {}, {}
+    for r in packed.collect():
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        first[r.sequence_id] = min(r.position, first.get(r.sequence_id, 2.0))
+    for at in places.values():
+        ends = 0
+        for offset, length in sorted(at):
+            assert offset == ends
+            ends += length
+        assert ends <= 1024
+    assert sum(1 for _ in first) >= -(-sum(n for at in places.values() for _, n in at) // 1024)
