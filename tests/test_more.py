@@ -319,3 +319,18 @@ def test_a_moved_surface_is_laid_back(spark):
     cloud_of = lambda p: spark.createDataFrame([tuple(map(float, r)) for r in p], "x double, y double, z double")
     r, t, report = registration.align(cloud_of(ref), cloud_of(mov), (0.0, 0.0, 0.0), saved, search=0.3, yaw=2.0, most=4000)
     assert np.abs(mov @ np.array(r).reshape(3, 3).T + t - ref).max() < 0.04 and report["misfit_after_m"] < report["misfit_before_m"] / 3
+
+
+def test_features_match_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    kind = "pair int, feature_id long, vector array<double>"
+    left = [(p, i, rng.normal(size=8).tolist()) for p in (1, 2, 3) for i in range(40)]
+    near = {(p, i): v for p, i, v in left}
+    right = [(p, 100 + i, (np.array(near[p, i]) + rng.normal(0, 0.05 if i % 2 else 1.5, 8)).tolist()) for p in (1, 2) for i in range(40)] + [(3, 100, near[3, 0])]
+    got = {(r.pair, r.left_id): r.right_id for r in frames.matched_features(spark.createDataFrame(left, kind), spark.createDataFrame(right, kind), block=7).collect()}
+    want = {}
+    for p, i, v in left:
+        d = sorted((float(np.linalg.norm(np.array(v) - np.array(w))), j) for q, j, w in right if q == p)
+        if len(d) > 1 and d[0][0] < 0.7 * d[1][0]:
+            want[p, i] = d[0][1]
+    assert got == want and len(want) >= 40
