@@ -212,7 +212,7 @@ def _(spark, t):
 TILES = f"SELECT row // 20 AS tile, 0 AS exposure, row, col, z FROM ({TERRAIN})"
 
 
-@query("join24_stitched", f"SELECT 0 AS exposure, row, col, floor(z) AS value FROM ({TERRAIN}) WHERE col < 60")
+@query("join24_stitched", f"SELECT 0 AS exposure, row, col, CAST(floor(z) AS BIGINT) AS value FROM ({TERRAIN}) WHERE col < 60")
 def _(spark, t):
     # three tiles that overlap by 4 rows; their outermost rows are off and are trimmed
     cells = terrain(spark).filter("col < 60").select("row", "col", F.floor("z").alias("z"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("tile"))
@@ -400,7 +400,7 @@ def _(spark, t):
     return state.with_auto_ids(t.events.select((F.col("user_id") % 4).alias("scene"), "event_id", "ts"), ["scene"], ["ts", "event_id"], saved).select("scene", "event_id", "id")
 
 
-@query("set06_replayed", "SELECT user_id, floor(value) AS pin, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+@query("set06_replayed", "SELECT user_id, CAST(floor(value) AS BIGINT) AS pin, min(event_id) AS event_id FROM events GROUP BY 1, 2")
 def _(spark, t):
     e = t.events.select("user_id", F.floor("value").alias("pin"), "event_id")
     return state.replayed(e.filter("event_id % 2 = 0"), e, ["user_id", "pin"], "event_id")

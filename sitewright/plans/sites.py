@@ -139,7 +139,7 @@ def _(spark, t):
     return text.fact_lines(rows, 40)
 
 
-@query("txt14_cited_answer", """WITH m AS (SELECT l_orderkey AS pin_id, list({'label': l_returnflag, 'value': CAST(l_quantity AS INT), 'source_url': 'u' || l_suppkey} ORDER BY l_linenumber, l_partkey, l_suppkey) AS ms FROM lineitem GROUP BY 1),
+@query("txt14_cited_answer", """WITH m AS (SELECT l_orderkey AS pin_id, list({'label': l_returnflag, 'value': CAST(l_quantity AS INT), 'source_url': 'u' || l_suppkey} ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, CAST(l_quantity AS INT)) AS ms FROM lineitem GROUP BY 1),
 e AS (SELECT pin_id, unnest(ms) AS m, generate_subscripts(ms, 1) - 1 AS pos FROM m), f AS (SELECT m.source_url AS url, min((pin_id, pos)) AS spot FROM e GROUP BY 1), n AS (SELECT url, row_number() OVER (ORDER BY spot) AS source_no FROM f)
 SELECT pin_id, CAST(pos AS INT) AS pos, m.label AS label, m.value AS value, CAST(source_no AS INT) AS source_no, url FROM e JOIN n ON m.source_url = url""")
 def _(spark, t):
