@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, licenses, media, mixing, packing, pii, probminhash, quality, secrets, warc
-from .shared import table
+from . import fim, imatch, lexical, licenses, media, mixing, packing, pii, probminhash, quality, secrets, sharding, warc
+from .shared import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -148,3 +148,91 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op10_licenses"] = licenses.duckdb_sql()
+
+
+@query
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+ORACLE_SQL["op11_lexical"] = r"""
+WITH found AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+kept AS (
+  SELECT doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM found WHERE len(terms) > 0),
+totals AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM kept),
+normed AS (
+  SELECT doc_id, terms, 10 + (90 * n * docs) // words AS m FROM kept, totals),
+postings AS (
+  SELECT doc_id, m, term, count(*) AS tf FROM (SELECT doc_id, m, unnest(terms) AS term FROM normed) GROUP BY doc_id, m, term),
+items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+weighed AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), totals),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM items JOIN weighed USING (term) JOIN postings USING (term) GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op12_fill_in_middle"] = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || CAST(doc_id AS VARCHAR)) AS draw
+  FROM documents),
+drawn AS (
+  SELECT *, CAST(len(units) AS BIGINT) AS n, CAST('0x' || draw[1:8] AS BIGINT) AS h1, CAST('0x' || draw[9:16] AS BIGINT) AS h2, CAST('0x' || draw[25:32] AS BIGINT) AS h4 FROM cut),
+placed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (
+  SELECT *, array_to_string(units[1:low], '') AS prefix, array_to_string(units[low + 1:high], '') AS middle, array_to_string(units[high + 1:n], '') AS suffix FROM placed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+@query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = sharding.sharded(table(spark, sf_dir, "documents"), new_folder(spark, "shards") + "/rows", shards=8)
+    text = F.coalesce("text", F.lit(""))
+    return stored.select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard"
+    )
+
+
+ORACLE_SQL["op13_sharding"] = r"""
+WITH RECURSIVE keyed AS (
+  SELECT doc_id, text, md5(CAST(doc_id AS VARCHAR))[1:16] AS draw, row_number() OVER () AS row FROM documents),
+jumps AS (
+  SELECT row, CAST('0x' || draw AS UBIGINT)::HUGEINT AS state, CAST(-1 AS BIGINT) AS shard, CAST(0 AS BIGINT) AS ahead FROM keyed
+  UNION ALL
+  SELECT row, drawn, ahead, CAST(floor(CAST(ahead + 1 AS DOUBLE) * (CAST(2147483648 AS DOUBLE) / CAST(drawn // 8589934592 + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT row, ahead, (state * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS drawn FROM jumps WHERE ahead < 9)),
+shards AS (
+  SELECT row, CAST(max(shard) FILTER (shard < 8) AS INT) AS shard, CAST(max(shard) FILTER (shard < 9) AS INT) AS grown_shard FROM jumps GROUP BY row),
+bits AS (
+  SELECT CAST(range AS BIGINT) AS byte, CAST(range AS BIGINT) AS crc, 0 AS bit FROM range(256)
+  UNION ALL SELECT byte, CASE WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END, bit + 1 FROM bits WHERE bit < 8),
+steps AS MATERIALIZED (
+  SELECT list(crc ORDER BY byte) AS step FROM bits WHERE bit = 8),
+bytes AS (
+  SELECT *, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: CAST('0x' || p AS BIGINT)) AS octets FROM keyed)
+SELECT doc_id, CAST(len(octets) + 1 AS BIGINT) AS size,
+       xor(list_reduce(list_concat([4294967295::BIGINT], octets), lambda crc, octet: xor(crc >> 8, step[1 + (xor(crc, octet) & 255)])), 4294967295::BIGINT) AS text_crc32,
+       'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY draw, doc_id) - 1 AS slot, grown_shard
+FROM bytes JOIN shards USING (row), steps
+"""
