@@ -6,13 +6,12 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` by way of Parquet in the folder of ``spark.checkpoint.dir``. Where that is unset and the master is local, a
-    temporary folder takes its place; on a cluster that is an error."""
-    spark = df.sparkSession
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the folder of ``spark.checkpoint.dir``, removed when the driver's JVM ends. Where that is
+    unset and the master is local, a temporary folder takes its place; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -23,6 +22,11 @@ def saved(df: DataFrame) -> DataFrame:
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(folder)
     fs.deleteOnExit(folder)
-    path = f"{fs.makeQualified(folder).toString()}/{uuid.uuid4().hex}"
+    return fs.makeQualified(folder).toString()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` by way of Parquet in ``own_folder``."""
+    path = f"{own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

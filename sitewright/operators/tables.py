@@ -72,7 +72,7 @@ def why_no_access(events: DataFrame, members: DataFrame, access: DataFrame) -> D
     grants = access.select(F.col("org_id").alias("_org"), F.col("scene_id").alias("_scene")).distinct().withColumn("_ok", F.lit(True))
     seen = events.join(members.select("identity", F.col("org_id").alias("_mine")), "identity", "left")
     seen = seen.join(grants, (F.col("_mine") == F.col("_org")) & (scene == F.col("_scene")), "left")
-    why = F.when(F.col("_mine").isNull(), "not signed in").when(F.col("_ok").isNull(), F.concat(F.lit('no access to "'), scene, F.lit('"')))
+    why = F.when(F.col("_mine").isNull(), "not signed in").when(F.col("_ok").isNull(), F.concat(F.lit('no access to "'), F.coalesce(scene, F.lit("")), F.lit('"')))
     return seen.withColumn("refused", why).select(*events.columns, "refused")
 
 
