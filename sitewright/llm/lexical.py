@@ -96,10 +96,10 @@ def _block(table: pa.Table) -> pa.Table:
     )
 
 
-def build(docs: DataFrame, block_words: int = 1 << 17, task_words: int = 1 << 22) -> Index:
+def build(docs: DataFrame, block_words: int = 1 << 17, block_docs: int = 2048, task_words: int = 1 << 22) -> Index:
     """Index every row of ``docs(doc_id, text)`` that has a term, over whole texts.
 
-    A block takes about ``block_words`` words of one stratum, or one document that is longer; rows are dealt to the blocks
+    A block takes about ``block_words`` words and ``block_docs`` documents of one stratum at most, or one document that is longer; rows are dealt to the blocks
     of their stratum in turn, so that no stratum, however many copies it holds, is together in one task.
     """
     own = docs.select("doc_id", "text")
@@ -110,13 +110,15 @@ def build(docs: DataFrame, block_words: int = 1 << 17, task_words: int = 1 << 22
     # in decimals, as 90 n N outgrows 64 bits where tables are very large
     m = (F.lit(BASE - SPAN) + F.expr(f"(cast({SPAN * documents} as decimal(19, 0)) * cast(n as decimal(12, 0))) div cast({words} as decimal(19, 0))")).cast("long")
     lengths = lengths.withColumn("m", m)
-    strata = lengths.groupBy("m").agg(F.ceil(F.sum(F.col("n") * F.col("rows")) / block_words).alias("blocks"))
+    strata = lengths.groupBy("m").agg(F.ceil(F.greatest(F.sum(F.col("n") * F.col("rows")) / block_words, F.sum("rows") / block_docs)).alias("blocks"))
     strata = written(lengths.join(strata, "m").select("n", "m", "blocks"), "strata")  # a row for each length that occurs
     dealt = own.withColumn("n", _length("text")).join(strata, "n")
     dealt = dealt.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.col("blocks")))
     tasks = max(int(words) // task_words + 1, docs.sparkSession.sparkContext.defaultParallelism)
     dealt = dealt.select("m", "block", F.col("doc_id").cast("long"), "text").repartition(tasks, "m", "block")
-    return Index(written(dealt.groupBy("m", "block").applyInArrow(_block, _BLOCK), "blocks"), int(documents), int(words))
+    made = dealt.groupBy("m", "block").applyInArrow(_block, _BLOCK)
+    # small row groups, as a reader takes the rows of a group at once and a block is a long row
+    return Index(written(made, "blocks", **{"parquet.block.size": 8 << 20}), int(documents), int(words))
 
 
 def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +180,7 @@ def _scored(terms: Terms, m: int, row: dict[str, np.ndarray], found: np.ndarray,
     return items[who[best]], place[best], score[best]
 
 
-def _visit(blocks: DataFrame, terms: Terms, least: np.ndarray, k: int, together: int = 128, keep: int = 100_000) -> DataFrame:
+def _visit(blocks: DataFrame, terms: Terms, least: np.ndarray, k: int, together: int = 32, keep: int = 50_000) -> DataFrame:
     """``item, doc_id, score``: each task's ``k`` first documents of ``blocks(.., items)`` for the block's items."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

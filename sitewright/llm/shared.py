@@ -31,11 +31,12 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again: lineage is cut and a lost executor costs nothing."""
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read again: lineage is cut and a lost executor costs nothing.
+    ``options`` go to the writer."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
