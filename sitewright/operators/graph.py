@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from .saving import saved
 
 NEAR4 = ((0, 1), (1, 0), (0, -1), (-1, 0))
 NEAR8 = (*NEAR4, (1, 1), (1, -1), (-1, 1), (-1, -1))
@@ -49,57 +50,165 @@ def reachable(cells: DataFrame, row: int, col: int, save, near=NEAR8) -> DataFra
     return named.join(F.broadcast(start), "piece", "left_semi").select("row", "col")  # one row
 
 
-def route(node: pd.DataFrame, start: tuple[int, int], goal: tuple[int, int], cell_x: float, cell_y: float) -> tuple[float, list[tuple[int, int]]] | None:
-    """(cost, cells) of the cheapest route over one scene's nodes ``row, col, slope, passable``; None when blocked."""
-    slope = {(r, c): s for r, c, s, p in zip(node["row"], node["col"], node["slope"], node["passable"], strict=True) if p}
-    if start not in slope or goal not in slope:
-        return None
-    ahead = lambda n: float(np.hypot((n[0] - goal[0]) * cell_y, (n[1] - goal[1]) * cell_x))
-    best, came, heap, done = {start: 0.0}, {}, [(ahead(start), start)], set()
-    while heap:
-        _, n = heapq.heappop(heap)
-        if n == goal:
-            path = [n]
-            while path[-1] != start:
-                path.append(came[path[-1]])
-            return best[goal], path[::-1]
-        if n in done:
-            continue
-        done.add(n)
-        for a, b in NEAR8:
-            m = (n[0] + a, n[1] + b)
-            if m not in slope or m in done:
-                continue
-            cost = best[n] + float(np.hypot(a * cell_y, b * cell_x)) * (1 + config.SLOPE_COST * (slope[n] + slope[m]) / 2)
-            if cost < best.get(m, np.inf):
-                best[m], came[m] = cost, n
-                heapq.heappush(heap, (cost + ahead(m), m))
-    return None
-
-
-def routes(nodes: DataFrame, requests: DataFrame, cell_x: float, cell_y: float, chunk: int = 64) -> DataFrame:
-    """``request_id, cost, length_m, max_slope, steps, seq, row, col`` of each request's route, no rows where blocked.
-
-    ``nodes(scene_id, row, col, slope, passable)``, ``requests(request_id, scene_id, r0, c0, r1, c1)``. A route needs its
-    scene's rover grid (bounded by the decimation: some 10^5 nodes); the requests of a scene are dealt into chunks of
-    about ``chunk``, each of which gets the grid, so that many requests for one scene are many tasks.
+#: A node that a start offers to itself comes from nowhere.
+_NONE = len(NEAR8)
+
+
+def _tiles(nodes: DataFrame, tile: int, save) -> DataFrame:
+    """``scene_id, tr, tc, at, slopes`` of each tile: its passable nodes and those one step beyond its edges, by place."""
+    side = tile + 2
+    own = nodes.filter("passable").select("scene_id", F.col("row").cast("int"), F.col("col").cast("int"), F.col("slope").cast("double"))
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 1) / tile).cast("int"), F.floor((F.col(c) + 1) / tile).cast("int")))
+    sent = own.withColumn("tr", near("row")).withColumn("tc", near("col"))
+    at = ((F.col("row") - F.col("tr") * tile + 1) * side + F.col("col") - F.col("tc") * tile + 1).cast("int")
+    return save(sent.groupBy("scene_id", "tr", "tc").agg(F.collect_list(at).alias("at"), F.collect_list("slope").alias("slopes")))
+
+
+def _dense(at, values, side: int, empty: float) -> np.ndarray:
+    out = np.full(side * side, empty)
+    out[np.asarray(at, np.int64)] = values
+    return out.reshape(side, side)
+
+
+class _Steps:
+    """The eight moves on a tile of nodes with a border of one: what a move costs, and where it comes from."""
+
+    def __init__(self, slope: np.ndarray, cell_x: float, cell_y: float):
+        self.cost = []
+        for a, b in NEAR8:  # the move into a node from the one at (a, b) from it
+            mean = (slope + np.roll(slope, (-a, -b), (0, 1))) / 2
+            self.cost.append(float(np.hypot(a * cell_y, b * cell_x)) * (1 + config.SLOPE_COST * mean))
+
+    def offers(self, best: np.ndarray) -> np.ndarray:
+        """What each move would make of each node; a border's own values are meant to be read, not to be trusted as targets."""
+        return np.stack([np.roll(best, (-a, -b), (0, 1)) + c for (a, b), c in zip(NEAR8, self.cost, strict=True)])
+
+
+def _relaxed(work: DataFrame, kind: str, cell_x: float, cell_y: float, tile: int) -> DataFrame:
+    """Tiles with offers from outside: their nodes' new costs, and the offers that these make to nodes of other tiles.
+
+    ``work(scene_id, source, tr, tc, at, slopes, costs, cames, offers)``; rows with ``crosses`` are offers to others.
+    """
+    side = tile + 2
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for w in pdf.itertuples(index=False):
+                slope = _dense(w.at, w.slopes, side, np.nan)
+                inner = np.zeros((side, side), bool)
+                inner[1:-1, 1:-1] = ~np.isnan(slope[1:-1, 1:-1])
+                steps, best, came = _Steps(slope, cell_x, cell_y), np.full((side, side), np.inf), np.full((side, side), _NONE, np.int8)
+                if w.costs is not None:
+                    best[1:-1, 1:-1], came[1:-1, 1:-1] = np.asarray(w.costs).reshape(tile, tile), np.asarray(w.cames).reshape(tile, tile)
+                before = best.copy()
+                for o in w.offers:
+                    r, c = o["row"] - w.tr * tile + 1, o["col"] - w.tc * tile + 1
+                    if inner[r, c] and o["cost"] < best[r, c]:
+                        best[r, c], came[r, c] = o["cost"], o["came"]
+                while True:
+                    made = np.where(np.isnan(made := steps.offers(best)), np.inf, made)
+                    which = made.argmin(0)
+                    least = np.take_along_axis(made, which[None], 0)[0]
+                    sooner = inner & (least < best)
+                    if not sooner.any():
+                        break
+                    best[sooner], came[sooner] = least[sooner], which[sooner]
+                changed = inner & (best < before)
+                if not changed.any():
+                    continue
+                out = [(w.tr, w.tc, -1, -1, np.nan, _NONE, best[1:-1, 1:-1].ravel().tolist(), came[1:-1, 1:-1].ravel().tolist(), False)]
+                # what changed at the edge is offered to the nodes beyond
+                made = steps.offers(np.where(changed, best, np.inf))
+                made[:, 1:-1, 1:-1] = np.inf
+                for k, r, c in zip(*np.nonzero(np.isfinite(made)), strict=True):
+                    a, b = NEAR8[k]
+                    if not (0 < r + a < side - 1 and 0 < c + b < side - 1):  # from beyond, or round the corner of the array
+                        continue
+                    row, col = w.tr * tile + r - 1, w.tc * tile + c - 1
+                    out.append((row // tile, col // tile, row, col, float(made[k, r, c]), k, None, None, True))
+                made = pd.DataFrame(out, columns=["tr", "tc", "row", "col", "cost", "came", "costs", "cames", "crosses"])
+                made.insert(0, "source", w.source)
+                made.insert(0, "scene_id", w.scene_id)
+                yield made
+
+    return work.mapInPandas(run, f"scene_id {kind}, source long, tr int, tc int, row int, col int, cost double, came byte, costs array<double>, cames array<byte>, crosses boolean")
+
+
+def _walked(walks: DataFrame, kind: str, tile: int) -> DataFrame:
+    """Ways back through the tiles they are in: a row a node, and where a way leaves its tile, one with ``on``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for w in pdf.itertuples(index=False):
+                came, side = np.asarray(w.cames).reshape(tile, tile), tile + 2
+                slope = _dense(w.at, w.slopes, side, np.nan)
+                row, col, k = w.row, w.col, w.k
+                while True:
+                    r, c = row - w.tr * tile, col - w.tc * tile
+                    if not (0 <= r < tile and 0 <= c < tile):
+                        out.append((w.request_id, w.scene_id, w.source, row // tile, col // tile, row, col, k, None, None, True))
+                        break
+                    move = int(came[r, c])
+                    out.append((w.request_id, w.scene_id, w.source, w.tr, w.tc, row, col, k, float(slope[r + 1, c + 1]), move, False))
+                    if move == _NONE:
+                        break
+                    row, col, k = row + NEAR8[move][0], col + NEAR8[move][1], k + 1
+            yield pd.DataFrame(out, columns=["request_id", "scene_id", "source", "tr", "tc", "row", "col", "k", "slope", "move", "on"]).astype({"move": "Int8"})
+
+    return walks.mapInPandas(run, f"request_id long, scene_id {kind}, source long, tr int, tc int, row int, col int, k long, slope double, move byte, on boolean")
+
+
+def routes(nodes: DataFrame, requests: DataFrame, cell_x: float, cell_y: float, save=saved, tile: int = 128) -> DataFrame:
+    """``request_id, cost, length_m, max_slope, steps, seq, row, col`` of each request's cheapest route, no rows where blocked.
+
+    ``nodes(scene_id, row, col, slope, passable)``, one row a node; ``requests(request_id, scene_id, r0, c0, r1, c1)``. A step
+    to one of eight neighbours costs its length times 1 + 0.1 times the mean slope of its ends.
+
+    The terrain is cut into tiles, and requests from one start share a search. A round relaxes, until nothing changes, the
+    tiles that were offered better costs at their edges, and hands what that changes to the tiles beyond; offers that are
+    dearer than all goals of their start are dropped. So rounds grow with the tiles that a route crosses, a task holds one
+    tile of a search, and a terrain of any size is never in one place. Routes are then walked back by the same tiles. All
+    rounds are written.
     """
-    chunks = requests.count() // chunk + 1
-    nodes = nodes.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    requests = requests.withColumn("_chunk", F.pmod(F.xxhash64("request_id"), F.lit(chunks)).cast("int"))
-
-    def find(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out, slope = [], dict(zip(zip(left["row"], left["col"], strict=True), left["slope"], strict=True))
-        for q in right.itertuples():
-            got = route(left, (q.r0, q.c0), (q.r1, q.c1), cell_x, cell_y)
-            if got:
-                path = np.array(got[1])
-                steps = np.diff(path, axis=0)
-                length = float(np.hypot(steps[:, 0] * cell_y, steps[:, 1] * cell_x).sum())
-                steepest = float(max(slope[n] for n in got[1]))
-                out += [(q.request_id, got[0], length, steepest, len(got[1]), i, r, c) for i, (r, c) in enumerate(got[1])]
-        return pd.DataFrame(out, columns=["request_id", "cost", "length_m", "max_slope", "steps", "seq", "row", "col"])
-
-    key = ["scene_id", "_chunk"]
-    found = nodes.groupBy(*key).cogroup(requests.groupBy(*key))
-    return found.applyInPandas(find, "request_id long, cost double, length_m double, max_slope double, steps int, seq int, row int, col int")
+    kind = nodes.schema["scene_id"].dataType.simpleString()
+    in_tile = lambda c: F.floor(F.col(c) / tile).cast("int")
+    tiles = _tiles(nodes, tile, save)
+    starts = requests.select("scene_id", "r0", "c0").distinct()
+    starts = save(starts.withColumn("source", F.xxhash64("scene_id", "r0", "c0")))
+    asked = save(requests.join(starts, ["scene_id", "r0", "c0"]))
+    place = ["scene_id", "source", "tr", "tc"]
+    start = starts.select("scene_id", "source", F.col("r0").cast("int").alias("row"), F.col("c0").cast("int").alias("col"), F.lit(0.0).alias("cost"), F.lit(_NONE).cast("byte").alias("came"))
+    offers = save(start.withColumns({"tr": in_tile("row"), "tc": in_tile("col")}))
+    spark = nodes.sparkSession
+    state = spark.createDataFrame([], f"scene_id {kind}, source long, tr int, tc int, costs array<double>, cames array<byte>")
+    goals = asked.select("request_id", "scene_id", "source", F.col("r1").alias("row"), F.col("c1").alias("col")).withColumns({"tr": in_tile("row"), "tc": in_tile("col")})
+    spot = F.expr(f"cast((row - tr * {tile}) * {tile} + col - tc * {tile} as int)")
+    while not offers.isEmpty():
+        best = offers.groupBy(*place, "row", "col").agg(F.min(F.struct("cost", "came")).alias("o"))
+        got = best.groupBy(*place).agg(F.collect_list(F.struct("row", "col", "o.cost", "o.came")).alias("offers"))
+        work = got.join(tiles, ["scene_id", "tr", "tc"]).join(state, place, "left")
+        work = work.repartition(work.sparkSession.sparkContext.defaultParallelism, *place)
+        made = save(_relaxed(work, kind, cell_x, cell_y, tile))
+        fresh = made.filter("not crosses").select(*place, "costs", "cames")
+        state = save(state.join(fresh.select(*place), place, "left_anti").unionByName(fresh))
+        # no route to a goal goes through a node that costs more than the dearest goal of its start does by now
+        reached = goals.join(state, place, "left").select("source", F.coalesce(F.get("costs", spot), F.lit(float("inf"))).alias("cost"))
+        worth = reached.groupBy("source").agg(F.max("cost").alias("most"))
+        offers = save(made.filter("crosses").join(worth, "source").filter("cost < most").select("scene_id", "source", "row", "col", "cost", "came", "tr", "tc"))
+    ends = goals.join(state.select(*place, F.col("costs").alias("_c")), place).withColumn("cost", F.get("_c", spot)).filter(F.col("cost") < float("inf"))
+    ends = save(ends.drop("_c"))
+    walks, rows = ends.select("request_id", *place, "row", "col", F.lit(0).cast("long").alias("k")), None
+    while True:
+        ahead = walks.join(state.select(*place, "cames"), place).join(tiles, ["scene_id", "tr", "tc"])
+        made = save(_walked(ahead, kind, tile))
+        done = made.filter("not on")
+        rows = done if rows is None else rows.unionByName(done)
+        walks = made.filter("on").select("request_id", *place, "row", "col", "k")
+        if walks.isEmpty():
+            break
+    lengths = F.element_at(F.array(*[F.lit(float(np.hypot(a * cell_y, b * cell_x))) for a, b in NEAR8], F.lit(0.0)), F.col("move").cast("int") + 1)
+    rows = save(rows.withColumn("step_m", lengths).select("request_id", "row", "col", "k", "slope", "step_m"))
+    whole = rows.groupBy("request_id").agg(F.sum("step_m").alias("length_m"), F.max("slope").alias("max_slope"), F.count("*").cast("int").alias("steps"))
+    out = rows.join(whole.join(ends.select("request_id", "cost"), "request_id"), "request_id")
+    return out.select("request_id", "cost", "length_m", "max_slope", "steps", (F.col("steps") - 1 - F.col("k")).cast("int").alias("seq"), "row", "col")
