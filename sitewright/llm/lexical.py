@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .shared import written
+from .shared import short_batches, written
 
 #: Bytes of terms: digits, letters, of which capital ones are taken as small, and all of code points beyond ASCII.
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -102,6 +102,7 @@ def build(docs: DataFrame, block_words: int = 1 << 17, block_docs: int = 2048, t
     A block takes about ``block_words`` words and ``block_docs`` documents of one stratum at most, or one document that is longer; rows are dealt to the blocks
     of their stratum in turn, so that no stratum, however many copies it holds, is together in one task.
     """
+    short_batches(docs.sparkSession)
     own = docs.select("doc_id", "text")
     lengths = written(own.select(_length("text").alias("n")).groupBy("n").agg(F.count("*").alias("rows")).filter("n > 0"), "lengths")
     documents, words = lengths.agg(F.sum("rows"), F.sum(F.col("n") * F.col("rows"))).first()
@@ -288,6 +289,7 @@ def search(index: Index, items: DataFrame, k: int = 10, first: int = 16, growth:
     items that no document shares a term with, have no rows.
     """
     spark = index.blocks.sparkSession
+    short_batches(spark)
     kind = items.schema["item_id"].dataType.simpleString()
 
     @F.pandas_udf("array<string>")

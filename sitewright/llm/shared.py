@@ -69,5 +69,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def short_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bound an Arrow batch in bytes, for rows that are long themselves."""
+    held = spark._jsparkSession.sessionState().conf().getConfString("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(held) > size:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
