@@ -188,3 +188,132 @@ def horizons(observers: DataFrame, dem: np.ndarray, west: float, north: float, c
             yield pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "h": out})
 
     return observers.select("row", "col", "x", "y", "z").mapInPandas(march, "row int, col int, h array<double>")
+
+
+# --- horizons over models of any size ---------------------------------------------------------------------------------
+
+
+def model_tiles(cells: DataFrame, rows: int, cols: int, tile: int, save) -> DataFrame:
+    """``tr, tc, at, heights, top`` of a model ``cells(row, col, z)``: each tile's heights by place, with the first row and
+    column of its neighbours, and the greatest of them. A model has a height in every cell; else it is refused."""
+    near = lambda c, n: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - 1) / tile).cast("int")), F.least(F.lit((n - 2) // tile), F.floor(F.col(c) / tile).cast("int"))))
+    sent = cells.select("row", "col", F.col("z").cast("float").alias("z")).withColumn("tr", near("row", rows)).withColumn("tc", near("col", cols))
+    at = ((F.col("row") - F.col("tr") * tile) * (tile + 1) + F.col("col") - F.col("tc") * tile).cast("int")
+    tiles = save(sent.groupBy("tr", "tc").agg(F.collect_list(at).alias("at"), F.collect_list("z").alias("heights"), F.max("z").alias("top")))
+    side = lambda t, n: F.least(F.lit(tile + 1), F.lit(n) - F.col(t) * tile)
+    short = tiles.filter((F.size("heights") != side("tr", rows) * side("tc", cols)) | F.exists("heights", lambda z: z.isNull() | F.isnan(z)))
+    whole = (-(-(rows - 1) // tile)) * (-(-(cols - 1) // tile))
+    if not short.isEmpty() or tiles.count() != whole:
+        raise ValueError("the elevation model has holes")
+    return tiles
+
+
+def _highest(units: DataFrame, extent: tuple[int, int, float, float, float], tile: int, inside: tuple[float, float, float, float] | None, azimuths: int, far_m: float, observer_m: float, radius: float) -> DataFrame:
+    """``row, col, tans``: for each observer of a unit, the greatest tangent of elevation of each ray within the unit's tile.
+
+    ``units(tr, tc, at, heights, seen)``. Only the rays and distances that can meet the tile are sampled. ``inside`` is the
+    box of a finer model: where that counts, this one does not.
+    """
+    rows, cols, west, north, cell = extent
+    distance, step = march_distances(far_m), 360.0 / azimuths
+
+    def march(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for u in pdf.itertuples(index=False):
+                grid = np.full((tile + 1) * (tile + 1), np.nan, np.float32)
+                grid[np.asarray(u.at)] = np.asarray(u.heights, np.float32)
+                grid = grid.reshape(tile + 1, tile + 1)
+                # the box of the places whose cell this is, in map metres, with half a cell to spare
+                x0, x1 = west + (u.tc * tile) * cell, west + ((u.tc + 1) * tile + 1) * cell
+                y0, y1 = north - ((u.tr + 1) * tile + 1) * cell, north - (u.tr * tile) * cell
+                out = []
+                for o in u.seen:
+                    x, y, z = o["x"], o["y"], o["z"]
+                    gap = np.hypot(max(x0 - x, 0.0, x - x1), max(y0 - y, 0.0, y - y1))
+                    reach = np.hypot(max(abs(x0 - x), abs(x1 - x)), max(abs(y0 - y), abs(y1 - y)))
+                    ds = distance[np.searchsorted(distance, gap - cell) : np.searchsorted(distance, reach + cell)]
+                    ks = np.arange(azimuths)
+                    if gap > 0:  # from outside, the box spans less than half a turn
+                        middle = np.degrees(np.arctan2((x0 + x1) / 2 - x, (y0 + y1) / 2 - y))
+                        turned = [(np.degrees(np.arctan2(a - x, b - y)) - middle + 180) % 360 - 180 for a in (x0, x1) for b in (y0, y1)]
+                        ks = np.unique(np.arange(np.floor((middle + min(turned)) / step), np.ceil((middle + max(turned)) / step) + 1).astype(int) % azimuths)
+                    tans = np.full(azimuths, -np.inf)
+                    if len(ds) and len(ks):
+                        way = np.radians(ks * 360.0 / azimuths)
+                        px, py = x + np.sin(way)[:, None] * ds, y + np.cos(way)[:, None] * ds
+                        c, r = (px - west) / cell - 0.5, (north - py) / cell - 0.5
+                        good = (c >= 0) & (r >= 0) & (c <= cols - 1) & (r <= rows - 1)
+                        if inside:
+                            fine_rows, fine_cols, fine_west, fine_north, fine = inside
+                            fc, fr = (px - fine_west) / fine - 0.5, (fine_north - py) / fine - 0.5
+                            good &= ~((fc >= 0) & (fr >= 0) & (fc <= fine_cols - 1) & (fr <= fine_rows - 1))
+                        c0, r0 = np.minimum(np.where(good, c, 0).astype(int), cols - 2), np.minimum(np.where(good, r, 0).astype(int), rows - 2)
+                        good &= (c0 // tile == u.tc) & (r0 // tile == u.tr)
+                        which, far = np.nonzero(good)
+                        if len(which):
+                            c, r, c0, r0 = c[good], r[good], c0[good], r0[good]
+                            a, b, v, w = r0 - u.tr * tile, c0 - u.tc * tile, c - c0, r - r0
+                            ground = radius + ((grid[a, b] * (1 - v) + grid[a, b + 1] * v) * (1 - w) + (grid[a + 1, b] * (1 - v) + grid[a + 1, b + 1] * v) * w)
+                            q0, q1, d = 1 + (x * x + y * y) / (4 * radius * radius), 1 + (px[good] ** 2 + py[good] ** 2) / (4 * radius * radius), ds[far]
+                            cos_t = 1 - d * d / (q0 * q1) / (2 * radius * radius)
+                            tan = (ground * cos_t - (radius + z + observer_m)) / (ground * np.sqrt(1 - cos_t * cos_t))
+                            np.maximum.at(tans, ks[which], tan)
+                    out.append((o["row"], o["col"], tans.tolist()))
+                yield pd.DataFrame(out, columns=["row", "col", "tans"])
+
+    return units.mapInPandas(march, "row int, col int, tans array<double>")
+
+
+def tiled_horizons(
+    observers: DataFrame, models: list[tuple[DataFrame, int, int, float, float, float]], save, azimuths: int = 360, far_m: float = 300_000.0, observer_m: float = 2.0,
+    radius: float = R, tile: int = 256, together: int = 256,
+) -> DataFrame:
+    """``row, col, h``: as ``horizons``, over models that are tables of cells, of any size.
+
+    ``models`` are (``cells(row, col, z)``, rows, columns, west, north, cell size), the finest first; of two, the first
+    counts wherever it reaches. Each is cut into tiles, and observers into groups of about ``together`` neighbours. Rays go
+    out from their group's tile in rings, each twice as wide as all before: a tile is sent the groups it can still matter
+    to, with what their rays have seen so far. A tile that could not rise over the lowest horizon of a group, were its
+    highest ground at its nearest edge, is not visited, so that distant rings fall away. Rounds grow with the logarithm of
+    the reach in tiles, and no task holds more than a tile and a group.
+    """
+    seen = save(observers.select("row", "col", "x", "y", "z"))
+    state = save(seen.select("row", "col", F.expr(f"array_repeat(double('-Infinity'), {azimuths})").alias("tans")))
+    for n, (cells, rows, cols, west, north, cell) in enumerate(models):
+        tiles = model_tiles(cells, rows, cols, tile, save)
+        span = tile * cell
+        deep, wide = (rows - 2) // tile, (cols - 2) // tile
+        own = seen.withColumn("gr", F.floor((F.lit(north) - F.col("y")) / span).cast("int")).withColumn("gc", F.floor((F.col("x") - west) / span).cast("int"))
+        crowds = own.groupBy("gr", "gc").agg(F.ceil(F.count("*") / together).alias("_n"))
+        own = own.join(crowds, ["gr", "gc"]).withColumn("part", F.pmod(F.xxhash64("row", "col"), F.col("_n"))).drop("_n")
+        own = save(own)
+        group = ["gr", "gc", "part"]
+        reach = int(far_m / span) + 2
+        low, high = 0, 0
+        while low <= reach:
+            high = min(high, reach)
+            lowest = own.join(state, ["row", "col"]).groupBy(*group).agg(F.min(F.array_min("tans")).alias("least"), F.min("z").alias("_z"), F.min("x").alias("xa"), F.max("x").alias("xb"), F.min("y").alias("ya"), F.max("y").alias("yb"))
+            between = lambda c, most, high=high: F.explode(F.expr(f"sequence(greatest(0, {c} - {high}), least({most}, {c} + {high}))"))
+            near = lowest.filter(F.expr(f"gr - {high} <= {deep} AND gr + {high} >= 0 AND gc - {high} <= {wide} AND gc + {high} >= 0"))
+            near = near.withColumn("tr", between("gr", deep)).withColumn("tc", between("gc", wide))
+            near = near.filter(F.greatest(F.abs(F.col("tr") - F.col("gr")), F.abs(F.col("tc") - F.col("gc"))) >= low)
+            x0, x1 = F.lit(west) + F.col("tc") * span, F.lit(west) + (F.col("tc") + 1) * span + cell
+            y1, y0 = F.lit(north) - F.col("tr") * span, F.lit(north) - (F.col("tr") + 1) * span - cell
+            gap = lambda a, b, p, q: F.greatest(F.lit(0.0), a - q, p - b)
+            gap = F.hypot(gap(x0, x1, F.col("xa"), F.col("xb")), gap(y0, y1, F.col("ya"), F.col("yb")))
+            edge = lambda a, b: F.greatest(F.abs(a), F.abs(b))
+            # the map is wider than the ground by up to q; a twentieth more for the curvature of what lies between
+            q = 1 + (edge(x0, x1) ** 2 + edge(y0, y1) ** 2) / (4 * radius * radius)
+            rise = F.greatest(F.col("top") - F.col("_z") - observer_m, F.lit(0.0))
+            could = (gap <= cell) | (1.05 * q * rise / gap >= F.col("least"))
+            units = near.withColumn("_gap", gap).filter(F.col("_gap") <= far_m).join(tiles.select("tr", "tc", "top"), ["tr", "tc"]).filter(could)
+            groups = own.groupBy(*group).agg(F.collect_list(F.struct("row", "col", "x", "y", "z")).alias("seen"))
+            units = units.select(*group, "tr", "tc").join(groups, group).join(tiles.select("tr", "tc", "at", "heights"), ["tr", "tc"])
+            units = units.repartition(units.sparkSession.sparkContext.defaultParallelism * 4, *group, "tr", "tc")
+            finer = models[0][1:] if n else None
+            made = _highest(units, (rows, cols, west, north, cell), tile, finer, azimuths, far_m, observer_m, radius)
+            folded = state.unionByName(made).groupBy("row", "col").agg(F.collect_list("tans").alias("all"))
+            best = F.aggregate("all", F.expr(f"array_repeat(double('-Infinity'), {azimuths})"), lambda m, t: F.zip_with(m, t, lambda a, b: F.greatest(a, b)))
+            state = save(folded.select("row", "col", best.alias("tans")))
+            low, high = high + 1, 2 * high + 1
+    return state.select("row", "col", F.transform("tans", lambda t: F.degrees(F.atan(t))).alias("h"))
