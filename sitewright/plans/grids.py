@@ -156,19 +156,19 @@ SLOPE_DEG = f"SELECT *, degrees(atan(sqrt(gx * gx + gy * gy))) AS slope_deg FROM
 
 @query("prj03_terrain", f"SELECT row, col, x, y, {r4('z')} AS z FROM ({TERRAIN})")
 def _(spark, t):
-    made = terrain(spark).select("row", "col", rounded(F.col("z")).alias("z"))
+    made = terrain(t).select("row", "col", rounded(F.col("z")).alias("z"))
     return grid.cells(spark, N, N, CELL).join(made, ["row", "col"])
 
 
 @query("prj18_slope", f"SELECT row, col, {r4('gx')} AS dzdx, {r4('gy')} AS dzdy, {r4('slope_deg')} AS slope_deg FROM ({SLOPE_DEG})")
 def _(spark, t):
-    s = grid.slope(terrain(spark), CELL, CELL)
+    s = grid.slope(terrain(t), CELL, CELL)
     return s.select("row", "col", *[rounded(F.col(c)).alias(c) for c in ("dzdx", "dzdy", "slope_deg")])
 
 
 @query("prj17_shading", f"SELECT row, col, {r4('(5e-1 - gx * 6e-1 - gy * 62449979e-8) / sqrt(gx * gx + gy * gy + 1e0)')} AS lit FROM ({SLOPE})")
 def _(spark, t):
-    s = grid.slope(terrain(spark), CELL, CELL)
+    s = grid.slope(terrain(t), CELL, CELL)
     return s.select("row", "col", rounded(grid.shading(F.col("dzdx"), F.col("dzdy"), 0.6, 0.62449979, 0.5)).alias("lit"))
 
 
@@ -186,7 +186,7 @@ def sites(t):
 def _(spark, t):
     row, col = grid.corner_cell(F.col("x"), F.col("y"), 2 * HALF, 2 * HALF, N, N)
     inside = F.expr(INSIDE)
-    return grid.sample_nearest(sites(t), terrain(spark), F.when(inside, row), F.when(inside, col)).select("id", rounded(F.col("sample")).alias("sample"))
+    return grid.sample_nearest(sites(t), terrain(t), F.when(inside, row), F.when(inside, col)).select("id", rounded(F.col("sample")).alias("sample"))
 
 
 @query("join03_nearest_area", f"""SELECT id, {r4('z')} AS sample FROM ({SITES}) s LEFT JOIN (SELECT row, col, z FROM ({TERRAIN})) g
@@ -194,7 +194,7 @@ def _(spark, t):
 def _(spark, t):
     row, col = grid.area_cell(F.col("x"), F.col("y"), 2 * HALF, 2 * HALF, N, N)
     inside = F.expr(INSIDE)
-    return grid.sample_nearest(sites(t), terrain(spark), F.when(inside, row), F.when(inside, col)).select("id", rounded(F.col("sample")).alias("sample"))
+    return grid.sample_nearest(sites(t), terrain(t), F.when(inside, row), F.when(inside, col)).select("id", rounded(F.col("sample")).alias("sample"))
 
 
 FR, FC = f"({HALF}e0 - y) / {CELL}e0", f"(x + {HALF}e0) / {CELL}e0"
@@ -215,7 +215,7 @@ SELECT id, {r4(f'CASE WHEN {rule} THEN s / w END')} AS sample FROM s"""
 def _bilinear(edges: str):
     @query(f"join04_bilinear_{edges}", _bilinear_sql(edges))
     def _(spark, t):
-        holed = terrain(spark).withColumn("z", F.when((F.col("row") * 7 + F.col("col")) % 11 != 0, F.col("z")))
+        holed = terrain(t).withColumn("z", F.when((F.col("row") * 7 + F.col("col")) % 11 != 0, F.col("z")))
         s = grid.sample_bilinear(sites(t), ["id"], holed, F.expr(FR), F.expr(FC), N, N, edges)
         return s.select("id", rounded(F.col("sample")).alias("sample"))
 
@@ -232,7 +232,7 @@ def _near(reach: int) -> str:
 
 @query("win01_window_stats", f"SELECT row, col, {r4('max(v)')} AS max, {r4('min(v)')} AS min, {r4('sum(v) / 9e0')} AS mean FROM ({_near(1)}) GROUP BY 1, 2")
 def _(spark, t):
-    s = grid.window_stats(terrain(spark), N, N)
+    s = grid.window_stats(terrain(t), N, N)
     return s.select("row", "col", *[rounded(F.col(c)).alias(c) for c in ("max", "min", "mean")])
 
 
@@ -243,7 +243,7 @@ SPARSE = f"SELECT row, col, z FROM ({TERRAIN}) WHERE (row * 5 + col) % 3 <> 0"
 k AS (SELECT a.row, a.col, b.z - 2e1 AS v FROM a JOIN g b ON abs(a.row - b.row) <= 7 AND abs(a.col - b.col) <= 7)
 SELECT row, col, {r4('list_sort(list_concat(list(v), list_transform(range(225 - count(*)), lambda q: 0e0)))[113]')} AS median FROM k GROUP BY 1, 2""")
 def _(spark, t):
-    sparse = terrain(spark).filter("(row * 5 + col) % 3 <> 0").withColumn("z", F.col("z") - 20.0)
+    sparse = terrain(t).filter("(row * 5 + col) % 3 <> 0").withColumn("z", F.col("z") - 20.0)
     m = grid.window_median(sparse, N, N)
     return m.select("row", "col", rounded(F.col("median")).alias("median"))
 
@@ -261,18 +261,18 @@ def _fill_sql(src: str, reach: int, least: int) -> str:
 HOLED = f"SELECT row, col, CASE WHEN (row * 5 + col * 3) % 4 = 0 OR (row > 8 AND row < 13 AND col > 8 AND col < 14) THEN NULL ELSE z END AS z FROM ({TERRAIN})"
 
 
-def holed(spark):
-    return terrain(spark).selectExpr("row", "col", "CASE WHEN (row * 5 + col * 3) % 4 = 0 OR (row > 8 AND row < 13 AND col > 8 AND col < 14) THEN NULL ELSE z END AS z")
+def holed(t):
+    return terrain(t).selectExpr("row", "col", "CASE WHEN (row * 5 + col * 3) % 4 = 0 OR (row > 8 AND row < 13 AND col > 8 AND col < 14) THEN NULL ELSE z END AS z")
 
 
 @query("win03_bridge_holes", f"WITH g AS ({HOLED}), a AS ({_fill_sql('g', 1, 5)}), b AS ({_fill_sql('a', 1, 5)}) SELECT row, col, {r4('z')} AS z FROM b")
 def _(spark, t):
-    return grid.bridge_holes(holed(spark), N, N).select("row", "col", rounded(F.col("z")).alias("z"))
+    return grid.bridge_holes(holed(t), N, N).select("row", "col", rounded(F.col("z")).alias("z"))
 
 
 @query("win06_box_fill", f"WITH g AS ({HOLED}), a AS ({_fill_sql('g', 3, 12)}), b AS ({_fill_sql('a', 3, 12)}) SELECT row, col, {r4('z')} AS z FROM b")
 def _(spark, t):
-    return grid.box_fill(holed(spark), N, N).select("row", "col", rounded(F.col("z")).alias("z"))
+    return grid.box_fill(holed(t), N, N).select("row", "col", rounded(F.col("z")).alias("z"))
 
 
 def _mirrored(src: str, value: str, reach: int) -> str:
@@ -287,7 +287,7 @@ k AS (SELECT sum(exp(-(d * d) / 72e-2)) AS t FROM (SELECT CAST(range AS DOUBLE)
 s AS (SELECT row, col, sum(v * (exp(-CAST(dr * dr AS DOUBLE) / 72e-2) / t) * (exp(-CAST(dc * dc AS DOUBLE) / 72e-2) / t)) AS s FROM ({_mirrored('c', 'c', 2)}), k GROUP BY 1, 2)
 SELECT row, col, {r4('CASE WHEN NOT empty THEN s END')} AS z FROM g JOIN s USING (row, col)""")
 def _(spark, t):
-    return grid.close_and_smooth(holed(spark), N, N).select("row", "col", rounded(F.col("z")).alias("z"))
+    return grid.close_and_smooth(holed(t), N, N).select("row", "col", rounded(F.col("z")).alias("z"))
 
 
 FACTOR = 4
@@ -297,42 +297,42 @@ FACTOR = 4
 p AS (SELECT node_row, node_col, max(slope_deg) AS steepest FROM n JOIN s ON abs(s.row - node_row * {FACTOR}) <= {FACTOR // 2} AND abs(s.col - node_col * {FACTOR}) <= {FACTOR // 2} GROUP BY 1, 2)
 SELECT node_row, node_col, {r4('h.z')} AS height, {r4('steepest')} AS steepest, steepest <= 12 AS passable FROM p JOIN s h ON h.row = node_row * {FACTOR} AND h.col = node_col * {FACTOR}""")
 def _(spark, t):
-    nodes = grid.rover_grid(grid.slope(terrain(spark), CELL, CELL), N, N, FACTOR, 12.0)
+    nodes = grid.rover_grid(grid.slope(terrain(t), CELL, CELL), N, N, FACTOR, 12.0)
     return nodes.select("node_row", "node_col", rounded(F.col("height")).alias("height"), rounded(F.col("steepest")).alias("steepest"), "passable")
 
 
 @query("agg27_mean_pool", f"SELECT row // 8 AS block_row, col // 8 AS block_col, {r4('avg(z)')} AS mean, count(z) AS n FROM ({TERRAIN}) GROUP BY 1, 2")
 def _(spark, t):
-    return grid.mean_pool(terrain(spark), 8).withColumn("mean", rounded(F.col("mean")))
+    return grid.mean_pool(terrain(t), 8).withColumn("mean", rounded(F.col("mean")))
 
 
 RASTER = f"SELECT row, col, CASE WHEN (row * 7 + col) % 11 = 0 THEN NULL ELSE z END AS value FROM ({TERRAIN})"
 
 
-def raster(spark):
-    return terrain(spark).selectExpr("row", "col", "CASE WHEN (row * 7 + col) % 11 = 0 THEN NULL ELSE z END AS value")
+def raster(t):
+    return terrain(t).selectExpr("row", "col", "CASE WHEN (row * 7 + col) % 11 = 0 THEN NULL ELSE z END AS value")
 
 
 @query("snk01_quantised", f"""SELECT row, col, q, {r4('-4e1 + q / 65535e0 * 14e1')} AS back FROM (SELECT row, col, CAST(round_even((value + 4e1) / 14e1 * 65535e0, 0) AS INT) AS q FROM ({RASTER}) WHERE value IS NOT NULL)""")
 def _(spark, t):
-    q = raster(spark).filter("value is not null").withColumn("q", grid.quantised(F.col("value"), -40.0, 100.0, 16))
+    q = raster(t).filter("value is not null").withColumn("q", grid.quantised(F.col("value"), -40.0, 100.0, 16))
     return q.select("row", "col", "q", rounded(grid.dequantised(F.col("q"), -40.0, 100.0, 16)).alias("back"))
 
 
 @query("snk02_coverage", f"SELECT {r4('min(value)')} AS low, {r4('max(value)')} AS high, {r4('avg(CASE WHEN value IS NULL THEN 0e0 ELSE 1e2 END)')} AS coverage_pct FROM ({RASTER})")
 def _(spark, t):
-    c = grid.coverage(raster(spark))
+    c = grid.coverage(raster(t))
     return c.select(*[rounded(F.col(x)).alias(x) for x in ("low", "high", "coverage_pct")])
 
 
 @query("snk07_surface_pixels", f"SELECT row, col, coalesce(1 + CAST(round_even((value + 1e1) / 6e1 * 65534e0, 0) AS INT), 0) AS px FROM ({RASTER})")
 def _(spark, t):
-    return raster(spark).select("row", "col", grid.surface_pixel(F.col("value"), -10.0, 50.0).alias("px"))
+    return raster(t).select("row", "col", grid.surface_pixel(F.col("value"), -10.0, 50.0).alias("px"))
 
 
 @query("flt16_fill_no_data", f"WITH g AS (SELECT row, col, CASE (row * 7 + col) % 11 WHEN 0 THEN NULL WHEN 1 THEN -2e6 WHEN 2 THEN CAST('NaN' AS DOUBLE) ELSE z END AS z FROM ({TERRAIN})), v AS (SELECT min(z) FILTER (z > -1e6 AND NOT isnan(z)) AS m FROM g) SELECT row, col, {r4('CASE WHEN z > -1e6 AND NOT isnan(z) THEN z ELSE m END')} AS z FROM g, v")
 def _(spark, t):
-    bad = terrain(spark).selectExpr("row", "col", "CASE (row * 7 + col) % 11 WHEN 0 THEN NULL WHEN 1 THEN -2e6 WHEN 2 THEN CAST('NaN' AS DOUBLE) ELSE z END AS z")
+    bad = terrain(t).selectExpr("row", "col", "CASE (row * 7 + col) % 11 WHEN 0 THEN NULL WHEN 1 THEN -2e6 WHEN 2 THEN CAST('NaN' AS DOUBLE) ELSE z END AS z")
     return grid.fill_no_data(bad).select("row", "col", rounded(F.col("z")).alias("z"))
 
 
@@ -342,8 +342,8 @@ MOVED = f"SELECT row - 3 AS row, col + 2 AS col, z * 2e0 + 1e0 AS value FROM ({T
 @query("join20_shift_search", f"""SELECT dr, dc, {r4('corr(a.value, b.value)')} AS r, count(*) AS n FROM ({MOVED}) a, (SELECT CAST(range AS INT) - 4 AS dr FROM range(9)) u, (SELECT CAST(range AS INT) - 4 AS dc FROM range(9)) v,
   ({RASTER}) b WHERE b.row = a.row + dr AND b.col = a.col + dc AND a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1, 2""")
 def _(spark, t):
-    moved = terrain(spark).filter("(row + col) % 5 <> 0").selectExpr("row - 3 AS row", "col + 2 AS col", "z * 2e0 + 1e0 AS value")
-    s = registration.shift_search(moved, raster(spark), 4)
+    moved = terrain(t).filter("(row + col) % 5 <> 0").selectExpr("row - 3 AS row", "col + 2 AS col", "z * 2e0 + 1e0 AS value")
+    s = registration.shift_search(moved, raster(t), 4)
     return s.select("dr", "dc", rounded(F.col("r")).alias("r"), "n")
 
 
@@ -351,8 +351,8 @@ def _(spark, t):
   ({RASTER}) b WHERE b.row = a.row + dr AND b.col = a.col + dc AND a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1, 2),
 m AS (SELECT dr, dc, r FROM s WHERE n >= 5e-2 * (SELECT max(n) FROM s) ORDER BY r DESC, dr, dc LIMIT 1) SELECT dr, dc FROM m WHERE abs(dr) < 4 AND abs(dc) < 4 AND r >= 3e-1""")
 def _(spark, t):
-    moved = terrain(spark).filter("(row + col) % 5 <> 0").selectExpr("row - 3 AS row", "col + 2 AS col", "z * 2e0 + 1e0 AS value")
-    return registration.best_shift(registration.shift_search(moved, raster(spark), 4), 4).select("dr", "dc")
+    moved = terrain(t).filter("(row + col) % 5 <> 0").selectExpr("row - 3 AS row", "col + 2 AS col", "z * 2e0 + 1e0 AS value")
+    return registration.best_shift(registration.shift_search(moved, raster(t), 4), 4).select("dr", "dc")
 
 
 PASSABLE = f"SELECT row, col FROM ({SLOPE_DEG}) WHERE slope_deg <= 12"
@@ -361,7 +361,7 @@ PASSABLE = f"SELECT row, col FROM ({SLOPE_DEG}) WHERE slope_deg <= 12"
 @query("gra02_reachable", f"""WITH RECURSIVE p AS ({PASSABLE}), r(row, col) AS (SELECT row, col FROM p WHERE row = 5 AND col = 5 UNION
   SELECT p.row, p.col FROM r JOIN p ON abs(p.row - r.row) <= 1 AND abs(p.col - r.col) <= 1) SELECT row, col FROM r""")
 def _(spark, t):
-    mask = grid.slope(terrain(spark), CELL, CELL).filter("slope_deg <= 12").select("row", "col")
+    mask = grid.slope(terrain(t), CELL, CELL).filter("slope_deg <= 12").select("row", "col")
     return graph.reachable(mask, 5, 5, saved)
 
 
@@ -372,14 +372,14 @@ STEEP = f"SELECT row, col FROM ({SLOPE_DEG}) WHERE slope_deg > 12"
   SELECT p.row, p.col, r.piece FROM r JOIN p ON abs(p.row - r.row) + abs(p.col - r.col) = 1),
 n AS (SELECT row, col, min(piece) AS piece FROM r GROUP BY 1, 2) SELECT piece, count(*) AS area FROM n GROUP BY 1""")
 def _(spark, t):
-    mask = grid.slope(terrain(spark), CELL, CELL).filter("slope_deg > 12").select("row", "col")
+    mask = grid.slope(terrain(t), CELL, CELL).filter("slope_deg > 12").select("row", "col")
     named = graph.pieces(mask, saved, graph.NEAR4)
     return named.groupBy("piece").agg(F.count("*").alias("area"))
 
 
 @query("gra01_routes")
 def _(spark, t):
-    nodes = grid.rover_grid(grid.slope(terrain(spark), CELL, CELL), N, N, 2, 12.0)
+    nodes = grid.rover_grid(grid.slope(terrain(t), CELL, CELL), N, N, 2, 12.0)
     nodes = nodes.select(F.lit("s").alias("scene_id"), F.col("node_row").alias("row"), F.col("node_col").alias("col"), F.col("steepest").alias("slope"), "passable")
     # every supplier asks; goals beyond the grid's side come in again at the other
     goal = ("CAST(pmod(28 - s_suppkey, 31) AS INT) AS r1", "CAST(pmod(s_suppkey * 2, 31) AS INT) AS c1")

@@ -10,7 +10,7 @@ from ..operators import cloud, frames, grid, layers, moon, score, tables, text
 from ..operators.saving import saved
 from ..streaming import state
 from .grids import HALF, SITES, SLOPE_DEG, sites
-from .registry import CELL, N, POINTS, TERRAIN, points, query, r4, terrain
+from .registry import CELL, N, POINTS, TERRAIN, measured, measured_sql, points, query, r4, terrain
 
 # --- map formulas -----------------------------------------------------------------------------------------------------
 
@@ -18,7 +18,7 @@ from .registry import CELL, N, POINTS, TERRAIN, points, query, r4, terrain
 @query("prj05_window_lonlat", f"SELECT row, col, {r4('(77403 - 300 + (col + 5e-1) * 600 / 61e0) / 33962e2 * 1e6')} AS lon, {r4('(18501 + 300 - (row + 5e-1) * 600 / 61e0) / 33962e2 * 1e6')} AS lat FROM ({TERRAIN})")
 def _(spark, t):
     lon, lat = moon.window_lonlat(F.col("row"), F.col("col"), 77403.7, 18500.2, 600, N, 3_396_200.0)
-    return terrain(spark).select("row", "col", rounded(lon * 1e6).alias("lon"), rounded(lat * 1e6).alias("lat"))
+    return terrain(t).select("row", "col", rounded(lon * 1e6).alias("lon"), rounded(lat * 1e6).alias("lat"))
 
 
 @query("prj06_source_pixel", "SELECT s_suppkey AS id, CAST(floor((1e4 - 33962e2 * (s_suppkey % 53) * 1e-5) / 18e0) AS INT) AS row, CAST(floor((33962e2 * cos(radians(18e0)) * (s_suppkey % 97) * 1e-5 - 2e3) / 18e0) AS INT) AS col FROM supplier")
@@ -57,9 +57,9 @@ def _(spark, t):
     return t.events.select("event_id", rounded(moon.site_azimuth(F.col("value") * 7, F.lit(77.0))).alias("azimuth"))
 
 
-@query("dta01_sample_clock", "SELECT range AS i, strftime(TIMESTAMP '2027-01-01' + to_hours(CAST(range * 6 AS INT)), '%Y-%m-%dT%H:%M:%SZ') AS at FROM range(1460)")
+@query("dta01_sample_clock", "SELECT event_id AS i, strftime(TIMESTAMP '2027-01-01' + to_hours(CAST(event_id * 6 AS INT)), '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
 def _(spark, t):
-    return spark.range(1460).select(F.col("id").alias("i"), moon.sample_clock(F.col("id"), "2027-01-01", 6).alias("at"))
+    return t.events.select(F.col("event_id").alias("i"), moon.sample_clock(F.col("event_id"), "2027-01-01", 6).alias("at"))
 
 
 @query("dta02_millis", "SELECT event_id, epoch_us(ts) // 1000 AS at_ms FROM events")
@@ -215,7 +215,7 @@ TILES = f"SELECT row // 20 AS tile, 0 AS exposure, row, col, z FROM ({TERRAIN})"
 @query("join24_stitched", f"SELECT 0 AS exposure, row, col, CAST(floor(z) AS BIGINT) AS value FROM ({TERRAIN}) WHERE col < 60")
 def _(spark, t):
     # three tiles that overlap by 4 rows; their outermost rows are off and are trimmed
-    cells = terrain(spark).filter("col < 60").select("row", "col", F.floor("z").alias("z"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("tile"))
+    cells = terrain(t).filter("col < 60").select("row", "col", F.floor("z").alias("z"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("tile"))
     y = F.when(F.col("tile") == 0, 0).when(F.col("tile") == 1, 20).otherwise(40)
     tiles = cells.withColumn("y", y).withColumn("height", F.when(F.col("tile") == 2, 21).otherwise(24)).filter("row >= y AND row < y + height")
     off = (F.col("row") == F.col("y")) & (F.col("y") > 0) | ((F.col("row") == F.col("y") + F.col("height") - 1) & (F.col("tile") < 2))
@@ -252,13 +252,13 @@ def _(spark, t):
 
 @query("set05_ground_mask", f"SELECT row, col, ((row + col) % 3 = 0 OR (row * col) % 7 = 0) AND NOT row % 11 = 0 AS good FROM ({TERRAIN})")
 def _(spark, t):
-    c = terrain(spark).selectExpr("row", "col", "(row + col) % 3 = 0 AS ground", "(row * col) % 7 = 0 AS small", "row % 11 = 0 AS hardware")
+    c = terrain(t).selectExpr("row", "col", "(row + col) % 3 = 0 AS ground", "(row * col) % 7 = 0 AS small", "row % 11 = 0 AS hardware")
     return layers.ground_mask(c, ["row", "col"])
 
 
 @query("set05_uncovered", f"SELECT row, col FROM ({TERRAIN}) WHERE NOT ((row + col) % 3 = 0 OR row % 2 = 0)")
 def _(spark, t):
-    c = terrain(spark).select("row", "col")
+    c = terrain(t).select("row", "col")
     return layers.uncovered(c, c.filter("(row + col) % 3 = 0").unionByName(c.filter("row % 2 = 0")), ["row", "col"])
 
 
@@ -274,7 +274,7 @@ def _(spark, t):
 
 @query("prj34_region_boxes", f"SELECT (row // 13) * 5 + col // 13 AS region, min(row) AS row0, max(row) + 1 AS row1, min(col) AS col0, max(col) + 1 AS col1, count(*) AS area, greatest(max(row) + 1 - min(row), max(col) + 1 - min(col)) AS side FROM ({TERRAIN}) WHERE (row * 3 + col) % 4 <> 0 GROUP BY 1")
 def _(spark, t):
-    m = terrain(spark).filter("(row * 3 + col) % 4 <> 0").selectExpr("(row DIV 13) * 5 + col DIV 13 AS region", "row", "col")
+    m = terrain(t).filter("(row * 3 + col) % 4 <> 0").selectExpr("(row DIV 13) * 5 + col DIV 13 AS region", "row", "col")
     return layers.region_boxes(m, "region")
 
 
@@ -287,8 +287,8 @@ def _(spark, t):
 
 @query("join19_first_source", f"SELECT row, col, {r4('CASE WHEN (row + col) % 2 = 0 THEN z ELSE z + 1 END')} AS z, CASE WHEN (row + col) % 2 = 0 THEN 0 ELSE 1 END AS source FROM ({TERRAIN})")
 def _(spark, t):
-    near = terrain(spark).selectExpr("row", "col", "CASE WHEN (row + col) % 2 = 0 THEN z END AS z")
-    got = layers.first_source(["row", "col"], near, terrain(spark).selectExpr("row", "col", "z + 1 AS z"))
+    near = terrain(t).selectExpr("row", "col", "CASE WHEN (row + col) % 2 = 0 THEN z END AS z")
+    got = layers.first_source(["row", "col"], near, terrain(t).selectExpr("row", "col", "z + 1 AS z"))
     return got.withColumn("z", rounded(F.col("z")))
 
 
@@ -311,18 +311,18 @@ k AS (SELECT *, list_sum(list_transform(hs, lambda h: abs(h - pad))) * 8e0 AS le
 q AS (SELECT idx, x, y, CAST(idx // {STEPS + 1} AS INT) AS row, CAST(idx % {STEPS + 1} AS INT) AS col, CAST(CASE WHEN NOT off THEN floor(greatest(0e0, 1e2 - 3e1 * {RAMP.format('max_slope', '5e0', '5e0')} - 15e0 * {RAMP.format('flatness', '0e0', '1e0')} - 15e0 * {RAMP.format('level_m3', '0e0', '16e0')}) + 5e-1) END AS INT) AS grade FROM k JOIN ({PLACES}) USING (idx))"""
 
 
-def _suitability(spark):
-    return score.suitability(spark, 2 * HALF, 2 * HALF, "habitat", grid.slope(terrain(spark), CELL, CELL), N, N, most_steps=STEPS)
+def _suitability(t):
+    return score.suitability(t.spark, 2 * HALF, 2 * HALF, "habitat", grid.slope(terrain(t), CELL, CELL), N, N, most_steps=STEPS)
 
 
 @query("top04_suitability", f"{SUITABLE} SELECT idx, row, col, x, y, grade FROM q")
 def _(spark, t):
-    return _suitability(spark)
+    return _suitability(t)
 
 
 @query("top02_top_grid_sites", f"""{SUITABLE} SELECT idx, grade FROM q WHERE grade IS NOT NULL ORDER BY grade DESC, idx LIMIT 1""")
 def _(spark, t):
-    best = score.top_sites(_suitability(spark).filter("grade is not null"), 1, 60.0, saved)
+    best = score.top_sites(_suitability(t).filter("grade is not null"), 1, 60.0, saved)
     return best.select("idx", "grade")
 
 
@@ -340,7 +340,7 @@ k AS (SELECT id, {', '.join(f'coalesce(max(CASE WHEN n = {n} THEN z END), max(CA
 SELECT id, {r4('(g1 + g2 + g3 + g4 + g5 + g6) / 6')} AS height, {r4(f'degrees(atan2((g1 + g4 - g3 - g6) / 2, {score.WHEELBASE_M!r}))')} AS pitch_deg, {r4(f'degrees(atan2((g1 + g2 + g3 - g4 - g5 - g6) / 3, {2 * score.TRACK_HALF_M!r}))')} AS roll_deg FROM k""")
 def _(spark, t):
     stands = sites(t).withColumn("yaw", (F.col("id") % 7).cast("double"))
-    p = score.rover_poses(stands, ["id"], terrain(spark), N, N, 2 * HALF, 2 * HALF)
+    p = score.rover_poses(stands, ["id"], terrain(t), N, N, 2 * HALF, 2 * HALF)
     return p.select("id", *[rounded(F.col(c)).alias(c) for c in ("height", "pitch_deg", "roll_deg")])
 
 
@@ -506,7 +506,7 @@ def _(spark, t):
 @query("snk03_heightmap", f"""WITH h AS (SELECT row, col, z - 5e0 AS h FROM ({TERRAIN})), e AS (SELECT min(h) AS lo, max(h) AS hi FROM h)
 SELECT row, col, CAST(round_even((h - lo) / (hi - lo) * 65535e0, 0) AS INT) AS px, {r4('lo')} AS low, {r4('hi')} AS high FROM h, e""")
 def _(spark, t):
-    made = grid.heightmap(terrain(spark).select("row", "col", "z"), 5.0)
+    made = grid.heightmap(terrain(t).select("row", "col", "z"), 5.0)
     return made.select("row", "col", "px", rounded(F.col("low")).alias("low"), rounded(F.col("high")).alias("high"))
 
 
@@ -514,7 +514,7 @@ def _(spark, t):
 l AS (SELECT image_id, lag(v) OVER a + lead(v) OVER a + lag(v) OVER b + lead(v) OVER b - 4 * v AS l FROM p WINDOW a AS (PARTITION BY image_id, row ORDER BY col), b AS (PARTITION BY image_id, col ORDER BY row))
 SELECT image_id, {r4('var_pop(l)')} AS sharpness FROM l GROUP BY 1""")
 def _(spark, t):
-    p = terrain(spark).withColumn("image_id", F.explode(F.sequence(F.lit(0), F.lit(2)))).select("image_id", "row", "col", (F.col("z") * (F.col("image_id") + 1)).alias("value"))
+    p = terrain(t).withColumn("image_id", F.explode(F.sequence(F.lit(0), F.lit(2)))).select("image_id", "row", "col", (F.col("z") * (F.col("image_id") + 1)).alias("value"))
     return grid.sharpness(p).select(F.col("image_id").cast("long").alias("image_id"), rounded(F.col("sharpness")).alias("sharpness"))
 
 
@@ -525,7 +525,7 @@ def _box(value: str, reach: int, src: str) -> str:
 
 @query("win12_local_contrast", f"WITH g AS (SELECT row, col, z FROM ({TERRAIN})), m AS ({_box('b.z', 6, 'g')}), q AS ({_box('b.z * b.z', 6, 'g')}) SELECT row, col, {r4('sqrt(greatest(q.m - m.m * m.m, 0e0))')} AS contrast FROM m JOIN q USING (row, col)")
 def _(spark, t):
-    p = terrain(spark).select(F.lit(0).alias("image_id"), "row", "col", F.col("z").alias("value"))
+    p = terrain(t).select(F.lit(0).alias("image_id"), "row", "col", F.col("z").alias("value"))
     return grid.local_contrast(p, 6).select("row", "col", rounded(F.col("contrast")).alias("contrast"))
 
 
@@ -537,7 +537,7 @@ SELECT dr, dc, {r4('corr(a.v, x.v)')} AS r, count(*) AS n FROM a, (SELECT CAST(r
 def _(spark, t):
     from ..operators import registration
 
-    p = terrain(spark).selectExpr("0 AS image_id", "row", "col", "z + sin(row * 2e0) * cos(col * 3e0) AS value")
+    p = terrain(t).selectExpr("0 AS image_id", "row", "col", "z + sin(row * 2e0) * cos(col * 3e0) AS value")
     x = saved(grid.texture(p).select("row", "col", F.col("texture").alias("value")))
     moved = x.filter("row > 20").selectExpr("row + 2 AS row", "col - 1 AS col", "value")
     return registration.shift_search(moved, x, 3).select("dr", "dc", rounded(F.col("r")).alias("r"), "n")
@@ -550,13 +550,19 @@ def _(spark, t):
     return turned.groupBy("ok", "ln").agg(rounded(F.min("x")).alias("x"), rounded(F.max("y")).alias("y"), rounded(F.min(F.col("quat")[1])).alias("qx"))
 
 
-@query("gra01_reach", f"SELECT 0 AS request_id, {2 * CELL * 28}e0 AS length_m")
+#: Flat ground, a node a part, 40 in a row: the way from one to another goes slantwise, then straight.
+FLAT = "SELECT s_suppkey AS request_id, s_suppkey % 10 AS a, p - 1 - s_suppkey AS b FROM supplier, (SELECT count(*) AS p FROM part)"
+
+
+@query("gra01_reach", f"""WITH q AS (SELECT request_id, abs(a // 40 - b // 40) AS dr, abs(a % 40 - b % 40) AS dc FROM ({FLAT}))
+SELECT request_id, {r4(f'{2 * CELL} * (sqrt(2e0) * least(dr, dc) + abs(dr - dc))')} AS length_m FROM q""")
 def _(spark, t):
     from ..operators import graph
 
-    flat = spark.range(31 * 31).selectExpr("'s' AS scene_id", "CAST(id DIV 31 AS INT) AS row", "CAST(id % 31 AS INT) AS col", "0e0 AS slope", "true AS passable")
-    asked = spark.range(1).selectExpr("id AS request_id", "'s' AS scene_id", "2 AS r0", "1 AS c0", "2 AS r1", "29 AS c1")
-    return graph.routes(flat, asked, 2 * CELL, 2 * CELL).groupBy("request_id").agg(F.max("length_m").alias("length_m"))
+    flat = t.part.selectExpr("'s' AS scene_id", "CAST(p_partkey DIV 40 AS INT) AS row", "CAST(p_partkey % 40 AS INT) AS col", "0e0 AS slope", "true AS passable")
+    ends = t.supplier.crossJoin(t.part.agg(F.count("*").alias("p"))).selectExpr("s_suppkey AS request_id", "s_suppkey % 10 AS a", "p - 1 - s_suppkey AS b")  # one row
+    asked = ends.selectExpr("request_id", "'s' AS scene_id", "CAST(a DIV 40 AS INT) AS r0", "CAST(a % 40 AS INT) AS c0", "CAST(b DIV 40 AS INT) AS r1", "CAST(b % 40 AS INT) AS c1")
+    return graph.routes(flat, asked, 2 * CELL, 2 * CELL).groupBy("request_id").agg(rounded(F.max("length_m")).alias("length_m"))
 
 
 # --- a terrain of size ------------------------------------------------------------------------------------------------
@@ -568,10 +574,11 @@ WIDE_Z = """(3e0 * sin(x / 61e0) * cos(y / 47e0) + 15e-1 * sin((x + y) / 23e0))
 WIDE_XY = f"SELECT CAST((i - i % {WIDE}) / {WIDE} AS INT) AS row, CAST(i % {WIDE} AS INT) AS col, (i % {WIDE}) * 2e0 - 5e2 AS x, 5e2 - (i - i % {WIDE}) / {WIDE} * 2e0 AS y"
 WIDE_RM = "SELECT *, sqrt((x + 25e1) * (x + 25e1) + (y + 25e1) * (y + 25e1)) AS r, least(1e0, greatest(0e0, (11e1 - sqrt((x + 23e1) * (x + 23e1) + (y - 23e1) * (y - 23e1))) / 2e1)) AS m"
 WIDE_SQL = f"SELECT row, col, {WIDE_Z} AS z FROM ({WIDE_RM} FROM ({WIDE_XY} FROM (SELECT CAST(range AS DOUBLE) AS i FROM range({WIDE * WIDE}))))"
+WIDE_MEASURED = f"SELECT row, col, z + coalesce(m, 0e0) AS z FROM ({WIDE_SQL}) LEFT JOIN ({measured_sql(WIDE)}) USING (row, col)"
 WIDE_SLOPE = f"""SELECT row, col, z, degrees(atan(sqrt(gx * gx + gy * gy))) AS slope_deg FROM (SELECT row, col, z,
   CASE WHEN lag(z) OVER r IS NULL THEN (lead(z) OVER r - z) / 2e0 WHEN lead(z) OVER r IS NULL THEN (z - lag(z) OVER r) / 2e0 ELSE (lead(z) OVER r - lag(z) OVER r) / 4e0 END AS gx,
   CASE WHEN lag(z) OVER c IS NULL THEN (lead(z) OVER c - z) / 2e0 WHEN lead(z) OVER c IS NULL THEN (z - lag(z) OVER c) / 2e0 ELSE (lead(z) OVER c - lag(z) OVER c) / 4e0 END AS gy
-  FROM ({WIDE_SQL}) WINDOW r AS (PARTITION BY row ORDER BY col), c AS (PARTITION BY col ORDER BY row))"""
+  FROM ({WIDE_MEASURED}) WINDOW r AS (PARTITION BY row ORDER BY col), c AS (PARTITION BY col ORDER BY row))"""
 
 
 def wide_terrain(spark):
@@ -581,9 +588,13 @@ def wide_terrain(spark):
     return base.selectExpr("*", f"{near} AS r", far).selectExpr("row", "col", f"{WIDE_Z} AS z")
 
 
+def wide_measured(t):
+    return wide_terrain(t.spark).join(measured(t, WIDE), ["row", "col"], "left").selectExpr("row", "col", "z + coalesce(m, 0e0) AS z")
+
+
 @query("prj18_slope_wide", f"SELECT count(*) AS n, {r4('min(z)')} AS low, {r4('max(z)')} AS high, {r4('max(slope_deg)')} AS steepest, {r4('avg(slope_deg)')} AS mean FROM ({WIDE_SLOPE})")
 def _(spark, t):
-    s = grid.slope(wide_terrain(spark), 2.0, 2.0)
+    s = grid.slope(wide_measured(t), 2.0, 2.0)
     return s.agg(F.count("*").alias("n"), *[rounded(f(c)).alias(n) for n, f, c in (("low", F.min, "z"), ("high", F.max, "z"), ("steepest", F.max, "slope_deg"), ("mean", F.avg, "slope_deg"))])
 
 
@@ -591,5 +602,5 @@ def _(spark, t):
 w AS (SELECT row, col, max(slope_deg) OVER (PARTITION BY col ORDER BY row ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM s), v AS (SELECT row, col, max(m) OVER (PARTITION BY row ORDER BY col ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM w)
 SELECT count(*) AS nodes, count(*) FILTER (m <= 3e1) AS passable FROM v WHERE row % 2 = 0 AND col % 2 = 0""")
 def _(spark, t):
-    nodes = grid.rover_grid(grid.slope(wide_terrain(spark), 2.0, 2.0), WIDE, WIDE, 2)
+    nodes = grid.rover_grid(grid.slope(wide_measured(t), 2.0, 2.0), WIDE, WIDE, 2)
     return nodes.agg(F.count("*").alias("nodes"), F.count_if(F.col("passable")).alias("passable"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -43,17 +44,35 @@ def points(t: Tables) -> DataFrame:
     return t.lineitem.selectExpr(*POINT_COLUMNS)
 
 
-#: A generated terrain: a hill, a crater and a ramp, on N x N nodes of CELL metres; row 0 is the north.
+#: A terrain: a hill, a crater and a ramp on N x N nodes of CELL metres, row 0 in the north, and on them what was measured,
+#: the mean price of the line items of each node, in units of 100,000, as metres.
 N, CELL = 61, 8.0
 X, Y = f"((i % {N}) - {(N - 1) / 2:g}) * {CELL:g}e0", f"({(N - 1) / 2:g} - (i - i % {N}) / {N}) * {CELL:g}e0"
 Z = "2e1 * exp(-(x * x + y * y) / 8e3) - 15e0 * exp(-((x - 12e1) * (x - 12e1) + (y + 9e1) * (y + 9e1)) / 25e2) + x * 5e-2 + 6e0 * sqrt((x * x + y * y) / 1e3 + 1e0)"
-TERRAIN = f"""SELECT CAST((i - i % {N}) / {N} AS INT) AS row, CAST(i % {N} AS INT) AS col, x, y, {Z} AS z
+
+
+def measured_columns(n: int) -> tuple[str, ...]:
+    return f"CAST(l_partkey % {n} AS INT) AS row", f"CAST(l_suppkey % {n} AS INT) AS col", "CAST(round(l_extendedprice * 1e2) AS BIGINT) AS cents"
+
+
+def measured_sql(n: int) -> str:
+    """Of the line items of each node of an n x n grid, the mean price; sums are of whole cents, so exact."""
+    return f"SELECT row, col, sum(cents) / (count(*) * 1e7) AS m FROM (SELECT {', '.join(measured_columns(n))} FROM lineitem) GROUP BY row, col"
+
+
+def measured(t: Tables, n: int) -> DataFrame:
+    return t.lineitem.selectExpr(*measured_columns(n)).groupBy("row", "col").agg(F.expr("sum(cents) / (count(*) * 1e7) AS m"))
+
+
+SHAPE = f"""SELECT CAST((i - i % {N}) / {N} AS INT) AS row, CAST(i % {N} AS INT) AS col, x, y, {Z} AS z
   FROM (SELECT i, {X} AS x, {Y} AS y FROM (SELECT CAST(range AS DOUBLE) AS i FROM range({N * N})) a) b"""
+TERRAIN = f"SELECT row, col, x, y, z + coalesce(m, 0e0) AS z FROM ({SHAPE}) LEFT JOIN ({measured_sql(N)}) USING (row, col)"
 
 
-def terrain(spark: SparkSession) -> DataFrame:
-    base = spark.range(N * N).selectExpr("CAST(id AS DOUBLE) AS i").selectExpr("i", f"{X} AS x", f"{Y} AS y")
-    return base.selectExpr(f"CAST((i - i % {N}) / {N} AS INT) AS row", f"CAST(i % {N} AS INT) AS col", "x", "y", f"{Z} AS z")
+def terrain(t: Tables) -> DataFrame:
+    base = t.spark.range(N * N).selectExpr("CAST(id AS DOUBLE) AS i").selectExpr("i", f"{X} AS x", f"{Y} AS y")
+    shape = base.selectExpr(f"CAST((i - i % {N}) / {N} AS INT) AS row", f"CAST(i % {N} AS INT) AS col", "x", "y", f"{Z} AS z")
+    return shape.join(measured(t, N), ["row", "col"], "left").selectExpr("row", "col", "x", "y", "z + coalesce(m, 0e0) AS z")
 
 
 def r4(x: str) -> str:

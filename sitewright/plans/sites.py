@@ -161,7 +161,7 @@ t AS (SELECT id, off_terrain, CASE WHEN NOT off_terrain THEN pad END AS pad, CAS
 
 def _stats(spark, t):
     placed = sites(t).withColumn("rotation_deg", ((F.col("id") * 30) % 180).cast("double")).withColumn("fp", score.footprint(F.lit("habitat")))
-    return score.site_statistics(placed, ["id"], grid.slope(terrain(spark), CELL, CELL), N, N, 2 * HALF, 2 * HALF)
+    return score.site_statistics(placed, ["id"], grid.slope(terrain(t), CELL, CELL), N, N, 2 * HALF, 2 * HALF)
 
 
 @query("agg01_site_statistics", f"{SITE_STATS} SELECT id, off_terrain, {', '.join(f'{r4(c)} AS {c}' for c in ('pad', 'mean_slope', 'max_slope', 'flatness', 'level_m3'))}, n FROM t")
@@ -208,72 +208,70 @@ def _(spark, t):
 
 # --- sky --------------------------------------------------------------------------------------------------------------
 
-HORIZON = "SELECT row, col, list_transform(range(360), lambda a: (a * (row + 1) % 17) * 5e-1 - col * 25e-2) AS h FROM (SELECT CAST(r.range AS INT) AS row, CAST(c.range AS INT) AS col FROM range(12) r, range(12) c)"
-SAMPLES = "SELECT CAST(range AS DOUBLE) * 37 % 360 AS az, CAST(range % 13 AS DOUBLE) * 5e-1 - 1 AS el, 25e-2 + 1e-2 * (range % 3) AS radius FROM range(97)"
+HORIZON = "SELECT row, col, list_transform(range(360), lambda a: (a * (row + 1) % 17) * 5e-1 - col * 25e-2) AS h FROM (SELECT CAST(p_partkey AS INT) AS row, p_size AS col FROM part)"
+SAMPLE_COLUMNS = ("CAST(s_suppkey AS DOUBLE) * 37 % 360 AS az", "CAST(s_suppkey % 13 AS DOUBLE) * 5e-1 - 1 AS el", "25e-2 + 1e-2 * (s_suppkey % 3) AS radius")
+SAMPLES = f"SELECT {', '.join(SAMPLE_COLUMNS)} FROM supplier"
 
 
-def _horizon(spark):
-    rc = spark.range(144).selectExpr("CAST(id DIV 12 AS INT) AS row", "CAST(id % 12 AS INT) AS col")
+def _horizon(t):
+    rc = t.part.selectExpr("CAST(p_partkey AS INT) AS row", "p_size AS col")
     return rc.withColumn("h", F.transform(F.sequence(F.lit(0), F.lit(359)), lambda a: (a * (F.col("row") + 1) % 17) * 0.5 - F.col("col") * 0.25))
 
 
-def _samples(spark):
-    return spark.range(97).selectExpr("CAST(id AS DOUBLE) * 37 % 360 AS az", "CAST(id % 13 AS DOUBLE) * 5e-1 - 1 AS el", "25e-2 + 1e-2 * (id % 3) AS radius")
+def _samples(t):
+    return t.supplier.selectExpr(*SAMPLE_COLUMNS)
 
 
 AT = "h[CAST(floor(az) AS INT) % 360 + 1] + (h[(CAST(floor(az) AS INT) + 1) % 360 + 1] - h[CAST(floor(az) AS INT) % 360 + 1]) * (az - floor(az))"
 
 
-@query("join16_horizon_at", f"SELECT row, col, az, {r4(AT)} AS horizon FROM ({HORIZON}), (SELECT range * 73e-1 AS az FROM range(49))")
+@query("join16_horizon_at", f"SELECT row, col, az, {r4(AT)} AS horizon FROM ({HORIZON}), (SELECT n_nationkey * 73e-1 AS az FROM nation)")
 def _(spark, t):
-    az = spark.range(49).selectExpr("id * 73e-1 AS az")
-    return _horizon(spark).crossJoin(F.broadcast(az)).select("row", "col", "az", rounded(moon.horizon_at(F.col("h"), F.col("az"))).alias("horizon"))
+    az = t.nation.selectExpr("n_nationkey * 73e-1 AS az")  # 25 rows at any scale
+    return _horizon(t).crossJoin(F.broadcast(az)).select("row", "col", "az", rounded(moon.horizon_at(F.col("h"), F.col("az"))).alias("horizon"))
 
 
 @query("agg16_visible_percent", f"""WITH v AS (SELECT row, col, least(1e0, greatest(-1e0, (el - ({AT})) / radius)) AS x FROM ({HORIZON}), ({SAMPLES}))
 SELECT row, col, {r4('1e2 * avg(5e-1 + (x * sqrt(1 - x * x) + asin(x)) / pi())')} AS percent FROM v GROUP BY 1, 2""")
 def _(spark, t):
-    return moon.visible_percent(_horizon(spark), _samples(spark)).withColumn("percent", rounded(F.col("percent")))
+    return moon.visible_percent(_horizon(t), _samples(t)).withColumn("percent", rounded(F.col("percent")))
 
 
 @query("prj16_dose", f"SELECT row, col, {r4('1369 * 36525e-2 / 1e3 * list_sum(list_transform(h, lambda e: 1 - sin(radians(e)))) / 360')} AS dose FROM ({HORIZON})")
 def _(spark, t):
-    return _horizon(spark).select("row", "col", rounded(moon.dose(F.col("h"))).alias("dose"))
+    return _horizon(t).select("row", "col", rounded(moon.dose(F.col("h"))).alias("dose"))
 
 
 @query("prj01_lonlat", f"SELECT row, col, {r4('degrees(atan2(x, y))')} AS lon, {r4('degrees(2 * atan(sqrt(x * x + y * y) / (2 * 17374e2))) - 90')} AS lat FROM ({TERRAIN}) WHERE x <> 0 OR y <> 0")
 def _(spark, t):
     lon, lat = moon.map_to_lonlat(F.col("x"), F.col("y"))
-    return terrain(spark).filter("x <> 0 OR y <> 0").select("row", "col", rounded(lon).alias("lon"), rounded(lat).alias("lat"))
+    return terrain(t).filter("x <> 0 OR y <> 0").select("row", "col", rounded(lon).alias("lon"), rounded(lat).alias("lat"))
 
 
-SKY = "SELECT vec AS i, 147e6 * cos(radians(vec * 7e0)) AS b1, 147e6 * sin(radians(vec * 7e0)) AS b2, 4e6 * cos(radians(vec * 3e0)) AS b3 FROM (SELECT range AS vec FROM range(60))"
+SKY_COLUMNS = ("s_suppkey AS i", "147e6 * cos(radians(s_suppkey * 7e0)) AS b1", "147e6 * sin(radians(s_suppkey * 7e0)) AS b2", "4e6 * cos(radians(s_suppkey * 3e0)) AS b3")
+SKY = f"SELECT {', '.join(SKY_COLUMNS)} FROM supplier"
 
 
 @query("prj04_azel", f"""WITH s AS ({SKY}), k AS (SELECT *, radians(40e0) AS lo, radians(-85e0) AS la FROM s), u AS (SELECT *, b1 - cos(la) * cos(lo) * 17374e-1 AS ax, b2 - cos(la) * sin(lo) * 17374e-1 AS ay, b3 - sin(la) * 17374e-1 AS az FROM k),
 d AS (SELECT *, sqrt(ax * ax + ay * ay + az * az) AS dist, -sin(lo) * ax + cos(lo) * ay AS e, -sin(la) * cos(lo) * ax - sin(la) * sin(lo) * ay + cos(la) * az AS n, cos(la) * cos(lo) * ax + cos(la) * sin(lo) * ay + sin(la) * az AS up FROM u)
 SELECT i, {r4('(degrees(atan2(e, n)) + 36e1) % 36e1')} AS azimuth, {r4('degrees(asin(up / dist))')} AS elevation, {r4('degrees(asin(6957e2 / dist))')} AS radius FROM d""")
 def _(spark, t):
-    s = spark.range(60).selectExpr("id AS i", "147e6 * cos(radians(id * 7e0)) AS b1", "147e6 * sin(radians(id * 7e0)) AS b2", "4e6 * cos(radians(id * 3e0)) AS b3")
+    s = t.supplier.selectExpr(*SKY_COLUMNS)
     az, el, radius = moon.azel([F.col("b1"), F.col("b2"), F.col("b3")], F.radians(F.lit(40.0)), F.radians(F.lit(-85.0)), moon.R, 695_700.0)
     return s.select("i", rounded(az).alias("azimuth"), rounded(el).alias("elevation"), rounded(radius).alias("radius"))
 
 
 @query("top08_best_sample", "SELECT az, el FROM (SELECT az, el, row_number() OVER (ORDER BY el DESC, az) AS n FROM (" + SAMPLES + ") WHERE abs((az - 315e0 + 18e1 + 36e1) % 36e1 - 18e1) < 25) WHERE n = 1")
 def _(spark, t):
-    near = _samples(spark).filter(F.abs(angle_between(F.col("az"), 315.0)) < 25)
+    near = _samples(t).filter(F.abs(angle_between(F.col("az"), 315.0)) < 25)
     return near.agg(F.max_by(F.struct("az", "el"), F.struct("el", -F.col("az"))).alias("b")).select("b.az", "b.el")
 
 
 @query("join18_horizons")
 def _(spark, t):
-    import numpy as np
-
-    side = (np.arange(64) - 31.5) * 20.0
-    dem = 300.0 - np.hypot(*np.meshgrid(side, side)) * 0.5  # a cone
-    cells = [(r, c, float(side[c]), float(-side[r]), float(dem[r, c])) for r in range(64) for c in range(64)]
-    seen = spark.createDataFrame(cells, "row int, col int, x double, y double, z double").repartition(64)
-    return moon.horizons(seen, dem, -640.0, 640.0, 20.0)
+    cells = saved(terrain(t))
+    model = (cells.select("row", "col", "z"), N, N, -HALF - CELL / 2, HALF + CELL / 2, CELL)
+    return moon.tiled_horizons(cells, [model], saved, tile=32)
 
 
 @query("prj11_projected", f"""SELECT ok, ln, image_id, count(*) AS n, {r4('sum(CASE WHEN depth > 5e-2 THEN 5e2 * x / depth + 32e1 END)')} AS u FROM (SELECT ok, ln, i.range AS image_id, x, z + i.range * 1e0 - 1 AS depth FROM ({POINTS}), range(3) i) GROUP BY 1, 2, 3""")

@@ -53,13 +53,14 @@ def test_queries_without_sql_take_whole_tables_and_default_parameters(spark, mon
     def watch(module, name):
         monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), **b: seen.update({name: (a, b)}) or f(*a, **b))
 
-    for module, name in ((moon, "horizons"), (cloud, "visible"), (graph, "routes"), (registration, "alternating_medians"), (search, "k_means")):
+    for module, name in ((moon, "tiled_horizons"), (cloud, "visible"), (graph, "routes"), (registration, "alternating_medians"), (search, "k_means")):
         watch(module, name)
     for name in ("join13_visible", "gra01_routes", "agg19_gains", "agg24_k_means", "join18_horizons"):
         plans.QUERIES[name](spark, SMALL)
     rows = lambda name: spark.read.parquet(f"{SMALL}/{name}.parquet").count()
     assert seen["visible"][0][0].count() == rows("lineitem") and seen["routes"][0][1].count() == rows("supplier")
-    assert seen["horizons"][0][0].count() == seen["horizons"][0][1].size and len(seen["horizons"][0]) == 5 and not seen["horizons"][1]
+    seen_from, models = seen["tiled_horizons"][0][:2]
+    assert seen_from.count() == 61 * 61 and models[0][0].count() == 61 * 61 and set(seen["tiled_horizons"][1]) == {"tile"}
     assert seen["k_means"][0][2] == 256 and "rounds" not in seen["alternating_medians"][1]
 
 
