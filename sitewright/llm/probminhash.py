@@ -7,11 +7,14 @@ stops when its next arrival would come after the latest first arrival of all reg
 
 Candidates share a band of registers. Within a band's bucket every text is compared, exactly, with the bucket's leader
 only: the text that shares most buckets with most others, so that a group of copies has one leader for most of its
-buckets. Where texts of a bucket are still unconnected, they are dealt anew by what sets each apart from the leader: two
-texts that both differ from it are alike only if they share much of those differences, which chance does not bring about,
-so sketches of the differences part them sharply. Small buckets of that kind are compared pair by pair where sizes,
-distances and sketches allow a link; large ones get leaders of their own, and so on. Every round costs a bounded number of
-comparisons for each place in a bucket, however large a group is.
+buckets. Where texts of a bucket are still unconnected, they are dealt anew by what sets each apart: two texts that both
+differ from one thing are alike only if they share much of those differences, which chance does not bring about, so
+sketches of the differences part them sharply. That thing is the leader where few texts are left with it. Where many are,
+it is their consensus, the runs of words that most of them have: a leader's own oddities would set all others apart from it
+in the same way and keep them together. The text nearest to the consensus is compared with all, which connects those that
+lie around it. Small buckets of differences are compared pair by pair where sizes, distances and sketches allow a link;
+larger ones are parted again, by a consensus of their own, until none is left. Nothing is capped: a bucket that its
+consensus does not part is compared pair by pair in the end, but its texts then share their oddities, so most are linked.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -205,6 +208,55 @@ def _led(dealt: DataFrame, scope: list[str]) -> DataFrame:
     return dealt.join(written(leads.select("bucket", (-F.col("best.small")).alias("lead")), "leads"), "bucket")
 
 
+#: Texts that a consensus is taken from. It is a thing to compare with, and any would be right: more make it sharper.
+VOICES = 15
+
+
+def consensus(texts: list[str | None], words: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the shingles that more than half of some texts have, with the median of their counts there."""
+    sets = [shingles(t, words) for t in texts]
+    if not sets:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h, c = np.concatenate([x[0] for x in sets]), np.concatenate([x[1] for x in sets])
+    order = np.lexsort((c, h))
+    h, c = h[order], c[order]
+    found, first, many = np.unique(h, return_index=True, return_counts=True)
+    kept = 2 * many > len(sets)
+    return found[kept], c[first[kept] + many[kept] // 2]
+
+
+def _from_consensus(crowd: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``scope, rep, distance, apart, weight, keys, nibbles`` of ``crowd(scope, rep)`` as seen from the scopes' consensus.
+
+    Its ``VOICES`` are those whose ids hash lowest; a scope's consensus is one row, sent to the texts of a large scope in
+    salted parts.
+    """
+    first = Window.partitionBy("scope").orderBy(F.xxhash64("rep", "scope"), "rep")
+    voices = crowd.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= VOICES).select("scope", F.col("rep").alias("doc_id"))
+    kind = "scope long, hashes array<long>, counts array<long>"
+
+    def agreed(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, c = consensus(pdf["text"].tolist(), words)
+        return pd.DataFrame({"scope": [pdf["scope"].iloc[0]], "hashes": [h.view(np.int64)], "counts": [c]})
+
+    middle = written(voices.join(texts, "doc_id").groupBy("scope").applyInPandas(agreed, kind), "consensus")
+    with_text = crowd.select("scope", "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    seen = salted_join(with_text, middle, "scope", by="rep")
+    seen = seen.repartition(crowd.count() // 500 + 1, "rep", "scope")
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for text, h, c in zip(pdf["text"], pdf["hashes"], pdf["counts"], strict=True):
+                other, own = (np.asarray(h, np.int64).view(np.uint64), np.asarray(c, np.int64)), shingles(text, words)
+                only, weight = np.setxor1d(other[0], own[0], assume_unique=True), int(own[1].sum())
+                out.append((1 - probability_jaccard(other, own), len(only), weight, *difference_marks(only, bands_of(len(only), weight, similarity))))
+            rows = pd.DataFrame(out, columns=["distance", "apart", "weight", "keys", "nibbles"])
+            yield pd.concat([pdf[["scope", "rep"]].reset_index(drop=True), rows], axis=1)
+
+    return seen.mapInPandas(measured, "scope long, rep long, distance double, apart long, weight long, keys array<long>, nibbles array<long>")
+
+
 def _rooted(open_: DataFrame, roots: DataFrame) -> DataFrame:
     """``open_(scope, rep, ..)`` with ``root``, of the scopes whose texts lie in several components."""
     placed = open_.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
@@ -261,6 +313,17 @@ def _by_differences(open_: DataFrame, small: int, split: int = 8) -> tuple[DataF
     return dealt.filter(F.col("n") <= small).unionByName(finer.filter(F.col("n") <= small)), finer.filter(F.col("n") > small)
 
 
+def _joined(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """``roots`` after the links ``found`` as well."""
+    of = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
+    ends = found.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ends = ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a <> b")
+    ends = written(ends.distinct(), "joined")
+    if ends.isEmpty():
+        return roots
+    return components(ends.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
 def _linked(members: DataFrame, docs: DataFrame, words: int, similarity: float, small: int, rounds: int) -> tuple[DataFrame, DataFrame]:
     """(``a, b``: verified links; ``node, root``: the components they make) of ``members(rep, bands)``."""
     dealt = members.select("rep", F.explode("bands").alias("bucket"))
@@ -273,32 +336,38 @@ def _linked(members: DataFrame, docs: DataFrame, words: int, similarity: float,
     alike = lambda pairs: pairs.filter(F.col("similarity") >= similarity).select("a", "b")
     links = alike(made)
     roots = components(links)
-    open_ = made.withColumn("scope", F.col("a"))
+    about = ("scope", "rep", "distance", "apart", "weight", "keys", "nibbles")
+    open_ = made.select(F.col("a").alias("scope"), F.col("b").alias("rep"), (1 - F.col("similarity")).alias("distance"), "apart", "weight", "keys", "nibbles")
     for level in range(rounds + 1):
-        distance = (1 - F.col("similarity")).alias("distance")
-        open_ = written(_rooted(open_.select("scope", F.col("b").alias("rep"), distance, "apart", "weight", "keys", "nibbles"), roots), "open")
+        open_ = written(_rooted(open_.select(*about), roots), "open")
         if open_.isEmpty():
             break
+        crowds = open_.groupBy("scope").agg(F.count("*").alias("_n")).filter(F.col("_n") > (0 if level else small)).select("scope")
+        crowds = written(crowds, "crowds")
+        if not crowds.isEmpty():
+            crowd = written(salted_join(open_.select("scope", "rep"), crowds, "scope", by="rep"), "crowd")
+            seen = written(_from_consensus(crowd, texts, words, similarity), "seen")
+            nearest = written(seen.groupBy("scope").agg(F.min(F.struct("apart", "rep")).alias("b")).select("scope", F.col("b.rep").alias("lead")), "nearest")
+            around = salted_join(seen.select("scope", "rep"), nearest, "scope", by="rep").filter("rep <> lead")
+            around = around.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+            found = alike(written(_compared(around, texts, words), "around"))
+            links = written(links.unionByName(found).distinct(), "links")
+            roots = _joined(roots, found)
+            rest = open_.select(*about).join(crowds, "scope", "left_anti")
+            open_ = written(_rooted(rest.unionByName(seen.select(*about)), roots), "open")
+            if open_.isEmpty():
+                break
         few, many = _by_differences(open_, small)
         if level == rounds:
-            few = few.unionByName(many)
+            few, many = few.unionByName(many), None
         found = alike(written(_compared(_crossing(few, similarity), texts, words), "crossed"))
-        if level < rounds:  # large buckets: each text with the bucket's leader, from which the next round starts
-            many = _led(many, ["scope"]).filter("rep <> lead")
-            many = many.select(F.xxhash64("scope", "lead").alias("scope"), F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-            many = written(many, "many")
-            made = written(_compared(many.select("a", "b").distinct(), texts, words, True, similarity), "led")
-            found = found.unionByName(alike(made))
-            open_ = made.join(many, ["a", "b"])
         links = written(links.unionByName(found).distinct(), "links")
-        of = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
-        ends = found.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        ends = ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a <> b")
-        ends = written(ends.distinct(), "joined")
-        if not ends.isEmpty():
-            roots = components(ends.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        if level == rounds or many.isEmpty():
+        roots = _joined(roots, found)
+        if many is None or many.isEmpty():
             break
+        # larger buckets that have one text in their middle are one scope; it is seen from its consensus
+        led = _led(written(many, "many"), ["scope"]).select(F.xxhash64("scope", "lead").alias("scope"), "rep", "distance", "apart", "weight", "nibbles")
+        open_ = led.dropDuplicates(["scope", "rep"]).withColumn("keys", F.lit(None).cast("array<long>"))
     return links, roots
 
 
@@ -313,7 +382,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 4, small: int = 128, rounds: int = 1
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 4, small: int = 128, rounds: int = 6
 ) -> DataFrame:
     """``doc_id, class_id, content_class, links`` of every row of ``docs``.
 
@@ -322,10 +391,10 @@ def near_duplicates(
     ``links`` counts the links of that text that were verified (those that connect its class), not all. At 0.8 a pair
     misses all of 32 bands of 4 once in 10 million; a pair that only differences from a leader can bring together is
     found by up to ``BANDS`` bands of 2 registers of them. Buckets of differences of up to ``small`` texts are compared pair by
-    pair, larger ones by leaders, ``rounds`` times at most; what is then still open is compared pair by pair too.
+    pair, larger ones parted by their consensus, ``rounds`` times at most; what is then still open is compared pair by pair.
 
-    Null and empty texts are one class. Texts of fewer than five words are one shingle. Rows that repeat come out each;
-    rows of one id must have one text. Rows without an id take part by their text; a class of none but such has a null
+    Null and empty texts are one class. Texts of fewer than five words are one shingle. Rows that repeat come out each. Rows of one id that have several texts
+    each get the class of their own text; which of them stands for the id in comparisons is not defined. Rows without an id take part by their text; a class of none but such has a null
     ``class_id``. Ids are below 2^62. An empty table gives no rows. Other columns play no part.
     """
     known = lambda c: F.when(F.col(c) < _NO_ID, F.col(c)).alias(c)
@@ -346,7 +415,7 @@ def _classes(docs: DataFrame, words: int, similarity: float, bands: int, rows: i
 
 
 def first_of_class(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 4, small: int = 128, rounds: int = 1
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 4, small: int = 128, rounds: int = 6
 ) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its class; of rows that repeat such an id, one. Of a class of rows
     without an id one row stays, with its null id."""

@@ -139,3 +139,45 @@ def test_rows_without_an_id(spark):
     assert got == sorted([(None, 7), (7, 7), (None, None), (None, None), (None, 3), (3, 3)], key=str)
     kept = P.first_of_class(docs).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept) == [(False, 3, ""), (False, 7, text + " b"), (True, 0, "other words here")]
+
+
+def test_comparisons_of_a_hot_group_stay_flat(spark, monkeypatch):
+    """Texts with one origin, each as far from the others as from it: no two are alike, and all share bands."""
+    compared = []
+    plain, measured = P.written, P._from_consensus
+    monkeypatch.setattr(P, "written", lambda df, name: compared.append(df.count()) or plain(df, name) if name == "pairs" else plain(df, name))
+    monkeypatch.setattr(P, "_from_consensus", lambda crowd, *a: compared.append(crowd.count()) or measured(crowd, *a))
+    each = {}
+    for size in (250, 2000):
+        rng = np.random.default_rng(size)
+        base = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+        texts = []
+        for n in range(size):
+            t = list(base)
+            for i in rng.choice(300, 8, replace=False):
+                t[i] = f"z{n}x{i}"
+            texts.append(" ".join(t))
+        texts[7] = texts[3] + " end"
+        compared.clear()
+        got = {r.doc_id: r.class_id for r in P.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        assert got[7] == got[3]
+        each[size] = sum(compared) / size
+        if size == 250:
+            assert got == classes_by_brute_force(list(enumerate(texts)))
+    # bounded by the leaders that a text's bands have, three comparisons each; with all pairs it would be eightfold
+    assert each[2000] < 2.2 * each[250] and max(each.values()) < 40
+
+
+def test_consensus_is_what_most_have():
+    texts = ["a b c d e f g", "a b c d e f g h", "a b c d e x y", None, "a b c d e f z"]
+    h, c = P.consensus(texts)
+    want = P.shingles("a b c d e f")[0]
+    assert h.tolist() == sorted(want.tolist()) and c.tolist() == [1, 1]
+    assert len(P.consensus([])[0]) == 0
+
+
+def test_a_very_long_text_and_its_near_copy(spark):
+    long_ = " ".join(f"w{i % 7919}x{i % 31}" for i in range(150_000))
+    rows = [(1, long_), (2, long_ + " more"), (3, "short")]
+    got = {r.doc_id: r.class_id for r in P.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
