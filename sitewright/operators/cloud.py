@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.maths import value_at_rank
+from ..functions.maths import medians, value_at_rank
 
 #: The value at index n // 2, as ``m``.
 UPPER_MEDIAN = {"m": lambda n: F.floor(n / 2)}
@@ -81,7 +81,8 @@ def named_predicates(rows: DataFrame, tests: dict[str, Column]) -> tuple[DataFra
 
 def without_blurred(points: DataFrame, close: Column, share: float) -> DataFrame:
     """Points that are not close, and close ones with at least a share of the close ones' median z."""
-    middle = points.filter(close).agg(F.median("z").alias("_m"))
+    middle = medians(points.filter(close), [], "z").select(F.col("m").alias("_m"))
+    middle = points.sparkSession.range(1).join(middle, how="left").select("_m")  # one row, null where nothing is close
     return points.join(F.broadcast(middle)).filter(~close | (F.col("z") >= share * F.col("_m"))).drop("_m")  # one row
 
 
@@ -102,8 +103,14 @@ def correlation(rows: DataFrame, key: list[Column], a: str, b: str) -> DataFrame
 
 
 def median_colour(rows: DataFrame, key: list[Column], channels: dict[str, str]) -> DataFrame:
-    """The median of each channel, separately."""
-    return rows.groupBy(*key).agg(*[F.median(c).alias(name) for name, c in channels.items()])
+    """The median of each channel, separately. Keys are not null."""
+    named = rows.select(*key, *channels.values())
+    names = named.columns[: len(key)]
+    out = None
+    for name, c in channels.items():
+        own = medians(named, names, c).select(*names, F.col("m").alias(name))
+        out = own if out is None else out.join(own, names, "full")
+    return out
 
 
 def scaled_to_range(rows: DataFrame, key: list[str], value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:

@@ -241,38 +241,71 @@ def texture(pixels: DataFrame, fine: int = 1, coarse: int = 8) -> DataFrame:
     return box_means(near, ["image_id"], coarse, {"_far": v}).withColumn("texture", F.col("_near") - F.col("_far")).drop("_near", "_far")
 
 
-def largest_rectangles(cells: DataFrame) -> DataFrame:
-    """``frame_id, row0, row1, col0, col1``: the largest rectangle of good cells of each frame (ends beyond; of equals the
-    first by its lower right corner). A frame's mask is one group."""
+def _largest(good) -> tuple[int, int, int, int, int]:
+    """(area, row0, row1, col0, col1) of the largest rectangle of a mask; of equals the first by its lower right corner."""
+    import numpy as np
+
+    height, best = np.zeros(good.shape[1] + 2, int), (0, 0, 0, 0, 0)
+    for r in range(len(good)):
+        height[1:-1] = np.where(good[r], height[1:-1] + 1, 0)
+        # for each column, how far its height reaches to either side
+        left, right = np.zeros(len(height), int), np.full(len(height), len(height) - 1)
+        for c in range(1, len(height) - 1):
+            k = c - 1
+            while k > 0 and height[k] >= height[c]:
+                k = left[k]
+            left[c] = k
+        for c in range(len(height) - 2, 0, -1):
+            k = c + 1
+            while k < len(height) - 1 and height[k] >= height[c]:
+                k = right[k]
+            right[c] = k
+        area = height * (right - left - 1)
+        c = int(area.argmax())
+        if area[c] > best[0]:
+            best = (int(area[c]), r + 1 - int(height[c]), r + 1, int(left[c]), int(right[c]) - 1)
+    return best
+
+
+def _by_frame(cells: DataFrame, of, columns: str) -> DataFrame:
+    """Rows of ``of(mask)`` for each frame; a frame's mask, whose size its camera bounds, is one group."""
     import numpy as np
     import pandas as pd
 
+    names = ["frame_id", *[c.split()[0] for c in columns.split(", ")]]
+
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         good = np.zeros((int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1), bool)
         good[pdf["row"], pdf["col"]] = pdf["good"].fillna(False).astype(bool)
-        height, best = np.zeros(good.shape[1] + 2, int), (0, 0, 0, 0, 0)
-        for r in range(len(good)):
-            height[1:-1] = np.where(good[r], height[1:-1] + 1, 0)
-            # for each column, how far its height reaches to either side
-            left, right = np.zeros(len(height), int), np.full(len(height), len(height) - 1)
-            for c in range(1, len(height) - 1):
-                k = c - 1
-                while k > 0 and height[k] >= height[c]:
-                    k = left[k]
-                left[c] = k
-            for c in range(len(height) - 2, 0, -1):
-                k = c + 1
-                while k < len(height) - 1 and height[k] >= height[c]:
-                    k = right[k]
-                right[c] = k
-            area = height * (right - left - 1)
-            c = int(area.argmax())
-            if area[c] > best[0]:
-                best = (int(area[c]), r + 1 - int(height[c]), r + 1, int(left[c]), int(right[c]) - 1)
-        return pd.DataFrame([(pdf["frame_id"].iloc[0], *best[1:])], columns=["frame_id", "row0", "row1", "col0", "col1"])
-
-    kind = cells.schema["frame_id"].dataType.simpleString()
-    return cells.groupBy("frame_id").applyInPandas(find, f"frame_id {kind}, row0 int, row1 int, col0 int, col1 int")
+        return pd.DataFrame([(pdf["frame_id"].iloc[0], *x) for x in of(good)], columns=names)
+
+    return cells.groupBy("frame_id").applyInPandas(find, f"frame_id {cells.schema['frame_id'].dataType.simpleString()}, {columns}")
+
+
+def largest_rectangles(cells: DataFrame) -> DataFrame:
+    """``frame_id, row0, row1, col0, col1``: the largest rectangle of good cells of each frame (ends beyond; of equals the
+    first by its lower right corner)."""
+    return _by_frame(cells, lambda good: [_largest(good)[1:]], "row0 int, row1 int, col0 int, col1 int")
+
+
+def rectangle_cover(cells: DataFrame, cell_px: int, most: int = 5, least_px: int = 240) -> DataFrame:
+    """``frame_id, n, x0, y0, x1, y1``: pixel boxes (ends beyond) that cover a frame's good cells, the largest first.
+
+    Each is the largest rectangle of what the ones before have left; at most ``most``, and none from the first on whose
+    shorter side is under ``least_px``. ``cells(frame_id, row, col, good)`` are ``cell_px`` pixels wide.
+    """
+
+    def cover(good) -> list[tuple[int, int, int, int, int]]:
+        out = []
+        while len(out) < most:
+            _, r0, r1, c0, c1 = _largest(good)
+            if min(r1 - r0, c1 - c0) * cell_px < least_px:
+                break
+            out.append((len(out), c0 * cell_px, r0 * cell_px, c1 * cell_px, r1 * cell_px))
+            good[r0:r1, c0:c1] = False
+        return out
+
+    return _by_frame(cells, cover, "n int, x0 int, y0 int, x1 int, y1 int")
 
 
 def fill_no_data(grid: DataFrame, value: str = "z", no_data: float = -1e6) -> DataFrame:

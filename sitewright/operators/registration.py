@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.maths import medians
+
 
 def shift_search(moving: DataFrame, fixed: DataFrame, reach: int, least_overlap: float = 0.05) -> DataFrame:
     """``dr, dc, r, n``: correlation of ``moving`` shifted by each whole-pixel shift with ``fixed``, jointly valid cells.
@@ -29,7 +32,7 @@ def best_shift(scores: DataFrame, reach: int, least: float = 0.3) -> DataFrame:
 
 def clipped_misfit(points: DataFrame, cell_m: float, clip: float = 0.2, least: int = 4) -> DataFrame:
     """Mean of min(|d - median|, clip) over points ``x, y, d`` and the number of points; infinite with too few."""
-    middle = points.agg(F.median("d").alias("m"))
+    middle = medians(points, [], "d").select(F.col("m"))
     off = points.join(F.broadcast(middle)).select(F.least(F.abs(F.col("d") - F.col("m")), F.lit(clip)).alias("o"))  # one row
     return off.agg(F.avg("o").alias("misfit"), F.count("*").alias("n")).withColumn("misfit", F.when(F.col("n") >= least, F.col("misfit")).otherwise(F.lit(float("inf"))))
 
@@ -42,78 +45,117 @@ def alternating_medians(seen: DataFrame, save, rounds: int = 12) -> DataFrame:
     logs = save(seen.filter("value > 0").select("frame", "point", F.log("value").alias("v")))
     gains = save(logs.select("frame").distinct().withColumn("g", F.lit(0.0)))
     for _ in range(rounds):
-        level = logs.join(gains, "frame").groupBy("point").agg(F.median(F.col("v") - F.col("g")).alias("p"))
-        raw = logs.join(level, "point").groupBy("frame").agg(F.median(F.col("v") - F.col("p")).alias("g"))
+        level = medians(logs.join(gains, "frame").select("point", (F.col("v") - F.col("g")).alias("d")), ["point"], "d").select("point", F.col("m").alias("p"))
+        raw = medians(save(logs.join(level, "point").select("frame", (F.col("v") - F.col("p")).alias("d"))), ["frame"], "d").select("frame", F.col("m").alias("g"))
+        raw = save(raw)
         gains = save(raw.join(F.broadcast(raw.agg(F.avg("g").alias("m")))).select("frame", (F.col("g") - F.col("m")).alias("g")))  # one row
     return gains.select("frame", F.exp("g").alias("gain"))
 
 
-def _apart(points: DataFrame, heights: DataFrame, cell_m: float) -> DataFrame:
-    """``points(.., x, y, z)`` with ``d``, their height over the cell below; only those over a known cell."""
-    at = {"cx": F.floor(F.col("x") / cell_m).cast("long"), "cy": F.floor(F.col("y") / cell_m).cast("long")}
-    return points.withColumns(at).join(heights, ["cx", "cy"]).withColumn("d", F.col("z") - F.col("h")).drop("cx", "cy", "h")
+def _over(points: DataFrame, ground: DataFrame, cell_m: float) -> DataFrame:
+    """``points(.., x, y, z)`` with ``d``, their height over the ground of their cell; only those over known ground."""
+    cell = {"cx": F.floor(F.col("x") / cell_m).cast("long"), "cy": F.floor(F.col("y") / cell_m).cast("long")}
+    return points.withColumns(cell).join(ground, ["cx", "cy"]).withColumn("d", F.col("z") - F.col("h")).drop("cx", "cy", "h")
+
+
+#: What a motion has: turns about z, y and x in degrees, and a shift in metres.
+FREEDOMS = ("yaw", "pitch", "roll", "dx", "dy", "dz")
 
 
-def best_candidate(points: DataFrame, heights: DataFrame, yaws: list[float], shifts: list[float], pivot: tuple[float, float, float], need: float, cell_m: float, clip: float, save):
-    """The row ``yaw, dx, dy, dz, misfit`` of the least clipped misfit over all turns about the pivot and shifts; none with
-    ``need`` points over known cells gives None. ``points(px, py, pz)`` are relative to the pivot.
+def motion(values: dict[str, float], pivot) -> tuple[np.ndarray, np.ndarray]:
+    """(rotation, shift): X -> R X + t, which turns about the pivot and then shifts."""
+    turn = np.eye(3)
+    for name, (a, b) in (("roll", (1, 2)), ("pitch", (2, 0)), ("yaw", (0, 1))):
+        c, s = np.cos(np.radians(values.get(name, 0.0))), np.sin(np.radians(values.get(name, 0.0)))
+        one = np.eye(3)
+        one[a, a] = one[b, b] = c
+        one[a, b], one[b, a] = -s, s
+        turn = one @ turn
+    about = np.asarray(pivot, float)
+    return turn, about + [values.get(n, 0.0) for n in ("dx", "dy", "dz")] - turn @ about
 
-    Every point is sent once a candidate; medians and means are aggregated by candidate, so the driver sees one row.
+
+def candidate_misfits(points: DataFrame, ground: DataFrame, tried: list[dict[str, float]], pivot, cell_m: float, clip: float, level: bool) -> DataFrame:
+    """``k, misfit, n, dz`` of each motion of ``tried``, by its number: the mean clipped height difference over known ground.
+
+    With ``level`` differences are taken from their median, ``dz``; else as they are, and ``dz`` is 0. Every point is sent
+    once a candidate, of which there are as many as the search names, and sums by candidate are combined before they are
+    shuffled.
+    """
+    moves = []
+    for k, values in enumerate(tried):
+        turn, shift = motion(values, pivot)
+        moves.append(F.struct(F.lit(k).alias("k"), F.array(*map(F.lit, map(float, turn.ravel()))).alias("r"), F.array(*map(F.lit, map(float, shift))).alias("t")))
+    sent = points.withColumn("_m", F.explode(F.array(*moves)))
+    place = [sum((F.col("_m.r")[3 * i + j] * F.col(n) for j, n in enumerate("xyz")), F.col("_m.t")[i]) for i in range(3)]
+    off = _over(sent.select(F.col("_m.k").alias("k"), *[c.alias(n) for c, n in zip(place, "xyz", strict=True)]), ground, cell_m).select("k", "d")
+    if level:
+        off = off.join(F.broadcast(medians(off, ["k"], "d").select("k", F.col("m").alias("dz"))), "k")  # a row a candidate
+    else:
+        off = off.withColumn("dz", F.lit(0.0))
+    return off.groupBy("k").agg(F.avg(F.least(F.abs(F.col("d") - F.col("dz")), F.lit(clip))).alias("misfit"), F.count("*").alias("n"), F.first("dz").alias("dz"))
+
+
+def climb(score, start: dict[str, float], steps: dict[str, float], halvings: int = 5, passes: int = 50) -> tuple[dict[str, float], float]:
+    """(values, score) where no step along any of ``steps`` raises ``score`` after ``halvings`` rounds, each with half the step.
+
+    ``score`` takes a list of candidates and gives their scores. In a pass all steps from where the search stands, two for
+    each value, are scored at once; it moves to the best, if that is better, and the round ends where none is.
     """
-    listed = lambda v: F.explode(F.array(*[F.lit(float(x)) for x in v]))
-    turned = points.withColumn("yaw", listed(yaws)).withColumns({"_c": F.cos(F.radians("yaw")), "_s": F.sin(F.radians("yaw"))})
-    placed = turned.select("yaw", (F.col("_c") * F.col("px") - F.col("_s") * F.col("py") + pivot[0]).alias("x"), (F.col("_s") * F.col("px") + F.col("_c") * F.col("py") + pivot[1]).alias("y"), (F.col("pz") + pivot[2]).alias("z"))
-    moved = placed.withColumn("dx", listed(shifts)).withColumn("dy", listed(shifts)).withColumns({"x": F.col("x") + F.col("dx"), "y": F.col("y") + F.col("dy")})
-    key = ["yaw", "dx", "dy"]
-    off = save(_apart(moved, heights, cell_m).select(*key, "d"))
-    middle = off.groupBy(*key).agg(F.median("d").alias("dz"), F.count("*").alias("n")).filter(F.col("n") >= need)
-    scored = off.join(F.broadcast(middle), key).groupBy(*key).agg(F.avg(F.least(F.abs(F.col("d") - F.col("dz")), F.lit(clip))).alias("misfit"), F.first("dz").alias("dz"))  # a row a candidate
-    return scored.orderBy("misfit", F.abs("yaw"), F.abs("dx"), F.abs("dy"), "yaw", "dx", "dy").first()
-
-
-def align(ref: DataFrame, mov: DataFrame, pivot: tuple[float, float, float], save, cell_m: float = 0.05, clip: float = 0.2, search: float = 1.5, yaw: float = 4.0, most: int = 40_000, seed: int = 0):
+    here, size = dict(start), dict(steps)
+    (best,) = score([here])
+    for _ in range(halvings):
+        for _ in range(passes):
+            tried = [here | {n: here[n] + sign * step} for n, step in size.items() for sign in (1, -1)]
+            found = score(tried)
+            top = max(range(len(tried)), key=lambda k: found[k])
+            if not found[top] > best:
+                break
+            here, best = tried[top], found[top]
+        size = {n: step / 2 for n, step in size.items()}
+    return here, best
+
+
+#: Fixed values of the search: half-widths of shift (m) and heading (degrees), steps of the first look, the share of points
+#: that must be over known ground, the size of a cell and the difference from which one is no misfit but an edge (m).
+SEARCH_M, SEARCH_DEG, LOOK_M, LOOK_DEG, OVERLAP, CELL_M, CLIP_M = 1.5, 4.0, 0.15, 1.0, 0.25, 0.05, 0.2
+#: Steps with which all six values are then climbed, before the first halving.
+CLIMB_STEPS = {"yaw": 0.5, "pitch": 0.5, "roll": 0.5, "dx": 0.08, "dy": 0.08, "dz": 0.04}
+
+
+def align(
+    ref: DataFrame, mov: DataFrame, pivot: tuple[float, float, float], save, cell_m: float = CELL_M, clip: float = CLIP_M, search: float = SEARCH_M, yaw: float = SEARCH_DEG,
+    most: int = 40_000, seed: int = 0, steps: dict[str, float] = CLIMB_STEPS, halvings: int = 5,
+):
     """(rotation as nine numbers by row, shift, report): the rigid motion X -> R X + t that lays the ground of ``mov`` on that
     of ``ref``, both ``x, y, z`` with z upwards.
 
-    Heading and shift are searched about ``pivot`` in three rounds, coarse to fine; after each what is left of a tilt is
-    fitted by a plane and turned out. Heights of ``ref`` are means by cell. At most ``most`` of the moving points over known
-    ground, by the order of a hash, are compared: a bounded sample, whose size is a parameter.
+    A first look scores headings and shifts on a grid about ``pivot``, each with the median of its height differences as
+    the shift upwards. From the best, all six freedoms are climbed. Heights of ``ref`` are means by cell. At most ``most``
+    of the moving points over known ground, by the order of a hash, are compared: a bounded sample, whose size is a
+    parameter. The driver sees a score for each candidate.
     """
-    import numpy as np
-
-    heights = save(ref.groupBy(F.floor(F.col("x") / cell_m).cast("long").alias("cx"), F.floor(F.col("y") / cell_m).cast("long").alias("cy")).agg(F.avg("z").alias("h")))
-    over = _apart(mov.select("x", "y", "z"), heights, cell_m).drop("d")
-    sample = save(over.orderBy(F.xxhash64(F.lit(seed), "x", "y", "z")).limit(most))
-    before = clipped_misfit(_apart(sample, heights, cell_m), cell_m, clip).first()
-    need = 0.25 * before.n
-    turn, shift = np.eye(3), np.zeros(3)  # about the pivot
-
-    def placed(relative: bool) -> DataFrame:
-        p = [F.col(a) - float(pivot[i]) for i, a in enumerate("xyz")]
-        q = [sum((F.lit(float(turn[i, j])) * p[j] for j in range(3)), F.lit(float(shift[i]))) for i in range(3)]
-        names = ("px", "py", "pz") if relative else ("x", "y", "z")
-        return sample.select(*[(q[i] if relative else q[i] + float(pivot[i])).alias(n) for i, n in enumerate(names)])
-
-    grid = lambda half, step: [round(k * step, 9) for k in range(-round(half / step), round(half / step) + 1)]
-    for yaws, shifts in ((grid(yaw, 1.0), grid(search, 0.15)), (grid(1.0, 0.25), grid(0.15, 0.03)), (grid(0.25, 0.125), grid(0.04, 0.01))):
-        best = best_candidate(placed(True), heights, yaws, shifts, pivot, need, cell_m, clip, save)
-        if best is None:
-            break
-        c, s = np.cos(np.radians(best.yaw)), np.sin(np.radians(best.yaw))
-        about = np.array([[c, -s, 0.0], [s, c, 0.0], [0.0, 0.0, 1.0]])
-        turn, shift = about @ turn, about @ shift + [best.dx, best.dy, -best.dz]
-        # a plane through what is left, by its normal equations
-        left = _apart(placed(False), heights, cell_m).filter(F.abs("d") < 0.08).select((F.col("x") - pivot[0]).alias("a"), (F.col("y") - pivot[1]).alias("b"), "d")
-        sums = left.agg(*[F.sum(F.col(p) * F.col(q)).alias(p + q) for p, q in ("aa", "ab", "bb", "ad", "bd")], *[F.sum(p).alias(p) for p in "abd"], F.count("*").alias("n")).first()
-        if sums.n > 500:
-            m = np.array([[sums.aa, sums.ab, sums.a], [sums.ab, sums.bb, sums.b], [sums.a, sums.b, sums.n]])
-            u, v, w = np.linalg.solve(m, [sums.ad, sums.bd, sums.d])
-            angle = float(np.hypot(u, v))
-            axis = np.array([-v, u, 0.0]) / angle if angle else np.zeros(3)
-            k = np.array([[0, -axis[2], axis[1]], [axis[2], 0, -axis[0]], [-axis[1], axis[0], 0]])
-            tilt = np.eye(3) + np.sin(angle) * k + (1 - np.cos(angle)) * k @ k
-            turn, shift = tilt @ turn, tilt @ shift - [0.0, 0.0, w]
-    after = clipped_misfit(_apart(placed(False), heights, cell_m), cell_m, clip).first()
-    centre = np.array(pivot, float)
-    report = {"overlap_points": after.n, "misfit_before_m": before.misfit, "misfit_after_m": after.misfit}
-    return turn.ravel().tolist(), (centre + shift - turn @ centre).tolist(), report
+    ground = save(ref.groupBy(F.floor(F.col("x") / cell_m).cast("long").alias("cx"), F.floor(F.col("y") / cell_m).cast("long").alias("cy")).agg(F.avg("z").alias("h")))
+    points = save(_over(mov.select("x", "y", "z"), ground, cell_m).drop("d").orderBy(F.xxhash64(F.lit(seed), "x", "y", "z")).limit(most))
+    still = dict.fromkeys(FREEDOMS, 0.0)
+    first = candidate_misfits(points, ground, [still], pivot, cell_m, clip, True).first()
+    need = OVERLAP * (first.n if first else 0)
+    along = lambda half, step: [round(k * step, 9) for k in range(-round(half / step), round(half / step) + 1)]
+    looks = [still | {"yaw": a, "dx": b, "dy": c} for a in along(yaw, LOOK_DEG) for b in along(search, LOOK_M) for c in along(search, LOOK_M)]
+    seen = None
+    for n in range(0, len(looks), 256):  # candidates of one job
+        part = candidate_misfits(points, ground, looks[n : n + 256], pivot, cell_m, clip, True).withColumn("k", F.col("k") + n)
+        seen = part if seen is None else seen.unionByName(part)
+    best = save(seen).filter(F.col("n") >= need).orderBy("misfit", "k").first() if first else None
+    here = looks[best.k] | {"dz": -best.dz} if best else still
+
+    def score(tried: list[dict[str, float]]) -> list[float]:
+        got = {r.k: -r.misfit for r in candidate_misfits(points, ground, tried, pivot, cell_m, clip, False).filter(F.col("n") >= need).collect()}
+        return [got.get(k, float("-inf")) for k in range(len(tried))]
+
+    if best:
+        here, _ = climb(score, here, steps, halvings)
+    turn, shift = motion(here, pivot)
+    last = candidate_misfits(points, ground, [here], pivot, cell_m, clip, True).first()
+    report = {"overlap_points": last.n if last else 0, "misfit_before_m": first.misfit if first else None, "misfit_after_m": last.misfit if last else None}
+    return turn.ravel().tolist(), shift.tolist(), report

@@ -180,17 +180,40 @@ def separation_m(size: Column) -> Column:
 def top_sites(sites: DataFrame, count: int, separation: float, save) -> DataFrame:
     """Greedy: the best grade first (ties by ``idx``), each at least ``separation`` from all picked before.
 
-    Every round picks the best of what is left and drops what is too near: ``count`` rounds over distributed rows, of
-    which the driver sees one row each. ``save`` writes a round and reads it back.
+    A site is final when it is the best of its square and of all squares that reach within ``separation`` of that; squares
+    are so small that one holds a pick at most. All final sites of a round are picked at once, and what is too near to them
+    goes. The search ends when ``count`` picks come before all that is left, so rounds do not grow with the picks but with
+    the longest chain of sites that wait for a better one nearby. A round is an aggregate by square and joins of squares.
     """
-    spark, left, picked = sites.sparkSession, save(sites.filter("grade > 0").select("idx", "x", "y", "grade")), []
-    for rank in range(1, count + 1):
-        best = left.orderBy(F.col("grade").desc(), "idx").first()
-        if best is None:
+    spark = sites.sparkSession
+    side = separation / 1.5 if separation > 0 else 1.0  # its diagonal is less than the separation
+    own = sites.filter("grade > 0").select("idx", "x", "y", "grade").withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
+    if separation <= 0:
+        own = own.withColumns({"cx": F.col("idx"), "cy": F.lit(0).cast("long")})
+    left, picked = save(own), save(own.limit(0))
+    near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-2, 3) for b in range(-2, 3)]))
+    order = F.struct("grade", (-F.col("idx")).alias("first"))
+    key = lambda r: (-r["grade"], r["idx"])
+    while True:
+        best = save(left.groupBy("cx", "cy").agg(F.max_by(F.struct("idx", "x", "y", "grade"), order).alias("s")).select("cx", "cy", "s.*"))
+        sent = best.select("cx", "cy", order.alias("o"), near.alias("d")).select((F.col("cx") + F.col("d.a")).alias("cx"), (F.col("cy") + F.col("d.b")).alias("cy"), "o")
+        around = sent.groupBy("cx", "cy").agg(F.max("o").alias("top"))
+        final = best.join(around, ["cx", "cy"]).filter(F.col("top.first") == -F.col("idx")).drop("top")
+        if separation <= 0:
+            final = best
+        final = save(final)
+        picked = save(picked.unionByName(final))
+        # a pick is sent to the squares around it; a site goes that is too near to one of those that come to its square
+        reach = final.select(F.col("x").alias("px"), F.col("y").alias("py"), "cx", "cy", near.alias("d"))
+        reach = reach.select("px", "py", (F.col("cx") + F.col("d.a")).alias("cx"), (F.col("cy") + F.col("d.b")).alias("cy"))
+        apart = F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2)
+        gone = left.join(reach, ["cx", "cy"]).filter(apart < separation).select("idx").distinct()
+        left = save(left.join(gone.unionByName(final.select("idx")).distinct(), "idx", "left_anti"))
+        ahead = left.orderBy(F.col("grade").desc(), "idx").first()
+        top = picked.orderBy(F.col("grade").desc(), "idx").limit(count).collect()  # as many as are asked for
+        if ahead is None or len(top) == count and key(top[-1]) < key(ahead):
             break
-        picked.append((rank, best.idx, best.x, best.y, best.grade))
-        left = left.filter(F.sqrt((F.col("x") - F.lit(best.x)) ** 2 + (F.col("y") - F.lit(best.y)) ** 2) >= separation)
-    return spark.createDataFrame(picked, "rank int, idx long, x double, y double, grade int")
+    return spark.createDataFrame([(n + 1, r.idx, r.x, r.y, r.grade) for n, r in enumerate(top)], "rank int, idx long, x double, y double, grade int")
 
 
 def find_sites(top: DataFrame, max_slope: float | None, pin_distance: Column | None, within_m: float | None, keep: int = 3) -> DataFrame:
