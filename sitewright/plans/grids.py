@@ -377,8 +377,7 @@ def _(spark, t):
     return named.groupBy("piece").agg(F.count("*").alias("area"))
 
 
-@query("gra01_routes")
-def _(spark, t):
+def _routes(spark, t):
     nodes = grid.rover_grid(grid.slope(terrain(t), CELL, CELL), N, N, 2, 12.0)
     nodes = nodes.select(F.lit("s").alias("scene_id"), F.col("node_row").alias("row"), F.col("node_col").alias("col"), F.col("steepest").alias("slope"), "passable")
     # every supplier asks; goals beyond the grid's side come in again at the other
@@ -387,6 +386,21 @@ def _(spark, t):
     return graph.routes(nodes, asked, 2 * CELL, 2 * CELL)
 
 
+@query("gra01_routes")
+def _(spark, t):
+    return _routes(spark, t)
+
+
+#: Least costs from the start by rounds over all edges, until none falls.
+@query("gra01_route_costs", f"""WITH RECURSIVE s AS ({SLOPE_DEG}), n AS MATERIALIZED (SELECT CAST(r.range AS INT) AS row, CAST(c.range AS INT) AS col, max(slope_deg) AS slope FROM range(31) r, range(31) c JOIN s ON abs(s.row - r.range * 2) <= 1 AND abs(s.col - c.range * 2) <= 1 GROUP BY 1, 2 HAVING max(slope_deg) <= 12),
+e AS MATERIALIZED (SELECT a.row * 31 + a.col AS a, b.row * 31 + b.col AS b, {2 * CELL} * sqrt((a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col)) * (1 + 1e-1 * (a.slope + b.slope) / 2) AS w FROM n a JOIN n b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND (a.row, a.col) <> (b.row, b.col)),
+d(node, cost) USING KEY (node) AS (SELECT row * 31 + col, 0e0 FROM n WHERE row = 2 AND col = 2 UNION
+  SELECT e.b, min(d.cost + e.w) FROM d JOIN e ON e.a = d.node LEFT JOIN recurring.d k ON k.node = e.b WHERE k.cost IS NULL OR d.cost + e.w < k.cost - 1e-9 GROUP BY e.b)
+SELECT s_suppkey AS request_id, {r4('cost')} AS cost FROM supplier JOIN d ON node = (((28 - s_suppkey) % 31 + 31) % 31) * 31 + s_suppkey * 2 % 31""")
+def _(spark, t):
+    return _routes(spark, t).groupBy("request_id").agg(rounded(F.max("cost")).alias("cost"))
+
+
 @query("medians_upper", f"SELECT ok % 100 AS series, list_sort(list(z))[count(*) // 2 + 1] AS m FROM ({POINTS}) GROUP BY 1")
 def _(spark, t):
     return value_at_rank(points(t).withColumn("series", F.col("ok") % 100), ["series"], "z", cloud.UPPER_MEDIAN).drop("n")

@@ -172,7 +172,10 @@ def _(spark, t):
 RAMP = "least(1e0, greatest(0e0, ({} - {}) / ({})))"
 
 
-@query("agg02_grade", f"{SITE_STATS} SELECT id, CAST(CASE WHEN off_terrain THEN 0 ELSE floor(greatest(0e0, 1e2 - 3e1 * {RAMP.format('max_slope', '5e0', '5e0')} - 15e0 * {RAMP.format('flatness', '0e0', '1e0')} - 15e0 * {RAMP.format('level_m3', '0e0', '16e0')}) + 5e-1) END AS INT) AS grade FROM t")
+GRADES = f"{SITE_STATS} SELECT id, CAST(CASE WHEN off_terrain THEN 0 ELSE floor(greatest(0e0, 1e2 - 3e1 * {RAMP.format('max_slope', '5e0', '5e0')} - 15e0 * {RAMP.format('flatness', '0e0', '1e0')} - 15e0 * {RAMP.format('level_m3', '0e0', '16e0')}) + 5e-1) END AS INT) AS grade FROM t"
+
+
+@query("agg02_grade", GRADES)
 def _(spark, t):
     return score.grade(_stats(spark, t)).select("id", "grade")
 
@@ -194,7 +197,11 @@ def _(spark, t):
     return score.within(sites(t), _pins(t).withColumnRenamed("name", "id"), 75.0).select("a", "b")
 
 
-@query("top02_top_sites")
+@query("top02_top_sites", f"""WITH RECURSIVE q AS MATERIALIZED (SELECT id AS idx, x, y, grade FROM ({GRADES}) JOIN ({PLACED}) USING (id)),
+g AS (SELECT 0 AS rank, CAST(NULL AS STRUCT(idx BIGINT, x DOUBLE, y DOUBLE, grade INT)) AS best, CAST([] AS STRUCT(idx BIGINT, x DOUBLE, y DOUBLE, grade INT)[]) AS picked
+  UNION ALL SELECT rank + 1, b, list_append(picked, b) FROM (SELECT rank, picked, (SELECT arg_max({{'idx': idx, 'x': x, 'y': y, 'grade': grade}}, (grade, -idx)) FROM q
+    WHERE grade > 0 AND len(list_filter(picked, lambda p: sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) < 60)) = 0) AS b FROM g WHERE rank < 12) WHERE b IS NOT NULL)
+SELECT rank, best.idx AS idx, best.x AS x, best.y AS y, best.grade AS grade FROM g WHERE rank > 0""")
 def _(spark, t):
     graded = score.grade(_stats(spark, t)).join(sites(t), "id").withColumnRenamed("id", "idx")
     return score.top_sites(graded, 12, 60.0, saved)
