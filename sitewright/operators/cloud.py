@@ -91,9 +91,19 @@ def running_weight(points: DataFrame, key: list[str], order: list[str], weight:
     return points.withColumn("run", F.sum(weight).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
-def path_lengths(points: DataFrame, key: list[str], order: list[str], axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
-    """``key, points, length``: steps between neighbours by ``order``, summed."""
+def path_lengths(points: DataFrame, key: list[str], order: list[str], axes: tuple[str, ...] = ("x", "y"), ends: DataFrame | None = None) -> DataFrame:
+    """``key, points, length``: steps between neighbours by ``order``, summed, in as many dimensions as there are ``axes``.
+
+    ``ends(key, from_x, .., to_x, ..)``, a row a path, has the exact places that stand for its first and its last point; of
+    a path of one point, the last. Where a path has no row, or a place no number, its own point counts.
+    """
     w = Window.partitionBy(*key).orderBy(*order)
+    if ends is not None:
+        first, last = F.lag(F.lit(1)).over(w).isNull(), F.lead(F.lit(1)).over(w).isNull()
+        points = points.withColumns({"_first": first, "_last": last}).join(ends, key, "left")
+        put = lambda a: F.when(F.col("_last"), F.coalesce(f"to_{a}", a)).when(F.col("_first"), F.coalesce(f"from_{a}", a)).otherwise(F.col(a))
+        points = points.select(*key, *order, *[put(a).alias(f"_{a}") for a in axes])
+        axes = tuple(f"_{a}" for a in axes)
     d = F.sqrt(sum(((F.col(a) - F.lag(a).over(w)) ** 2 for a in axes), F.lit(0.0)))
     return points.withColumn("_d", d).groupBy(*key).agg(F.count("*").alias("points"), F.sum("_d").alias("length"))
 
@@ -124,11 +134,24 @@ def scaled_to_range(rows: DataFrame, key: list[str], value: str, low: float = 0.
 
 
 def rotated(points: DataFrame, r: list[list[float]]) -> DataFrame:
-    """``points(.., x, y, z, quat)`` turned by a rotation: places, and orientations (w, x, y, z, scaled to unit length)."""
+    """``points(.., x, y, z, quat)`` turned by a rotation: places, and orientations (w, x, y, z, scaled to unit length).
+
+    Where they have ``rest``, the first band of a colour's harmonics, it turns as well: three numbers a channel, which
+    weigh -y, z and -x of the direction one looks in; nine in all, or none. More bands are an error.
+    """
     from .frames import turned
 
     xyz = {a: sum((F.lit(float(r[i][j])) * F.col("xyz"[j]) for j in range(3)), F.lit(0.0)) for i, a in enumerate("xyz")}
-    return points.withColumns({**xyz, "quat": turned(r, F.col("quat"))})
+    out = points.withColumns({**xyz, "quat": turned(r, F.col("quat"))})
+    if "rest" not in points.columns:
+        return out
+    # a channel's weights as a vector, turned, and as weights again
+    sign, axis = (-1.0, 1.0, -1.0), (1, 2, 0)
+    place = {a: k for k, a in enumerate(axis)}
+    weights = [F.lit(float(sign[k] * r[axis[k]][j] * sign[place[j]])) * F.col("rest")[3 * c + place[j]].cast("double") for c in range(3) for k in range(3) for j in range(3)]
+    made = F.array(*[weights[n] + weights[n + 1] + weights[n + 2] for n in range(0, 27, 3)])
+    size = F.size("rest")
+    return out.withColumn("rest", F.when(size == 9, made).when(size == 0, F.col("rest").cast("array<double>")).otherwise(F.raise_error(F.lit("only the first band of harmonics can be turned")).cast("array<double>")))
 
 
 def multi_view_mean(views: DataFrame, values: list[str], weight: Column, by_own_sum: bool) -> DataFrame:

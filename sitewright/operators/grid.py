@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.maths import half_up
+from ..functions.maths import half_up, medians
 
 
 def cells(spark: SparkSession, rows: int, cols: int, cell_m: float) -> DataFrame:
@@ -189,6 +189,19 @@ def coverage(cells: DataFrame, value: str = "value") -> DataFrame:
     return cells.agg(F.min(good).alias("low"), F.max(good).alias("high"), F.avg(F.when(valid, 100.0).otherwise(0.0)).alias("coverage_pct"))
 
 
+def raster_with_alpha(cells: DataFrame, bits: int = 16, value: str = "value") -> DataFrame:
+    """``row, col, px, alpha, low, high``: values over the range of the valid cells in ``bits``, and whether a cell is valid.
+
+    A cell without data has px 0 and alpha 0; a valid one the greatest alpha. The range is one row, joined to all cells.
+    """
+    top = 2**bits - 1
+    valid = F.col(value).isNotNull() & ~F.isnan(value)
+    ends = coverage(cells, value).select("low", "high")
+    share = F.when(F.col("high") > F.col("low"), (F.col(value) - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
+    px = F.when(valid, F.bround(share * float(top)).cast("int")).otherwise(0)
+    return cells.join(F.broadcast(ends)).select("row", "col", px.alias("px"), F.when(valid, top).otherwise(0).alias("alpha"), "low", "high")  # one row
+
+
 def surface_pixel(value: Column, low: float, high: float) -> Column:
     """A surface's stored sample: 0 is no data, 1 to 65535 run from ``low`` to ``high``."""
     return F.coalesce(1 + F.bround((value - low) / (high - low) * 65534.0).cast("int"), F.lit(0))
@@ -216,6 +229,21 @@ def sharpness(pixels: DataFrame, step: int = 4) -> DataFrame:
     return both.groupBy("image_id").agg(F.var_pop("_l").alias("sharpness"))
 
 
+def edge_strength(pixels: DataFrame, factor: int = 4) -> DataFrame:
+    """``image_id, detail``: the median size of the Laplacian of each image, made smaller by means of ``factor`` x ``factor``
+    pixels. Beyond an edge the image is mirrored about its outermost line."""
+    small = pixels.groupBy("image_id", F.floor(F.col("row") / factor).alias("row"), F.floor(F.col("col") / factor).alias("col")).agg(F.avg("value").alias("value"))
+    along, down = Window.partitionBy("image_id", "row").orderBy("col"), Window.partitionBy("image_id", "col").orderBy("row")
+
+    def sides(w):
+        before, after = F.lag("value").over(w), F.lead("value").over(w)
+        alone = F.col("value")  # an image of one line
+        return F.coalesce(before, after, alone) + F.coalesce(after, before, alone)
+
+    strength = small.withColumn("_a", sides(along)).withColumn("_l", F.abs(F.col("_a") + sides(down) - 4 * F.col("value")))
+    return medians(strength, ["image_id"], "_l").select("image_id", F.col("m").alias("detail"))
+
+
 def box_means(cells: DataFrame, key: list[str], reach: int, values: dict[str, Column]) -> DataFrame:
     """Cells with the mean of each value over the square window of ``reach``, cut at the edges: sums along rows, then along
     columns, so that a cell is read twice and not once for each cell of its window."""

@@ -38,10 +38,15 @@ def _(spark, t):
 
 
 @query("search_clusters", f"{RELEVANCY} SELECT row_number() OVER (ORDER BY z DESC, label) AS rank, label, size AS members, {r4('z')} AS z FROM z JOIN s USING (label) WHERE z >= 1")
+def _(spark, t):
+    chosen = search.select_clusters(_scored(t), "label")  # a cluster's size comes with its centroid
+    return chosen.select("rank", "label", F.col("size").alias("members"), rounded(F.col("z")).alias("z"))
+
+
+@query("join02_highlighted", f"{RELEVANCY} SELECT vec_id, label FROM embeddings WHERE label IN (SELECT label FROM z WHERE z >= 1)")
 def _(spark, t):
     chosen = search.select_clusters(_scored(t), "label")
-    counts = search.highlighted(t.embeddings, chosen, "label").groupBy("label").agg(F.count("*").alias("members"))
-    return chosen.join(counts, "label").select("rank", "label", "members", rounded(F.col("z")).alias("z"))
+    return search.highlighted(t.embeddings, chosen, "label").select("vec_id", "label")
 
 
 @query("win10_rank_map", f"{RELEVANCY}, k AS (SELECT label, row_number() OVER (ORDER BY z DESC, label) - 1 AS r FROM z WHERE z >= 1) SELECT vec_id, label, CAST(coalesce(r, -1) AS INT) AS cluster_rank FROM embeddings LEFT JOIN k USING (label)")

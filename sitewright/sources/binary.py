@@ -113,6 +113,12 @@ def surface_grid(spark: SparkSession, path: str, low: float, high: float) -> Dat
 FIELD_TYPES = {"f16": ("<f2", "float"), "f32": ("<f4", "float"), "u8": ("u1", "int"), "u16": ("<u2", "int"), "u32": ("<u4", "long")}
 
 
+def record_width(kind: str) -> int:
+    """Bytes of a field type."""
+    base, _, n = kind.partition("x")
+    return np.dtype(FIELD_TYPES[base][0]).itemsize * int(n or 1)
+
+
 def layer_records(spark: SparkSession, path: str, record_bytes: int, count: int, fields: list[dict]) -> DataFrame:
     """``path, idx`` and the described fields of fixed-size records.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .ranges import file_system
+from .ranges import file_system, layer_records
 
 LISTED = "name string, file string, bytes long, sha256 string, about string"
 
@@ -136,3 +136,9 @@ def write_layers(chunks: DataFrame, path: str) -> None:
     in order by name: one layer file in parts."""
     rows = chunks.selectExpr("format_string('layers-%015d.bin', first) AS name", "data", "to_json(struct(first, records)) AS about")
     write_files(rows, path)
+
+
+def layer_parts(spark: SparkSession, path: str, record_bytes: int, fields: list[dict], wanted: list[str] | None = None) -> DataFrame:
+    """The records of the parts that ``write_layers`` has written; parts are listed in the driver, as files of a table are."""
+    parts = [f"{path}/{r.file}" for r in committed(spark, path).select("file", "name").orderBy("name").collect()]
+    return layer_records(spark, parts, record_bytes, None, fields, wanted)

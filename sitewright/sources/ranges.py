@@ -35,10 +35,12 @@ def file_system(path: str):
 
 
 def files_of(path: str) -> list[tuple[str, int]]:
-    """(path, size) of a file, of the files of a folder but those whose name starts with a dot or an underscore, or of those
+    """(path, size) of a file, of those of a JSON list of paths, of the files of a folder but those whose name starts with a dot or an underscore, or of those
     that a pattern in the last part of a path names; in order."""
     from pyarrow.fs import FileSelector, FileType
 
+    if path.startswith("["):
+        return [f for p in json.loads(path) for f in files_of(p)]
     fs, root = file_system(path)
     head, _, last = root.rpartition("/")
     if any(c in last for c in "*?["):
@@ -80,9 +82,8 @@ class RecordReader(DataSourceReader):
     def layout(self, path: str, size: int) -> tuple[np.dtype, int, int]:
         """(type of a record, bytes before the first, number of records)."""
         if "fields" in self.options:
-            fields, count = json.loads(self.options["fields"]), int(self.options["count"])
-            dtype = record_type(fields, int(self.options["record_bytes"]))
-            return dtype, 0, count
+            dtype = record_type(json.loads(self.options["fields"]), int(self.options["record_bytes"]))
+            return dtype, 0, int(self.options["count"]) if "count" in self.options else size // dtype.itemsize
         with opened(path) as f:
             head = b""
             while b"end_header\n" not in head:
@@ -159,10 +160,11 @@ class RecordSource(DataSource):
         return RecordReader(dict(self.options), schema)
 
 
-def layer_records(spark: SparkSession, path: str, record_bytes: int, count: int, fields: list[dict], wanted: list[str] | None = None, split_bytes: int = 64 << 20) -> DataFrame:
+def layer_records(spark: SparkSession, path: str | list[str], record_bytes: int, count: int | None, fields: list[dict], wanted: list[str] | None = None, split_bytes: int = 64 << 20) -> DataFrame:
     """``path, idx`` and the ``wanted`` fields (all, if not named) of fixed-size records, split into ranges of ``split_bytes``.
 
-    As ``binary.layer_records``, which reads a file in a task.
+    As ``binary.layer_records``, which reads a file in a task. Without ``count``, a file has as many records as fit; ``idx``
+    is that in its file.
     """
     spark.dataSource.register(RecordSource)
     kinds = {}
@@ -172,7 +174,10 @@ def layer_records(spark: SparkSession, path: str, record_bytes: int, count: int,
         kinds[f["name"]] = f"array<{'long' if kind != 'float' else kind}>" if n else "long" if base == "u16" else kind
     columns = ["path string", "idx long", *[f"{n} {kinds[n]}" for n in (wanted if wanted is not None else kinds)]]
     read = spark.read.format("sitewright_records").schema(", ".join(columns))
-    return read.options(path=path, record_bytes=record_bytes, count=count, fields=json.dumps(fields), split_bytes=split_bytes).load()
+    if count is not None:
+        read = read.option("count", count)
+    path = json.dumps(path) if isinstance(path, list) else path
+    return read.options(path=path, record_bytes=record_bytes, fields=json.dumps(fields), split_bytes=split_bytes).load()
 
 
 def ply_points(spark: SparkSession, path: str, columns: tuple[str, ...] = ("x", "y", "z", "opacity"), split_bytes: int = 64 << 20) -> DataFrame:
@@ -289,13 +294,14 @@ class ArraySource(DataSource):
         return ArrayReader(dict(self.options), schema)
 
 
-def array_rows(spark: SparkSession, path: str, members: list[str] | None = None, first: int = 0, end: int | None = None, split_bytes: int = 64 << 20) -> DataFrame:
+def array_rows(spark: SparkSession, path: str | list[str], members: list[str] | None = None, first: int = 0, end: int | None = None, split_bytes: int = 64 << 20) -> DataFrame:
     """``path, member, i, v``: the rows ``first`` to ``end`` of stored arrays, or of the named members of archives of them.
 
     ``v`` has the values of a row, further dimensions in C order; an array of one dimension has one value a row. An archive
     is read by its directory: other members' bytes are not touched, and members that are not packed are split by rows.
     """
     spark.dataSource.register(ArraySource)
+    path = json.dumps(path) if isinstance(path, list) else path
     return spark.read.format("sitewright_arrays").options(path=path, members=json.dumps(members), rows=json.dumps([first, end]), split_bytes=split_bytes).load()
 
 

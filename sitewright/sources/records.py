@@ -140,6 +140,76 @@ def upsert_manifest(spark: SparkSession, old_path: str, new: DataFrame, key: str
     replaced(spark.read.parquet(old_path), new, key).write.mode("overwrite").parquet(new_path)
 
 
-def patched(layers: DataFrame, column: str, values: DataFrame) -> DataFrame:
-    """``layers`` with one column from ``values(idx, <column>)``; rows without a value get null. Doing it again changes nothing."""
+def patched(layers: DataFrame, column: str, values: DataFrame, count: int | None = None) -> DataFrame:
+    """``layers`` with one column from ``values(idx, <column>)``; rows without a value get null. Doing it again changes nothing.
+
+    With ``count``, the number of records that the layers' description states, what does not fit is refused: layers that
+    have another number, values of two kinds for a record, and values for records beyond the last.
+    """
+    if count is not None:
+        own = layers.agg(F.count("*").alias("n"), F.count_distinct("idx").alias("d"), F.max("idx").alias("last")).first()
+        if own.n != count or own.d != count or own.last not in (None, count - 1):
+            raise ValueError(f"the layers have {own.n} records where {count} are stated")
+        given = values.agg(F.count("*").alias("n"), F.count_distinct("idx").alias("d"), F.max("idx").alias("last")).first()
+        if given.n != given.d:
+            raise ValueError(f"{given.n - given.d} records have more than one value")
+        if given.last is not None and given.last >= count:
+            raise ValueError(f"a value points past the last of {count} records")
     return layers.drop(column).join(values.select("idx", column), "idx", "left").select(*layers.columns)
+
+
+def refuse_overlap(fields: list[dict], name: str, offset: int, size: int) -> None:
+    """An error where a field of a layer's description, but the one of that name, takes some of ``size`` bytes at ``offset``."""
+    from .binary import record_width
+
+    for f in fields:
+        if f["name"] != name and f["offset"] < offset + size and offset < f["offset"] + record_width(f["type"]):
+            raise ValueError(f"field {f['name']} overlaps bytes {offset} to {offset + size - 1}")
+
+
+#: The whole of a scene's manifest: its terrain, and the parts that it may have, by their paths under the scene's folder.
+BUNDLE = (
+    "scene_id string, name string, body string, "
+    "terrain struct<file: string, size_m: array<double>, resolution_m: double, z_min_m: double, z_max_m: double, texture: string>, "
+    "splat_surface struct<file: string, z_min_m: double, z_max_m: double>, pins string, rasters string, layers string, shielding string"
+)
+PINS = "id string, name string, position_site array<double>, kind string, summary string, measurements array<struct<label: string, value: string, source_url: string>>, sample struct<name: string, number: int>, source_urls array<string>"
+RASTERS = "name string, file string, bits int, min double, max double, unit string, source string, resolution string, estimate boolean, coverage_pct double"
+SHIELDING = "series array<struct<name: string, points: array<struct<depth_m: double, factor: double, areal: double>>>>"
+LAYERS = "count long, record_bytes int, fields array<struct<name: string, type: string, offset: int>>"
+
+
+def load_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame | str | None]:
+    """A scene's parts by name, each a table that is read when it is used: ``manifest``, ``terrain`` (row, col, z), and
+    ``surface``, ``pins``, ``rasters`` (with ``path``, where the file is), ``shielding`` (series, depth_m, factor, areal),
+    ``layers`` (records) and ``texture`` (a path).
+
+    The manifest is read first, one row. It must name a terrain; other parts that it does not name are empty (pins,
+    rasters) or None. A part that it names and that is not there is an error.
+    """
+    from .binary import height_grid, surface_grid
+    from .ranges import layer_records
+
+    listed = spark.read.schema(BUNDLE).option("multiLine", True).json(f"{path}/scene.json")
+    m = listed.first()
+    if m is None or m.terrain is None or not m.terrain.file:
+        raise ValueError(f"{path} names no terrain")
+    at = lambda part: f"{path}/{part}"
+    beside = lambda part, file: f"{path}/{part.rpartition('/')[0]}/{file}" if "/" in part else f"{path}/{file}"
+    table = lambda part, kind: spark.read.schema(kind).option("multiLine", True).json(at(part)) if part else None
+    rasters, shielding, layers = table(m.rasters, RASTERS), table(m.shielding, SHIELDING), table(m.layers, LAYERS)
+    out: dict[str, DataFrame | str | None] = {"manifest": listed, "terrain": height_grid(spark, at(m.terrain.file), m.terrain.z_min_m, m.terrain.z_max_m)}
+    out["texture"] = at(m.terrain.texture) if m.terrain.texture else None
+    out["surface"] = surface_grid(spark, at(m.splat_surface.file), m.splat_surface.z_min_m, m.splat_surface.z_max_m) if m.splat_surface else None
+    out["pins"] = table(m.pins, PINS) if m.pins else spark.createDataFrame([], PINS)
+    folder = beside(m.rasters, "") if m.rasters else ""
+    out["rasters"] = (rasters if rasters is not None else spark.createDataFrame([], RASTERS)).withColumn("path", F.concat(F.lit(folder), "file"))
+    if shielding is not None:
+        each = shielding.select(F.explode("series").alias("s")).select(F.col("s.name").alias("series"), F.explode("s.points").alias("p"))
+        shielding = each.select("series", "p.depth_m", "p.factor", "p.areal")
+    out["shielding"] = shielding
+    out["layers"] = None
+    if layers is not None:
+        told = layers.first()
+        out["layers"] = layer_records(spark, beside(m.layers, "layers.bin"), told.record_bytes, told["count"], [f.asDict() for f in told.fields])
+    return out
