@@ -13,6 +13,12 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: How a text says under which licence something is, whatever that is; and what may stand after the licence's name.
+UNDER = "(.* )?(licensed|released|distributed|redistributed|available|shared|published|provided|offered|covered|dedicated|placed) (under|by|to|in|into) (a |an |the )?(terms of )?(a |an |the )?"
+AFTER = "( .*)?"
+GPL = "(gnu )?(general public licen[sc]e|gpl)"
+V = "[ -]*(version |v)?"
+
 # Identifier, pattern of a plain sentence (lower case; letters, digits, dot, plus and hyphen; single spaces).
 SENTENCES = (
     ("mitgrant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files .*to deal in the software without restriction.*"),
@@ -25,26 +31,46 @@ SENTENCES = (
     ("bsdname", "(3\\.? |- )?neither the name of .* may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("bsdasis", "this software is provided by .* as is and any express or implied warranties.* are disclaimed"),
     ("iscgrant", "permission to use copy modify and/?or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("apache2grant", "(this work is |this software is |this file is )?(licensed|released|distributed) under the (terms of the )?apache (software )?license,? version 2(\\.0)?( the license)?"),
+    ("apache2grant", f"{UNDER}apache (software )?(public )?licen[sc]e[ -]*(version |v)?2(\\.0)?( the license)?{AFTER}|{UNDER}apache[ -]2(\\.0)?{AFTER}"),
     ("apache2use", "you may not use this file except in compliance with the license"),
     ("apache2copy", "you may obtain a copy of the license at.*"),
     ("apache2asis", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis.*"),
-    ("gpl3ref", "(this (work|software|program|file) is )?(licensed|released|distributed) under the (terms of the )?gnu general public licen[sc]e,? (version |v)3(\\.0)?( only)?"),
-    ("gpl2ref", "(this (work|software|program|file) is )?(licensed|released|distributed) under the (terms of the )?gnu general public licen[sc]e,? (version |v)2(\\.0)?( only)?"),
-    ("gplgrant", "this program is free software you can redistribute it and/?or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation either version [23] of the license or at your option any later version"),
+    ("gplgrant", "(.* )?is free software you can redistribute it and/?or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation either version [23] of the license or at your option any later version"),
+    ("agplonly", "(.* )?under the terms of the gnu affero general public licen[sc]e (version 3 )?as published by the free software foundation.*"),
+    ("gpl3only", "(.* )?under the terms of the gnu general public licen[sc]e (version 3 as published by the free software foundation|as published by the free software foundation (either )?version 3 of the license)( only)?( .*)?"),
+    ("gpl2only", "(.* )?under the terms of the gnu general public licen[sc]e (version 2 as published by the free software foundation|as published by the free software foundation (either )?version 2 of the license)( only)?( .*)?"),
+    ("gpllater", f"{UNDER}{GPL}{V}[23](\\.0)? or (at your option )?(any )?(later|newer|higher).*"),
+    ("gpl3ref", f"{UNDER}{GPL}{V}3(\\.0)?{AFTER}"),
+    ("gpl2ref", f"{UNDER}{GPL}{V}2(\\.0)?{AFTER}"),
     ("gplhope", "this program is distributed in the hope that it will be useful but without any warranty.*"),
-    ("lgplref", "(this (work|library|software|program|file) is )?(licensed|released|distributed) under the (terms of the )?gnu (lesser|library) general public licen[sc]e.*"),
-    ("agplref", "(this (work|software|program|file) is )?(licensed|released|distributed) under the (terms of the )?gnu affero general public licen[sc]e.*"),
+    ("lgplref", f"{UNDER}(gnu )?(lesser general public licen[sc]e|library general public licen[sc]e|lgpl).*"),
+    ("agplref", f"{UNDER}(gnu )?(affero general public licen[sc]e|agpl).*"),
     ("mplref", "this source code form is subject to the terms of the mozilla public license v\\. ?2\\.0"),
-    ("mitref", "(this (work|software|program|file|project) is )?(licensed|released|distributed|available) under the (terms of the )?(mit|expat) licen[sc]e"),
-    ("bsdref", "(this (work|software|program|file|project) is )?(licensed|released|distributed) under the (terms of the )?(2-clause |3-clause |simplified |new |modified )?bsd licen[sc]e"),
-    ("ccbyncsa", "(this (work|content|text) is )?(licensed|released|shared) under (a |the )?(cc by-nc-sa|creative commons attribution-noncommercial-sharealike).*"),
-    ("ccbyncnd", "(this (work|content|text) is )?(licensed|released|shared) under (a |the )?(cc by-nc-nd|creative commons attribution-noncommercial-noderivs?).*"),
-    ("ccbync", "(this (work|content|text) is )?(licensed|released|shared) under (a |the )?(cc by-nc|creative commons attribution-noncommercial)( .*)?"),
-    ("ccbysa", "(this (work|content|text) is )?(licensed|released|shared) under (a |the )?(cc by-sa|creative commons attribution-sharealike)( .*)?"),
-    ("ccbynd", "(this (work|content|text) is )?(licensed|released|shared) under (a |the )?(cc by-nd|creative commons attribution-noderivs?)( .*)?"),
-    ("ccby", "(this (work|content|text) is )?(licensed|released|shared) under (a |the )?(cc by|creative commons attribution)( .*)?"),
-    ("cc0", "(this (work|content|text) is )?(licensed|released|dedicated|placed) (under|to|in) (a |the )?(cc0|public domain)( .*)?"),
+    ("mitref", f"{UNDER}(mit|expat|mit/x11)( open source| style)?( licen[sc]e)?{AFTER}"),
+    ("bsdref", f"{UNDER}(2-clause |3-clause |two-clause |three-clause |simplified |new |modified |revised )?bsd([ -][23]-clause)?( licen[sc]e)?{AFTER}"),
+    ("ccbyncsa", f"{UNDER}(cc[ -]by-nc-sa|creative commons attribution[ -]noncommercial-sharealike)([ -][0-9.]+)?{AFTER}"),
+    ("ccbyncnd", f"{UNDER}(cc[ -]by-nc-nd|creative commons attribution[ -]noncommercial-noderiv[a-z]*)([ -][0-9.]+)?{AFTER}"),
+    ("ccbync", f"{UNDER}(cc[ -]by-nc|creative commons attribution[ -]noncommercial)([ -][0-9.]+)?{AFTER}"),
+    ("ccbysa", f"{UNDER}(cc[ -]by-sa|creative commons attribution[ -]sharealike)([ -][0-9.]+)?{AFTER}"),
+    ("ccbynd", f"{UNDER}(cc[ -]by-nd|creative commons attribution[ -]noderiv[a-z]*)([ -][0-9.]+)?{AFTER}"),
+    ("ccby", f"{UNDER}(cc[ -]by|creative commons attribution)([ -][0-9.]+)?{AFTER}"),
+    ("cc0", f"{UNDER}(cc0|public domain|creative commons zero){AFTER}"),
+    ("zlibgrant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions.*"),
+    ("zlibasis", "this software is provided as-is without any express or implied warranty.*"),
+    ("zlibref", f"{UNDER}(zlib|zlib/libpng|libpng)( licen[sc]e)?{AFTER}"),
+    ("boostgrant", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license .*"),
+    ("boosttitle", "boost software license version 1\\.0.*"),
+    ("boostref", f"{UNDER}boost software licen[sc]e{AFTER}"),
+    ("eplref", f"{UNDER}eclipse (public|distribution) licen[sc]e{AFTER}"),
+    ("epltitle", "eclipse public license v ?[12]\\.0"),
+    ("mplname", f"{UNDER}(mozilla public licen[sc]e|mpl){AFTER}"),
+    ("iscref", f"{UNDER}isc licen[sc]e{AFTER}"),
+    ("mittitle", "(the )?(mit|expat) licen[sc]e( mit)?"),
+    ("isctitle", "(the )?isc licen[sc]e( isc)?"),
+    ("bsdtitle", "(the )?(bsd [23]-clause|[23]-clause bsd|new bsd|modified bsd|simplified bsd) licen[sc]e"),
+    ("apache2body", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non-exclusive no-charge royalty-free irrevocable (copyright|patent) license.*"),
+    ("gplbody", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("agplbody", "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("spdx", "spdx-license-identifier .+"),
     ("gnutitle", "gnu general public license"),
@@ -68,30 +94,40 @@ SENTENCES = (
 
 # Licence, sequence of identifiers (a regular expression over "id "), in order.
 RULES = (
-    ("MIT", "(copyright |rights )*mitgrant mitnotice asis (noliable )?"),
-    ("ISC", "(copyright |rights )*iscgrant (asis )?(noliable )?"),
-    ("BSD-3-Clause", "(copyright |rights )*bsdgrant bsdsource bsdbinary bsdname (bsdasis )?(noliable )?"),
-    ("BSD-2-Clause", "(copyright |rights )*bsdgrant bsdsource bsdbinary (bsdasis )?(noliable )?"),
+    ("MIT", "(mittitle )?(copyright |rights )*mitgrant mitnotice asis (noliable )?"),
+    ("ISC", "(isctitle )?(copyright |rights )*iscgrant (asis )?(noliable )?"),
+    ("BSD-3-Clause", "(bsdtitle )?(copyright |rights )*bsdgrant bsdsource bsdbinary bsdname (bsdasis )?(noliable )?"),
+    ("BSD-2-Clause", "(bsdtitle )?(copyright |rights )*bsdgrant bsdsource bsdbinary (bsdasis )?(noliable )?"),
     ("GPL-3.0", "gnutitle gpl3date (copyright |rights )*gnuverbatim "),
     ("GPL-2.0", "gnutitle gpl2date (copyright |rights )*gnuverbatim "),
     ("LGPL", "lgpltitle (gpl3date |lgpl21date |gpl2date )(copyright |rights )*gnuverbatim "),
     ("AGPL", "agpltitle agpl3date (copyright |rights )*gnuverbatim "),
-    ("Apache-2.0", "apachetitle apache2date (apache2terms )?"),
+    ("Apache-2.0", "apachetitle apache2date (apache2terms )?(apache2body )*"),
+    ("Zlib", "(zlibasis )?(noliable )?zlibgrant "),
+    ("BSL-1.0", "(boosttitle )?boostgrant (asis )?(noliable )?"),
     ("MPL-2.0", "mpl2title (mplref )*"),
     ("CC-BY-SA", "(ccbysatitle )+"),
     ("CC-BY", "(ccbytitle )+"),
     ("public-domain", "(cc0title )+"),
     ("Apache-2.0", "apache2grant (apache2use )?(apache2copy )?(apache2asis )?"),
     ("GPL-or-later", "gplgrant (gplhope )?"),
+    ("GPL-3.0", "gpl3only (gplhope )?"),
+    ("GPL-2.0", "gpl2only (gplhope )?"),
     ("MIT-part", "mitgrant (mitnotice )?"),
     ("BSD-part", "bsdgrant (bsdsource )?(bsdbinary )?"),
-    ("AGPL", "agplref "),
+    ("AGPL", "(agplref |agplonly |agplbody )"),
+    ("GPL-or-later", "gpllater "),
     ("LGPL", "lgplref "),
-    ("GPL-3.0", "gpl3ref "),
+    ("GPL-3.0", "(gpl3ref |gplbody )"),
     ("GPL-2.0", "gpl2ref "),
-    ("MPL-2.0", "mplref "),
-    ("MIT", "mitref "),
-    ("BSD", "bsdref "),
+    ("MPL-2.0", "(mplref |mplname )"),
+    ("MIT", "(mitref |mittitle )"),
+    ("ISC", "(iscref |isctitle )"),
+    ("Zlib", "zlibref "),
+    ("BSL-1.0", "(boostref |boosttitle )"),
+    ("EPL", "(eplref |epltitle )"),
+    ("Apache-2.0", "apache2body "),
+    ("BSD", "(bsdref |bsdtitle )"),
     ("CC-BY-NC-SA", "ccbyncsa "),
     ("CC-BY-NC-ND", "ccbyncnd "),
     ("CC-BY-NC", "ccbync "),

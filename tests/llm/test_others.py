@@ -292,6 +292,33 @@ PUBLISHED = [
 ]
 
 
+PUBLISHED += [
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0."),
+]
+#: Notices with any subject, of one version, and titles.
+NOTICES = [
+    ("Apache-2.0", "This package is licensed under the Apache License, Version 2.0."), ("MIT", "Foo is licensed under the MIT license."), ("MIT", "MIT License"), ("MIT", "The MIT License (MIT)"),
+    ("GPL-3.0", "Licensed under GPL-3.0."), ("CC-BY-SA", "All content is available under CC BY-SA 4.0."), ("CC-BY-SA", "Text is available under the Creative Commons Attribution-ShareAlike License 4.0."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("GPL-3.0", "Bar is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License."),
+    ("GPL-or-later", "Baz is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-or-later", "The tools are released under the GNU GPL version 3 or any later version."), ("LGPL", "Our parser is distributed under the LGPL v2.1."), ("AGPL", "The server is available under AGPL-3.0."),
+    ("EPL", "Eclipse Public License - v 2.0"), ("MPL-2.0", "The code is covered by the Mozilla Public License 2.0."), ("ISC", "It is published under the ISC license."), ("Zlib", "The library is released under the zlib license."),
+    ("BSD", "All sources are available under a BSD license."), ("CC-BY-NC", "Photos are shared under CC BY-NC 3.0."), ("public-domain", "The maps are placed in the public domain."),
+    ("Apache-2.0", "2. Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce."),
+    ("", "She was licensed under oath."), ("", "The bridge is available under heavy rain."), ("", "Provided by the city council."), ("", "The licence plate was released by accident."),
+]
+
+
+def test_notices_of_any_subject(spark):
+    texts = [t for _, text in NOTICES for t in (text, f"Some words before.\n{text}\nAnd after.")]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert [(r.licenses, texts[r.doc_id]) for r in got if r.licenses != NOTICES[r.doc_id // 2][0]] == []
+
+
 def test_every_rule_finds_its_published_notice_wrapped_or_not(spark):
     assert {name for name, _ in PUBLISHED} == {name for name, _ in licenses.RULES}
     narrow = lambda t: t if t.startswith("SPDX") else re.sub(r"(?<!\n)[ ]+(?!\n)", "\n", t)  # noqa: E731  (a tag is one line)
