@@ -20,7 +20,7 @@ def store(spark):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
-def streamed(spark, tmp_path, rows, kind, make, parts=3):
+def streamed(spark, tmp_path, rows, kind, make, parts=2):
     """Accepted and refused rows of a query that is stopped and started again between ``parts`` of ``rows``."""
     source = str(tmp_path / "in")
     end = EPOCH + timedelta(days=900)
