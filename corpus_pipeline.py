@@ -47,8 +47,7 @@ def pseudonymous_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them, with ``position``, in training order.
 
-    A null source is a source; null and empty texts have no words and are never taken. Ties of position are in the order of
-    a hash of the id. Rows that repeat are taken each. An empty table gives none. All columns of documents come along.
+    A null source is a source; null and empty texts have no words and are never taken. Ties of position are in the order of ids. Rows that repeat are taken each. An empty table gives none. All columns of documents come along.
     """
     return mixing.curriculum(docs, keep=COLUMNS, schedules=mixing.SCHEDULES)
 

@@ -133,13 +133,69 @@ def rounded_metres(x: Column) -> Column:
     return F.format_string("%.0f", x)
 
 
-def scene_facts(scenes: DataFrame, pins: DataFrame, sites: DataFrame, modules: DataFrame, most: int = 15_000) -> DataFrame:
+#: Where lines of each kind stand among those of ``scene_facts``: two numbers, before those of the rows themselves.
+_AFTER = 1 << 60
+
+
+def scene_details(
+    splats: DataFrame | None = None, data: DataFrame | None = None, samples: DataFrame | None = None, rovers: DataFrame | None = None, routes: DataFrame | None = None,
+    shielding: DataFrame | None = None, rasters: DataFrame | None = None, fields: DataFrame | None = None, placing: DataFrame | None = None,
+) -> DataFrame:
+    """``scene_id, a, b, c, line``: lines of further kinds, for ``others`` of ``scene_facts``. The sentences are fixed wording.
+
+    ``splats(scene_id, count)``, null where a scene has none; ``data(scene_id, layers, rasters, shielding)``, whether it has
+    them; ``samples(scene_id, pos, name, number)`` of pins; ``rovers(scene_id, x, y)``; ``routes(scene_id, label, status,
+    length_m, max_slope)``, the last two null while there is none; ``shielding(scene_id, citation, points
+    array<struct<depth_m, factor>>, limits, deep)``, ``deep`` for a deeper series; ``rasters(scene_id, pos, name, unit, source,
+    resolution, estimate, description)``; ``fields(scene_id, pos, name, unit, source, resolution)``; ``placing(scene_id,
+    kind, x, y, score)``, ``kind`` null where nothing is being placed.
+    """
+    said = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    some = lambda before, c, after="": F.when(F.coalesce(c, F.lit("")) != "", said(before, c, after)).otherwise("")
+    spot = said("(", rounded_metres(F.col("x")), ", ", rounded_metres(F.col("y")), ") m")
+    out = []
+
+    def put(rows: DataFrame | None, a: int, b: Column | int, c: int, line: Column) -> None:
+        if rows is not None:
+            b = b.cast("long") if isinstance(b, Column) else F.lit(b).cast("long")
+            out.append(rows.select("scene_id", F.lit(a).alias("a"), b.alias("b"), F.lit(c).alias("c"), line.alias("line")))
+
+    built = said("A Gaussian splat of the ground near the rover, built from rover photos (", F.format_number("count", 0), " Gaussians).")
+    put(splats, 1, 1, 0, F.when(F.col("count").isNotNull(), built).otherwise("No Gaussian splat in this scene."))
+    kinds = (("layers", "per-Gaussian splat layers"), ("rasters", "orbital raster layers"), ("shielding", "radiation shielding estimates"))
+    listed = F.concat_ws(", ", *[F.when(F.col(c), F.lit(words)) for c, words in kinds])
+    put(data, 1, 2, 0, said("Data in this scene: ", F.when(listed == "", "terrain only").otherwise(listed), "."))
+    put(samples, 3, F.col("pos"), 1, said("  Sample: ", F.col("name"), " (no. ", F.col("number").cast("string"), ")."))
+    put(rovers, 3, _AFTER, 0, said("Rover: at ", spot, "."))
+    length = F.when(F.col("length_m").isNotNull(), said(", ", F.format_string("%.0f", F.floor(F.col("length_m") + 0.5).cast("double")), " m long, steepest slope ", F.format_string("%.1f", "max_slope"), " degrees")).otherwise("")
+    put(routes, 3, _AFTER + 1, 0, said("Rover route to ", F.col("label"), ": ", F.col("status"), length, "."))
+    if shielding is not None:
+        points = F.array_join(F.transform("points", lambda p: said(p["depth_m"].cast("string"), " m: factor ", p["factor"].cast("string"))), "; ")
+        deeper = said("Regolith cover on a module is scored with a deeper cited series (", F.col("citation"), "; an estimate): ", points, ". Linear between points is this app's choice; nothing beyond the deepest point. This series and the next one have different baselines and are never mixed.")
+        plain = said("Radiation shielding by regolith depth (dose factor relative to no cover; ", F.col("citation"), "): ", points, ". Values between these points are this app's linear interpolation, and there is no data beyond the deepest point. ", F.coalesce("limits", F.lit("")))
+        put(shielding, 4, F.when(F.col("deep"), _AFTER).otherwise(_AFTER + 1), 0, F.when(F.col("deep"), deeper).otherwise(plain))
+    unit = F.when(F.coalesce("unit", F.lit("")) == "", "no unit").otherwise(F.col("unit")) if rasters is not None else None
+    if rasters is not None:
+        put(rasters, 4, _AFTER + 2 + F.col("pos"), 0, said('Terrain layer "', F.col("name"), '" (', unit, "; ", F.col("source"), ", ", F.col("resolution"), F.when(F.coalesce("estimate", F.lit(False)), "; an estimate").otherwise(""), ")", some(": ", F.col("description"))))
+    if fields is not None:
+        put(fields, 4, 2 * _AFTER + F.col("pos"), 0, said('Splat layer "', F.col("name"), '"', some(" (", F.col("unit"), ")"), some(": ", F.col("source")), some(", ", F.col("resolution"))))
+    if placing is not None:
+        now = said("The user's module being placed now: ", F.regexp_replace("kind", "_", " "), " at ", spot, some(": ", F.col("score")), ".")
+        put(placing, 5, -1, 0, F.when(F.col("kind").isNotNull(), now).otherwise("The user is not placing a module right now."))
+    made = out[0]
+    for rows in out[1:]:
+        made = made.unionByName(rows)
+    return made
+
+
+def scene_facts(scenes: DataFrame, pins: DataFrame, sites: DataFrame, modules: DataFrame, most: int = 15_000, others: DataFrame | None = None) -> DataFrame:
     """``scene_id, facts``: what is known of each scene, as lines in a fixed order, cut at ``most`` characters.
 
     ``scenes(scene_id, body, title, width, depth, resolution, z_min, z_max, sources array<string>)``, ``pins(scene_id, pos,
     name, x, y, summary, measurements array<struct<label, value>>)``, ``sites(scene_id, rank, x, y, grade)``,
     ``modules(scene_id, pos, kind, author, x, y, score)``. Each kind of row becomes lines by itself; one aggregate joins
-    them, so a scene without pins, sites or modules says so and no table is joined to another.
+    them, so a scene without pins, sites or modules says so and no table is joined to another. ``others`` are lines of
+    ``scene_details``, which take their places among these. The sentences are fixed wording.
     """
     line = lambda a, b, *parts: F.struct(F.lit(a).alias("a"), b.cast("long").alias("b"), F.lit(0).alias("c"), F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]).alias("line"))
     spot, n0 = lambda: F.concat(F.lit("("), rounded_metres(F.col("x")), F.lit(", "), rounded_metres(F.col("y")), F.lit(") m")), F.lit(0)
@@ -152,7 +208,7 @@ def scene_facts(scenes: DataFrame, pins: DataFrame, sites: DataFrame, modules: D
     )).alias("l"))
     of_pin = pins.select("scene_id", line(3, F.col("pos"), 'Science pin "', text("name"), '" at ', spot(), ": ", text("summary")).alias("l"))
     cited = pins.select("scene_id", "pos", F.posexplode("measurements").alias("i", "m"))
-    cited = cited.select("scene_id", F.struct(F.lit(3).alias("a"), F.col("pos").cast("long").alias("b"), (F.col("i") + 1).alias("c"), F.concat(F.lit("  Cited measurement: "), F.col("m.label"), F.lit(": "), F.col("m.value").cast("string")).alias("line")).alias("l"))
+    cited = cited.select("scene_id", F.struct(F.lit(3).alias("a"), F.col("pos").cast("long").alias("b"), (F.col("i") + 2).alias("c"), F.concat(F.lit("  Cited measurement: "), F.col("m.label"), F.lit(": "), F.col("m.value").cast("string")).alias("line")).alias("l"))
     of_site = sites.select("scene_id", line(4, F.col("rank"), "Best site ", text("rank"), ": ", spot(), ", grade ", text("grade"), " of 100 (computed by the app).").alias("l"))
     score = F.coalesce(F.concat(F.lit(": "), F.col("score")), F.lit(": no score recorded"))
     of_module = modules.select("scene_id", line(6, F.col("pos"), "  ", text("pos"), ". ", F.regexp_replace("kind", "_", " "), " by ", text("author"), " at ", spot(), score, ".").alias("l"))
@@ -160,6 +216,8 @@ def scene_facts(scenes: DataFrame, pins: DataFrame, sites: DataFrame, modules: D
     counted = modules.groupBy("scene_id").agg(F.count("*").alias("n")).select("scene_id", line(5, n0, "Modules built in the shared session (", text("n"), "):").alias("l"))
     lines = head.unionByName(of_pin).unionByName(cited).unionByName(of_site).unionByName(of_module).unionByName(counted)
     lines = lines.unionByName(none(pins, 3, "No science pins, so no cited measurements in this scene.")).unionByName(none(modules, 5, "Nobody has built a module in the shared session yet."))
+    if others is not None:
+        lines = lines.unionByName(others.select("scene_id", F.struct("a", "b", "c", "line").alias("l")))
     known = lines.join(scenes.select("scene_id"), "scene_id", "left_semi").select("scene_id", F.struct("l.a", "l.b", "l.c").alias("seq"), "l.line")
     return fact_lines(known, most)
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.maths import r4 as rounded
-from ..operators import cloud, grid
+from ..operators import cloud, grid, text
 from ..operators.saving import own_folder
 from ..sources import binary, committed, ranges
 from .registry import POINTS, TERRAIN, points, query, r4, terrain
@@ -102,3 +102,20 @@ SELECT image_id, {r4('median(abs(coalesce(l, m) + coalesce(m, l) + coalesce(t, b
 def _(spark, t):
     p = terrain(t).withColumn("image_id", F.explode(F.sequence(F.lit(0), F.lit(2)))).select("image_id", "row", "col", (F.col("z") * (F.col("image_id") + 1)).alias("value"))
     return grid.edge_strength(p).select(F.col("image_id").cast("long").alias("image_id"), rounded(F.col("detail")).alias("detail"))
+
+
+@query("txt05_detail_lines", """SELECT c_custkey AS scene_id, 1 AS a, 1 AS b, 0 AS c, CASE WHEN c_custkey % 3 > 0 THEN 'A Gaussian splat of the ground near the rover, built from rover photos (' || format('{:,}', c_custkey * 1234567) || ' Gaussians).' ELSE 'No Gaussian splat in this scene.' END AS line FROM customer
+UNION ALL SELECT c_custkey, 1, 2, 0, 'Data in this scene: ' || coalesce(nullif(concat_ws(', ', CASE WHEN c_custkey % 2 = 0 THEN 'per-Gaussian splat layers' END, CASE WHEN c_custkey % 5 = 0 THEN 'orbital raster layers' END, CASE WHEN c_custkey % 7 = 0 THEN 'radiation shielding estimates' END), ''), 'terrain only') || '.' FROM customer
+UNION ALL SELECT o_custkey, 3, o_orderkey, 1, '  Sample: ' || o_orderpriority || ' (no. ' || o_orderkey || ').' FROM orders
+UNION ALL SELECT o_custkey, 3, 1152921504606846977, 0, 'Rover route to ' || o_orderpriority || ': driving, ' || CAST(floor(o_totalprice / 100 + 5e-1) AS BIGINT) || ' m long, steepest slope ' || printf('%.1f', CAST(o_orderkey % 60 AS DOUBLE)) || ' degrees.' FROM orders
+UNION ALL SELECT s_suppkey, 4, 1152921504606846978 + s_nationkey, 0, 'Terrain layer "' || s_name || '" (' || CASE WHEN s_suppkey % 4 = 0 THEN 'no unit' ELSE 'm' END || '; survey, 20 m' || CASE WHEN s_suppkey % 2 = 0 THEN '; an estimate' ELSE '' END || ')' || CASE WHEN s_suppkey % 3 = 0 THEN ': of height' ELSE '' END FROM supplier
+UNION ALL SELECT s_suppkey, 5, -1, 0, CASE WHEN s_suppkey % 2 = 0 THEN 'The user''s module being placed now: solar field at (' || s_suppkey || ', ' || (s_nationkey - 5) || ') m.' ELSE 'The user is not placing a module right now.' END FROM supplier""")
+def _(spark, t):
+    return text.scene_details(
+        splats=t.customer.selectExpr("c_custkey AS scene_id", "if(c_custkey % 3 > 0, c_custkey * 1234567, null) AS count"),
+        data=t.customer.selectExpr("c_custkey AS scene_id", "c_custkey % 2 = 0 AS layers", "c_custkey % 5 = 0 AS rasters", "c_custkey % 7 = 0 AS shielding"),
+        samples=t.orders.selectExpr("o_custkey AS scene_id", "o_orderkey AS pos", "o_orderpriority AS name", "o_orderkey AS number"),
+        routes=t.orders.selectExpr("o_custkey AS scene_id", "o_orderpriority AS label", "'driving' AS status", "o_totalprice / 100 AS length_m", "CAST(o_orderkey % 60 AS DOUBLE) AS max_slope"),
+        rasters=t.supplier.selectExpr("s_suppkey AS scene_id", "s_nationkey AS pos", "s_name AS name", "if(s_suppkey % 4 = 0, '', 'm') AS unit", "'survey' AS source", "'20 m' AS resolution", "s_suppkey % 2 = 0 AS estimate", "if(s_suppkey % 3 = 0, 'of height', null) AS description"),
+        placing=t.supplier.selectExpr("s_suppkey AS scene_id", "if(s_suppkey % 2 = 0, 'solar_field', null) AS kind", "CAST(s_suppkey AS DOUBLE) AS x", "CAST(s_nationkey - 5 AS DOUBLE) AS y", "CAST(null AS STRING) AS score"),
+    )
