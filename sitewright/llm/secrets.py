@@ -17,9 +17,10 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import sha256
+from zlib import crc32
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import small_batches
@@ -34,6 +35,8 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST = 8  # characters of a candidate
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
 SEPARATORS = "=/."
+#: An identifier that is no secret, however random.
+UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 KINDS = ("assign", "access", "hex", "grammar")
 
 ALPHABET = string.ascii_letters + string.digits + "+/_.=-"
@@ -202,6 +205,7 @@ def example_credentials(rows: int = 150, seed: int = 11) -> dict[str, list[str]]
         "payment": lambda: rng.choice(("sk_live_", "rk_live_")) + of(base62, 24),
         "chat": lambda: "xoxb-" + of(string.digits, 12) + "-" + of(string.digits, 12) + "-" + of(base62, 24),
         "maps": lambda: "AIza" + of(base62 + "_-", 35),
+        "mail": lambda: "SG." + of(base62 + "_-", 22) + "." + of(base62 + "_-", 43),
         "web": lambda: "eyJ" + of(base62, 33) + "." + "eyJ" + of(base62, 60) + "." + of(base62 + "_-", 43),
         "base64": lambda: of(base64, rng.choice((40, 43))) + rng.choice(("", "=")),
     }
@@ -248,15 +252,29 @@ class Scanner:
         return self.known[symbols]
 
 
-def trained(labelled: dict[str, list[str]] | None = None, ordinary: list[str] | None = None) -> Scanner:
-    """A scanner from labelled credentials by format, and ordinary tokens beside those of ``ordinary_words``."""
-    return Scanner({k: grammar(v) for k, v in (labelled or example_credentials()).items()}, background([*ordinary_words(), *(ordinary or [])]))
+def trained(labelled: dict[str, list[str]] | None = None, ordinary: list[str] | None = None, corpus: dict[str, list[str]] | None = None) -> Scanner:
+    """A scanner from labelled credentials by format, those of a ``corpus`` beside published formats, and ordinary tokens
+    beside those of ``ordinary_words``."""
+    known = {k: list(v) for k, v in (labelled or example_credentials()).items()}
+    for kind, values in (corpus or {}).items():
+        known.setdefault(kind, []).extend(values)
+    return Scanner({k: grammar(v) for k, v in known.items() if v}, background([*ordinary_words(), *(ordinary or [])]))
+
+
+def held_out_rates(corpus: dict[str, list[str]], ordinary: list[str]) -> dict[str, float]:
+    """How well grammars know what they have not learnt: of the values of each kind whose CRC-32 leaves 0 by 5 the share
+    that is found, and under ``ordinary`` the share of such tokens that is taken for a credential; learnt from the others."""
+    aside = lambda v: crc32(v.encode()) % 5 == 0
+    scanner = trained(corpus={k: [v for v in vs if not aside(v)] for k, vs in corpus.items()}, ordinary=[t for t in ordinary if not aside(t)])
+    of = lambda values: [v for v in values if aside(v) and len(v) >= LEAST]
+    rate = lambda values: sum(scanner.likely(v) is not None for v in values) / max(1, len(values))
+    return {k: rate(of(vs)) for k, vs in corpus.items()} | {"ordinary": rate(of(ordinary))}
 
 
 def likely_pieces(text: str, start: int, end: int, scanner: Scanner, marks: str = SEPARATORS) -> Iterator[tuple[int, int, str, float]]:
     """(start, end, format, gain) of the largest likely parts of a stretch: itself, else itself without the marks around
     it, else its parts between the first of ``marks``, each looked at with the later marks."""
-    if end - start < LEAST:
+    if end - start < LEAST or UUID.fullmatch(text, start, end):
         return
     if found := scanner.likely(text[start:end]):
         yield start, end, *found
@@ -337,19 +355,42 @@ def ordinary_tokens(docs: DataFrame, documents: int = 2000, tokens: int = 20_000
     return [r.token for r in got.collect()]
 
 
+def corpus_credentials(docs: DataFrame, most: int = 2000) -> dict[str, list[str]]:
+    """At most ``most`` distinct values of each kind that the plain patterns confirm in the texts, by the order of a hash:
+    the corpus's own labels, a bounded sample, the same in every run. What is assigned is of kind ``assigned``."""
+    small_batches(docs.sparkSession)
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            kept = set()
+            for text in pdf["text"].dropna():
+                low = text.lower()
+                for kind, pattern, group, least in BASE:
+                    if kind != "assign" or any(w in low for w in ASSIGN_WORDS):
+                        kept |= {("assigned" if kind == "assign" else kind, m[group]) for m in pattern.finditer(text) if len(m[group]) >= max(least, LEAST)}
+            yield pd.DataFrame(sorted(kept), columns=["kind", "value"], dtype=object)
+
+    found = docs.select("text").mapInPandas(made, "kind string, value string").distinct()
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
+    out: dict[str, list[str]] = {}
+    for r in found.withColumn("nth", nth).filter(F.col("nth") <= most).collect():  # ``most`` of each of three kinds
+        out.setdefault(r.kind, []).append(r.value)
+    return {k: sorted(v) for k, v in sorted(out.items())}
+
+
 def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, n_grammar, spans, found`` for every row of ``docs``.
 
     ``spans`` is an array of ``struct<kind, start, end, format, gain>`` in code points, end exclusive, by start, then kind
     as listed; ``found`` has their texts. Base spans are leftmost and non-overlapping within a kind. Spans of kind
     ``grammar`` come beside them, with the likeliest format and by how many nats a symbol it is likelier than ordinary
-    tokens. Without a ``scanner`` one is trained on examples of published formats and ``ordinary_tokens`` of ``docs``. A
-    null text is an empty one, without spans. Whole texts are searched. Rows that repeat come out each. An empty table
+    tokens. Without a ``scanner`` one is trained on examples of published formats, ``corpus_credentials`` and
+    ``ordinary_tokens`` of ``docs``. UUIDs are no secrets. A null text is an empty one, without spans. Whole texts are searched. Rows that repeat come out each. An empty table
     gives no rows. Other columns of ``docs`` play no part.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    model = spark.sparkContext.broadcast(scanner or trained(ordinary=ordinary_tokens(docs)))  # some thousand states at most
+    model = spark.sparkContext.broadcast(scanner or trained(ordinary=ordinary_tokens(docs), corpus=corpus_credentials(docs)))  # some thousand states at most
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     names = ("start", "end", "kind", "format", "gain")
 

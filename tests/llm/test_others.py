@@ -446,3 +446,23 @@ def test_pipeline_rows_follow_from_its_stages(spark):
             ends += length
         assert ends <= 1024
     assert sum(1 for _ in first) >= -(-sum(n for at in places.values() for _, n in at) // 1024)
+
+
+def test_grammars_learn_the_corpus_own_credentials(spark):
+    rng = random.Random(4)
+    of = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    secret = lambda: "zq7-" + of("BCDFGHJKLMNP", 5) + "-" + of("0123456789", 9) + "-" + of("xyzvw", 6)
+    words = "the quick river ran over stones and every house kept a garden near the water-side path".split()
+    lines = [f"{' '.join(rng.sample(words, 8))} token = {secret()} {'-'.join(rng.sample(words, 3))}" for _ in range(120)]
+    bare, uuid = secret(), "3f2b8c1e-9a47-4d2c-8f10-5b6e7a8c9d01"
+    lines += [f"left here: {bare} and nothing else", f"request {uuid} was answered", "well-known-garden-path of the water-side"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    corpus = secrets.corpus_credentials(docs)
+    assert len(corpus["assigned"]) == 120 and bare not in corpus["assigned"] and len(secrets.corpus_credentials(docs, most=7)["assigned"]) == 7
+    got = {r.doc_id: r for r in secrets.scan(docs).filter("doc_id >= 120").collect()}
+    assert [t for t, s in zip(got[120].found, got[120].spans, strict=True) if s.kind == "grammar"] == [bare] and got[120].spans[0].format == "assigned"
+    assert got[121].n_grammar == got[122].n_grammar == 0
+    # without what the corpus has taught, the bare one is lost
+    assert bare not in {r.doc_id: r for r in secrets.scan(docs, secrets.trained(ordinary=secrets.ordinary_tokens(docs))).collect()}[120].found
+    rates = secrets.held_out_rates(corpus, secrets.ordinary_tokens(docs))
+    assert rates["assigned"] > 0.9 and rates["ordinary"] < 0.1
