@@ -262,6 +262,32 @@ def local_contrast(pixels: DataFrame, reach: int = 32) -> DataFrame:
     return both.withColumn("contrast", F.sqrt(F.greatest(F.col("_square") - F.col("_mean") * F.col("_mean"), F.lit(0.0)))).drop("_mean", "_square")
 
 
+def in_focus(pixels: DataFrame, save, cell_px: int, reach: int = 32, share: float = 0.35, spread: int = 2) -> DataFrame:
+    """``image_id, row, col, good`` of cells of ``cell_px`` pixels: not in a blur that comes in from the image's edge.
+
+    A cell is blurred where its mean ``local_contrast`` is under a ``share`` of the image's median; blurs grow by ``spread``
+    cells on all sides. Of their pieces those that touch an edge are out; a smooth patch within the image stays. Image ids
+    are whole numbers from 0.
+    """
+    from .graph import pieces
+
+    place = [F.floor(F.col(c) / cell_px).cast("int").alias(c) for c in ("row", "col")]
+    cells = save(local_contrast(pixels, reach).groupBy("image_id", *place).agg(F.avg("contrast").alias("contrast")))
+    size = save(cells.groupBy("image_id").agg(F.max("row").alias("_rows"), F.max("col").alias("_cols")))
+    middle = medians(cells, ["image_id"], "contrast").select("image_id", "m")
+    low = cells.join(middle, "image_id").filter(F.col("contrast") < share * F.col("m"))
+    near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-spread, spread + 1) for b in range(-spread, spread + 1)]))
+    grown = low.select("image_id", "row", "col", near.alias("d")).select("image_id", (F.col("row") + F.col("d.a")).alias("row"), (F.col("col") + F.col("d.b")).alias("col")).distinct()
+    blurred = save(grown.join(cells.select("image_id", "row", "col"), ["image_id", "row", "col"]))
+    tall = (size.agg(F.max("_rows")).first()[0] or 0) + 3  # images one below the other, apart
+    named = pieces(blurred.select((F.col("row") + F.col("image_id") * tall).alias("row"), "col"), save)
+    named = save(named.select(F.floor(F.col("row") / tall).cast("int").alias("image_id"), (F.col("row") % tall).cast("int").alias("row"), "col", "piece"))
+    on_edge = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == F.col("_rows")) | (F.col("col") == F.col("_cols"))
+    out = named.join(size, "image_id").filter(on_edge).select("piece").distinct()
+    gone = named.join(out, "piece", "left_semi").select("image_id", "row", "col", F.lit(False).alias("good"))
+    return cells.select("image_id", "row", "col").join(gone, ["image_id", "row", "col"], "left").withColumn("good", F.coalesce("good", F.lit(True)))
+
+
 def texture(pixels: DataFrame, fine: int = 1, coarse: int = 8) -> DataFrame:
     """``pixels`` with ``texture``: a fine mean less a coarse one, which leaves pebbles and takes the light away."""
     v = F.col("value").cast("double")

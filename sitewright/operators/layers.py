@@ -82,6 +82,21 @@ def region_boxes(masks: DataFrame, region: str) -> DataFrame:
     return ends.withColumn("side", F.greatest(F.col("row1") - F.col("row0"), F.col("col1") - F.col("col0")))
 
 
+def masked_crops(pixels: DataFrame, masks: DataFrame, region: str) -> DataFrame:
+    """``region, row, col, value``: each region alone on black, in the square that holds its box, the box in its middle.
+
+    ``pixels(image_id, row, col, value)``, ``masks(region, image_id, row, col)``. A square's cells, which an image bounds, are
+    rows; those of the region have the pixel under them, others 0.
+    """
+    boxes = region_boxes(masks, region)
+    top, left = F.floor((F.col("side") - F.col("row1") + F.col("row0")) / 2), F.floor((F.col("side") - F.col("col1") + F.col("col0")) / 2)
+    placed = boxes.select(region, "side", (F.col("row0") - top).cast("int").alias("_r"), (F.col("col0") - left).cast("int").alias("_c"))
+    every = placed.withColumn("row", F.explode(F.expr("sequence(0, side - 1)"))).withColumn("col", F.explode(F.expr("sequence(0, side - 1)")))
+    own = masks.join(pixels, ["image_id", "row", "col"]).join(placed, region)
+    own = own.select(region, (F.col("row") - F.col("_r")).alias("row"), (F.col("col") - F.col("_c")).alias("col"), "value")
+    return every.select(region, "row", "col").join(own, [region, "row", "col"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
+
+
 def on_mask(seen: DataFrame, mask: DataFrame, cell_px: int) -> DataFrame:
     """Rows of ``seen(image_id, u, v)`` whose cell of ``cell_px`` pixels is in ``mask(image_id, gx, gy)``."""
     cell = {"gx": F.floor(F.col("u") / cell_px).cast("int"), "gy": F.floor(F.col("v") / cell_px).cast("int")}

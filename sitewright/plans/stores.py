@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.maths import r4 as rounded
-from ..operators import cloud, grid, text
-from ..operators.saving import own_folder
+from ..operators import cloud, frames, grid, layers, text
+from ..operators.saving import own_folder, saved
 from ..sources import binary, committed, ranges
 from .registry import POINTS, TERRAIN, points, query, r4, terrain
 
@@ -119,3 +119,46 @@ def _(spark, t):
         rasters=t.supplier.selectExpr("s_suppkey AS scene_id", "s_nationkey AS pos", "s_name AS name", "if(s_suppkey % 4 = 0, '', 'm') AS unit", "'survey' AS source", "'20 m' AS resolution", "s_suppkey % 2 = 0 AS estimate", "if(s_suppkey % 3 = 0, 'of height', null) AS description"),
         placing=t.supplier.selectExpr("s_suppkey AS scene_id", "if(s_suppkey % 2 = 0, 'solar_field', null) AS kind", "CAST(s_suppkey AS DOUBLE) AS x", "CAST(s_nationkey - 5 AS DOUBLE) AS y", "CAST(null AS STRING) AS score"),
     )
+
+
+@query("prj34_masked_crops", f"""WITH m AS (SELECT (row // 13) * 5 + col // 13 AS region, row, col, z FROM ({TERRAIN}) WHERE (row * 3 + col) % 4 <> 0),
+b AS (SELECT region, min(row) AS r, min(col) AS c, max(row) + 1 - min(row) AS h, max(col) + 1 - min(col) AS w FROM m GROUP BY 1),
+s AS (SELECT *, greatest(h, w) AS n FROM b), e AS (SELECT region, u.range AS row, v.range AS col, u.range + r - (n - h) // 2 AS y, v.range + c - (n - w) // 2 AS x FROM s, range(13) u, range(13) v WHERE u.range < n AND v.range < n)
+SELECT e.region, CAST(e.row AS INT) AS row, CAST(e.col AS INT) AS col, {r4('coalesce(m.z, 0e0)')} AS value FROM e LEFT JOIN m ON m.region = e.region AND m.row = e.y AND m.col = e.x""")
+def _(spark, t):
+    cells = terrain(t)
+    masks = cells.filter("(row * 3 + col) % 4 <> 0").selectExpr("(row DIV 13) * 5 + col DIV 13 AS region", "0 AS image_id", "row", "col")
+    made = layers.masked_crops(cells.selectExpr("0 AS image_id", "row", "col", "z AS value"), masks, "region")
+    return made.withColumn("value", rounded(F.col("value")))
+
+
+@query("win12_in_focus", f"""WITH RECURSIVE g AS (SELECT k AS image_id, row, col, z + k * sin(row * 1e0) AS v FROM ({TERRAIN}), (SELECT range AS k FROM range(2))),
+m AS (SELECT a.image_id, a.row, a.col, avg(b.v) AS m, avg(b.v * b.v) AS q FROM g a JOIN g b ON a.image_id = b.image_id AND abs(a.row - b.row) <= 3 AND abs(a.col - b.col) <= 3 GROUP BY 1, 2, 3),
+c AS MATERIALIZED (SELECT image_id, row // 4 AS row, col // 4 AS col, avg(sqrt(greatest(q - m * m, 0e0))) AS c FROM m GROUP BY 1, 2, 3),
+d AS (SELECT image_id, median(c) AS d FROM c GROUP BY 1), l AS (SELECT c.* FROM c JOIN d USING (image_id) WHERE c.c < 8e-1 * d.d),
+b AS MATERIALIZED (SELECT DISTINCT c.image_id, c.row, c.col FROM c JOIN l ON l.image_id = c.image_id AND abs(l.row - c.row) <= 1 AND abs(l.col - c.col) <= 1),
+r(image_id, row, col) AS (SELECT image_id, row, col FROM b WHERE row IN (0, 15) OR col IN (0, 15) UNION SELECT b.image_id, b.row, b.col FROM r JOIN b ON b.image_id = r.image_id AND abs(b.row - r.row) <= 1 AND abs(b.col - r.col) <= 1)
+SELECT CAST(c.image_id AS INT) AS image_id, CAST(c.row AS INT) AS row, CAST(c.col AS INT) AS col, r.row IS NULL AS good FROM c LEFT JOIN r ON r.image_id = c.image_id AND r.row = c.row AND r.col = c.col""")
+def _(spark, t):
+    p = terrain(t).withColumn("image_id", F.explode(F.sequence(F.lit(0), F.lit(1)))).selectExpr("image_id", "row", "col", "z + image_id * sin(row * 1e0) AS value")
+    return grid.in_focus(p, saved, 4, reach=3, share=0.8, spread=1)
+
+
+@query("prj35_undistorted", f"""WITH g AS (SELECT k AS frame_id, row, col, z AS v FROM ({TERRAIN}), (SELECT range AS k FROM range(3))),
+p AS (SELECT *, (col - 3e1) / 8e1 AS x, (row - 3e1) / 8e1 AS y FROM g), q AS (SELECT *, 1 + 2e-2 * frame_id * (x * x + y * y) + 1e-2 * frame_id * pow(x * x + y * y, 2) AS m FROM p),
+u AS (SELECT frame_id, row, col, 8e1 * x * m + 3e1 AS u, 8e1 * y * m + 3e1 AS w FROM q),
+k AS (SELECT u.frame_id, u.row, u.col, (CASE a WHEN 1 THEN w - floor(w) ELSE 1 - (w - floor(w)) END) * (CASE b WHEN 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) AS wt, floor(w) + a AS r, floor(u) + b AS c FROM u, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(a, b)),
+s AS (SELECT k.frame_id, k.row, k.col, sum(wt * g.v) AS s, sum(CASE WHEN g.v IS NULL THEN wt ELSE 0e0 END) AS gap FROM k LEFT JOIN g ON g.frame_id = k.frame_id AND g.row = k.r AND g.col = k.c GROUP BY 1, 2, 3)
+SELECT CAST(frame_id AS INT) AS frame_id, row, col, {r4('CASE WHEN gap < 1e-9 THEN s END')} AS value FROM s""")
+def _(spark, t):
+    k = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("frame_id")
+    pixels = terrain(t).select(k, "row", "col", F.col("z").alias("value"))
+    lens = ("array(0e0, 0e0, 0e0) AS c", "array(0e0, 0e0, 1e0) AS a", "array(8e1, 0e0, 3e1) AS h", "array(0e0, 8e1, 3e1) AS v", "array(0e0, 0e0, 1e0) AS o", "array(0e0, 2e-2 * frame_id, 1e-2 * frame_id) AS k", "CAST(NULL AS ARRAY<DOUBLE>) AS e", "CAST(NULL AS DOUBLE) AS linearity")
+    cameras = spark.range(1).select(k).selectExpr("frame_id", *lens)
+    return frames.undistorted(pixels, cameras, 61, 61).withColumn("value", rounded(F.col("value")))
+
+
+@query("win13_cover")
+def _(spark, t):
+    cells = grid.slope(terrain(t), 8.0, 8.0).selectExpr("0 AS frame_id", "row", "col", "slope_deg <= 12 AS good")
+    return grid.rectangle_cover(cells, 24)
