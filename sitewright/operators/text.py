@@ -69,36 +69,43 @@ def pin_request(text: Column) -> Column:
     return F.when(rest.isNotNull(), F.trim(F.regexp_replace(note, "^[\"'“]|[\"'”]$", "")))
 
 
-def find_user_pin(requests: DataFrame, pins: DataFrame, most_pins: int = 10_000) -> DataFrame:
+#: Fixed patterns of phrases that name a pin, a site, what is selected, home, or a place.
+PIN_NUMBER, NEWEST_PIN, SITE_NUMBER = r"\bpin\s*#?(\d+)\b", r"\b(last|latest|newest|my)\s+pin\b", r"\bsite\s*#?(\d+)"
+SELECTED, HOME, PLACE = r"\b(selected|placement|habitat|module|it|there)\b", r"\b(home|start|origin|back)\b", r"(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)"
+
+
+def find_user_pin(requests: DataFrame, pins: DataFrame) -> DataFrame:
     """``request_id, pin`` (a number from 1, or null): by number, the newest own pin, or the longest note in the phrase.
 
-    ``requests(request_id, scene_id, to)``, ``pins(scene_id, n, note, mine)`` with n from 1 in each scene.
+    ``requests(request_id, scene_id, to)``, ``pins(scene_id, n, note, mine)`` with n from 1 in each scene. Numbers and newest
+    pins are equi-joins. Only phrases of neither kind meet the notes of their scene, each phrase and each note once, however
+    many requests and pins have them.
     """
     t = F.lower(F.trim("to"))
-    asked = requests.withColumns({"t": t, "number": _group(t, r"\bpin\s*#?(\d+)\b").try_cast("long"), "newest": t.rlike(r"\b(last|latest|newest|my)\s+pin\b")})
-    both = asked.join(pins, "scene_id", "left").withColumn("low", F.lower(F.trim("note")))
+    asked = requests.select("request_id", "scene_id", t.alias("t"), _group(t, PIN_NUMBER).try_cast("long").alias("number"), t.rlike(NEWEST_PIN).alias("newest"))
+    last = pins.groupBy("scene_id").agg(F.coalesce(F.max(F.when(F.col("mine"), F.col("n"))), F.max("n")).alias("last"))
+    numbered = pins.select("scene_id", F.col("n").alias("number"), F.col("n").alias("by_number")).distinct()
+    notes = pins.groupBy("scene_id", F.lower(F.trim("note")).alias("low")).agg(F.min("n").alias("n"))
+    phrases = asked.filter(F.col("number").isNull() & ~F.coalesce("newest", F.lit(False))).select("scene_id", "t").distinct()
     by_note = (F.col("t") == F.col("low")) | ((F.length("low") >= 3) & F.contains(F.col("t"), F.col("low")))
-    found = both.groupBy("request_id").agg(
-        F.max(F.when(F.col("n") == F.col("number"), F.col("n"))).alias("by_number"),
-        F.coalesce(F.max(F.when(F.col("mine"), F.col("n"))), F.max("n")).alias("last"),
-        F.max(F.when(by_note, F.struct(F.length("low").alias("l"), (-F.col("n")).alias("n")))).alias("noted"),
-        F.first("number").alias("number"), F.first("newest").alias("newest"),
-    )
-    return found.select("request_id", F.when(F.col("number").isNotNull(), F.col("by_number")).when(F.col("newest"), F.col("last")).otherwise(-F.col("noted.n")).alias("pin"))
+    longest = F.max(F.struct(F.length("low").alias("l"), (-F.col("n")).alias("n"))).alias("noted")
+    noted = phrases.join(notes, "scene_id").filter(by_note).groupBy("scene_id", "t").agg(longest)
+    found = asked.join(numbered, ["scene_id", "number"], "left").join(last, "scene_id", "left").join(noted, ["scene_id", "t"], "left")
+    pin = F.when(F.col("number").isNotNull(), F.col("by_number")).when(F.col("newest"), F.col("last")).otherwise(-F.col("noted.n"))
+    return found.select("request_id", pin.alias("pin"))
 
 
 def coordinates(text: Column) -> Column:
     """``struct<x, y>`` of the first "x, y" in a text, or null."""
-    pattern = r"(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)"
-    return F.when(text.rlike(pattern), F.struct(F.regexp_extract(text, pattern, 1).cast("double").alias("x"), F.regexp_extract(text, pattern, 2).cast("double").alias("y")))
+    return F.when(text.rlike(PLACE), F.struct(F.regexp_extract(text, PLACE, 1).cast("double").alias("x"), F.regexp_extract(text, PLACE, 2).cast("double").alias("y")))
 
 
 def destination_kind(to: Column, pin: Column) -> Column:
     """Which rule takes a destination phrase: user pin, site, selected, home, coordinates or science pin, in that order."""
     t = F.lower(F.trim(to))
     return (
-        F.when(pin.isNotNull(), "user_pin").when(t.rlike(r"\bsite\s*#?(\d+)"), "site").when(t.rlike(r"\b(selected|placement|habitat|module|it|there)\b"), "selected")
-        .when(t.rlike(r"\b(home|start|origin|back)\b"), "home").when(coordinates(t).isNotNull(), "coordinates").otherwise("science_pin")
+        F.when(pin.isNotNull(), "user_pin").when(t.rlike(SITE_NUMBER), "site").when(t.rlike(SELECTED), "selected")
+        .when(t.rlike(HOME), "home").when(coordinates(t).isNotNull(), "coordinates").otherwise("science_pin")
     )
 
 
@@ -111,7 +118,7 @@ def resolve_destinations(requests: DataFrame, user_pins: DataFrame, sites: DataF
     All are joined by scene, and reduced to a row a request.
     """
     asked = requests.join(find_user_pin(requests, user_pins), "request_id").withColumn("t", F.lower(F.trim("to")))
-    asked = asked.withColumns({"rule": destination_kind(F.col("to"), F.col("pin")), "number": _group(F.col("t"), r"\bsite\s*#?(\d+)").try_cast("int"), "at": coordinates(F.col("t"))})
+    asked = asked.withColumns({"rule": destination_kind(F.col("to"), F.col("pin")), "number": _group(F.col("t"), SITE_NUMBER).try_cast("int"), "at": coordinates(F.col("t"))})
     own = user_pins.select("scene_id", F.col("n").alias("pin"), F.col("x").alias("ux"), F.col("y").alias("uy"), F.col("note").alias("unote"))
     ranked = sites.select("scene_id", F.col("rank").alias("number"), F.col("x").alias("sx"), F.col("y").alias("sy"))
     chosen = selected.select("scene_id", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("label").alias("clabel"))
@@ -233,6 +240,7 @@ def number_tuple(text: Column) -> Column:
 
 def short_source(text: Column) -> Column:
     """One short clause of a source's text: without addresses, cut at a break after 12 characters or more, at most 64."""
+    # fixed patterns and lengths
     bare = F.trim(F.regexp_replace(text, r",?\s*https?://\S+", ""))
     first = F.regexp_extract(bare, r"^(.*?)[;:]\s", 1)
     has = bare.rlike(r"^.*?[;:]\s")
