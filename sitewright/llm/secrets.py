@@ -13,7 +13,7 @@ import math
 import random
 import re
 import string
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import sha256
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import small_batches, written
 
 # Fixed patterns: kind, pattern, group whose length counts, least length.
 BASE = (
@@ -178,16 +178,26 @@ class Background:
         return total
 
 
-def background(words: list[str]) -> Background:
-    counts: dict[tuple[str, str], int] = defaultdict(int)
+def pairs_of(words: dict[str, int]) -> Counter[tuple[str, str]]:
+    """How often symbols follow each other in words that come so many times, start and end among them."""
+    counts: Counter[tuple[str, str]] = Counter()
+    for w, n in words.items():
+        symbols = classed(w)
+        for pair in zip("^" + symbols, symbols + END):
+            counts[pair] += n
+    return counts
+
+
+def background(words: list[str], pairs: dict[tuple[str, str], int] | None = None) -> Background:
+    """From words, and from ``pairs`` counted elsewhere. No pair is less likely than one that was never seen, so a pair that
+    is rare in a large corpus is no better evidence than in a small one."""
+    counts = pairs_of(Counter(words))
+    counts.update(pairs or {})
     firsts: dict[str, int] = defaultdict(int)
-    for w in words:
-        last = "^"
-        for c in classed(w) + END:
-            counts[last, c] += 1
-            firsts[last] += 1
-            last = c
-    return Background({k: math.log((n + 0.5) / (firsts[k[0]] + 40)) for k, n in counts.items()}, math.log(1e-3))
+    for (first, _), n in counts.items():
+        firsts[first] += n
+    other = math.log(1e-3)
+    return Background({k: max(other, math.log((n + 0.5) / (firsts[k[0]] + 40))) for k, n in counts.items()}, other)
 
 
 def example_credentials(rows: int = 150, seed: int = 11) -> dict[str, list[str]]:
@@ -252,13 +262,13 @@ class Scanner:
         return self.known[symbols]
 
 
-def trained(labelled: dict[str, list[str]] | None = None, ordinary: list[str] | None = None, corpus: dict[str, list[str]] | None = None) -> Scanner:
-    """A scanner from labelled credentials by format, those of a ``corpus`` beside published formats, and ordinary tokens
-    beside those of ``ordinary_words``."""
+def trained(labelled: dict[str, list[str]] | None = None, ordinary: list[str] | None = None, corpus: dict[str, list[str]] | None = None, pairs: dict[tuple[str, str], int] | None = None) -> Scanner:
+    """A scanner from labelled credentials by format, those of a ``corpus`` beside published formats, and ordinary tokens,
+    or ``pairs`` of their symbols, beside those of ``ordinary_words``."""
     known = {k: list(v) for k, v in (labelled or example_credentials()).items()}
     for kind, values in (corpus or {}).items():
         known.setdefault(kind, []).extend(values)
-    return Scanner({k: grammar(v) for k, v in known.items() if v}, background([*ordinary_words(), *(ordinary or [])]))
+    return Scanner({k: grammar(v) for k, v in known.items() if v}, background([*ordinary_words(), *(ordinary or [])], pairs))
 
 
 def held_out_rates(corpus: dict[str, list[str]], ordinary: list[str]) -> dict[str, float]:
@@ -296,14 +306,28 @@ def likely_pieces(text: str, start: int, end: int, scanner: Scanner, marks: str
         at += len(part) + 1
 
 
-def base_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) that the plain patterns find."""
-    out, low = [], text.lower()
+def base_matches(text: str) -> Iterator[tuple[str, str, re.Match]]:
+    """(kind, value, match) of what the plain patterns find."""
+    low = text.lower()
     named = any(w in low for w in ASSIGN_WORDS)
     for kind, pattern, group, least in BASE:
         if kind != "assign" or named:
-            out += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if len(m[group]) >= least]
-    return sorted(out)
+            yield from ((kind, m[group], m) for m in pattern.finditer(text) if len(m[group]) >= least)
+
+
+def base_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) that the plain patterns find."""
+    return sorted((m.start(), m.end(), kind) for kind, _, m in base_matches(text))
+
+
+def untouched(text: str, base: list[tuple[int, int, str]]) -> Iterator[str]:
+    """Candidates that no span of ``base``, sorted, meets."""
+    n = reach = 0
+    for m in CANDIDATE.finditer(text):
+        while n < len(base) and base[n][0] < m.end():
+            reach, n = max(reach, base[n][1]), n + 1
+        if reach <= m.start():
+            yield m[0]
 
 
 def spans_of(text: str | None, scanner: Scanner) -> list[tuple[int, int, str, str | None, float | None]]:
@@ -346,8 +370,7 @@ def ordinary_tokens(docs: DataFrame, documents: int = 2000, tokens: int = 20_000
         for pdf in batches:
             kept = set()
             for text in pdf["text"].dropna():
-                base = base_spans(text)
-                kept |= {m[0] for m in CANDIDATE.finditer(text) if not any(a < m.end() and m.start() < b for a, b, _ in base)}
+                kept.update(untouched(text, base_spans(text)))
             yield pd.DataFrame({"token": sorted(kept)}, dtype=object)
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text")  # at most ``documents`` ids
@@ -355,42 +378,74 @@ def ordinary_tokens(docs: DataFrame, documents: int = 2000, tokens: int = 20_000
     return [r.token for r in got.collect()]
 
 
-def corpus_credentials(docs: DataFrame, most: int = 2000) -> dict[str, list[str]]:
-    """At most ``most`` distinct values of each kind that the plain patterns confirm in the texts, by the order of a hash:
-    the corpus's own labels, a bounded sample, the same in every run. What is assigned is of kind ``assigned``."""
+#: Kind of the rows of ``lessons`` that hold two symbols, one after the other.
+PAIR = "pair"
+
+
+def lessons(docs: DataFrame) -> DataFrame:
+    """``kind, value, n``: what all whole texts teach, with how often it comes.
+
+    Values that the plain patterns confirm, by kind (what is assigned is of kind ``assigned``), and, of kind ``pair``, two
+    symbols that follow each other in candidates that no plain pattern meets: a few thousand kinds of pairs at most.
+    """
     small_batches(docs.sparkSession)
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs: Counter[tuple[str, str]] = Counter()
+        rows = lambda counts: pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["kind", "value", "n"])
         for pdf in batches:
-            kept = set()
+            values: Counter[tuple[str, str]] = Counter()
+            tokens: Counter[str] = Counter()
             for text in pdf["text"].dropna():
-                low = text.lower()
-                for kind, pattern, group, least in BASE:
-                    if kind != "assign" or any(w in low for w in ASSIGN_WORDS):
-                        kept |= {("assigned" if kind == "assign" else kind, m[group]) for m in pattern.finditer(text) if len(m[group]) >= max(least, LEAST)}
-            yield pd.DataFrame(sorted(kept), columns=["kind", "value"], dtype=object)
+                found = list(base_matches(text))
+                values.update(("assigned" if kind == "assign" else kind, value) for kind, value, _ in found if len(value) >= LEAST)
+                tokens.update(untouched(text, sorted((m.start(), m.end(), kind) for kind, _, m in found)))
+            pairs.update(pairs_of(tokens))
+            yield rows(values)
+        yield rows({(PAIR, a + b): n for (a, b), n in pairs.items()})
+
+    counted = docs.select("text").mapInPandas(made, "kind string, value string, n long")
+    return counted.groupBy("kind", "value").agg(F.sum("n").alias("n"))
+
 
-    found = docs.select("text").mapInPandas(made, "kind string, value string").distinct()
+def confirmed(taught: DataFrame, most: int = 2000) -> dict[str, list[str]]:
+    """At most ``most`` distinct values of each kind that the plain patterns confirm, by the order of a hash: the corpus's
+    own labels, a bounded sample of them, the same in every run."""
     nth = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
     out: dict[str, list[str]] = {}
-    for r in found.withColumn("nth", nth).filter(F.col("nth") <= most).collect():  # ``most`` of each of three kinds
+    for r in taught.filter(F.col("kind") != PAIR).withColumn("nth", nth).filter(F.col("nth") <= most).collect():  # ``most`` of each of three kinds
         out.setdefault(r.kind, []).append(r.value)
     return {k: sorted(v) for k, v in sorted(out.items())}
 
 
+def corpus_credentials(docs: DataFrame, most: int = 2000) -> dict[str, list[str]]:
+    """``confirmed`` of all texts of ``docs``."""
+    return confirmed(lessons(docs), most)
+
+
+def ordinary_pairs(taught: DataFrame) -> dict[tuple[str, str], int]:
+    """How often two symbols follow each other in the ordinary tokens of all texts."""
+    return {(r.value[0], r.value[1]): r.n for r in taught.filter(F.col("kind") == PAIR).collect()}  # pairs of some 70 symbols
+
+
+def scanner_of(docs: DataFrame) -> Scanner:
+    """A scanner that knows published formats and what all whole texts of ``docs`` teach, gathered in one pass."""
+    taught = written(lessons(docs), "lessons")
+    return trained(corpus=confirmed(taught), pairs=ordinary_pairs(taught))
+
+
 def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, n_grammar, spans, found`` for every row of ``docs``.
 
     ``spans`` is an array of ``struct<kind, start, end, format, gain>`` in code points, end exclusive, by start, then kind
     as listed; ``found`` has their texts. Base spans are leftmost and non-overlapping within a kind. Spans of kind
     ``grammar`` come beside them, with the likeliest format and by how many nats a symbol it is likelier than ordinary
-    tokens. Without a ``scanner`` one is trained on examples of published formats, ``corpus_credentials`` and
-    ``ordinary_tokens`` of ``docs``. UUIDs are no secrets. A null text is an empty one, without spans. Whole texts are searched. Rows that repeat come out each. An empty table
-    gives no rows. Other columns of ``docs`` play no part.
+    tokens. Without a ``scanner`` it is ``scanner_of`` all ``docs``. UUIDs are no secrets. A null text is an empty one, without spans. Whole texts are searched. Rows that repeat come out each. An
+    empty table gives no rows. Other columns of ``docs`` play no part.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    model = spark.sparkContext.broadcast(scanner or trained(ordinary=ordinary_tokens(docs), corpus=corpus_credentials(docs)))  # some thousand states at most
+    model = spark.sparkContext.broadcast(scanner or scanner_of(docs))  # some thousand states at most
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     names = ("start", "end", "kind", "format", "gain")
 

@@ -466,3 +466,22 @@ def test_grammars_learn_the_corpus_own_credentials(spark):
     assert bare not in {r.doc_id: r for r in secrets.scan(docs, secrets.trained(ordinary=secrets.ordinary_tokens(docs))).collect()}[120].found
     rates = secrets.held_out_rates(corpus, secrets.ordinary_tokens(docs))
     assert rates["assigned"] > 0.9 and rates["ordinary"] < 0.1
+
+
+def test_ordinary_pairs_are_counted_over_all_texts(spark):
+    texts = ["ordinary-words token = secretvalue1 " * 3, None, "", "AKIA" + "Q7" * 8 + "/touched plain.words/abc", "lib/of.things " + "0123456789abcdef" * 2 + "=tail-of-it", "untouched " * 70]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, texts[5])], "doc_id long, text string")
+    want = {}
+    for text in [*texts, texts[0], texts[5]]:
+        spans = secrets.base_spans(text or "")
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]{8,}", text or ""):
+            if not any(a < m.end() and m.start() < b for a, b, _ in spans):
+                symbols = "^" + secrets.classed(m[0]) + "$"
+                for pair in zip(symbols, symbols[1:]):
+                    want[pair] = want.get(pair, 0) + 1
+    taught = secrets.lessons(docs.repartition(3))
+    assert want and secrets.ordinary_pairs(taught) == want
+    assert secrets.confirmed(taught) == secrets.corpus_credentials(docs) and secrets.confirmed(taught)["assigned"] == ["secretvalue1"]
+    many = secrets.background([], {k: n * 10**9 for k, n in want.items()} | {("^", "~"): 1})
+    assert many.steps["^", "~"] == many.other  # seen once among very many: as likely as what was never seen
+    assert secrets.ordinary_pairs(secrets.lessons(docs.limit(0))) == {}
