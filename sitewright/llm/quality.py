@@ -5,13 +5,15 @@ share of good documents among the unlabelled ones. pi is estimated from the scor
 over thresholds, of the unlabelled to the positive share above the threshold (with a margin for chance).
 
 Scores come from the shape of a whole text alone: its bytes by class, which classes follow each other, and how words and
-lines repeat. Only bounded samples of feature rows reach the driver; scoring covers every document in the tasks.
+lines repeat. A bounded sample of the trusted documents reaches the driver, and a sample of all documents that a first
+fit starts from. The means and deviations of the features, the prior and the risk that is minimised in the end are those of
+all documents: tasks add up their parts of them, and the driver takes the step.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import small_batches, written
 
 #: Byte classes: lower, upper, digit, space, line end, sentence marks, brackets and quotes, other marks, other controls, beyond ASCII.
 CLASSES = 10
@@ -92,101 +94,199 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, hidden: int = 24, epochs: int = 25, batch: int = 256, rate: float = 0.004, decay: float = 1e-4, seed: int = 7) -> Network:
+def _sig(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+class Adam:
+    """Steps along gradients, scaled by their running moments."""
+
+    def __init__(self, par: list[np.ndarray]):
+        self.par, self.t = par, 0
+        self.m, self.v = [np.zeros_like(x) for x in par], [np.zeros_like(x) for x in par]
+
+    def step(self, grads: list[np.ndarray], rate: float) -> None:
+        self.t += 1
+        for i, g in enumerate(grads):
+            self.m[i] = 0.9 * self.m[i] + 0.1 * g
+            self.v[i] = 0.999 * self.v[i] + 0.001 * g * g
+            self.par[i] = self.par[i] - rate * (self.m[i] / (1 - 0.9**self.t)) / (np.sqrt(self.v[i] / (1 - 0.999**self.t)) + 1e-8)
+
+
+def outputs(par: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hidden layer, margins) of standardised rows."""
+    h = np.maximum(x @ par[0] + par[1], 0)
+    return h, h @ par[2] + par[3][0]
+
+
+def gradients(par: list[np.ndarray], x: np.ndarray, h: np.ndarray, g: np.ndarray) -> list[np.ndarray]:
+    """Of the parameters, from those of the margins, ``g``."""
+    gh = np.outer(g, par[2]) * (h > 0)
+    return [x.T @ gh, gh.sum(0), h.T @ g, np.array([g.sum()])]
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, mean: np.ndarray, scale: np.ndarray, hidden: int = 24, epochs: int = 25, batch: int = 256, rate: float = 0.004, decay: float = 1e-4, seed: int = 7) -> Network:
     """Minimise the non-negative PU risk with logistic loss; with ``prior`` None, plain positives against unlabelled."""
     rng = np.random.default_rng(seed)
-    both = np.vstack([positive, unlabelled])
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    p, u = (np.clip((x - mean) / scale, -6, 6).astype(np.float64) for x in (positive, unlabelled))
+    p, u = (standard(x, mean, scale) for x in (positive, unlabelled))
     width = p.shape[1]
-    par = [rng.normal(0, np.sqrt(2 / width), (width, hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), hidden), np.zeros(1)]
-    m, v, t = [np.zeros_like(x) for x in par], [np.zeros_like(x) for x in par], 0
+    adam = Adam([rng.normal(0, np.sqrt(2 / width), (width, hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), hidden), np.zeros(1)])
     steps = max(1, len(u) // batch, 1500 // epochs)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for _ in range(epochs):
         order = rng.permutation(len(u))
         for k in range(steps):
             xu = u[order.take(range(k * batch, (k + 1) * batch), mode="wrap")]
             xp = p[rng.integers(0, len(p), batch)]
             x = np.vstack([xp, xu])
-            h = np.maximum(x @ par[0] + par[1], 0)
-            z = h @ par[2] + par[3][0]
+            h, z = outputs(adam.par, x)
             zp, zu = z[: len(xp)], z[len(xp) :]
             if prior is None:
-                g = np.concatenate([-sig(-zp) / len(xp), sig(zu) / len(xu)])
+                g = np.concatenate([-_sig(-zp) / len(xp), _sig(zu) / len(xu)])
             else:  # loss of a margin z: log(1+exp(-z)) as positive, log(1+exp(z)) as negative
                 negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-                as_negative = np.concatenate([-prior * sig(zp) / len(xp), sig(zu) / len(xu)])
+                as_negative = np.concatenate([-prior * _sig(zp) / len(xp), _sig(zu) / len(xu)])
                 if negative >= 0:
-                    g = as_negative + np.concatenate([-prior * sig(-zp) / len(xp), np.zeros(len(xu))])
+                    g = as_negative + np.concatenate([-prior * _sig(-zp) / len(xp), np.zeros(len(xu))])
                 else:
                     g = -as_negative
-            gh = np.outer(g, par[2]) * (h > 0)
-            grads = [x.T @ gh + decay * par[0], gh.sum(0), h.T @ g + decay * par[2], np.array([g.sum()])]
-            t += 1
-            step = rate * (1 - 0.9 * t / (epochs * steps))
-            for i, gr in enumerate(grads):
-                m[i] = 0.9 * m[i] + 0.1 * gr
-                v[i] = 0.999 * v[i] + 0.001 * gr * gr
-                par[i] = par[i] - step * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+            grads = gradients(adam.par, x, h, g)
+            grads[0] = grads[0] + decay * adam.par[0]
+            grads[2] = grads[2] + decay * adam.par[2]
+            adam.step(grads, rate * (1 - 0.9 * (adam.t + 1) / (epochs * steps)))
+    par = adam.par
     return Network(mean, scale, par[0], par[1], par[2], float(par[3][0]))
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.1) -> float:
-    """The share of positives among the unlabelled, from scores of rows that the fit did not see."""
-    p, u = np.sort(positive), np.sort(unlabelled)
-    cuts = np.quantile(p, np.linspace(0.01, 0.9, 90))
-    above_p = 1 - np.searchsorted(p, cuts) / len(p)
-    above_u = 1 - np.searchsorted(u, cuts) / len(u)
-    slack = np.sqrt(np.log(2 / confidence) / 2) * (1 / np.sqrt(len(u)) + 1 / np.sqrt(len(p)))
-    best = np.argmin((above_u + slack) / above_p)
-    return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
+def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean) / scale, -6, 6).astype(np.float64)
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, trusted_below: float = 0.002) -> tuple[Network, float]:
-    """(network, prior). Scores are shifted so that ``trusted_below`` of the trusted positives score under 0.5: an error in
-    the prior moves all scores and would otherwise move the cut. The prior comes from a fit on one half, scored on the
-    other (a single row is both halves). Without any row of a kind nothing can be learnt: every document scores 1 / (1 +
-    exp(-3)), that is 0.95, and the prior is 0.95."""
-    if not len(positive) or not len(unlabelled):
-        zero = np.zeros((WIDTH, 1))
-        return Network(np.zeros(WIDTH), np.ones(WIDTH), zero, np.zeros(1), np.zeros(1), 3.0), 0.95
-    halves = lambda x: (x[::2], x[1::2] if len(x) > 1 else x)
-    (seen_p, other_p), (seen_u, other_u) = halves(positive), halves(unlabelled)
-    first = fit(seen_p, seen_u, None, epochs=10)
-    prior = estimate_prior(first.score(other_p), first.score(other_u))
-    network = fit(positive, unlabelled, prior)
-    network.b2 -= float(np.quantile(network.margin(positive), trusted_below))
-    return network, prior
-
+def estimate_prior(above_p: np.ndarray, above_u: np.ndarray, n_p: int, n_u: int, confidence: float = 0.1) -> float:
+    """The share of positives among the unlabelled, from the shares of both above a row of cuts, of rows that the fit did not
+    see."""
+    slack = np.sqrt(np.log(2 / confidence) / 2) * (1 / np.sqrt(n_u) + 1 / np.sqrt(n_p))
+    best = np.argmin((above_u + slack) / above_p)
+    return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
 
-def _sample(docs: DataFrame, ids: DataFrame, rows: int, salt: str) -> np.ndarray:
-    """Feature rows of the ``rows`` documents of ``ids`` that a salted hash puts first: bounded, the same in every run.
 
-    Only ids are sorted and joined; the chosen ones go to the tasks that read the texts.
-    """
+def feature_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, x`` of every row of ``docs``, written to the shared folder: ``WIDTH`` numbers of 32 bits."""
     small_batches(docs.sparkSession)
-    draw = F.xxhash64(F.lit(salt), F.col("doc_id"))
-    few = ids.select("doc_id", draw.alias("draw")).orderBy("draw", "doc_id").limit(rows).select("doc_id").distinct()
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": [features(t).tolist() for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": [features(t).tobytes() for t in pdf["text"]]})
+
+    rows = docs.select("doc_id", "text").mapInPandas(made, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x binary")
+    return written(rows, "features")
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most ``rows`` ids
-    got = chosen.mapInPandas(made, "doc_id long, x array<float>").orderBy("doc_id", "x").limit(rows).toPandas()
-    return np.array(got["x"].tolist(), np.float32).reshape(-1, WIDTH)
 
+def matrix(x: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(x), np.float32).reshape(-1, WIDTH) if len(x) else np.zeros((0, WIDTH), np.float32)
 
-def learn(docs: DataFrame, labels: DataFrame, max_positive: int = 8000, max_unlabelled: int = 12000) -> tuple[Network, float]:
-    """Train on at most ``max_positive`` documents with ``labels.quality`` 1 and ``max_unlabelled`` of all documents.
 
-    Of ``labels``, pass only the rows that may be learnt from. Rows labelled 0 teach nothing here: they are unlabelled.
+def summed(rows: DataFrame, size: int, part: Callable[[np.ndarray], np.ndarray], parts: int = 8) -> np.ndarray:
+    """The sum over all rows of ``part``, ``size`` numbers of a batch of features. Tasks add up theirs, ``parts`` tasks add
+    up those, and the driver adds ``parts`` rows."""
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for pdf in batches:
+            if len(pdf):
+                total += part(matrix(pdf["x"]).astype(np.float64))
+        yield pd.DataFrame({"s": [total.tobytes()]})
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for pdf in batches:
+            for s in pdf["s"]:
+                total += np.frombuffer(s, np.float64)
+        yield pd.DataFrame({"s": [total.tobytes()]})
+
+    each = rows.select("x").mapInPandas(own, "s binary").repartition(parts).mapInPandas(added, "s binary")
+    return np.sum([np.frombuffer(bytes(r.s), np.float64) for r in each.collect()], axis=0)
+
+
+def refined(network: Network, rows: DataFrame, n: int, positive: np.ndarray, prior: float, rounds: int = 8, rate: float = 0.002, decay: float = 1e-4) -> Network:
+    """The network after ``rounds`` steps along the gradient of the risk over all ``n`` rows of features."""
+    adam = Adam([network.w1, network.b1, network.w2, np.array([network.b2])])
+    xp = standard(positive, network.mean, network.scale)
+    shapes = [x.shape for x in adam.par]
+    ends = np.cumsum([x.size for x in adam.par])
+    for k in range(rounds):
+        par, mean, scale = adam.par, network.mean, network.scale
+
+        def part(x: np.ndarray, par=par, mean=mean, scale=scale) -> np.ndarray:
+            x = standard(x, mean, scale)
+            h, z = outputs(par, x)
+            return np.concatenate([[np.logaddexp(0, z).sum()], *(g.ravel() for g in gradients(par, x, h, _sig(z)))])
+
+        total = summed(rows, 1 + int(ends[-1]), part) / n
+        as_negative = [g.reshape(shape) for g, shape in zip(np.split(total[1:], ends[:-1]), shapes, strict=True)]
+        h, zp = outputs(par, xp)
+        if total[0] - prior * np.logaddexp(0, zp).mean() >= 0:
+            grads = [a + b for a, b in zip(as_negative, gradients(par, xp, h, -prior * (_sig(zp) + _sig(-zp)) / len(xp)), strict=True)]
+        else:
+            grads = [b - a for a, b in zip(as_negative, gradients(par, xp, h, prior * _sig(zp) / len(xp)), strict=True)]
+        grads[0] = grads[0] + decay * par[0]
+        grads[2] = grads[2] + decay * par[2]
+        adam.step(grads, rate * (1 - 0.9 * k / rounds))
+    par = adam.par
+    return Network(network.mean, network.scale, par[0], par[1], par[2], float(par[3][0]))
+
+
+def unknown() -> Network:
+    """What scores every document 1 / (1 + exp(-3)), that is 0.95."""
+    return Network(np.zeros(WIDTH), np.ones(WIDTH), np.zeros((WIDTH, 1)), np.zeros(1), np.zeros(1), 3.0)
+
+
+def _first(rows: DataFrame, most: int, salt: str) -> np.ndarray:
+    """Features of the ``most`` rows that a salted hash of their id puts first: the same in every run."""
+    draw = F.xxhash64(F.lit(salt), F.col("doc_id").cast("string"))
+    return matrix(rows.select(draw.alias("draw"), "x").orderBy("draw", "x").limit(most).toPandas()["x"])
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_positive: int = 8000, start_rows: int = 12000, trusted_below: float = 0.002, rounds: int = 8) -> tuple[Network, float]:
+    """(network, prior) from at most ``max_positive`` documents with ``labels.quality`` 1, the trusted ones, and all
+    documents, which are unlabelled.
+
+    Of ``labels``, pass only the rows that may be learnt from. Rows labelled 0 teach nothing here: they are unlabelled. The
+    prior comes from a fit on half of the trusted documents and half of at most ``start_rows`` others, scored on the other
+    half of all documents (a single row is both halves). The network is first fitted to at most ``start_rows`` documents and
+    then improved in ``rounds`` passes over all. Scores are shifted so that ``trusted_below`` of the trusted documents score
+    under 0.5: an error in the prior moves all scores and would otherwise move the cut. Without a trusted document nothing
+    can be learnt: every document scores 0.95, and the prior is 0.95.
     """
+    rows = feature_rows(docs)
     good = labels.filter(F.col("quality") == 1).select("doc_id").distinct()
-    ids = docs.select("doc_id")
-    trusted = _sample(docs, ids.join(good, "doc_id", "left_semi"), max_positive, "trusted")
-    return train(trusted, _sample(docs, ids, max_unlabelled, "unlabelled"))
+    trusted = _first(rows.join(good, "doc_id", "left_semi"), max_positive, "trusted")
+    if not len(trusted):
+        return unknown(), 0.95
+    start = _first(rows, start_rows, "unlabelled")
+
+    sums = summed(rows, 1 + 2 * WIDTH, lambda x: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))
+    n, mean = int(sums[0]), sums[1 : 1 + WIDTH] / sums[0]
+    scale = np.sqrt(np.maximum(0, sums[1 + WIDTH :] / n - mean * mean)) + 1e-3
+
+    # halves by what a row holds, so that tasks and driver part them alike and copies stay together
+    seen = lambda x: np.frombuffer(np.ascontiguousarray(x, np.float32).tobytes(), np.uint32).reshape(-1, WIDTH).sum(1) % 2 == 0
+    halves = lambda x: (x[seen(x)], x[~seen(x)]) if 0 < seen(x).sum() < len(x) else (x, x)
+    (seen_p, other_p), (seen_u, other_u) = halves(trusted), halves(start)
+    first = fit(seen_p, seen_u, None, mean, scale, epochs=10)
+    scores = first.score(other_p)
+    cuts = np.quantile(scores, np.linspace(0.01, 0.9, 90))
+    parted = len(other_u) < len(start)
+
+    def above(x: np.ndarray) -> np.ndarray:
+        other = np.sort(first.score(x[~seen(x)] if parted else x))
+        return np.concatenate([[len(other)], len(other) - np.searchsorted(other, cuts)])
+
+    counts = summed(rows, 1 + len(cuts), above)
+    above_p = 1 - np.searchsorted(np.sort(scores), cuts) / len(scores)
+    prior = estimate_prior(above_p, counts[1:] / counts[0], len(scores), int(counts[0]))
+    network = refined(fit(trusted, start, prior, mean, scale), rows, n, trusted, prior, rounds)
+    network.b2 -= float(np.quantile(network.margin(trusted), trusted_below))
+    return network, prior
 
 
 def score(docs: DataFrame, network: Network, threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:

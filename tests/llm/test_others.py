@@ -485,3 +485,49 @@ def test_ordinary_pairs_are_counted_over_all_texts(spark):
     many = secrets.background([], {k: n * 10**9 for k, n in want.items()} | {("^", "~"): 1})
     assert many.steps["^", "~"] == many.other  # seen once among very many: as likely as what was never seen
     assert secrets.ordinary_pairs(secrets.lessons(docs.limit(0))) == {}
+
+
+def test_quality_learns_from_all_documents(spark):
+    """A first fit sees 40 documents; means, prior and the last steps are those of all, as a plain computation has them."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = [r.text for r in docs.select("text").collect()]
+    labels = trainable(spark.read.parquet(f"{SMALL}/labels.parquet"))
+    rows = quality.feature_rows(docs.repartition(5))
+    x = np.stack([quality.features(t) for t in texts]).astype(np.float64)
+    assert np.allclose(quality.summed(rows, quality.WIDTH, lambda x: x.sum(0)), x.sum(0))
+    good = {r.doc_id for r in labels.filter("quality = 1").collect()}
+    xp = np.stack([quality.features(r.text) for r in docs.collect() if r.doc_id in good])
+    mean, scale = x.mean(0), x.std(0) + 1e-3
+    start = quality.fit(xp, x[:40], 0.5, mean, scale, epochs=2)
+
+    def negative(network, prior=0.5):
+        return np.logaddexp(0, network.margin(x)).mean() - prior * np.logaddexp(0, network.margin(xp)).mean()
+
+    def risk(network, prior=0.5):
+        return prior * np.logaddexp(0, -network.margin(xp)).mean() + max(0.0, negative(network, prior))
+
+    after = [quality.refined(start, rows, len(x), xp, 0.5, rounds=n) for n in (0, 1, 6)]
+    assert negative(start) > 0
+    assert risk(after[0]) == risk(start) and risk(after[2]) < risk(after[1]) < risk(start)
+    # one small step moves every weight against the sign of the numerical gradient of the risk over all rows
+    eps = 1e-5
+    for at in ((0, 0), (60, 5), (115, 20)):
+        up, down = (quality.Network(mean, scale, start.w1.copy(), start.b1, start.w2, start.b2) for _ in range(2))
+        up.w1[at] += eps
+        down.w1[at] -= eps
+        slope = (risk(up) - risk(down)) / (2 * eps) + 1e-4 * start.w1[at]
+        moved = after[1].w1[at] - start.w1[at]
+        assert abs(slope) < 1e-6 or np.sign(moved) == -np.sign(slope)
+    # where the negative part is under nothing, a step raises it
+    assert negative(start, 0.99) < 0 and negative(quality.refined(start, rows, len(x), xp, 0.99, rounds=1), 0.99) > negative(start, 0.99)
+    network, prior = quality.learn(docs, labels, start_rows=40, rounds=4)
+    assert 0.5 < prior < 0.99 and np.allclose(network.mean, mean) and np.allclose(network.scale, scale, atol=1e-5)
+    assert np.mean(network.score(xp.astype(np.float64)) >= 0.3) > 0.97
+
+
+def test_quality_without_trusted_documents(spark, odd):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    network, prior = quality.learn(odd, none)
+    assert prior == 0.95 and {round(r.score, 6) for r in quality.score(odd, network).collect()} == {round(1 / (1 + np.exp(-3)), 6)}
+    network, _ = quality.learn(spark.createDataFrame([], DOC), spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert quality.score(odd, network).count() == len(ROWS)
