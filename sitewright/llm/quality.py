@@ -240,9 +240,16 @@ def unknown() -> Network:
     return Network(np.zeros(WIDTH), np.ones(WIDTH), np.zeros((WIDTH, 1)), np.zeros(1), np.zeros(1), 3.0)
 
 
-def _first(rows: DataFrame, most: int, salt: str) -> np.ndarray:
-    """Features of the ``most`` rows that a salted hash of their id puts first: the same in every run."""
+def _first(rows: DataFrame, most: int, salt: str, n: int) -> np.ndarray:
+    """Features of the ``most`` of ``n`` rows that a salted hash of their id puts first: the same in every run.
+
+    Another hash first thins many rows to hardly more than ``most`` in all, so that tasks do not each send the driver as
+    many; one in a hundred million times, and where rows repeat, there may be fewer.
+    """
     draw = F.xxhash64(F.lit(salt), F.col("doc_id").cast("string"))
+    share = (most + 6 * most**0.5) / max(1, n)
+    if share < 1:
+        rows = rows.filter(F.pmod(F.xxhash64(F.lit(salt + " thinned"), F.col("doc_id").cast("string"), "x"), F.lit(1 << 30)) < int(share * (1 << 30)))
     return matrix(rows.select(draw.alias("draw"), "x").orderBy("draw", "x").limit(most).toPandas()["x"])
 
 
@@ -259,14 +266,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_positive: int = 8000, start_ro
     """
     rows = feature_rows(docs)
     good = labels.filter(F.col("quality") == 1).select("doc_id").distinct()
-    trusted = _first(rows.join(good, "doc_id", "left_semi"), max_positive, "trusted")
+    of_good = rows.join(good, "doc_id", "left_semi")
+    trusted = _first(of_good, max_positive, "trusted", of_good.count())
     if not len(trusted):
         return unknown(), 0.95
-    start = _first(rows, start_rows, "unlabelled")
-
     sums = summed(rows, 1 + 2 * WIDTH, lambda x: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))
     n, mean = int(sums[0]), sums[1 : 1 + WIDTH] / sums[0]
     scale = np.sqrt(np.maximum(0, sums[1 + WIDTH :] / n - mean * mean)) + 1e-3
+    start = _first(rows, start_rows, "unlabelled", n)
 
     # halves by what a row holds, so that tasks and driver part them alike and copies stay together
     seen = lambda x: np.frombuffer(np.ascontiguousarray(x, np.float32).tobytes(), np.uint32).reshape(-1, WIDTH).sum(1) % 2 == 0
