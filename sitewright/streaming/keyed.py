@@ -11,7 +11,9 @@ refused rows to two tables, once each.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from itertools import islice
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
@@ -26,43 +28,60 @@ Reducer = Callable[[dict[str, Any] | None, Row], tuple[dict[str, Any] | None, di
 
 
 class _Folded(StatefulProcessor):
-    """A key's events through ``step``, in order of (``at``, ``seq``), when the watermark has passed them."""
+    """A key's events through ``step``, in order of (``at``, ``seq``), when the watermark has passed them.
+
+    A key has a timer for the first of what waits, not one for each time: a timer takes all that is due and is set again for
+    the first of what is left. Events go to the list in chunks, each one value, since the store converts value by value. So
+    calls to the store, and what it converts, grow with keys and chunks.
+    """
+
+    CHUNK = 5000
 
     def __init__(self, step: Reducer, state: StructType, event: StructType, at: str, seq: list[str], out: list[str]):
-        self.step, self.kinds, self.event, self.at, self.seq, self.out = step, (state, event), event.fieldNames(), at, seq, out
+        self.step, self.kind, self.event, self.at, self.seq, self.out = step, state, event.fieldNames(), at, seq, out
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", self.kinds[0])
-        self.waiting = handle.getListState("waiting", self.kinds[1])
+        self.now = handle.getValueState("now", self.kind)
+        self.waiting = handle.getListState("waiting", StructType().add("chunk", "binary"))
+
+    def wait(self, rows: list[tuple]) -> None:
+        for n in range(0, len(rows), self.CHUNK):
+            self.waiting.appendValue((pickle.dumps(rows[n : n + self.CHUNK], pickle.HIGHEST_PROTOCOL),))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
-        times = set()
-        for row in rows:
-            self.waiting.appendValue(tuple(row[c] for c in self.event))
-            times.add(max(row["_ms"], passed + 1))
-        for t in times:
-            self.handle.registerTimer(t)
+        first = None
+        while chunk := list(islice(rows, self.CHUNK)):
+            self.wait([tuple(row[c] for c in self.event) for row in chunk])
+            least = min(row["_ms"] for row in chunk)
+            first = least if first is None else min(first, least)
+        if first is not None:
+            self.handle.registerTimer(max(first, passed + 1))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         due, later = [], []
         upto = timerValues.getCurrentWatermarkInMs()
-        for row in self.waiting.get():
-            row = Row(*self.event)(*row)
-            (due if row["_ms"] <= upto else later).append(row)
+        event, made_of = Row(*self.event), Row(*self.out)
+        ms = self.event.index("_ms")
+        for (chunk,) in self.waiting.get():
+            for row in pickle.loads(chunk):
+                (due if row[ms] <= upto else later).append(row)
         if not due:  # another timer of this batch has taken them
             return
+        self.waiting.clear()
         if later:
-            self.waiting.put([tuple(r) for r in later])
-        else:
-            self.waiting.clear()
-        names = self.kinds[0].fieldNames()
+            self.wait(later)
+            self.handle.registerTimer(min(row[ms] for row in later))
+        names = self.kind.fieldNames()
         now = dict(zip(names, self.now.get(), strict=True)) if self.now.exists() else None
-        for row in sorted(due, key=lambda r: [(r[c] is not None, r[c]) for c in (self.at, *self.seq)]):
+        order = [self.event.index(c) for c in (self.at, *self.seq)]
+        due.sort(key=lambda r: [(r[i] is not None, r[i]) for i in order])
+        for row in due:
+            row = event(*row)
             now, made = self.step(now, row)
-            yield Row(*self.out)(*[made[c] if c in made else row[c] for c in self.out])
+            yield made_of(*[made[c] if c in made else row[c] for c in self.out])
         if now is None:
             self.now.clear()
         else:

@@ -101,3 +101,53 @@ def test_access_is_checked_against_tables_and_refusals_are_kept(spark, tmp_path)
     assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "yes")).collect()) == [1, 4]
     no = {r.n: r.refused for r in spark.read.parquet(str(tmp_path / "no")).collect()}
     assert no == {r.n: r.refused for r in tables.why_no_access(frame, members, access).filter("refused is not null").collect()} and set(no) == {2, 3, 5}
+
+
+class _Store:
+    """The calls of one key's state, without a stream."""
+
+    def __init__(self):
+        self.rows, self.value, self.timers, self.calls = [], None, [], 0
+
+    def getValueState(self, name, kind):
+        return self
+
+    getListState = getValueState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def appendValue(self, row):
+        self.calls += 1
+        self.rows.append(row)
+
+    def get(self):
+        return iter(self.rows)
+
+    def clear(self):
+        self.rows = []
+
+    put = update = lambda self, rows: None
+
+    def exists(self):
+        return False
+
+
+def test_calls_to_the_store_do_not_grow_with_the_times_of_a_key():
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+    from pyspark.sql.types import StructType
+
+    event = StructType.fromDDL("id long, ts timestamp, _ms long")
+    folded = keyed._Folded(lambda now, e: ({"n": 1}, {}), StructType.fromDDL("n long"), event, "ts", ["id"], ["id"])
+    store = _Store()
+    folded.init(store)
+    at = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    kind = Row("id", "ts", "_ms")
+    list(folded.handleInputRows((1,), iter([kind(i, EPOCH + timedelta(milliseconds=i), i) for i in range(1000, 0, -1)]), at(0)))
+    assert store.timers == [1] and store.calls == 2
+    assert [r.id for r in folded.handleExpiredTimer((1,), at(600), None)] == list(range(1, 601))
+    assert store.timers == [1, 601] and len(store.rows) == 1
+    assert [r.id for r in folded.handleExpiredTimer((1,), at(1000), None)] == list(range(601, 1001)) and store.rows == []
