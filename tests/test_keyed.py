@@ -134,7 +134,7 @@ class _Store:
         return False
 
 
-def test_calls_to_the_store_do_not_grow_with_the_times_of_a_key():
+def test_calls_to_the_store_do_not_grow_with_the_times_of_a_key(spark):
     from types import SimpleNamespace
 
     from pyspark.sql import Row
