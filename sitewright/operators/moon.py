@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.maths import pmod
+from .saving import saved
 
 R = config.MOON_RADIUS_M
 
@@ -120,7 +121,7 @@ def horizon_at(h: Column, azimuth: Column) -> Column:
 
 
 def open_sky_factor(h: Column) -> Column:
-    return F.aggregate(F.transform(h, lambda e: 1 - F.sin(F.radians(e))), F.lit(0.0), lambda s, x: s + x) / F.size(h)
+    return F.aggregate(h, F.lit(0.0), lambda s, e: s + (1 - F.sin(F.radians(e)))) / F.size(h)
 
 
 def dose(h: Column) -> Column:
@@ -128,17 +129,48 @@ def dose(h: Column) -> Column:
     return config.DOSE_OPEN_SKY * open_sky_factor(h)
 
 
-def visible_percent(cells: DataFrame, samples: DataFrame, most_samples: int = 20_000) -> DataFrame:
+def visible_percent(cells: DataFrame, samples: DataFrame, block: int = 8192) -> DataFrame:
     """``row, col, percent``: mean visible share of a body's disc over time.
 
-    ``cells(row, col, h)`` and ``samples(az, el, radius)``, the site's time series; its length is checked before it is
-    sent to every task. Aggregation is by cell, with partial means.
+    ``cells(row, col, h)`` and ``samples(az, el, radius)``, the site's time series, of any length. Samples that are alike
+    are taken once, with how many they are, and meet the cells in blocks of about ``block``, which are dealt by hash; sums
+    are added by cell. Cells go in groups of 1000, so that a block is sent once a group. A block's samples are parted by azimuth, so that the horizons of a batch of cells are read once for
+    each, and only discs that a horizon cuts are worked out. A pair is neither a row nor an object.
     """
-    if samples.limit(most_samples + 1).count() > most_samples:
-        raise ValueError(f"more than {most_samples} samples: aggregate them by spans of time")
-    both = cells.join(F.broadcast(samples.select("az", "el", "radius")))
-    seen = disc_fraction(F.col("el"), horizon_at(F.col("h"), F.col("az")), F.col("radius"))
-    return both.groupBy("row", "col").agg((100 * F.avg(seen)).alias("percent"))
+    number = [F.col(c).cast("double").alias(c) for c in ("az", "el", "radius")]
+    alike = saved(samples.select(*number).groupBy("az", "el", "radius").agg(F.count("*").alias("n")).filter("az IS NOT NULL AND el IS NOT NULL AND radius IS NOT NULL"))
+    dealt = alike.withColumn("_b", F.pmod(F.xxhash64("az", "el", "radius"), F.lit(alike.count() // block + 1)))
+    blocks = saved(dealt.groupBy("_b").agg(F.collect_list("az").alias("az"), F.collect_list("el").alias("el"), F.collect_list("radius").alias("radius"), F.collect_list("n").alias("n")))
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for n in range(0, len(pdf), 1000):
+                part = pdf.iloc[n : n + 1000]
+                yield pd.DataFrame({"row": [part["row"].to_numpy()], "col": [part["col"].to_numpy()], "h": [np.stack(part["h"].to_numpy()).astype(np.float64).tobytes()]})
+
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for p in pdf.itertuples(index=False):
+                h = np.ascontiguousarray(np.frombuffer(p.h).reshape(len(p.row), -1).T)
+                total, az = np.zeros(len(p.row)), np.asarray(p.az)
+                order = np.argsort(az, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(az[order])) + 1):
+                    a = az[part[0]] % 360.0
+                    i = int(a) % 360
+                    level = h[i] + (h[(i + 1) % 360] - h[i]) * (a - np.floor(a))
+                    for el, radius, n in zip(p.el[part], p.radius[part], p.n[part], strict=True):
+                        x = (el - level) / radius
+                        total += n * (x > 0)
+                        cut = np.flatnonzero(np.abs(x) < 1)
+                        if len(cut):
+                            x = x[cut]
+                            total[cut] += n * (0.5 + (x * np.sqrt(1 - x * x) + np.arcsin(x)) / np.pi - (x > 0))
+                yield pd.DataFrame({"row": p.row, "col": p.col, "total": total, "n": int(p.n.sum())})
+
+    kinds = {c: cells.schema[c].dataType.simpleString() for c in ("row", "col")}
+    groups = cells.select("row", "col", "h").mapInPandas(packed, f"row array<{kinds['row']}>, col array<{kinds['col']}>, h binary")
+    each = groups.join(blocks).mapInPandas(seen, f"row {kinds['row']}, col {kinds['col']}, total double, n long")
+    return each.groupBy("row", "col").agg((100 * F.sum("total") / F.sum("n")).alias("percent"))
 
 
 def march_distances(far_m: float) -> np.ndarray:

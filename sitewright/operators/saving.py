@@ -30,3 +30,9 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(rows: DataFrame, each: int) -> DataFrame:
+    """``rows``, of a table whose file may be one split, dealt to tasks of about ``each`` rows: for work that is long per row. A
+    count of whole rows comes from the file's footers."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // each + 1))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.maths import angle_between, lookup_curve
 from ..functions.maths import r4 as rounded
 from ..operators import cloud, grid, moon, registration, score, search, text
-from ..operators.saving import saved
+from ..operators.saving import saved, spread
 from .grids import HALF, SLOPE_DEG, sites
 from .registry import CELL, N, POINTS, TERRAIN, points, query, r4, terrain
 
@@ -226,7 +226,7 @@ SAMPLES = f"SELECT {', '.join(SAMPLE_COLUMNS)} FROM supplier"
 
 
 def _horizon(t):
-    rc = t.part.selectExpr("CAST(p_partkey AS INT) AS row", "p_size AS col")
+    rc = spread(t.part.selectExpr("CAST(p_partkey AS INT) AS row", "p_size AS col"), 20_000)  # 360 numbers a row
     return rc.withColumn("h", F.transform(F.sequence(F.lit(0), F.lit(359)), lambda a: (a * (F.col("row") + 1) % 17) * 0.5 - F.col("col") * 0.25))
 
 
