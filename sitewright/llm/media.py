@@ -168,7 +168,8 @@ def media_columns(docs: DataFrame, folder: str | None = None, task_bytes: int =
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "media")
-    stored = written(store(docs, folder), "stored")
+    # digests move as bytes: as text they are twice as long, and neither shuffles nor files make that good
+    stored = written(store(docs, folder).withColumn("digest", F.unhex("digest")), "stored")
     in_task = stored.groupBy("digest", "shard").agg(F.min("offset").alias("offset"), F.first("length").alias("length"))
     first = in_task.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place")).select("digest", "place.*")
     first = written(first, "first")
@@ -178,13 +179,14 @@ def media_columns(docs: DataFrame, folder: str | None = None, task_bytes: int =
 
     def decoded(data: bytes) -> tuple:
         payload = from_png(data)
-        return hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(payload)
+        return hashlib.sha256(payload).digest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).digest(), feature_of(payload)
 
     known = read_ranges(first, folder, "width long, height long, bits int", png_header, head=HEADER_BYTES)
-    known = read_ranges(known, folder, "payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", decoded)
+    known = read_ranges(known, folder, "payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string", decoded)
     # a hot digest is one row for each shard that holds it, so no row here is shared by more than a shard's documents
     by_shard = in_task.select("digest", F.col("shard").alias("own")).join(known, "digest")
     rows = stored.select("doc_id", "n_bytes", "payload_bytes", "digest", F.col("shard").alias("own"))
-    return rows.join(by_shard, ["digest", "own"]).select(
+    hexed = {c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256", "digest")}
+    return rows.join(by_shard, ["digest", "own"]).withColumns(hexed).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits", "digest", "shard", "offset", "length"
     )

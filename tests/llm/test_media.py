@@ -58,3 +58,14 @@ def test_small_shards_roll_over(spark):
         data = open(f"{folder.removeprefix('file://')}/{p.shard}", "rb").read()
         assert M.from_png(data[p.offset : p.offset + p.length]).rstrip(b"\0").decode() == f"text {p.doc_id} " * 50
         tarfile.open(fileobj=io.BytesIO(data)).getmembers()
+
+
+def test_digests_move_as_bytes(spark, monkeypatch):
+    from sitewright.llm import media
+
+    kinds, write = {}, media.written
+    monkeypatch.setattr(media, "written", lambda df, name, **o: kinds.setdefault(name, df.schema["digest"].dataType.simpleString()) and write(df, name, **o))
+    docs = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "doc_id long, text string")
+    got = {r.doc_id: r for r in media.media_columns(docs).collect()}
+    assert set(kinds.values()) == {"binary"} and got[1].digest == got[3].digest == got[1].payload_sha256 and len(got[2].media_sha256) == 64
+    assert got[1].digest == media.hashlib.sha256(media.payload_of("a")[0]).hexdigest()
