@@ -48,16 +48,20 @@ def value_at_rank(rows: DataFrame, key: list[str], value: str, ranks: dict[str,
     return placed.groupBy(*key).agg(F.first("_n").alias("n"), *at)
 
 
-def medians(rows: DataFrame, key: list[str], value: str, buckets: int = 1024) -> DataFrame:
+def medians(rows: DataFrame, key: list[str], value: str, buckets: int = 1024, save: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``key, m, n``: the exact median (the mean of the two middle values where n is even) of each group's values that are not
     null, also without a key.
 
     The range of a group is counted in ``buckets``; only the values of the one or two buckets that hold the middle are
     ranked. So a group with most of the rows is counts from every task, and what is sorted is a small part of it.
+
+    With ``save``, what is known of groups is written before rows meet it. Its size is then known when the join is planned,
+    and where groups are few no row is shuffled for it; else Spark has sent all rows by key before it sees how few they are.
     """
+    save = save or (lambda df: df)
     known = rows.select(*key, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     join = lambda a, b: a.join(b, key) if key else a.join(F.broadcast(b))  # noqa: E731  without a key, one row
-    ends = known.groupBy(*key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("n"))
+    ends = save(known.groupBy(*key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("n")))
     share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     placed = join(known, ends).withColumn("_b", F.least(F.lit(buckets - 1), F.floor(F.coalesce(share, F.lit(0.0)) * buckets)).cast("int"))
     counts = placed.groupBy(*key, "_b").agg(F.count("*").alias("_k"), F.first("n").alias("n"))
@@ -65,7 +69,7 @@ def medians(rows: DataFrame, key: list[str], value: str, buckets: int = 1024) ->
     counts = counts.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_k"))
     low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
     holds = lambda rank: (F.col("_before") <= rank) & (rank < F.col("_upto"))
-    middle = counts.filter(holds(low) | holds(high)).groupBy(*key).agg(F.min("_b").alias("_from"), F.max("_b").alias("_to"), F.min("_before").alias("_start"), F.first("n").alias("_n"))
+    middle = save(counts.filter(holds(low) | holds(high)).groupBy(*key).agg(F.min("_b").alias("_from"), F.max("_b").alias("_to"), F.min("_before").alias("_start"), F.first("n").alias("_n")))
     near = join(placed.drop("_lo", "_hi", "n"), middle).filter((F.col("_b") == F.col("_from")) | (F.col("_b") == F.col("_to")))
     several = near.groupBy(*key, "_v").agg(F.count("*").alias("_k"), F.first("_start").alias("_start"), F.first("_n").alias("n"))
     run = F.col("_start") + F.sum("_k").over(Window.partitionBy(*key).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -37,19 +37,47 @@ def clipped_misfit(points: DataFrame, cell_m: float, clip: float = 0.2, least: i
     return off.agg(F.avg("o").alias("misfit"), F.count("*").alias("n")).withColumn("misfit", F.when(F.col("n") >= least, F.col("misfit")).otherwise(F.lit(float("inf"))))
 
 
-def alternating_medians(seen: DataFrame, save, rounds: int = 12) -> DataFrame:
+def alternating_medians(seen: DataFrame, save, rounds: int = 12, most: int = 65_536) -> DataFrame:
     """``frame, gain``: log gains of frames, so that ``seen(frame, point, value)`` is gain x point brightness.
 
-    Rounds of two medians: points given gains, gains given points; gains average 0 in the log.
+    Rounds of two medians: points given gains, gains given points; gains average 0 in the log. Values that are not above 0, or
+    not finite, say nothing.
+
+    Rows are shuffled once: all values of a point are laid in one row, a point with more than ``most`` in several. Rounds read
+    these rows where they lie; what they shuffle are counts, and the values near the middle of each frame and of each point
+    with several rows. The gains, a number a frame, go to all tasks.
     """
-    logs = save(seen.filter("value > 0").select("frame", "point", F.log("value").alias("v")))
-    gains = save(logs.select("frame").distinct().withColumn("g", F.lit(0.0)))
+    known = seen.filter("frame IS NOT NULL AND point IS NOT NULL AND value > 0D AND value < double('Infinity')")
+    logs = save(known.select("frame", "point", F.log("value").alias("v")))
+    frames = save(logs.select("frame").distinct().agg(F.array_sort(F.collect_list("frame")).alias("_all")).select(F.posexplode("_all").alias("i", "frame")))
+    named = logs.join(frames, "frame").select("point", "i", "v")
+    large = save(logs.groupBy("point").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("point", F.ceil(F.col("n") / most).alias("_parts")))
+
+    def laid(rows: DataFrame, *by: str) -> DataFrame:
+        rows = rows.repartition(*by).groupBy(*by).agg(F.collect_list(F.struct("i", "v")).alias("_all"))
+        return save(rows.select("point", F.col("_all.i").alias("f"), F.col("_all.v").alias("v")))
+
+    shared = None
+    if not large.isEmpty():
+        shared = laid(named.join(large, "point").withColumn("_part", F.pmod(F.monotonically_increasing_id(), "_parts")), "point", "_part")
+        named = named.join(large, "point", "left_anti")
+    whole = laid(named, "point")
+
+    less = lambda f, v: F.coalesce(v - F.get("_g", f), F.lit(0.0))  # noqa: E731  neither is null; so said, numbers are sorted as such
+    given = lambda rows: rows.join(F.broadcast(gains)).withColumn("_d", F.zip_with("f", "v", less))  # noqa: E731  one row
+    half = lambda n: F.floor(n / 2).cast("int")
+    middle = (F.get("_d", half(F.size("_d") - 1)) + F.get("_d", half(F.size("_d")))) / 2
+    gains = save(frames.agg(F.array_repeat(F.lit(0.0), F.count("*").cast("int")).alias("_g")))
     for _ in range(rounds):
-        level = medians(logs.join(gains, "frame").select("point", (F.col("v") - F.col("g")).alias("d")), ["point"], "d").select("point", F.col("m").alias("p"))
-        raw = medians(save(logs.join(level, "point").select("frame", (F.col("v") - F.col("p")).alias("d"))), ["frame"], "d").select("frame", F.col("m").alias("g"))
-        raw = save(raw)
-        gains = save(raw.join(F.broadcast(raw.agg(F.avg("g").alias("m")))).select("frame", (F.col("g") - F.col("m")).alias("g")))  # one row
-    return gains.select("frame", F.exp("g").alias("gain"))
+        level = given(whole).withColumn("_d", F.sort_array("_d")).select("f", "v", F.coalesce(middle, F.lit(0.0)).alias("p"))
+        if shared is not None:
+            apart = save(medians(given(shared).select("point", F.explode("_d").alias("d")), ["point"], "d", save=save).select("point", F.col("m").alias("p")))
+            level = level.unionByName(shared.join(apart, "point").select("f", "v", "p"))
+        off = level.select("p", F.inline(F.arrays_zip("f", "v")).alias("i", "v")).select("i", (F.col("v") - F.col("p")).alias("d"))
+        raw = medians(off, ["i"], "d", save=save).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("_all")).select(F.col("_all.m").alias("_g"))
+        mean = F.aggregate("_g", F.lit(0.0), lambda s, g: s + g) / F.size("_g")
+        gains = save(raw.withColumn("_m", mean).select(F.transform("_g", lambda g: g - F.col("_m")).alias("_g")))
+    return gains.select(F.posexplode("_g").alias("i", "g")).join(frames, "i").select("frame", F.exp("g").alias("gain"))
 
 
 def _over(points: DataFrame, ground: DataFrame, cell_m: float) -> DataFrame:

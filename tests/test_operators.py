@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sitewright.functions.maths import lookup_curve
@@ -77,6 +78,50 @@ def test_gains_are_recovered(spark):
     assert np.allclose(got, [1, 0.5, 2])
 
 
+def plain_gains(rows, rounds):
+    f, p, v = (np.array(c) for c in zip(*[r for r in rows if None not in r and 0 < r[2] < math.inf], strict=True))
+    v, frames = np.log(v), np.unique(f)
+    g = np.zeros(len(frames))
+    of = np.searchsorted(frames, f)
+    for _ in range(rounds):
+        level = {q: np.median((v - g[of])[p == q]) for q in np.unique(p)}
+        off = v - np.array([level[q] for q in p])
+        g = np.array([np.median(off[f == k]) for k in frames])
+        g -= g.mean()
+    return dict(zip(frames.tolist(), np.exp(g).tolist(), strict=True))
+
+
+@pytest.mark.parametrize("most", [1, 40, 65_536])
+def test_gains_whatever_the_rows_of_a_point(spark, most):
+    """Points with more rows than ``most`` are dealt to several rows: with 1, nearly all; with 40, two of them."""
+    rng = np.random.default_rng(4)
+    points = [7] * 400 + [9] * 90 + rng.integers(10, 60, 300).tolist() + [99]
+    rows = [(int(rng.choice([3, 5, 8, 11])), p, float(rng.lognormal(1.0, 1.0))) for p in points]
+    rows += [(3, 7, float("nan")), (5, 7, float("inf")), (8, 9, 0.0), (8, 9, -2.0), (11, 20, None), (None, 7, 3.0), (3, None, 4.0), (77, 9, None)]
+    got = registration.alternating_medians(spark.createDataFrame(rows, "frame int, point int, value double"), saved, rounds=3, most=most).collect()
+    assert {r.frame: r.gain for r in got} == pytest.approx(plain_gains(rows, 3))
+    none = registration.alternating_medians(spark.createDataFrame([], "frame int, point int, value double"), saved, rounds=1, most=most)
+    assert none.count() == 0
+
+
+@pytest.mark.parametrize(("points", "most"), [(40_000, {}), (4, {"most": 20_000})])
+def test_rounds_of_gains_shuffle_counts_and_not_rows(spark, points, most):
+    """120,000 rows, of points of three rows, or of four points that are dealt to several rows each."""
+    n = 120_000
+    seen = spark.range(n).selectExpr("id % 3 AS frame", f"id % {points} AS point", "1 + pmod(xxhash64(id), 1000003) / 1e5 AS value")
+
+    def shuffled(rounds):
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        before = sc.statusStore().executorSummary("driver").totalShuffleWrite()
+        registration.alternating_medians(seen, saved, rounds=rounds, **most).collect()
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite() - before
+
+    each = (shuffled(3) - shuffled(1)) / 2
+    assert each < 2 * n  # bytes a round; a row that is shuffled has 8 at least
+
+
 def test_pieces_of_a_long_path(spark):
     cells = [(0, c) for c in range(60)] + [(2, c) for c in range(5)]
     got = graph.pieces(spark.createDataFrame(cells, "row int, col int"), saved, graph.NEAR4).groupBy("piece").count()
